@@ -23,7 +23,7 @@ from quire.functions.text import WS_CLASS, py_strip
 # line. The opening line must be the first non-blank line. Without a closed
 # block the whole text is the body. Same spelling in Java regex and RE2.
 FRONTMATTER_RE = (
-    r"(?s)^" + WS_CLASS + r"*-{3,}[ \t]*\r?\n(.*?\n)?-{3,}[ \t]*(\r?\n.*)?$"
+    r"(?s)\A" + WS_CLASS + r"*-{3,}[ \t]*\r?\n(.*?\n)?-{3,}[ \t]*(\r?\n.*)?\z"
 )
 
 # YAML 1.1 words PyYAML reads as booleans and nulls.
