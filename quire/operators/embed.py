@@ -10,9 +10,10 @@ offline, so the default here is a deterministic hashed bag of words:
 * vector: bucket counts scaled to unit L2 norm, stored as ``array<float>``
   (all zeros for a text without words).
 
-Counting words into buckets is done in an Arrow-batched pandas UDF (one
-``np.bincount`` per row, MD5 memoised per task); there is no built-in that
-counts array elements per value without an O(words x dims) lambda.
+Words and buckets are computed by Spark; counting bucket ids into a vector
+is done in an Arrow-batched pandas UDF (one ``np.bincount`` per row): there is
+no built-in that counts array elements per value without an O(words x dims)
+lambda.
 
 Any other model plugs in through :func:`embed_with`: a function from a pandas
 Series of texts to a list of vectors, run with ``mapInPandas`` and loaded once
@@ -39,41 +40,38 @@ def words(col: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(WORD), F.lit(0))
 
 
-def _bucketer(dims: int):
-    import hashlib  # noqa: PLC0415 - executor side
-
-    cache: dict[str, int] = {}
-
-    def bucket(word: str) -> int:
-        b = cache.get(word)
-        if b is None:
-            b = int(hashlib.md5(word.encode("utf-8")).hexdigest()[:8], 16) % dims
-            if len(cache) < 1_000_000:
-                cache[word] = b
-        return b
-
-    return bucket
+def buckets(col: Column | str, dims: int = DEFAULT_DIMS) -> Column:
+    """``array<int>``: bucket of every word, ``int(md5(word)[:8], 16) % dims``
+    (on the JVM)."""
+    return F.transform(
+        words(col),
+        lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long"),
+                         F.lit(dims)).cast("int"))
 
 
 def _hashed_vectors(dims: int):
-    def embed_words(series: pd.Series) -> pd.Series:
-        bucket = _bucketer(dims)
+    def embed_buckets(series: pd.Series) -> pd.Series:
         out = []
-        for ws in series:
-            if ws is None or len(ws) == 0:
+        for bs in series:
+            if bs is None or len(bs) == 0:
                 out.append(np.zeros(dims, dtype=np.float32))
                 continue
-            counts = np.bincount([bucket(w) for w in ws], minlength=dims).astype(np.float64)
+            counts = np.bincount(np.asarray(bs, dtype=np.int64), minlength=dims)
+            counts = counts.astype(np.float64)
             out.append((counts / np.sqrt(np.dot(counts, counts))).astype(np.float32))
         return pd.Series(out)
 
-    return embed_words
+    return embed_buckets
 
 
 def hashed_embedding(col: Column | str, dims: int = DEFAULT_DIMS) -> Column:
-    """``array<float>`` hashed bag-of-words vector of a text column."""
+    """``array<float>`` hashed bag-of-words vector of a text column.
+
+    Words and their buckets are computed by Spark; the pandas UDF only turns
+    each row's bucket list into unit-length counts (``np.bincount``).
+    """
     udf = F.pandas_udf(_hashed_vectors(dims), T.ArrayType(T.FloatType()))
-    return udf(words(col))
+    return udf(buckets(col, dims))
 
 
 def embed(df: DataFrame, text_col: str, out_col: str = "embedding",

@@ -25,6 +25,11 @@ from quire.functions.text import WS_CLASS, py_strip
 FRONTMATTER_RE = (
     r"(?s)\A" + WS_CLASS + r"*-{3,}[ \t]*\r?\n(.*?\n)?-{3,}[ \t]*(\r?\n.*)?\z"
 )
+# The same block without the body: the match ends at the closing line, so
+# finding it costs the size of the block, not of the document.
+FRONTMATTER_HEAD_RE = (
+    r"(?s)\A" + WS_CLASS + r"*-{3,}[ \t]*\r?\n(.*?\n)?-{3,}[ \t]*(?:\r?\n|\z)"
+)
 
 # YAML 1.1 words PyYAML reads as booleans and nulls.
 YAML_TRUE = ["yes", "Yes", "YES", "true", "True", "TRUE", "on", "On", "ON"]
@@ -33,13 +38,21 @@ YAML_NULL = ["", "~", "null", "Null", "NULL"]
 
 
 def split_frontmatter(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """Add ``fm`` (raw block, ``''`` if none) and ``content`` (stripped body)."""
+    """Add ``fm`` (raw block, ``''`` if none) and ``content`` (stripped body).
+
+    Only the head of the text is matched; the body is the substring after
+    the matched head, so no regex runs over the whole document.
+    """
     t = F.col(text_col)
-    has = t.rlike(FRONTMATTER_RE)
-    block = F.coalesce(F.regexp_extract(t, FRONTMATTER_RE, 1), F.lit(""))
-    body = F.regexp_extract(t, FRONTMATTER_RE, 2)
-    return (df.withColumn("fm", F.when(has, block).otherwise(F.lit("")))
-              .withColumn("content", py_strip(F.when(has, body).otherwise(t))))
+    staged = df.withColumn("_fm_head", F.regexp_extract(t, FRONTMATTER_HEAD_RE, 0))
+    head = F.col("_fm_head")
+    has = head != ""
+    return (staged
+            .withColumn("fm", F.when(has, F.regexp_extract(head, FRONTMATTER_HEAD_RE, 1))
+                        .otherwise(F.lit("")))
+            .withColumn("content", py_strip(
+                F.when(has, F.substring(t, F.length(head) + 1, 1 << 30)).otherwise(t)))
+            .drop("_fm_head"))
 
 
 def _scalar_to_py_str(v: Column) -> Column:
@@ -61,73 +74,48 @@ def _flow_item(v: Column) -> Column:
     return _scalar_to_py_str(s)
 
 
-def frontmatter_map_flat(fm: Column) -> Column:
-    """``map<string,string>`` from a flat YAML block, natively.
+# One key entry: ``key: inline value`` at column 0, then any following
+# ``- item`` lines (a block list). Groups: 1 key, 2 inline value, 3 items.
+KV_RE = (r"(?m)^([^\s#:\-][^:\n]*?)[ \t]*:(?:[ \t]+([^\n]*?))?[ \t]*$"
+         r"((?:\n[ \t]*-[ \t]+[^\n]*)*)")
+ITEM_RE = r"-[ \t]+([^\n]*)"
+
+
+def _value(inline: Column, items: Column) -> Column:
+    v = py_strip(F.regexp_replace(inline, r"\s+#.*$", ""))
+    listed = F.array_join(
+        F.transform(F.regexp_extract_all(items, F.lit(ITEM_RE), F.lit(1)), _flow_item), ", ")
+    flow = F.array_join(
+        F.transform(F.filter(F.split(F.regexp_extract(v, r"^\[(.*)\]$", 1), ","),
+                             lambda x: py_strip(x) != ""), _flow_item), ", ")
+    return (F.when((v == "") & (items != ""), listed)
+             .when(v.rlike(r"^\[.*\]$"), flow)
+             .otherwise(_scalar_to_py_str(v)))
 
-    Lines ``key: value`` give entries; a value ``[a, b]`` or following
-    ``- item`` lines give a list, rendered as items joined by ``", "`` like the
-    reference does. Later duplicate keys win.
+
+def frontmatter_entries(df: DataFrame, fm_col: str = "fm") -> DataFrame:
+    """Add ``_fm_kv``: ``array<struct<key, value>>`` in block order.
+
+    Three aligned ``regexp_extract_all`` calls (same pattern, one group each)
+    give keys, inline values and list lines; one ``transform`` renders the
+    values. Linear in the block size, no Python.
     """
-    lines = F.split(fm, r"\r?\n")
-    # Tag each line: key lines start at column 0, list items with "- ".
-    entries = F.transform(
-        lines,
-        lambda ln: F.struct(
-            F.regexp_extract(ln, r"^([^\s#:\-][^:]*?)\s*:(?:\s+|$)(.*)$", 1).alias("k"),
-            F.regexp_extract(ln, r"^([^\s#:\-][^:]*?)\s*:(?:\s+|$)(.*)$", 2).alias("v"),
-            F.regexp_extract(ln, r"^\s*-\s+(.*)$", 1).alias("item"),
-            ln.rlike(r"^\s*-\s+").alias("is_item"),
-        ),
-    )
-    # Attach block-list items to the nearest key above them: a running key
-    # index over the line array.
-    idx = F.sequence(F.lit(1), F.size(entries))
-    keyed = F.transform(
-        idx,
-        lambda i: F.struct(
-            F.element_at(entries, i).alias("e"),
-            F.size(F.filter(F.slice(entries, 1, i), lambda e: e["k"] != "")).alias("g"),
-        ),
-    )
-    keys = F.filter(keyed, lambda x: x["e"]["k"] != "")
-    pairs = F.transform(
-        keys,
-        lambda x: F.struct(
-            x["e"]["k"].alias("key"),
-            F.when(
-                py_strip(x["e"]["v"]) == "",
-                F.when(
-                    F.exists(keyed, lambda y: (y["g"] == x["g"]) & y["e"]["is_item"]),
-                    F.array_join(
-                        F.transform(
-                            F.filter(keyed, lambda y: (y["g"] == x["g"]) & y["e"]["is_item"]),
-                            lambda y: _flow_item(y["e"]["item"])),
-                        ", "),
-                ).otherwise(F.lit("None")),
-            ).when(
-                py_strip(x["e"]["v"]).rlike(r"^\[.*\]$"),
-                F.array_join(
-                    F.transform(
-                        F.filter(
-                            F.split(F.regexp_extract(py_strip(x["e"]["v"]), r"^\[(.*)\]$", 1), ","),
-                            lambda s: py_strip(s) != ""),
-                        _flow_item),
-                    ", "),
-            ).otherwise(_scalar_to_py_str(py_strip(
-                F.regexp_replace(x["e"]["v"], r"\s+#.*$", "")))).alias("value"),
-        ),
-    )
-    # Last duplicate wins, first position kept (Python dict semantics).
-    return F.map_from_entries(
-        F.transform(
-            F.array_distinct(F.transform(pairs, lambda p: p["key"])),
-            lambda k: F.struct(
-                k.alias("key"),
-                F.element_at(F.reverse(F.filter(pairs, lambda p: p["key"] == k)), 1)["value"]
-                .alias("value"),
-            ),
-        )
-    )
+    fm = F.col(fm_col)
+    return df.withColumn("_fm_kv", F.transform(
+        F.arrays_zip(F.regexp_extract_all(fm, F.lit(KV_RE), F.lit(1)).alias("k"),
+                     F.regexp_extract_all(fm, F.lit(KV_RE), F.lit(2)).alias("v"),
+                     F.regexp_extract_all(fm, F.lit(KV_RE), F.lit(3)).alias("i")),
+        lambda e: F.struct(e["k"].alias("key"), _value(e["v"], e["i"]).alias("value"))))
+
+
+def entries_to_map(kv: Column) -> Column:
+    """Python dict semantics: a repeated key keeps its first position and
+    takes its last value."""
+    return F.map_from_entries(F.transform(
+        F.array_distinct(F.transform(kv, lambda p: p["key"])),
+        lambda k: F.struct(k.alias("key"),
+                           F.element_at(F.reverse(F.filter(kv, lambda p: p["key"] == k)), 1)
+                           ["value"].alias("value"))))
 
 
 def _py_str(value) -> str:
@@ -159,10 +147,11 @@ def frontmatter_map(df: DataFrame, fm_col: str = "fm", mode: str = "flat",
     """Add ``out_col`` (``map<string,string>``) parsed from the block column."""
     empty = F.create_map().cast("map<string,string>")
     if mode == "flat":
-        return df.withColumn(
+        staged = frontmatter_entries(df, fm_col)
+        return staged.withColumn(
             out_col,
-            F.when(F.col(fm_col) == "", empty)
-             .otherwise(frontmatter_map_flat(F.col(fm_col))))
+            F.when(F.size("_fm_kv") == 0, empty).otherwise(entries_to_map(F.col("_fm_kv")))
+        ).drop("_fm_kv")
     if mode != "yaml":
         raise ValueError(f"unknown frontmatter mode: {mode}")
     # Scalar pandas UDF over the block column only: the body stays in the JVM.

@@ -39,6 +39,9 @@ from pyspark.sql import types as T
 DEFAULT_N_RESULTS = 5
 
 DEFAULT_MAX_BROADCAST_BYTES = 64 << 20
+# Result sets up to this many rows (questions x k) are broadcast when joined
+# back to the chunk table.
+BROADCAST_RESULT_ROWS = 2_000_000
 # Distance matrix cells per numpy block (rows x questions), bounds task memory.
 _BLOCK_CELLS = 4_000_000
 
@@ -173,6 +176,18 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int | str = DEFAULT_N_RESULTS,
         query_id: str = "query_id", query_vec: str = "embedding",
         filters: dict[str, Column] | None = None, metric: str = "l2sq",
         max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
+    """Exact k nearest corpus rows per query row (see :func:`knn_bounded`)."""
+    return knn_bounded(corpus, queries, k, corpus_id=corpus_id, corpus_vec=corpus_vec,
+                       query_id=query_id, query_vec=query_vec, filters=filters,
+                       metric=metric, max_broadcast_bytes=max_broadcast_bytes)[0]
+
+
+def knn_bounded(corpus: DataFrame, queries: DataFrame, k: int | str = DEFAULT_N_RESULTS, *,
+                corpus_id: str = "id", corpus_vec: str = "embedding",
+                query_id: str = "query_id", query_vec: str = "embedding",
+                filters: dict[str, Column] | None = None, metric: str = "l2sq",
+                max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES
+                ) -> tuple[DataFrame, int, int]:
     """Exact k nearest corpus rows per query row.
 
     ``k`` is a number or the name of a per-query column (NULL -> default 5).
@@ -180,8 +195,9 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int | str = DEFAULT_N_RESULTS,
     the query's value is set (non-null, non-empty) only corpus rows with an
     equal value are candidates, and the filter applies before the top-k.
 
-    Returns ``query_id, rank, id, distance`` (``metric`` ``l2sq``: squared
-    L2, the vector store default; ``l2``: its square root).
+    Returns ``(result, n_questions, max_k)`` where result is ``query_id,
+    rank, id, distance`` (``metric`` ``l2sq``: squared L2, the vector store
+    default; ``l2``: its square root); ``n_questions * max_k`` bounds its rows.
     """
     if metric not in ("l2sq", "l2"):
         raise ValueError(f"unknown metric {metric}")
@@ -207,7 +223,7 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int | str = DEFAULT_N_RESULTS,
                                T.StructField("id", T.StringType()),
                                T.StructField("distance", T.DoubleType())])
     if n_q == 0 or kmax <= 0:
-        return spark.createDataFrame([], out_schema.add("rank", T.IntegerType()))
+        return spark.createDataFrame([], out_schema.add("rank", T.IntegerType())), 0, 0
     est_bytes = n_q * dim * 4 + int(stats["extra"])
     n_batches = max(1, math.ceil(est_bytes / max_broadcast_bytes))
 
@@ -239,7 +255,8 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int | str = DEFAULT_N_RESULTS,
         if n_q <= 1_000_000:
             kq = F.broadcast(kq)
         ranked = ranked.join(kq, "query_id").filter(F.col("rank") <= F.col("_kq")).drop("_kq")
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "id", "distance")
+    return (ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "id", "distance"),
+            n_q, kmax)
 
 
 # ---------------------------------------------------------------------------
@@ -292,13 +309,16 @@ def retrieve(chunks: DataFrame, questions: DataFrame, *, question_id: str = "que
         rel_col = "min_relevance"
     filt = {"filter_type": F.col("metadata")["type"],
             "filter_author": F.col("metadata")["author"]}
-    top = knn(chunks, q, k, filters=filt, metric=metric,
-              max_broadcast_bytes=max_broadcast_bytes)
-    # Bring back the chunk fields for the (small) result set only.
+    top, n_q, kmax = knn_bounded(chunks, q, k, filters=filt, metric=metric,
+                                 max_broadcast_bytes=max_broadcast_bytes)
+    # Bring back the chunk fields for the result rows only. The result has at
+    # most n_q * kmax rows; within the bound it is broadcast, so the chunk
+    # table is scanned once with a hash probe and never shuffled.
+    bounded = n_q * kmax <= BROADCAST_RESULT_ROWS
     fields = chunks.select(F.col("id").cast("string").alias("id"), *CHUNK_FIELDS)
-    res = top.join(fields, "id")
+    res = fields.join(F.broadcast(top) if bounded else top, "id")
     rel = q.select("query_id", F.col(rel_col).alias("_min_rel"))
-    res = res.join(F.broadcast(rel) if _small(q) else rel, "query_id")
+    res = res.join(F.broadcast(rel) if n_q <= BROADCAST_RESULT_ROWS else rel, "query_id")
     res = res.withColumn("similarity", similarity(F.col("distance")))
     kept = F.col("_min_rel").isNull() | (F.col("similarity") >= F.col("_min_rel"))
     cols = ["query_id", "rank", "id", *CHUNK_FIELDS, "distance", "similarity"]
@@ -307,11 +327,6 @@ def retrieve(chunks: DataFrame, questions: DataFrame, *, question_id: str = "que
     return res.filter(kept).select(*cols)
 
 
-def _small(df: DataFrame, limit: int = 1_000_000) -> bool:
-    """Row-count bound check for a broadcast hint (the questions side)."""
-    return df.limit(limit + 1).count() <= limit
-
-
 # ---------------------------------------------------------------------------
 # D9 report, D10 sources
 # ---------------------------------------------------------------------------

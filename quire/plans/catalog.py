@@ -29,7 +29,7 @@ from quire.operators.chunking import chunk_audit
 from quire.operators.embed import hashed_embedding
 from quire.operators.frontmatter import frontmatter_map, split_frontmatter
 from quire.plans.ingest import articles_to_chunks
-from quire.session import spread, table_path
+from quire.session import reliable_checkpoint, spread, table_path
 from quire.sources.collection import first_writer, ingest_stats
 
 EMBED_DIMS = 256
@@ -224,9 +224,16 @@ def q_relevance_filter(spark, sf):
     return r.select("query_id", "rank", "id", F.round("similarity", 6).alias("similarity"))
 
 
+def collection(spark: SparkSession, sf: str) -> DataFrame:
+    """The embedded chunk table, materialised once in the shared checkpoint
+    folder (what an ingest run stores), so retrieval never recomputes
+    tokenizing or embedding."""
+    return reliable_checkpoint(chunks(spark, sf, embedded=True))
+
+
 def _text_results(spark, sf, per_row: bool, keep_unfiltered: bool = False):
     qs = questions(spark, sf, per_row=per_row)
-    return qs, retrieve.retrieve(chunks(spark, sf, embedded=True), qs, per_row=per_row,
+    return qs, retrieve.retrieve(collection(spark, sf), qs, per_row=per_row,
                                  keep_unfiltered=keep_unfiltered)
 
 

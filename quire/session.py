@@ -47,21 +47,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this setting must point at shared storage and is read, never
-    overridden. Only when it is unset (local tests) do we create our own.
+    overridden. Only when it is unset on a local master (tests) do we pick our
+    own folder.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = spark.sparkContext.getCheckpointDir()
-    if not current:
-        master = spark.sparkContext.master or ""
-        if not master.startswith("local"):
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir()
+    if current:
+        return current
+    configured = sc.getConf().get("spark.checkpoint.dir", None)
+    if not configured:
+        if not (sc.master or "").startswith("local"):
             raise RuntimeError(
                 "spark.checkpoint.dir is not set; point it at shared storage")
-        current = tempfile.mkdtemp(prefix="quire-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(current)
-    return current
+        configured = tempfile.mkdtemp(prefix="quire-ckpt-")
+    sc.setCheckpointDir(configured)
+    return sc.getCheckpointDir() or configured
 
 
 def reliable_checkpoint(df):
