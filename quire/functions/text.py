@@ -102,7 +102,7 @@ def json_string(col: Column | str) -> Column:
             F.regexp_extract_all(simple, F.lit(r"(?s)."), F.lit(0)),
             lambda ch: F.when(ch.rlike(r"^[ -~]$"), ch).otherwise(
                 F.regexp_replace(F.lower(F.hex(F.encode(ch, "UTF-16BE"))),
-                                 r"(.{4})", r"\\\\u$1")),
+                                 r"(.{4})", r"\\u$1")),
         ),
         "",
     )

@@ -60,8 +60,9 @@ def scan_markdown(spark: SparkSession, directory: str, relative: bool = True) ->
 
 
 def list_markdown(spark: SparkSession, directory: str) -> DataFrame:
-    """``source_file, length`` for every ``*.md`` file, including empty ones
-    (metadata only: file contents are not read)."""
+    """``source_file, length`` for every non-empty ``*.md`` file (metadata
+    only: contents are not read). Spark's file sources skip zero-byte files;
+    :func:`count_markdown_files` counts those too."""
     base = qualified_dir(spark, directory)
     df = _reader(spark, "binaryFile").load(directory)
     path = F.col("path")  # binaryFile paths are not URL-encoded
@@ -72,6 +73,7 @@ def list_markdown(spark: SparkSession, directory: str) -> DataFrame:
 
 def count_markdown_files(spark: SparkSession, directory: str) -> int:
     """Number of ``*.md`` files, zero-byte ones included (the reference counts
-    every file it found)."""
+    every file it found). Taken from Spark's file index (the listing Spark
+    keeps for any scan), not from reading the files."""
     qualified_dir(spark, directory)
     return len(_reader(spark, "text").load(directory).inputFiles())
