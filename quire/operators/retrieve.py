@@ -11,18 +11,21 @@ happen is materialising those pairs as rows. The plan is:
    broadcast variable; otherwise it is cut into hash batches that each fit,
    and the steps below run once per batch (results are unioned).
 2. The chunk table is scanned with only ``id``, the vector and the filter
-   columns (column pruning) and streamed through ``mapInPandas``: numpy
-   computes distances for one Arrow batch against one block of questions,
-   applies each question's metadata filter, and keeps at most ``k`` rows per
-   question (ties broken by id), so a task emits O(questions x k) rows no
-   matter how big or duplicated its partition is.
+   columns (column pruning) and streamed through ``mapInPandas``: for one
+   Arrow batch and one block of questions, a BLAS product gives approximate
+   distances, each question's metadata filter masks rows, the rows that can
+   still reach the question's k-th best (within a bound far above the
+   rounding error) get their exact distance, and at most ``k`` rows per
+   question are kept (ties broken by id). A task thus emits
+   O(questions x k) rows no matter how big or duplicated its partition is.
 3. A global ``row_number() over (partition by question order by distance,
    id)`` keeps the final k. Spark plans it with ``WindowGroupLimit`` on both
    sides of the shuffle, so each question's group holds at most
    k x tasks rows before the final limit.
 
-Distances are summed over dimensions in index order in float64, the same
-order the SQL check uses, so ranks agree exactly with an independent engine.
+Reported distances are summed over dimensions in index order in float64,
+the same order the SQL check uses, so ranks agree exactly with an
+independent engine.
 """
 
 from __future__ import annotations
@@ -43,7 +46,7 @@ DEFAULT_MAX_BROADCAST_BYTES = 64 << 20
 # back to the chunk table.
 BROADCAST_RESULT_ROWS = 2_000_000
 # Distance matrix cells per numpy block (rows x questions), bounds task memory.
-_BLOCK_CELLS = 4_000_000
+_BLOCK_CELLS = 2_000_000
 
 
 # ---------------------------------------------------------------------------
@@ -92,11 +95,60 @@ def similarity(distance: Column) -> Column:
 # ---------------------------------------------------------------------------
 # D2/D4/D8 exact kNN
 # ---------------------------------------------------------------------------
+def _exact_l2sq(cmat: np.ndarray, qmat: np.ndarray, ri: np.ndarray, qi: np.ndarray) -> np.ndarray:
+    """Squared L2 of the (row, question) pairs, summed over dimensions in index
+    order (the definition the SQL check uses, so values agree bit for bit)."""
+    acc = np.zeros(ri.size, dtype=np.float64)
+    for j in range(cmat.shape[1]):
+        t = cmat[ri, j] - qmat[qi, j]
+        acc += t * t
+    return acc
+
+
+def _block_topk(cmat, cnorm, ok, ids, corpus_f, qmat, qnorm, ks, fvals, q0, q1):
+    """Top-k rows of one Arrow batch for questions ``q0:q1``.
+
+    Candidates come from the BLAS expansion |c|^2 - 2 c.q + |q|^2, whose error
+    is far below ``eps``; every row whose exact distance can reach a
+    question's k-th best is kept, then only those pairs get the exact
+    distance. Result: (question index, row index, exact distance) with at most
+    k rows per question, ties broken by id.
+    """
+    qm = qmat[q0:q1]
+    approx = cnorm[:, None] - 2.0 * (cmat @ qm.T) + qnorm[None, q0:q1]
+    approx[~ok, :] = np.inf
+    for fi, cv in enumerate(corpus_f):  # metadata filters, before the top-k
+        wants = fvals[fi][q0:q1]
+        for val in {w for w in wants if w is not None and w != ""}:
+            cols = np.nonzero(wants == val)[0]
+            miss = np.nonzero(cv != val)[0]
+            if cols.size and miss.size:
+                approx[np.ix_(miss, cols)] = np.inf
+    kq = ks[q0:q1]
+    n = approx.shape[0]
+    kth = np.clip(kq, 1, n) - 1
+    part = np.partition(approx, np.unique(kth), axis=0)
+    thr = part[kth, np.arange(q1 - q0)]
+    eps = 1e-9 * (cnorm.max(initial=0.0) + qnorm[q0:q1] + 1.0)
+    cand = (approx <= (thr + eps)[None, :]) & np.isfinite(approx) & (kq > 0)[None, :]
+    ri, qi = np.nonzero(cand)
+    if ri.size == 0:
+        return None
+    d = _exact_l2sq(cmat, qmat, ri, qi + q0)
+    order = np.lexsort((ids[ri].astype(str), d, qi))
+    ri, qi, d = ri[order], qi[order], d[order]
+    starts = np.searchsorted(qi, np.arange(q1 - q0))
+    rank = np.arange(qi.size) - starts[qi]
+    keep = rank < kq[qi]
+    return qi[keep] + q0, ri[keep], d[keep]
+
+
 def _local_topk(batches, bc, cid: str, cvec: str, fcols: list[str], metric: str):
     qb = bc.value
-    qids, qmat, ks = qb["qid"], qb["vec"], qb["k"]
+    qids, qmat, ks = qb["qid"], qb["vec"].astype(np.float64), qb["k"]
     fvals = qb["filters"]  # list of object arrays, None = unset
     nq, dim = qmat.shape
+    qnorm = np.einsum("ij,ij->i", qmat, qmat)
     for pdf in batches:
         n = len(pdf)
         if n == 0 or nq == 0:
@@ -107,45 +159,19 @@ def _local_topk(batches, bc, cid: str, cvec: str, fcols: list[str], metric: str)
         cmat = np.zeros((n, dim), dtype=np.float64)
         if ok.any():
             cmat[ok] = np.stack([np.asarray(v, dtype=np.float64) for v in vecs[ok]])
+        cnorm = np.einsum("ij,ij->i", cmat, cmat)
         corpus_f = [pdf[c].to_numpy(dtype=object) for c in fcols]
-        out_q, out_id, out_d = [], [], []
         block = max(1, _BLOCK_CELLS // n)
+        out_q, out_id, out_d = [], [], []
         for q0 in range(0, nq, block):
-            q1 = min(nq, q0 + block)
-            qm = qmat[q0:q1].astype(np.float64)
-            dist = np.zeros((n, q1 - q0), dtype=np.float64)
-            for j in range(dim):  # index order, as the SQL definition sums
-                diff = cmat[:, j:j + 1] - qm[None, :, j]
-                dist += diff * diff
-            if metric == "l2":
-                dist = np.sqrt(dist)
-            dist[~ok, :] = np.inf
-            for qi in range(q1 - q0):
-                q = q0 + qi
-                k = int(ks[q])
-                if k <= 0:
-                    continue
-                col = dist[:, qi]
-                mask = ok.copy()
-                for fi, cv in enumerate(corpus_f):
-                    want = fvals[fi][q]
-                    if want is not None and want != "":
-                        mask &= (cv == want)
-                cand = np.nonzero(mask)[0]
-                if cand.size == 0:
-                    continue
-                d = col[cand]
-                if cand.size > k:
-                    thr = np.partition(d, k - 1)[k - 1]
-                    lt = cand[d < thr]
-                    eq = cand[d == thr]
-                    need = k - lt.size
-                    if eq.size > need:  # ties: smallest ids first
-                        eq = eq[np.argsort(ids[eq].astype(str), kind="stable")[:need]]
-                    cand = np.concatenate([lt, eq])
-                out_q.append(np.full(cand.size, qids[q], dtype=object))
-                out_id.append(ids[cand])
-                out_d.append(col[cand])
+            got = _block_topk(cmat, cnorm, ok, ids, corpus_f, qmat, qnorm, ks, fvals,
+                              q0, min(nq, q0 + block))
+            if got is None:
+                continue
+            qi, ri, d = got
+            out_q.append(qids[qi])
+            out_id.append(ids[ri])
+            out_d.append(np.sqrt(d) if metric == "l2" else d)
         if out_q:
             yield pd.DataFrame({
                 "query_id": np.concatenate(out_q),

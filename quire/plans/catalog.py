@@ -29,7 +29,7 @@ from quire.operators.chunking import chunk_audit
 from quire.operators.embed import hashed_embedding
 from quire.operators.frontmatter import frontmatter_map, split_frontmatter
 from quire.plans.ingest import articles_to_chunks
-from quire.session import reliable_checkpoint, spread, table_path
+from quire.session import materialize, spread, table_path
 from quire.sources.collection import first_writer, ingest_stats
 
 EMBED_DIMS = 256
@@ -141,7 +141,7 @@ def fragments(spark: SparkSession, sf: str) -> DataFrame:
 # Corpus (C*)
 # ---------------------------------------------------------------------------
 def q_token_counts(spark, sf):
-    d = spread(_t(spark, sf, "documents"))
+    d = spread(_t(spark, sf, "documents"), key="doc_id")
     return d.select("doc_id", token_count("text").cast("int").alias("token_count"))
 
 
@@ -228,7 +228,7 @@ def collection(spark: SparkSession, sf: str) -> DataFrame:
     """The embedded chunk table, materialised once in the shared checkpoint
     folder (what an ingest run stores), so retrieval never recomputes
     tokenizing or embedding."""
-    return reliable_checkpoint(chunks(spark, sf, embedded=True))
+    return materialize(chunks(spark, sf, embedded=True), "collection")
 
 
 def _text_results(spark, sf, per_row: bool, keep_unfiltered: bool = False):

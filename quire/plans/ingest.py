@@ -26,7 +26,7 @@ def articles_to_chunks(articles: DataFrame, *, no_chunk: bool = False,
                        frontmatter_mode: str = "flat", dims: int = DEFAULT_DIMS,
                        with_embedding: bool = True) -> DataFrame:
     """``source_file, text`` rows -> chunk rows in the collection schema."""
-    parsed = frontmatter_map(split_frontmatter(spread(articles), "text"), "fm",
+    parsed = frontmatter_map(split_frontmatter(spread(articles, key="source_file"), "text"), "fm",
                              mode=frontmatter_mode)
     parsed = parsed.select("source_file", "metadata", "content")
     chunks = chunk_by_tokens(parsed, "content", max_tokens, stride,

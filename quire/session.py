@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -70,17 +71,33 @@ def reliable_checkpoint(df):
     return df.checkpoint(eager=True)
 
 
+def materialize(df, label: str = "table"):
+    """Cut lineage by writing ``df`` as a parquet table under the shared
+    ``spark.checkpoint.dir`` and reading it back.
+
+    Columnar and compressed, so later scans read only the columns they use;
+    a lost executor re-reads the table instead of recomputing the lineage.
+    """
+    spark = df.sparkSession
+    base = checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/quire-tables/{label}-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)
+
+
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-def spread(df, min_partitions: int | None = None):
-    """Round-robin ``df`` over at least ``min_partitions`` tasks when the scan
-    produced fewer (small files read as one split). CPU-heavy per-row stages
+def spread(df, min_partitions: int | None = None, key: str | None = None):
+    """Spread ``df`` over at least ``min_partitions`` tasks when the scan
+    produced fewer (a small file reads as one split). CPU-heavy per-row stages
     (regex tokenizing, embedding) then use every core. A no-op at scale, where
-    the scan already yields far more splits than cores."""
+    the scan already yields far more splits than cores. With ``key`` (a
+    near-unique column) rows are hash-partitioned, which needs no sort;
+    otherwise round-robin."""
     sc = df.sparkSession.sparkContext
     want = min_partitions or sc.defaultParallelism
     if df.rdd.getNumPartitions() >= want:
         return df
-    return df.repartition(want)
+    return df.repartition(want, key) if key else df.repartition(want)

@@ -89,17 +89,17 @@ def add_chunks(spark: SparkSession, new: DataFrame, root: str, name: str,
                broadcast_limit: int = BROADCAST_NEW_IDS) -> dict:
     """Append chunks whose id is not in the collection yet (B1).
 
-    The produced chunks are checkpointed once (shared checkpoint folder), so
+    The produced chunks are written once to the shared checkpoint folder, so
     counting and writing do not recompute tokenizing and embedding, and a
     lost executor re-reads the checkpoint instead of the whole lineage.
     Collisions are found by probing the existing id column with the (size
     checked) set of new ids, so the existing table is scanned once and never
     shuffled. Returns produced and inserted counts.
     """
-    from quire.session import reliable_checkpoint  # noqa: PLC0415
+    from quire.session import materialize  # noqa: PLC0415
 
     path = create_collection(spark, root, name)
-    produced = reliable_checkpoint(new.select(*CHUNK_SCHEMA.fieldNames()))
+    produced = materialize(new.select(*CHUNK_SCHEMA.fieldNames()), "produced")
     n_produced = produced.count()
     fresh = first_writer(produced)
     n_fresh = fresh.count()
