@@ -94,8 +94,8 @@ def session_log(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def command_log(spark: SparkSession, sf: str) -> DataFrame:
-    e = _t(spark, sf, "events")
-    k = F.get_json_object("props", "$.k").cast("int")
+    e = _t(spark, sf, "events").withColumn("_k", F.get_json_object("props", "$.k").cast("int"))
+    k = F.col("_k")
     ks = k.cast("string")
     et = F.col("event_type")
     line = (
