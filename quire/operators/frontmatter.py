@@ -6,7 +6,7 @@ The split is one anchored regex per row. The map comes in two flavours:
 * ``mode="flat"`` -- native Spark expressions for the flat ``key: value``
   subset (scalars, quoted strings, ``[a, b]`` flow lists, ``- item`` block
   lists). No Python worker.
-* ``mode="yaml"`` -- full YAML through ``mapInPandas`` over the block column
+* ``mode="yaml"`` -- full YAML through a pandas UDF over the block column
   only (the body never leaves the JVM). Needs PyYAML on the executors.
 """
 
