@@ -1,0 +1,57 @@
+"""Property test: native token windows equal a plain-Python model of the
+reference's window rule on random texts."""
+
+import re
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from quire.operators.chunking import chunk_by_tokens
+
+WS = " \t\n\u00a0\u2003"
+# Plain-Python token pieces for the generated alphabet: leading whitespace,
+# then a run of letters/digits or one other visible character.
+PIECE = re.compile(r"\s*(?:[^\W_]+|\S)")
+
+
+def model(text, max_tokens, stride):
+    """Windows of (max_tokens - 2) tokens starting every (max_tokens - 2 - stride)
+    tokens, stopping at the first window that reaches the end; each window's
+    text runs from its first to its last token, stripped."""
+    pieces = PIECE.findall(text)
+    body, step = max_tokens - 2, max_tokens - 2 - stride
+    out, start = [], 0
+    while pieces:
+        window = pieces[start:start + body]
+        t = "".join(window).strip()
+        if t:
+            out.append((t, len(window) + 2))
+        if start + body >= len(pieces):
+            break
+        start += step
+    return out
+
+
+words = st.text(alphabet="abcXYZ019éß", min_size=1, max_size=6)
+punct = st.sampled_from(list(".,;:!?-()#*'\""))
+token = st.one_of(words, punct)
+texts = st.lists(st.tuples(st.text(alphabet=WS, max_size=2), token), max_size=120).map(
+    lambda xs: "".join(w + t for w, t in xs))
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(texts, min_size=1, max_size=4),
+       st.sampled_from([(8, 2), (12, 5), (20, 0), (256, 50)]))
+def test_windows_match_model(spark, docs, cfg):
+    max_tokens, stride = cfg
+    df = spark.createDataFrame([(f"f{i}.md", t) for i, t in enumerate(docs)],
+                               "source_file string, content string")
+    got = {}
+    for r in chunk_by_tokens(df, "content", max_tokens, stride).collect():
+        got.setdefault(r.source_file, []).append((r.chunk_index, r.document, r.token_count,
+                                                  r.total_chunks))
+    for i, t in enumerate(docs):
+        exp = model(t, max_tokens, stride)
+        rows = sorted(got.get(f"f{i}.md", []))
+        assert [(d, c) for _, d, c, _ in rows] == exp
+        assert all(n == len(exp) for *_, n in rows)
