@@ -180,18 +180,21 @@ def _local_topk(batches, bc, cid: str, cvec: str, fcols: list[str], metric: str)
             })
 
 
-def _collect_questions(q: DataFrame, filter_names: list[str]) -> dict:
+def _collect_questions(q: DataFrame, filter_names: list[str], dim: int) -> dict:
+    """The (size-checked) question batch as numpy arrays; a vector of another
+    width than ``dim`` leaves its question without results."""
     pdf = q.toPandas()
     vecs = pdf["_qvec"].to_numpy()
-    dim = max((len(v) for v in vecs if v is not None), default=0)
     mat = np.zeros((len(pdf), dim), dtype=np.float32)
+    valid = np.zeros(len(pdf), dtype=bool)
     for i, v in enumerate(vecs):
         if v is not None and len(v) == dim:
             mat[i] = np.asarray(v, dtype=np.float32)
+            valid[i] = True
     return {
         "qid": pdf["_qid"].to_numpy(dtype=object),
         "vec": mat,
-        "k": pdf["_k"].fillna(0).astype(np.int64).to_numpy(),
+        "k": np.where(valid, pdf["_k"].fillna(0).astype(np.int64).to_numpy(), 0),
         "filters": [pdf[f].where(pdf[f].notna(), None).to_numpy(dtype=object)
                     for f in filter_names],
     }
@@ -236,20 +239,25 @@ def knn_bounded(corpus: DataFrame, queries: DataFrame, k: int | str = DEFAULT_N_
                        kcol.alias("_k"),
                        *[F.col(qc).cast("string").alias(fn)
                          for qc, fn in zip(filters, fnames)])
+    # Size check in two cheap steps: the count needs no vectors (so an
+    # embedding UDF upstream is pruned away), and the width comes from one
+    # row. Rows of another width are treated as invalid, so the payload is
+    # exactly questions x width x 4 bytes plus ids and filter values.
     stats = q.agg(F.count(F.lit(1)).alias("n"),
-                  F.coalesce(F.max(F.size("_qvec")), F.lit(0)).alias("dim"),
                   F.coalesce(F.max("_k"), F.lit(0)).alias("kmax"),
                   F.coalesce(F.sum(F.lit(64) + F.lit(16) * F.lit(len(fnames))
                                    + F.coalesce(F.length(F.col("_qid").cast("string")),
                                                 F.lit(0))), F.lit(0)).alias("extra")
                   ).collect()[0]
-    n_q, dim, kmax = int(stats["n"]), int(stats["dim"]), int(stats["kmax"])
+    n_q, kmax = int(stats["n"]), int(stats["kmax"])
     qid_type = queries.schema[query_id].dataType
     out_schema = T.StructType([T.StructField("query_id", qid_type),
                                T.StructField("id", T.StringType()),
                                T.StructField("distance", T.DoubleType())])
     if n_q == 0 or kmax <= 0:
         return spark.createDataFrame([], out_schema.add("rank", T.IntegerType())), 0, 0
+    first = q.select(F.size("_qvec").alias("d")).filter(F.col("d") > 0).first()
+    dim = int(first["d"]) if first else 0
     est_bytes = n_q * dim * 4 + int(stats["extra"])
     n_batches = max(1, math.ceil(est_bytes / max_broadcast_bytes))
 
@@ -261,7 +269,7 @@ def knn_bounded(corpus: DataFrame, queries: DataFrame, k: int | str = DEFAULT_N_
     for b in range(n_batches):
         qb = q if n_batches == 1 else q.filter(
             F.pmod(F.xxhash64("_qid"), F.lit(n_batches)) == b)
-        payload = _collect_questions(qb, fnames)
+        payload = _collect_questions(qb, fnames, dim)
         bc = spark.sparkContext.broadcast(payload)
         local = side.mapInPandas(
             lambda it, bc=bc: _local_topk(it, bc, "_cid", "_cvec", fnames, metric),
