@@ -348,7 +348,10 @@ def q_ingest_stats(spark, sf):
 
 
 def _collided(spark, sf):
-    return articles_to_chunks(articles(spark, sf, collide=True), with_embedding=False)
+    """Chunks of articles whose file stems collide, written once (as an
+    ingest run writes its produced chunks) before the first-writer pass."""
+    return materialize(articles_to_chunks(articles(spark, sf, collide=True),
+                                          with_embedding=False), "collided")
 
 
 def q_add_chunks(spark, sf):

@@ -75,14 +75,24 @@ def first_writer(chunks: DataFrame) -> DataFrame:
     """One row per id: the row from the file that sorts first (the reference
     processes files in sorted path order and the first add wins).
 
-    An aggregate (partial per task, then merged) rather than a window, so an
-    id shared by a huge number of files never lands whole in one task.
+    Only ids are shuffled to find repeats (an aggregate with partial counts);
+    rows of unique ids pass through untouched, and only rows of repeated ids
+    go through a ``min_by`` aggregate (partial per task, so an id shared by a
+    huge number of files never lands whole in one task). Joins against the
+    repeated-id set are left to the optimizer, which broadcasts it at run time
+    when it is small. Feed it a materialised table: the input is read three
+    times.
     """
     order_key = F.split(F.col("source_file"), "/")  # Path order: by components
     cols = [c for c in chunks.columns if c != "id"]
-    packed = chunks.select("id", F.struct(*cols).alias("_r"), order_key.alias("_k"))
+    repeated = (chunks.groupBy("id").agg(F.count(F.lit(1)).alias("_n"))
+                .filter(F.col("_n") > 1).select("id"))
+    unique_rows = chunks.join(repeated, "id", "left_anti")
+    packed = chunks.join(repeated, "id", "left_semi") \
+        .select("id", F.struct(*cols).alias("_r"), order_key.alias("_k"))
     best = packed.groupBy("id").agg(F.min_by("_r", "_k").alias("_r"))
-    return best.select("id", *[F.col(f"_r.{c}").alias(c) for c in cols])
+    winners = best.select("id", *[F.col(f"_r.{c}").alias(c) for c in cols])
+    return unique_rows.select("id", *cols).unionByName(winners)
 
 
 def add_chunks(spark: SparkSession, new: DataFrame, root: str, name: str,
