@@ -38,6 +38,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quire.session import empty_frame
+
 # Fixed values from the reference's retrieval settings.
 DEFAULT_N_RESULTS = 5
 
@@ -255,7 +257,7 @@ def knn_bounded(corpus: DataFrame, queries: DataFrame, k: int | str = DEFAULT_N_
                                T.StructField("id", T.StringType()),
                                T.StructField("distance", T.DoubleType())])
     if n_q == 0 or kmax <= 0:
-        return spark.createDataFrame([], out_schema.add("rank", T.IntegerType())), 0, 0
+        return empty_frame(spark, out_schema.add("rank", T.IntegerType())), 0, 0
     first = q.select(F.size("_qvec").alias("d")).filter(F.col("d") > 0).first()
     dim = int(first["d"]) if first else 0
     est_bytes = n_q * dim * 4 + int(stats["extra"])

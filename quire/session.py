@@ -101,3 +101,12 @@ def spread(df, min_partitions: int | None = None, key: str | None = None):
     if df.rdd.getNumPartitions() >= want:
         return df
     return df.repartition(want, key) if key else df.repartition(want)
+
+
+def empty_frame(spark: SparkSession, schema):
+    """An empty DataFrame with ``schema``, built on the JVM (an empty Python
+    list would be shipped through Python workers, one per default task)."""
+    from pyspark.sql import functions as F  # noqa: PLC0415
+
+    return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name)
+                                   for f in schema.fields])

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quire.session import empty_frame
+
 CHUNK_SCHEMA = T.StructType([
     T.StructField("id", T.StringType()),
     T.StructField("document", T.StringType()),
@@ -45,7 +47,7 @@ def read_collection(spark: SparkSession, root: str, name: str) -> DataFrame:
     as the reference's reader returns no results instead of failing."""
     path = collection_path(root, name)
     if not _exists(spark, path):
-        return spark.createDataFrame([], CHUNK_SCHEMA)
+        return empty_frame(spark, CHUNK_SCHEMA)
     return spark.read.schema(CHUNK_SCHEMA).parquet(path)
 
 
@@ -53,7 +55,7 @@ def create_collection(spark: SparkSession, root: str, name: str) -> str:
     """Get-or-create (B2): an empty table exists even when nothing was added."""
     path = collection_path(root, name)
     if not _exists(spark, path):
-        spark.createDataFrame([], CHUNK_SCHEMA).write.mode("append").parquet(path)
+        empty_frame(spark, CHUNK_SCHEMA).write.mode("append").parquet(path)
     return path
 
 
@@ -104,23 +106,24 @@ def add_chunks(spark: SparkSession, new: DataFrame, root: str, name: str,
     lost executor re-reads the checkpoint instead of the whole lineage.
     Collisions are found by probing the existing id column with the (size
     checked) set of new ids, so the existing table is scanned once and never
-    shuffled. Returns produced and inserted counts.
+    shuffled. Returns the number of produced chunks.
     """
     from quire.session import materialize  # noqa: PLC0415
 
     path = create_collection(spark, root, name)
     produced = materialize(new.select(*CHUNK_SCHEMA.fieldNames()), "produced")
     n_produced = produced.count()
-    fresh = first_writer(produced)
-    n_fresh = fresh.count()
+    # Ids already stored: probe the existing id column with the produced ids
+    # (a superset of the fresh ones, bounded by the count above), so the
+    # existing table is scanned once and never shuffled.
     existing_ids = spark.read.schema(CHUNK_SCHEMA).parquet(path).select("id")
-    new_ids = fresh.select("id")
-    if n_fresh <= broadcast_limit:
-        new_ids = F.broadcast(new_ids)
-    taken = existing_ids.join(new_ids, "id", "left_semi")
-    insert = fresh.join(taken, "id", "left_anti")
+    probe = produced.select("id")
+    if n_produced <= broadcast_limit:
+        probe = F.broadcast(probe)
+    taken = existing_ids.join(probe, "id", "left_semi")
+    insert = first_writer(produced).join(taken, "id", "left_anti")
     insert.write.mode("append").parquet(path)
-    return {"chunks_produced": n_produced, "unique_ids": n_fresh}
+    return {"chunks_produced": n_produced}
 
 
 def ingest_stats(files: DataFrame | int, chunks: DataFrame,
