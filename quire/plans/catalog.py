@@ -83,7 +83,7 @@ def questions(spark: SparkSession, sf: str, per_row: bool = False) -> DataFrame:
 
 
 def session_log(spark: SparkSession, sf: str) -> DataFrame:
-    c = _t(spark, sf, "conversations")
+    c = spread(_t(spark, sf, "conversations"), key="conv_id")
     w = Window.partitionBy("conv_id").orderBy("turn")
     nxt = c.select("conv_id", "turn", "role", "text",
                    F.lead("role").over(w).alias("_nr"), F.lead("text").over(w).alias("_nt"))
@@ -94,7 +94,8 @@ def session_log(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def command_log(spark: SparkSession, sf: str) -> DataFrame:
-    e = _t(spark, sf, "events").withColumn("_k", F.get_json_object("props", "$.k").cast("int"))
+    e = spread(_t(spark, sf, "events"), key="event_id") \
+        .withColumn("_k", F.get_json_object("props", "$.k").cast("int"))
     k = F.col("_k")
     ks = k.cast("string")
     et = F.col("event_type")
@@ -130,7 +131,8 @@ def command_log(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fragments(spark: SparkSession, sf: str) -> DataFrame:
-    c = _t(spark, sf, "conversations").filter(F.col("role") == "assistant")
+    c = spread(_t(spark, sf, "conversations"), key="conv_id") \
+        .filter(F.col("role") == "assistant")
     return c.select("conv_id", "turn", "text",
                     F.posexplode_outer(F.regexp_extract_all("text", F.lit(r"(?s).{1,16}"),
                                                             F.lit(0))).alias("seq", "frag")) \
