@@ -55,17 +55,50 @@ def split_frontmatter(df: DataFrame, text_col: str = "text") -> DataFrame:
             .drop("_fm_head"))
 
 
+def _plain_float(v: Column) -> Column:
+    """Python ``repr`` of a YAML 1.1 decimal float without exponent
+    (``1.50`` -> ``1.5``, ``1.`` -> ``1.0``, ``.5`` -> ``0.5``) while it has at
+    most 15 significant digits and ``repr`` would not switch to exponent
+    notation; NULL otherwise (the raw text is kept then)."""
+    neg = v.startswith("-")
+    ip = F.regexp_replace(F.replace(F.regexp_extract(v, r"^[-+]?([0-9_]*)\.", 1),
+                                    F.lit("_"), F.lit("")), r"^0+(?=[0-9])", "")
+    fp = F.regexp_replace(F.replace(F.regexp_extract(v, r"\.([0-9_]*)$", 1),
+                                    F.lit("_"), F.lit("")), r"0+$", "")
+    ip = F.when(ip == "", F.lit("0")).otherwise(ip)
+    frac = F.when(fp == "", F.lit("0")).otherwise(fp)
+    digits = F.length(F.regexp_replace(F.concat(ip, fp), r"^0+", ""))
+    small = (ip == "0") & (fp != "") & fp.rlike(r"^0000")  # repr would use e-05 style
+    ok = (F.length(ip) <= 16) & (digits <= 15) & ~small
+    text = F.concat(F.when(neg, F.lit("-")).otherwise(F.lit("")), ip, F.lit("."), frac)
+    return F.when(ok, text)
+
+
 def _scalar_to_py_str(v: Column) -> Column:
-    """``str(value)`` of a YAML plain or quoted scalar, for the flat subset."""
+    """``str(value)`` of a YAML 1.1 plain or quoted scalar (PyYAML's implicit
+    types), for the flat subset: quoted strings, booleans, nulls, decimal /
+    octal / hexadecimal integers, decimal floats, special floats. Anything
+    else (dates included, whose ``str`` is the text itself) stays as written.
+    """
     unq_d = F.regexp_extract(v, r'^"(.*)"$', 1)
     unq_s = F.replace(F.regexp_extract(v, r"^'(.*)'$", 1), F.lit("''"), F.lit("'"))
-    int_like = v.rlike(r"^[-+]?(0|[1-9][0-9]*)$")
+    sign = F.when(v.startswith("-"), F.lit("-")).otherwise(F.lit(""))
+    digits = F.replace(F.regexp_replace(v, r"^[-+]?(0x)?", ""), F.lit("_"), F.lit(""))
+    dec_int = F.replace(v, F.lit("_"), F.lit("")).cast("bigint").cast("string")
     return (F.when(v.rlike(r'^".*"$'), unq_d)
              .when(v.rlike(r"^'.*'$"), unq_s)
              .when(v.isin(*YAML_TRUE), F.lit("True"))
              .when(v.isin(*YAML_FALSE), F.lit("False"))
              .when(v.isin(*YAML_NULL), F.lit("None"))
-             .when(int_like, v.cast("bigint").cast("string"))
+             .when(v.rlike(r"^[-+]?(0|[1-9][0-9_]*)$") & dec_int.isNotNull(), dec_int)
+             .when(v.rlike(r"^[-+]?0[0-7_]+$"),
+                   F.regexp_replace(F.concat(sign, F.conv(digits, 8, 10)), "^-0$", "0"))
+             .when(v.rlike(r"^[-+]?0x[0-9a-fA-F_]+$"),
+                   F.regexp_replace(F.concat(sign, F.conv(digits, 16, 10)), "^-0$", "0"))
+             .when(v.rlike(r"^[-+]?\.(inf|Inf|INF)$"), F.concat(sign, F.lit("inf")))
+             .when(v.rlike(r"^\.(nan|NaN|NAN)$"), F.lit("nan"))
+             .when(v.rlike(r"^([-+]?[0-9][0-9_]*\.[0-9_]*|\.[0-9_]+)$"),
+                   F.coalesce(_plain_float(v), v))
              .otherwise(v))
 
 

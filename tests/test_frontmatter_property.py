@@ -1,0 +1,35 @@
+"""Property test: the native flat parser agrees with full YAML (PyYAML, as
+the reference's frontmatter parser uses) on generated flat frontmatter."""
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from quire.operators.frontmatter import frontmatter_map, split_frontmatter
+
+word = st.from_regex(r"\A[A-Za-z][A-Za-z ]{0,8}[A-Za-z]\Z")
+ints = st.one_of(st.from_regex(r"\A[-+]?(0|[1-9][0-9]{0,8})\Z"),
+                 st.from_regex(r"\A[1-9][0-9]{0,2}(_[0-9]{3}){1,2}\Z"),
+                 st.from_regex(r"\A0[0-7]{1,4}\Z"), st.from_regex(r"\A0x[0-9a-f]{1,4}\Z"))
+floats = st.one_of(st.from_regex(r"\A[0-9]{1,4}\.[0-9]{0,4}\Z"),
+                   st.from_regex(r"\A\.[0-9]{1,4}\Z"), st.from_regex(r"\A-[0-9]{1,3}\.[0-9]{1,3}\Z"))
+dates = st.from_regex(r"\A20[0-9]{2}-(0[1-9]|1[0-2])-(0[1-9]|1[0-9]|2[0-8])\Z")
+words_ = st.sampled_from(["true", "False", "yes", "NO", "on", "Off", "null", "~", "YeS"])
+quoted = st.from_regex(r"\A[A-Za-z :,]{0,10}\Z").map(lambda t: f'"{t}"')
+scalar = st.one_of(word, ints, floats, dates, words_, quoted)
+flow = st.lists(st.one_of(word, ints), min_size=1, max_size=3).map(lambda xs: "[" + ", ".join(xs) + "]")
+block = st.lists(st.one_of(word, ints), min_size=1, max_size=3).map(
+    lambda xs: "\n" + "\n".join(f"  - {x}" for x in xs))
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.one_of(scalar, flow, block), min_size=1, max_size=6))
+def test_flat_equals_yaml(spark, values):
+    lines = []
+    for i, v in enumerate(values):
+        lines.append(f"k{i}:{v}" if v.startswith("\n") else f"k{i}: {v}")
+    text = "---\n" + "\n".join(lines) + "\n---\nbody"
+    df = split_frontmatter(spark.createDataFrame([(text,)], "text string"), "text")
+    flat = frontmatter_map(df, "fm", mode="flat").select(F.map_entries("metadata")).collect()[0][0]
+    full = frontmatter_map(df, "fm", mode="yaml").select(F.map_entries("metadata")).collect()[0][0]
+    assert [tuple(e) for e in flat] == [tuple(e) for e in full], text
