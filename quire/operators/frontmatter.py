@@ -85,20 +85,24 @@ def _scalar_to_py_str(v: Column) -> Column:
     sign = F.when(v.startswith("-"), F.lit("-")).otherwise(F.lit(""))
     digits = F.replace(F.regexp_replace(v, r"^[-+]?(0x)?", ""), F.lit("_"), F.lit(""))
     dec_int = F.replace(v, F.lit("_"), F.lit("")).cast("bigint").cast("string")
-    return (F.when(v.rlike(r'^".*"$'), unq_d)
-             .when(v.rlike(r"^'.*'$"), unq_s)
+    numeric = (F.when(v.rlike(r"^[-+]?(0|[1-9][0-9_]*)$") & dec_int.isNotNull(), dec_int)
+                .when(v.rlike(r"^[-+]?0[0-7_]+$"),
+                      F.regexp_replace(F.concat(sign, F.conv(digits, 8, 10)), "^-0$", "0"))
+                .when(v.rlike(r"^[-+]?0x[0-9a-fA-F_]+$"),
+                      F.regexp_replace(F.concat(sign, F.conv(digits, 16, 10)), "^-0$", "0"))
+                .when(v.rlike(r"^[-+]?\.(inf|Inf|INF)$"), F.concat(sign, F.lit("inf")))
+                .when(v.rlike(r"^\.(nan|NaN|NAN)$"), F.lit("nan"))
+                .when(v.rlike(r"^([-+]?[0-9][0-9_]*\.[0-9_]*|\.[0-9_]+)$"),
+                      F.coalesce(_plain_float(v), v))
+                .otherwise(v))
+    first = F.substring(v, 1, 1)
+    return (F.when(first == '"', F.when(v.rlike(r'^".*"$'), unq_d).otherwise(v))
+             .when(first == "'", F.when(v.rlike(r"^'.*'$"), unq_s).otherwise(v))
              .when(v.isin(*YAML_TRUE), F.lit("True"))
              .when(v.isin(*YAML_FALSE), F.lit("False"))
              .when(v.isin(*YAML_NULL), F.lit("None"))
-             .when(v.rlike(r"^[-+]?(0|[1-9][0-9_]*)$") & dec_int.isNotNull(), dec_int)
-             .when(v.rlike(r"^[-+]?0[0-7_]+$"),
-                   F.regexp_replace(F.concat(sign, F.conv(digits, 8, 10)), "^-0$", "0"))
-             .when(v.rlike(r"^[-+]?0x[0-9a-fA-F_]+$"),
-                   F.regexp_replace(F.concat(sign, F.conv(digits, 16, 10)), "^-0$", "0"))
-             .when(v.rlike(r"^[-+]?\.(inf|Inf|INF)$"), F.concat(sign, F.lit("inf")))
-             .when(v.rlike(r"^\.(nan|NaN|NAN)$"), F.lit("nan"))
-             .when(v.rlike(r"^([-+]?[0-9][0-9_]*\.[0-9_]*|\.[0-9_]+)$"),
-                   F.coalesce(_plain_float(v), v))
+             # only text starting like a number pays for the numeric patterns
+             .when(first.isin(*list("0123456789+-.")), numeric)
              .otherwise(v))
 
 
@@ -115,15 +119,17 @@ ITEM_RE = r"-[ \t]+([^\n]*)"
 
 
 def _value(inline: Column, items: Column) -> Column:
+    """Rendered value of one entry. Block list, flow list and plain scalar
+    are first turned into one array of raw items (a scalar is a one-item
+    array), so the scalar rules appear once in the expression."""
     v = py_strip(F.regexp_replace(inline, r"\s+#.*$", ""))
-    listed = F.array_join(
-        F.transform(F.regexp_extract_all(items, F.lit(ITEM_RE), F.lit(1)), _flow_item), ", ")
-    flow = F.array_join(
-        F.transform(F.filter(F.split(F.regexp_extract(v, r"^\[(.*)\]$", 1), ","),
-                             lambda x: py_strip(x) != ""), _flow_item), ", ")
-    return (F.when((v == "") & (items != ""), listed)
-             .when(v.rlike(r"^\[.*\]$"), flow)
-             .otherwise(_scalar_to_py_str(v)))
+    is_block = (v == "") & (items != "")
+    is_flow = v.rlike(r"^\[.*\]$")
+    raw = (F.when(is_block, F.regexp_extract_all(items, F.lit(ITEM_RE), F.lit(1)))
+            .when(is_flow, F.filter(F.split(F.regexp_extract(v, r"^\[(.*)\]$", 1), ","),
+                                    lambda x: py_strip(x) != ""))
+            .otherwise(F.array(v)))
+    return F.array_join(F.transform(raw, _flow_item), ", ")
 
 
 def frontmatter_entries(df: DataFrame, fm_col: str = "fm") -> DataFrame:
