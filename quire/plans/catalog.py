@@ -192,10 +192,38 @@ def q_hashed_embedding(spark, sf):
 
 
 def q_where_filter(spark, sf):
+    c = retrieve.where_filter(chunks(spark, sf), "fr")
+    return c.select("id", "source_file")
+
+
+def q_where_type_author(spark, sf):
     c = retrieve.where_filter(chunks(spark, sf), "en", "src3")
     return c.select("id", "source_file")
 
 
+def q_chunk_ids(spark, sf):
+    return chunks(spark, sf).select("id", "source_file", "chunk_index")
+
+
+def titled_articles(spark: SparkSession, sf: str) -> DataFrame:
+    """Articles whose frontmatter title is the first six words of the text
+    (non-ASCII for most languages) plus the language."""
+    d = _t(spark, sf, "documents")
+    first_words = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"),
+                                                            F.lit(0)), 1, 6), " ")
+    text = F.concat(F.lit("---\ntitle: "), first_words, F.lit("\nlang: "), F.col("lang"),
+                    F.lit("\n---\n"), F.col("text"))
+    return d.select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".md"))
+                    .alias("source_file"), text.alias("text"))
+
+
+def q_metadata_json(spark, sf):
+    s = frontmatter_map(split_frontmatter(spread(titled_articles(spark, sf), key="source_file"),
+                                          "text"), "fm")
+    return s.select("source_file", assemble.metadata_json(F.col("metadata"))
+                    .alias("metadata_json"))
+
+
 # ---------------------------------------------------------------------------
 # Retrieval (D*)
 # ---------------------------------------------------------------------------
@@ -218,6 +246,21 @@ def q_knn_filtered(spark, sf):
     return r.select("query_id", "rank", "id", F.round("distance", 6).alias("distance"))
 
 
+def q_knn_multi(spark, sf):
+    """Every vector as a question, each with its own k (1 to 5)."""
+    corpus, qs = _vectors(spark, sf)
+    qs = qs.withColumn("n_results", (F.lit(1) + F.pmod("query_id", F.lit(5))).cast("int"))
+    r = retrieve.knn(corpus, qs, "n_results")
+    return r.select("query_id", "rank", "id", F.round("distance", 6).alias("distance"))
+
+
+def q_similarity(spark, sf):
+    corpus, qs = _vectors(spark, sf)
+    r = retrieve.knn(corpus, qs, 3)
+    return r.select("query_id", "rank", "id",
+                    F.round(retrieve.similarity(F.col("distance")), 6).alias("similarity"))
+
+
 def q_relevance_filter(spark, sf):
     corpus, qs = _vectors(spark, sf)
     r = retrieve.knn(corpus, qs, 5).withColumn("similarity",
@@ -387,11 +430,16 @@ QUERIES = {
     "chunk_audit": q_chunk_audit,
     "frontmatter_split": q_frontmatter_split,
     "frontmatter_map": q_frontmatter_map,
+    "chunk_ids": q_chunk_ids,
     "chunk_metadata": q_chunk_metadata,
+    "metadata_json": q_metadata_json,
     "hashed_embedding": q_hashed_embedding,
     "where_filter": q_where_filter,
+    "where_type_author": q_where_type_author,
     "knn_vectors": q_knn_vectors,
     "knn_filtered": q_knn_filtered,
+    "knn_multi": q_knn_multi,
+    "similarity": q_similarity,
     "relevance_filter": q_relevance_filter,
     "retrieve_text": q_retrieve_text,
     "retrieve_per_row_config": q_retrieve_per_row_config,

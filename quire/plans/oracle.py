@@ -20,6 +20,23 @@ D = EMBED_DIMS
 KEY_RE = r"^([^\s#:\-][^:]*?)\s*:(?:\s+|$)(.*)$"
 
 
+def _json_full(x: str) -> str:
+    """Python ``json.dumps`` of any string: printable ASCII kept (quote and
+    backslash escaped), short escapes for \\b \\t \\n \\f \\r, every
+    other character as \\uXXXX of its UTF-16 code units."""
+    hx = "lpad(lower(hex({})), 4, '0')"
+    ch = ("CASE WHEN unicode(c) = 34 THEN '\\\"' WHEN unicode(c) = 92 THEN '\\\\' "
+          "WHEN unicode(c) BETWEEN 32 AND 126 THEN c "
+          "WHEN unicode(c) = 8 THEN '\\b' WHEN unicode(c) = 9 THEN '\\t' "
+          "WHEN unicode(c) = 10 THEN '\\n' WHEN unicode(c) = 12 THEN '\\f' "
+          "WHEN unicode(c) = 13 THEN '\\r' "
+          "WHEN unicode(c) < 65536 THEN '\\u' || " + hx.format("unicode(c)") + " "
+          "ELSE '\\u' || " + hx.format("55296 + ((unicode(c) - 65536) >> 10)") +
+          " || '\\u' || " + hx.format("56320 + ((unicode(c) - 65536) & 1023)") + " END")
+    return (f"('\"' || array_to_string(list_transform(regexp_extract_all({x}, '(?s).'), "
+            f"lambda c: {ch}), '') || '\"')")
+
+
 def _json(x: str) -> str:
     """Python json.dumps of an ASCII string (the test data's metadata)."""
     return ("('\"' || replace(replace(replace(replace(replace(" + x +
@@ -363,7 +380,26 @@ def queries_sql() -> dict[str, str]:
                              lambda x, y: x + y), 6) AS checksum
     FROM cemb"""
     q["where_filter"] = "WITH " + _chunks() + """
+    SELECT id, source_file FROM chunks WHERE type = 'fr'"""
+    q["where_type_author"] = "WITH " + _chunks() + """
     SELECT id, source_file FROM chunks WHERE type = 'en' AND author = 'src3'"""
+    q["chunk_ids"] = "WITH " + _chunks() + """
+    SELECT id, source_file, chunk_index FROM chunks"""
+    first_words = "array_to_string(regexp_extract_all(text, '[\\p{L}\\p{N}]+')[1:6], ' ')"
+    q["metadata_json"] = f"""
+    WITH titled AS (
+      SELECT 'doc_' || CAST(doc_id AS VARCHAR) || '.md' AS source_file,
+             {first_words} AS title, lang FROM documents)
+    SELECT source_file,
+           '{{' || {NL} || '  "title": ' || {_json_full('title')} || ',' || {NL} ||
+           '  "lang": ' || {_json_full('lang')} || {NL} || '}}' AS metadata_json
+    FROM titled"""
+    q["knn_multi"] = _vectors_knn(5, False) + """
+    SELECT query_id, rank, id, round(distance, 6) AS distance FROM r
+    WHERE rank <= 1 + query_id % 5"""
+    q["similarity"] = _vectors_knn(3, False) + """
+    SELECT query_id, rank, id, round(1.0 / (1.0 + distance), 6) AS similarity FROM r
+    WHERE rank <= 3"""
     q["knn_vectors"] = _vectors_knn(5, False) + \
         "SELECT query_id, rank, id, round(distance, 6) AS distance FROM r WHERE rank <= 5"
     q["knn_filtered"] = _vectors_knn(3, True) + \
