@@ -113,9 +113,9 @@ def _flow_item(v: Column) -> Column:
 
 # One key entry: ``key: inline value`` at column 0, then any following
 # ``- item`` lines (a block list). Groups: 1 key, 2 inline value, 3 items.
-KV_RE = (r"(?m)^([^\s#:\-][^:\n]*?)[ \t]*:(?:[ \t]+([^\n]*?))?[ \t]*$"
-         r"((?:\n[ \t]*-[ \t]+[^\n]*)*)")
-ITEM_RE = r"-[ \t]+([^\n]*)"
+KV_RE = (r"(?m)^([^\s#:\-][^:\r\n]*?)[ \t]*:(?:[ \t]+([^\r\n]*?))?[ \t]*\r?$"
+         r"((?:\r?\n[ \t]*-[ \t]+[^\r\n]*)*)")
+ITEM_RE = r"-[ \t]+([^\r\n]*)"
 
 
 def _value(inline: Column, items: Column) -> Column:

@@ -75,3 +75,11 @@ def test_scalar_rendering_like_python_str(spark, mode):
     assert meta["flag"] == "True" and meta["off_flag"] == "False"
     assert meta["nothing"] == "None" and meta["count"] == "42"
     assert meta["quoted"] == "a: b" and meta["items"] == "one, two"
+
+
+@pytest.mark.parametrize("mode", ["flat", "yaml"])
+def test_crlf_line_endings(spark, mode):
+    text = "---\r\ntitle: Windows Note\r\ntags:\r\n  - a\r\n  - b\r\ncount: 3\r\n---\r\n\r\nBody line\r\n"
+    meta, content = parse(spark, text, mode)
+    assert meta == {"title": "Windows Note", "tags": "a, b", "count": "3"}
+    assert content == "Body line"
