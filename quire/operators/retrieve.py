@@ -45,8 +45,8 @@ DEFAULT_N_RESULTS = 5
 
 DEFAULT_MAX_BROADCAST_BYTES = 64 << 20
 # Result sets up to this many rows (questions x k) are broadcast when joined
-# back to the chunk table.
-BROADCAST_RESULT_ROWS = 2_000_000
+# back to the chunk table (a result row is about 64 bytes: at most ~64 MB).
+BROADCAST_RESULT_ROWS = 1_000_000
 # Distance matrix cells per numpy block (rows x questions), bounds task memory.
 _BLOCK_CELLS = 2_000_000
 
@@ -288,7 +288,7 @@ def knn_bounded(corpus: DataFrame, queries: DataFrame, k: int | str = DEFAULT_N_
               .filter(F.col("rank") <= kmax))
     if isinstance(k, str):
         kq = queries.select(F.col(query_id).alias("query_id"), kcol.alias("_kq"))
-        if n_q <= 1_000_000:
+        if n_q <= BROADCAST_RESULT_ROWS:  # one small row per question
             kq = F.broadcast(kq)
         ranked = ranked.join(kq, "query_id").filter(F.col("rank") <= F.col("_kq")).drop("_kq")
     return (ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "id", "distance"),

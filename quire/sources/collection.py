@@ -27,8 +27,10 @@ CHUNK_SCHEMA = T.StructType([
     T.StructField("metadata", T.MapType(T.StringType(), T.StringType())),
 ])
 
-# New-id sets up to this many rows are broadcast to probe the existing table.
-BROADCAST_NEW_IDS = 5_000_000
+# New-id sets up to this many rows are broadcast to probe the existing table
+# (an id row is about 40 bytes, so at most ~40 MB); larger sets use a
+# shuffle join that AQE may re-plan.
+BROADCAST_NEW_IDS = 1_000_000
 
 
 def collection_path(root: str, name: str) -> str:
