@@ -16,15 +16,18 @@ def new_articles(candidates: DataFrame, known: DataFrame, key: str = "url",
     """Candidates whose ``key`` is absent from ``known``; one row per key (the
     smallest ``order`` value wins, so the result is deterministic).
 
-    The anti join lets Spark pick broadcast or shuffle by size; the per-key
-    pick is an aggregate with partial aggregation, so a key repeated in many
-    candidates is reduced before the shuffle.
+    The per-key pick is an aggregate with partial aggregation, so a key
+    repeated in many candidates is reduced before any shuffle; the anti join
+    then lets Spark pick broadcast or shuffle by size.
     """
-    fresh = candidates.join(known.select(key).distinct(), key, "left_anti")
     cols = [c for c in candidates.columns if c != key]
-    if not cols:
-        return fresh.distinct()
-    packed = F.struct(*cols)
-    pick = F.min_by(packed, F.col(order)) if order else F.min(packed)
-    return fresh.groupBy(key).agg(pick.alias("_r")).select(key, *[F.col(f"_r.{c}").alias(c)
-                                                                 for c in cols])
+    if cols:
+        packed = F.struct(*cols)
+        pick = F.min_by(packed, F.col(order)) if order else F.min(packed)
+        # One row per key first (partial aggregation before the shuffle), so
+        # a key repeated across many candidates reaches the join once.
+        one = candidates.groupBy(key).agg(pick.alias("_r")).select(
+            key, *[F.col(f"_r.{c}").alias(c) for c in cols])
+    else:
+        one = candidates.select(key).distinct()
+    return one.join(known.select(key).distinct(), key, "left_anti")

@@ -20,7 +20,7 @@ Derived inputs (all computed by Spark from the given tables):
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.text import preview, token_count
@@ -83,11 +83,14 @@ def questions(spark: SparkSession, sf: str, per_row: bool = False) -> DataFrame:
 
 
 def session_log(spark: SparkSession, sf: str) -> DataFrame:
+    """User turns with the answer that follows them (turns are consecutive):
+    an equi-join on ``(conv_id, turn + 1)``, so no conversation is sorted as
+    a whole in one task."""
     c = spread(_t(spark, sf, "conversations"), key="conv_id")
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    nxt = c.select("conv_id", "turn", "role", "text",
-                   F.lead("role").over(w).alias("_nr"), F.lead("text").over(w).alias("_nt"))
-    return nxt.filter(F.col("role") == "user").select(
+    users = c.filter(F.col("role") == "user").select("conv_id", "turn", "text")
+    nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"),
+                   F.col("role").alias("_nr"), F.col("text").alias("_nt"))
+    return users.join(nxt, ["conv_id", "turn"], "left").select(
         F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"),
         F.col("text").alias("input"),
         F.when(F.col("_nr") == "assistant", F.col("_nt")).alias("response"))
