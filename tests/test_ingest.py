@@ -117,3 +117,17 @@ def test_stream_ingest_is_incremental(spark, tmp_path):
     ids = sorted(r.id for r in read_collection(spark, root, "live").collect())
     assert ids[0].startswith("long_note_") and "plain_0" in ids
     assert len(ids) == len(set(ids))
+
+
+def test_ask_one_question(spark, tmp_path):
+    from quire.plans.ask import ask_one
+
+    root = str(tmp_path / "coll")
+    ingest_directory(spark, FIXTURES, root, "ask_test")
+    r = ask_one(spark, root, "ask_test", "What does the note say about windows?").collect()[0]
+    assert r.system.startswith("You are a helpful assistant")
+    assert "Here is relevant context from the knowledge base:" in r.system
+    assert [(m.role, m.content) for m in r.messages] == [
+        ("user", "What does the note say about windows?")]
+    missing = ask_one(spark, root, "no_such_collection", "hello?").collect()[0]
+    assert "Here is relevant context" not in missing.system
