@@ -131,3 +131,18 @@ def test_ask_one_question(spark, tmp_path):
         ("user", "What does the note say about windows?")]
     missing = ask_one(spark, root, "no_such_collection", "hello?").collect()[0]
     assert "Here is relevant context" not in missing.system
+
+
+def test_job_entry_points(spark, tmp_path, capsys):
+    import json
+
+    from quire.__main__ import main
+
+    root = str(tmp_path / "coll")
+    assert main(["ingest", FIXTURES, root, "cli"]) == 0
+    stats = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert stats["files_processed"] == 6 and stats["collection_name"] == "cli"
+    assert main(["ask", root, "cli", "parts?", "--n-results", "2"]) == 0
+    req = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert req["max_tokens"] == 2048 and req["messages"] == [{"role": "user", "content": "parts?"}]
+    assert main(["ingest", str(tmp_path / "missing"), root, "cli"]) == 1
