@@ -165,7 +165,7 @@ def q_chunk_audit(spark, sf):
 
 
 def q_frontmatter_split(spark, sf):
-    s = split_frontmatter(spread(articles(spark, sf)), "text")
+    s = split_frontmatter(spread(articles(spark, sf), key="source_file"), "text")
     return s.select("source_file", "fm", F.md5("content").alias("content_md5"),
                     F.length("content").cast("int").alias("content_length"))
 
