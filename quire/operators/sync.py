@@ -17,8 +17,9 @@ def new_articles(candidates: DataFrame, known: DataFrame, key: str = "url",
     smallest ``order`` value wins, so the result is deterministic).
 
     The per-key pick is an aggregate with partial aggregation, so a key
-    repeated in many candidates is reduced before any shuffle; the anti join
-    then lets Spark pick broadcast or shuffle by size.
+    repeated in many candidates is reduced before its shuffle. The optimizer
+    may move the anti join below the aggregate; with a small known set it is
+    a broadcast hash join, so candidates are never shuffled for it.
     """
     cols = [c for c in candidates.columns if c != key]
     if cols:

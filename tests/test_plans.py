@@ -63,3 +63,14 @@ def test_first_writer_shuffles_ids_and_aggregates_repeats(spark):
 def test_session_scans_are_blocked(spark):
     p = plan_text(catalog.q_settings_at(spark, SF_SMALL))
     assert "_blk" in p  # windows partitioned by (session, block)
+
+
+def test_sync_aggregates_partially_and_broadcasts_known_urls(spark):
+    p = plan_text(catalog.q_new_articles(spark, SF_SMALL))
+    assert "partial_min_by" in p  # per-URL pick combined map-side
+    assert "BroadcastHashJoin" in p and "LeftAnti" in p  # small known side: no shuffle
+
+
+def test_session_log_answers_by_join_not_window(spark):
+    p = plan_text(catalog.session_log(spark, SF_SMALL))
+    assert "Window" not in p and "LeftOuter" in p
