@@ -47,6 +47,8 @@ DEFAULT_MAX_BROADCAST_BYTES = 64 << 20
 # Result sets up to this many rows (questions x k) are broadcast when joined
 # back to the chunk table (a result row is about 64 bytes: at most ~64 MB).
 BROADCAST_RESULT_ROWS = 1_000_000
+# Result sets up to this many rows push their ids into the chunk scan.
+ID_FILTER_ROWS = 20_000
 # Distance matrix cells per numpy block (rows x questions), bounds task memory.
 _BLOCK_CELLS = 2_000_000
 
@@ -352,6 +354,15 @@ def retrieve(chunks: DataFrame, questions: DataFrame, *, question_id: str = "que
     # table is scanned once with a hash probe and never shuffled.
     bounded = n_q * kmax <= BROADCAST_RESULT_ROWS
     fields = chunks.select(F.col("id").cast("string").alias("id"), *CHUNK_FIELDS)
+    if n_q * kmax <= ID_FILTER_ROWS:
+        # Few result rows: compute them once (a small table), and push their
+        # ids into the chunk scan, so only row groups holding them are read
+        # instead of every document's text.
+        from quire.session import materialize  # noqa: PLC0415
+
+        top = materialize(top, "topk")
+        ids = [r[0] for r in top.select("id").distinct().collect()]
+        fields = fields.filter(F.col("id").isin(ids))
     res = fields.join(F.broadcast(top) if bounded else top, "id")
     rel = q.select("query_id", F.col(rel_col).alias("_min_rel"))
     res = res.join(F.broadcast(rel) if n_q <= BROADCAST_RESULT_ROWS else rel, "query_id")

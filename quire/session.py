@@ -19,6 +19,9 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
+    # Push id IN-lists (retrieval join-back) into parquet as exact value
+    # filters instead of a min/max range, so id-sorted row groups are skipped.
+    "spark.sql.parquet.pushdown.inFilterThreshold": "20000",
     "spark.ui.showConsoleProgress": "false",
 }
 

@@ -124,7 +124,10 @@ def add_chunks(spark: SparkSession, new: DataFrame, root: str, name: str,
         probe = F.broadcast(probe)
     taken = existing_ids.join(probe, "id", "left_semi")
     insert = first_writer(produced).join(taken, "id", "left_anti")
-    insert.write.mode("append").parquet(path)
+    # Files hold disjoint, sorted id ranges: row-group statistics on id then
+    # let retrieval read only the row groups of the chunks it returns.
+    insert.repartitionByRange("id").sortWithinPartitions("id") \
+        .write.mode("append").parquet(path)
     return {"chunks_produced": n_produced}
 
 
