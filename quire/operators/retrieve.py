@@ -47,8 +47,19 @@ DEFAULT_MAX_BROADCAST_BYTES = 64 << 20
 # Result sets up to this many rows (questions x k) are broadcast when joined
 # back to the chunk table (a result row is about 64 bytes: at most ~64 MB).
 BROADCAST_RESULT_ROWS = 1_000_000
-# Result sets up to this many rows push their ids into the chunk scan.
+# Result sets up to this many rows push their ids into the chunk scan, when
+# the scan is estimated at ID_FILTER_MIN_BYTES or more (below that, reading
+# it whole is cheaper than the extra small job).
 ID_FILTER_ROWS = 20_000
+ID_FILTER_MIN_BYTES = 1 << 30
+
+
+def _estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's size estimate (file sizes for a scan); no job runs."""
+    try:
+        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except Exception:  # noqa: BLE001 - estimate unavailable: treat as small
+        return 0
 # Distance matrix cells per numpy block (rows x questions), bounds task memory.
 _BLOCK_CELLS = 2_000_000
 
@@ -354,7 +365,7 @@ def retrieve(chunks: DataFrame, questions: DataFrame, *, question_id: str = "que
     # table is scanned once with a hash probe and never shuffled.
     bounded = n_q * kmax <= BROADCAST_RESULT_ROWS
     fields = chunks.select(F.col("id").cast("string").alias("id"), *CHUNK_FIELDS)
-    if n_q * kmax <= ID_FILTER_ROWS:
+    if n_q * kmax <= ID_FILTER_ROWS and _estimated_bytes(fields) >= ID_FILTER_MIN_BYTES:
         # Few result rows: compute them once (a small table), and push their
         # ids into the chunk scan, so only row groups holding them are read
         # instead of every document's text.

@@ -98,3 +98,22 @@ def test_missing_collection_reads_empty(spark, tmp_path):
 def test_l2_distance_expression(spark):
     df = spark.createDataFrame([([1.0, 2.0], [4.0, 6.0])], "a array<float>, b array<float>")
     assert df.select(retrieve.l2sq(F.col("a"), F.col("b"))).collect()[0][0] == 25.0
+
+
+def test_id_pushdown_path_gives_same_results(spark, tmp_path, monkeypatch):
+    from quire.operators.embed import embed
+    from quire.plans.ingest import ingest_directory
+    from conftest import FIXTURES
+
+    root = str(tmp_path / "coll")
+    ingest_directory(spark, FIXTURES, root, "push")
+    coll = read_collection(spark, root, "push")
+    q = embed(spark.createDataFrame([(1, "windows overlap"), (2, "metadata fields")],
+                                    "query_id long, question string"), "question")
+    plain = sorted(tuple(r) for r in retrieve.retrieve(coll, q, n_results=3)
+                   .select("query_id", "rank", "id", "distance").collect())
+    monkeypatch.setattr(retrieve, "ID_FILTER_MIN_BYTES", 0)
+    r = retrieve.retrieve(coll, q, n_results=3)
+    assert "In(id" in r._jdf.queryExecution().executedPlan().toString()
+    pushed = sorted(tuple(x) for x in r.select("query_id", "rank", "id", "distance").collect())
+    assert pushed == plain and len(plain) == 6
