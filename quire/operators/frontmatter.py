@@ -164,26 +164,41 @@ def _py_str(value) -> str:
     return str(value)
 
 
-def _yaml_to_json(blocks):
-    """pandas Series of YAML blocks -> Series of JSON objects (str values)."""
-    import json  # noqa: PLC0415 - executor-side imports
-
-    import yaml  # noqa: PLC0415
-
-    out = []
-    for block in blocks:
-        meta = {}
-        if block:
-            loaded = yaml.safe_load(block)
-            if isinstance(loaded, dict):
-                meta = loaded
-        out.append(json.dumps({str(k): _py_str(v) for k, v in meta.items()}))
-    return blocks.__class__(out)
+def _yaml_to_json(on_error: str):
+    def parse(blocks):
+        """pandas Series of YAML blocks -> Series of JSON objects (str values)."""
+        import json  # noqa: PLC0415 - executor-side imports
+
+        import yaml  # noqa: PLC0415
+
+        out = []
+        for block in blocks:
+            meta = {}
+            if block:
+                try:
+                    loaded = yaml.safe_load(block)
+                except yaml.YAMLError:
+                    if on_error == "raise":
+                        raise
+                    loaded = None
+                if isinstance(loaded, dict):
+                    meta = loaded
+            out.append(json.dumps({str(k): _py_str(v) for k, v in meta.items()}))
+        return blocks.__class__(out)
+
+    return parse
 
 
 def frontmatter_map(df: DataFrame, fm_col: str = "fm", mode: str = "flat",
-                    out_col: str = "metadata") -> DataFrame:
-    """Add ``out_col`` (``map<string,string>``) parsed from the block column."""
+                    out_col: str = "metadata", on_error: str = "raise") -> DataFrame:
+    """Add ``out_col`` (``map<string,string>``) parsed from the block column.
+
+    In ``yaml`` mode an unparsable block raises (as the reference's parser
+    does) unless ``on_error="empty"``, which gives it empty metadata so one
+    bad file does not stop a corpus-wide run.
+    """
+    if on_error not in ("raise", "empty"):
+        raise ValueError(f"unknown on_error: {on_error}")
     empty = F.create_map().cast("map<string,string>")
     if mode == "flat":
         staged = frontmatter_entries(df, fm_col)
@@ -194,7 +209,7 @@ def frontmatter_map(df: DataFrame, fm_col: str = "fm", mode: str = "flat",
     if mode != "yaml":
         raise ValueError(f"unknown frontmatter mode: {mode}")
     # Scalar pandas UDF over the block column only: the body stays in the JVM.
-    parse = F.pandas_udf(_yaml_to_json, T.StringType())
+    parse = F.pandas_udf(_yaml_to_json(on_error), T.StringType())
     return df.withColumn(
         out_col,
         F.when(F.col(fm_col) == "", empty)

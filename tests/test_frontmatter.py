@@ -83,3 +83,14 @@ def test_crlf_line_endings(spark, mode):
     meta, content = parse(spark, text, mode)
     assert meta == {"title": "Windows Note", "tags": "a, b", "count": "3"}
     assert content == "Body line"
+
+
+def test_yaml_errors_raise_or_give_empty_metadata(spark):
+    from pyspark.errors import PythonException
+
+    df = split_frontmatter(spark.createDataFrame([("---\nkey: [unclosed\n---\nbody",)],
+                                                 "text string"), "text")
+    with pytest.raises(PythonException):
+        frontmatter_map(df, "fm", mode="yaml").collect()
+    row = frontmatter_map(df, "fm", mode="yaml", on_error="empty").collect()[0]
+    assert dict(row.metadata) == {} and row.content == "body"
