@@ -18,7 +18,8 @@ def test_entry_runs(spark):
 
 
 def test_every_query_has_sql():
-    assert set(E.queries()) == set(E.oracle_sql())
+    assert set(E.catalog.QUERIES) == set(E.queries_sql())
+    assert set(E.oracle_sql()) <= set(E.queries())
 
 
 @pytest.fixture(scope="module")
