@@ -11,19 +11,46 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import simhash
+from quire.llm import decontam, packing, pii, simhash, toxicity
+from quire.llm.queries import PII_KEY
 from quire.session import materialize, table_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents predicted toxic go; the model learns from ``labels``."""
+    labels = spark.read.parquet(table_path(sf_dir, "labels"))
+    return toxicity.drop_toxic(docs, labels)
+
+
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
     return simhash.drop_near_duplicates(docs, shingle=4, max_bits=4)
 
 
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of ``benchmark`` go."""
+    items = spark.read.parquet(table_path(sf_dir, "benchmark"))
+    return decontam.drop_contaminated(docs, items)
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal values are replaced by pseudonyms; every document stays."""
+    return pii.pseudonymise(docs, PII_KEY).select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bucket, batch and slot of every document left."""
+    return packing.pack(docs)
+
+
 STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", toxicity_stage),
     ("simhash", simhash_stage),
+    ("decontamination", decontamination_stage),
+    ("pii", pii_stage),
+    ("packing", packing_stage),
 ]
 
 # Model fitting and fingerprints have no SQL form; tests compare the stages

@@ -6,22 +6,48 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import simhash
+from quire.llm import decontam, packing, pii, simhash, toxicity
 from quire.session import table_path
 
+# Demonstration key: a job that keeps real data apart passes its own.
+PII_KEY = "pseudonym-key-1"
+
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf, name))
 
 
+def op2_pii(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _t(spark, sf, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs, PII_KEY).select(
+        "doc_id", "text", F.size("pii").alias("n_replaced"),
+        F.array_join(F.col("pii.kind"), ",").alias("kinds"))
+
+
+def op3_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(_t(spark, sf, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf: str) -> DataFrame:
     found = simhash.simhash_components(_t(spark, sf, "documents"), shingle=4, max_bits=4)
     return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"),
                         "component_id")
 
 
+def op6_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.score_documents(_t(spark, sf, "documents"), _t(spark, sf, "labels"))
+
+
+def op8_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return decontam.find_passages(_t(spark, sf, "documents"), _t(spark, sf, "benchmark"))
+
+
 QUERIES = {
+    "op2_pii": op2_pii,
+    "op3_packing": op3_packing,
     "op5_simhash": op5_simhash,
+    "op6_toxicity": op6_toxicity,
+    "op8_decontamination": op8_decontamination,
 }
 
 SQL: dict[str, str] = {}
