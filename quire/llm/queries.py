@@ -3,11 +3,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import decontam, packing, pii, simhash, toxicity
-from quire.session import table_path
+from quire.llm import (decontam, embdedup, packing, pii, sharding, simhash, tokenids, toxicity,
+                       urlfilter, warc)
+from quire.llm.urlfilter import Rule
+from quire.session import checkpoint_dir, table_path
 
 # Demonstration key: a job that keeps real data apart passes its own.
 PII_KEY = "pseudonym-key-1"
@@ -17,6 +21,21 @@ def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf, name))
 
 
+def _new_folder(spark: SparkSession, label: str) -> str:
+    """A folder of its own in the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/quire-tables/{label}-{uuid.uuid4().hex}"
+
+
+def op1_warc(spark: SparkSession, sf: str) -> DataFrame:
+    path = _new_folder(spark, "warc")
+    pages = _t(spark, sf, "pages").select("page_id", "url",
+                                          F.col("html").cast("binary").alias("payload"))
+    warc.write_archive(pages, path, "page_id", min_bytes=0)
+    return warc.read_archive(spark, path).select(
+        F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        "refers_to")
+
+
 def op2_pii(spark: SparkSession, sf: str) -> DataFrame:
     docs = _t(spark, sf, "documents").select("doc_id", "text")
     return pii.pseudonymise(docs, PII_KEY).select(
@@ -28,6 +47,21 @@ def op3_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(_t(spark, sf, "documents"))
 
 
+URL_RULES = [Rule("allow", "org"), Rule("block", "example.org", "/es/"),
+             Rule("block", "example.org", "/en/1"), Rule("allow", "com", "/fr/"),
+             Rule("block", "com", "/de/")]
+# Hosts whose pages make up the list of unwanted URLs.
+UNWANTED_HOSTS = "casino|spam|pills|adult"
+
+
+def op4_urlfilter(spark: SparkSession, sf: str) -> DataFrame:
+    pages = _t(spark, sf, "pages").select("page_id", "url")
+    host, _ = urlfilter.split_url(F.col("url"))
+    listed = pages.filter(host.rlike(UNWANTED_HOSTS)).select("url")
+    return urlfilter.judge(pages, listed, URL_RULES).select(
+        "page_id", "host", "path", "rule", "verdict", "canonical", "listed")
+
+
 def op5_simhash(spark: SparkSession, sf: str) -> DataFrame:
     found = simhash.simhash_components(_t(spark, sf, "documents"), shingle=4, max_bits=4)
     return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"),
@@ -38,16 +72,107 @@ def op6_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.score_documents(_t(spark, sf, "documents"), _t(spark, sf, "labels"))
 
 
+SHARDS = 40
+
+
+def op7_sharding(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _t(spark, sf, "documents")
+    dims = {"id": F.col("doc_id"), "length": F.length("text"),
+            "source": F.regexp_extract("source", r"(\d{1,9})", 1).try_cast("long"),
+            "lang": F.ascii("lang") * 256 + F.ascii(F.substring("lang", 2, 1))}
+    return kd_rows(sharding.kd_shards(docs, dims, shards=SHARDS))
+
+
+def kd_rows(sharded: DataFrame) -> DataFrame:
+    return sharded.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
+                          "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op8_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontam.find_passages(_t(spark, sf, "documents"), _t(spark, sf, "benchmark"))
 
 
+def op9_embedding_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return embdedup.near_duplicates(_t(spark, sf, "embeddings"), cosine=0.9)
+
+
+END_ID = 2
+
+
+def op10_token_ids(spark: SparkSession, sf: str, tokenizer: str | None = None) -> DataFrame:
+    if tokenizer is None:
+        import public_tokenizers  # noqa: PLC0415
+
+        tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    path = _new_folder(spark, "tokens")
+    tokenids.write_tokens(_t(spark, sf, "documents"), path, tokenizer, END_ID)
+    return tokenids.read_tokens(spark, path, with_ids=False)
+
+
 QUERIES = {
+    "op1_warc": op1_warc,
     "op2_pii": op2_pii,
     "op3_packing": op3_packing,
+    "op4_urlfilter": op4_urlfilter,
     "op5_simhash": op5_simhash,
     "op6_toxicity": op6_toxicity,
+    "op7_sharding": op7_sharding,
     "op8_decontamination": op8_decontamination,
+    "op9_embedding_dedup": op9_embedding_dedup,
+    "op10_token_ids": op10_token_ids,
 }
 
-SQL: dict[str, str] = {}
+_SQL_SPLIT = """
+    CASE WHEN contains(coalesce(url, ''), '://')
+         THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest"""
+
+_SQL_CANONICAL = r"""
+    CASE WHEN contains(url, '://') THEN
+      regexp_replace(regexp_replace(host, '^www\.', ''), ':(80|443)$', '')
+      || regexp_replace(path, '(\.html?|/+)$', '')
+      || CASE WHEN query <> '' THEN '?' || query ELSE '' END END"""
+
+SQL: dict[str, str] = {
+    "op1_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+d AS (SELECT page_id, strlen(body) AS payload_bytes, sha1(body) AS hex,
+             min(page_id) OVER (PARTITION BY body) AS first FROM p)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      1 + (((('0x' || substr(hex, CAST(1 + 5 * (i // 4) AS INT), 5))::INT)
+            >> CAST(15 - 5 * (i % 4) AS INT)) & 31), 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d""",
+    "op4_urlfilter": f"""
+WITH a AS (SELECT page_id, url, {_SQL_SPLIT} FROM pages),
+b AS (SELECT page_id, url,
+        translate(regexp_extract(rest, '^[^/?#]*'), '{urlfilter.UPPER}', '{urlfilter.LOWER}')
+          AS host,
+        regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+        regexp_replace(regexp_replace(
+            regexp_extract(coalesce(url, ''), '^[^?#]*\\?([^#]*)', 1),
+            '(^|&)(utm_[^&=]*|ref|fbclid|gclid)(=[^&]*)?\\b', '', 'g'),
+          '^&+|&+$', '', 'g') AS query FROM a),
+c AS (SELECT *, {_SQL_CANONICAL} AS canonical FROM b),
+listed AS (SELECT DISTINCT canonical FROM c WHERE regexp_matches(host, '{UNWANTED_HOSTS}')
+           AND canonical IS NOT NULL),
+d AS (SELECT c.*, listed.canonical IS NOT NULL AS listed,
+        CASE WHEN (host = 'example.org' OR ends_with(host, '.example.org'))
+                  AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+             WHEN (host = 'example.org' OR ends_with(host, '.example.org'))
+                  AND starts_with(path, '/es/') THEN 'example.org/es/'
+             WHEN (host = 'com' OR ends_with(host, '.com'))
+                  AND starts_with(path, '/fr/') THEN 'com/fr/'
+             WHEN (host = 'com' OR ends_with(host, '.com'))
+                  AND starts_with(path, '/de/') THEN 'com/de/'
+             WHEN (host = 'org' OR ends_with(host, '.org'))
+                  AND starts_with(path, '/') THEN 'org/' END AS rule
+      FROM c LEFT JOIN listed ON c.canonical = listed.canonical)
+SELECT page_id, host, path, rule,
+  CASE WHEN rule IN ('example.org/es/', 'example.org/en/1', 'com/de/') THEN 'block'
+       WHEN rule IN ('org/', 'com/fr/') THEN 'allow'
+       WHEN listed THEN 'block' ELSE 'allow' END AS verdict, canonical, listed
+FROM d""",
+}
