@@ -252,16 +252,18 @@ def find_passages(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     return found
 
 
+def _is_clean(shared: Shared):
+    @F.pandas_udf("boolean")
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([not shared.value.spans(t) for t in texts], dtype=bool)
+    return clean
+
+
 def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text",
                       threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the documents that hold a benchmark passage."""
     kept = docs
     for matcher in matchers(docs, items, text, threshold=threshold):
-        shared = Shared(docs.sparkSession, matcher)
-
-        @F.pandas_udf("boolean")
-        def clean(texts: Iterator[pd.Series], shared=shared) -> Iterator[pd.Series]:
-            for batch in texts:
-                yield pd.Series([not shared.value.spans(t) for t in batch], dtype=bool)
-        kept = kept.filter(clean(F.col(text)))
+        kept = kept.filter(_is_clean(Shared(docs.sparkSession, matcher))(F.col(text)))
     return kept

@@ -284,5 +284,8 @@ def score_documents(docs: DataFrame, labels: DataFrame,
 def drop_toxic(docs: DataFrame, labels: DataFrame,
                max_rows: int = MAX_TRAINING_ROWS) -> DataFrame:
     """``docs`` without the documents predicted toxic."""
-    return with_score(docs, fit(docs, labels, max_rows), out="_toxicity") \
-        .filter(F.col("_toxicity") < 0.5).select(*docs.columns)
+    out = "_toxicity"
+    while out in docs.columns:
+        out = f"_{out}"
+    return with_score(docs, fit(docs, labels, max_rows), out=out) \
+        .filter(F.col(out) < 0.5).select(*docs.columns)

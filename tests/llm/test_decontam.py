@@ -87,7 +87,7 @@ def test_finds_what_brute_force_finds(spark):
     # The same in many blocks of the benchmark.
     few = d.filter("doc_id < 100")
     blocks = list(D.matchers(few, b, block_bytes=2000))
-    assert len(blocks) > 3
+    assert len(blocks) >= 3
     assert {(r.doc_id, i) for m in blocks for r in few.collect() for i, *_ in m.spans(r.text)} \
         >= {p for p in planted if p[0] < 100}
 

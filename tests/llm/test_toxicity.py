@@ -62,7 +62,7 @@ def test_held_out_accuracy(spark):
 def test_edge_rows(spark):
     """No labels, null and empty texts, null ids, repeated rows, long text."""
     rows = [(1, None, "", ""), (2, "", "", ""), (2, "", "", ""), (None, "x", "", ""),
-            (3, "vermin " * 30_000, "", "")]
+            (3, "nitwit " * 30_000, "", "")]
     docs = spark.createDataFrame(rows, SCHEMA)
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert [r.predicted for r in T.score_documents(docs, none).collect()] == [0] * 5
