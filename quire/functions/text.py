@@ -37,22 +37,12 @@ WORD = r"[\p{L}\p{M}\p{N}]+"
 SPECIAL_TOKENS = 2
 
 
-def _sql_str(s: str) -> str:
-    """A Spark SQL string literal for ``s``."""
-    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 def py_strip(col: Column | str) -> Column:
     """Python ``str.strip()``: trim the full Unicode whitespace set."""
     c = F.col(col) if isinstance(col, str) else col
     return F.trim(c, F.lit(PY_WHITESPACE))
 
 
-def py_strip_sql(expr: str) -> str:
-    """Same as :func:`py_strip` as SQL text, for use inside lambdas."""
-    return f"trim(BOTH {_sql_str(PY_WHITESPACE)} FROM {expr})"
-
-
 def token_pieces(col: Column | str) -> Column:
     """``array<string>`` of token pieces (see ``TOKEN_PIECE``)."""
     c = F.col(col) if isinstance(col, str) else col
@@ -100,11 +90,11 @@ def json_string(col: Column | str) -> Column:
     per_char = F.array_join(
         F.transform(
             F.regexp_extract_all(simple, F.lit(r"(?s)."), F.lit(0)),
-            lambda ch: F.when(ch.rlike(r"^[ -~]$"), ch).otherwise(
+            lambda ch: F.when(ch.rlike(r"\A[ -~]\z"), ch).otherwise(
                 F.regexp_replace(F.lower(F.hex(F.encode(ch, "UTF-16BE"))),
                                  r"(.{4})", r"\\u$1")),
         ),
         "",
     )
-    body = F.when(simple.rlike(r"^[ -~]*$"), simple).otherwise(per_char)
+    body = F.when(simple.rlike(r"\A[ -~]*\z"), simple).otherwise(per_char)
     return F.when(c.isNull(), F.lit("null")).otherwise(F.concat(F.lit('"'), body, F.lit('"')))

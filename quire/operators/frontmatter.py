@@ -3,9 +3,12 @@ and turn the block into ``map<string,string>`` (C2).
 
 The split is one anchored regex per row. The map comes in two flavours:
 
-* ``mode="flat"`` -- native Spark expressions for the flat ``key: value``
-  subset (scalars, quoted strings, ``[a, b]`` flow lists, ``- item`` block
-  lists). No Python worker.
+* ``mode="flat"`` -- native Spark expressions: scalars with their YAML 1.1
+  types, quoted strings with escapes, ``[a, "b, c"]`` flow lists, ``- item``
+  block lists, folded and continued values, ``|`` and ``>`` blocks, quoted
+  keys, comments. No Python worker. What lies outside of this (nested
+  mappings, anchors, tags, zoned timestamps) is kept as text and can be told
+  by :func:`frontmatter_covered`.
 * ``mode="yaml"`` -- full YAML through a pandas UDF over the block column
   only (the body never leaves the JVM). Needs PyYAML on the executors.
 """
@@ -51,85 +54,199 @@ def split_frontmatter(df: DataFrame, text_col: str = "text") -> DataFrame:
             .withColumn("fm", F.when(has, F.regexp_extract(head, FRONTMATTER_HEAD_RE, 1))
                         .otherwise(F.lit("")))
             .withColumn("content", py_strip(
-                F.when(has, F.substring(t, F.length(head) + 1, 1 << 30)).otherwise(t)))
+                F.when(has, F.substr(t, F.length(head) + 1)).otherwise(t)))
             .drop("_fm_head"))
 
 
-def _plain_float(v: Column) -> Column:
-    """Python ``repr`` of a YAML 1.1 decimal float without exponent
-    (``1.50`` -> ``1.5``, ``1.`` -> ``1.0``, ``.5`` -> ``0.5``) while it has at
-    most 15 significant digits and ``repr`` would not switch to exponent
-    notation; NULL otherwise (the raw text is kept then)."""
-    neg = v.startswith("-")
-    ip = F.regexp_replace(F.replace(F.regexp_extract(v, r"^[-+]?([0-9_]*)\.", 1),
-                                    F.lit("_"), F.lit("")), r"^0+(?=[0-9])", "")
-    fp = F.regexp_replace(F.replace(F.regexp_extract(v, r"\.([0-9_]*)$", 1),
-                                    F.lit("_"), F.lit("")), r"0+$", "")
-    ip = F.when(ip == "", F.lit("0")).otherwise(ip)
-    frac = F.when(fp == "", F.lit("0")).otherwise(fp)
-    digits = F.length(F.regexp_replace(F.concat(ip, fp), r"^0+", ""))
-    small = (ip == "0") & (fp != "") & fp.rlike(r"^0000")  # repr would use e-05 style
-    ok = (F.length(ip) <= 16) & (digits <= 15) & ~small
-    text = F.concat(F.when(neg, F.lit("-")).otherwise(F.lit("")), ip, F.lit("."), frac)
-    return F.when(ok, text)
-
-
-def _scalar_to_py_str(v: Column) -> Column:
-    """``str(value)`` of a YAML 1.1 plain or quoted scalar (PyYAML's implicit
-    types), for the flat subset: quoted strings, booleans, nulls, decimal /
-    octal / hexadecimal integers, decimal floats, special floats. Anything
-    else (dates included, whose ``str`` is the text itself) stays as written.
-    """
-    unq_d = F.regexp_extract(v, r'^"(.*)"$', 1)
-    unq_s = F.replace(F.regexp_extract(v, r"^'(.*)'$", 1), F.lit("''"), F.lit("'"))
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _py_float(v: Column) -> Column:
+    """Python ``repr`` of a double: digits and decimal point of its shortest
+    form, with an exponent below 1e-4 and from 1e16 on."""
+    def written(x: Column) -> Column:
+        text = F.abs(x).cast("string")
+        mantissa, exponent = F.substring_index(text, "E", 1), F.regexp_extract(text, "E(.*)", 1)
+        whole = F.substring_index(mantissa, ".", 1)
+        fraction = F.regexp_extract(mantissa, r"\.(.*)", 1)
+        joined = F.regexp_replace(F.concat(whole, fraction), "^0+", "")
+        zeros = F.length(F.concat(whole, fraction)) - F.length(joined)
+        # The value is 0.<digits> * 10 ** point.
+        point = F.length(whole) - zeros + F.coalesce(exponent.try_cast("int"), F.lit(0))
+        return _let(F.struct(F.regexp_replace(joined, "0+$", "").alias("d"), point.alias("p")),
+                    digits)
+
+    def digits(n: Column) -> Column:
+        d, p = n["d"], n["p"]
+        size = F.length(d)
+        power = F.lpad(F.abs(p - 1).cast("string"), F.greatest(
+            F.lit(2), F.length(F.abs(p - 1).cast("string"))), F.lit("0"))
+        return (F.when(d == "", F.lit("0.0"))
+                .when((p < -3) | (p > 16), F.concat(
+                    F.substring(d, 1, 1), F.when(size > 1, F.concat(F.lit("."), F.substr(
+                        d, F.lit(2)))).otherwise(""), F.lit("e"),
+                    F.when(p - 1 < 0, "-").otherwise("+"), power))
+                .when(p <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -p), d))
+                .when(p >= size, F.concat(d, F.repeat(F.lit("0"), p - size), F.lit(".0")))
+                .otherwise(F.concat(F.substr(d, F.lit(1), p), F.lit("."), F.substr(d, p + 1))))
+    return _let(v, lambda x: F.when(F.abs(x) == float("inf"), F.lit("inf"))
+                .otherwise(written(x)))
+
+
+def _based(digits: Column, base: int) -> Column:
+    """Digits of a base as a decimal number; null beyond 38 decimal digits."""
+    value = F.aggregate(
+        F.split(F.lower(digits), ""), F.lit(0).cast("decimal(38,0)"),
+        lambda a, c: F.try_add(F.try_multiply(a, F.lit(base).cast("decimal(2,0)")), F.conv(
+            c, 16, 10).cast("decimal(2,0)")).try_cast("decimal(38,0)"))
+    return value.cast("string")
+
+
+def _sexagesimal(v: Column) -> Column:
+    """``12:30:45`` as the number of its last unit."""
+    return F.aggregate(F.split(v, ":"), F.lit(0).cast("decimal(38,0)"),
+                       lambda a, c: F.try_add(F.try_multiply(a, F.lit(60).cast("decimal(2,0)")),
+                                              c.try_cast("decimal(20,0)"))
+                       .try_cast("decimal(38,0)")).cast("string")
+
+
+def _plain_to_py_str(v: Column) -> Column:
+    """``str(value)`` of a YAML 1.1 plain scalar (the implicit types of
+    PyYAML): booleans, nulls, integers of any size, floats. Anything else,
+    dates included, stays as written."""
     sign = F.when(v.startswith("-"), F.lit("-")).otherwise(F.lit(""))
-    digits = F.replace(F.regexp_replace(v, r"^[-+]?(0x)?", ""), F.lit("_"), F.lit(""))
-    dec_int = F.replace(v, F.lit("_"), F.lit("")).cast("bigint").cast("string")
-    numeric = (F.when(v.rlike(r"^[-+]?(0|[1-9][0-9_]*)$") & dec_int.isNotNull(), dec_int)
-                .when(v.rlike(r"^[-+]?0[0-7_]+$"),
-                      F.regexp_replace(F.concat(sign, F.conv(digits, 8, 10)), "^-0$", "0"))
-                .when(v.rlike(r"^[-+]?0x[0-9a-fA-F_]+$"),
-                      F.regexp_replace(F.concat(sign, F.conv(digits, 16, 10)), "^-0$", "0"))
-                .when(v.rlike(r"^[-+]?\.(inf|Inf|INF)$"), F.concat(sign, F.lit("inf")))
-                .when(v.rlike(r"^\.(nan|NaN|NAN)$"), F.lit("nan"))
-                .when(v.rlike(r"^([-+]?[0-9][0-9_]*\.[0-9_]*|\.[0-9_]+)$"),
-                      F.coalesce(_plain_float(v), v))
+    bare = F.replace(F.regexp_replace(v, r"^[-+]", ""), F.lit("_"), F.lit(""))
+
+    def signed(digits: Column) -> Column:
+        return F.coalesce(F.when(digits == "0", F.lit("0")).otherwise(F.concat(sign, digits)), v)
+    number = bare.try_cast("double")
+    numeric = (F.when(v.rlike(r"\A[-+]?(0|[1-9][0-9_]*)\z"), signed(bare))
+                .when(v.rlike(r"\A[-+]?0[0-7_]+\z"), signed(_based(bare, 8)))
+                .when(v.rlike(r"\A[-+]?0x[0-9a-fA-F_]+\z"),
+                      signed(_based(F.substr(bare, F.lit(3)), 16)))
+                .when(v.rlike(r"\A[-+]?0b[01_]+\z"), signed(_based(F.substr(bare, F.lit(3)), 2)))
+                .when(v.rlike(r"\A[-+]?[1-9][0-9_]*(:[0-5]?[0-9])+\z"), signed(_sexagesimal(bare)))
+                .when(v.rlike(r"\A[-+]?\.(inf|Inf|INF)\z"), F.concat(sign, F.lit("inf")))
+                .when(v.rlike(r"\A\.(nan|NaN|NAN)\z"), F.lit("nan"))
+                .when(v.rlike(r"\A([-+]?[0-9][0-9_]*\.[0-9_]*([eE][-+][0-9]+)?"
+                              r"|\.[0-9][0-9_]*([eE][-+][0-9]+)?)\z"),
+                      F.coalesce(F.concat(sign, _py_float(number)), v))
                 .otherwise(v))
-    first = F.substring(v, 1, 1)
-    return (F.when(first == '"', F.when(v.rlike(r'^".*"$'), unq_d).otherwise(v))
-             .when(first == "'", F.when(v.rlike(r"^'.*'$"), unq_s).otherwise(v))
-             .when(v.isin(*YAML_TRUE), F.lit("True"))
+    return (F.when(v.isin(*YAML_TRUE), F.lit("True"))
              .when(v.isin(*YAML_FALSE), F.lit("False"))
              .when(v.isin(*YAML_NULL), F.lit("None"))
              # only text starting like a number pays for the numeric patterns
-             .when(first.isin(*list("0123456789+-.")), numeric)
+             .when(F.substring(v, 1, 1).isin(*list("0123456789+-.")), numeric)
              .otherwise(v))
 
 
-def _flow_item(v: Column) -> Column:
-    s = py_strip(v)
-    return _scalar_to_py_str(s)
+# What follows the backslash in a double-quoted YAML string.
+ESCAPES = {"0": "\0", "a": "\a", "b": "\b", "t": "\t", "\t": "\t", "n": "\n", "v": "\v",
+           "f": "\f", "r": "\r", "e": "\x1b", "N": "\x85", "_": "\xa0", "L": "\u2028",
+           "P": "\u2029"}
 
 
-# One key entry: ``key: inline value`` at column 0, then any following
-# ``- item`` lines (a block list). Groups: 1 key, 2 inline value, 3 items.
-KV_RE = (r"(?m)^([^\s#:\-][^:\r\n]*?)[ \t]*:(?:[ \t]+([^\r\n]*?))?[ \t]*\r?$"
-         r"((?:\r?\n[ \t]*-[ \t]+[^\r\n]*)*)")
-ITEM_RE = r"-[ \t]+([^\r\n]*)"
+def _unescape(v: Column) -> Column:
+    """Body of a double-quoted string with its escapes decoded."""
+    def one(x: Column) -> Column:
+        kind, code = F.substring(x, 2, 1), F.substr(x, F.lit(3))
+        out = F.when(~x.startswith("\\"), x) \
+            .when((kind == "x") & (F.length(x) == 4),
+                  F.decode(F.unhex(F.concat(F.lit("00"), code)), "UTF-16BE")) \
+            .when((kind == "u") & (F.length(x) == 6), F.decode(F.unhex(code), "UTF-16BE")) \
+            .when((kind == "U") & (F.length(x) == 10), F.decode(F.unhex(code), "UTF-32"))
+        for name, char in ESCAPES.items():
+            out = out.when(kind == name, F.lit(char))
+        return out.otherwise(kind)
+    parts = F.regexp_extract_all(v, F.lit(
+        r"(?s)\\(?:x[0-9A-Fa-f]{2}|u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|.)|[^\\]+"), F.lit(0))
+    return F.when(v.contains("\\"), F.array_join(F.transform(parts, one), "")).otherwise(v)
 
 
-def _value(inline: Column, items: Column) -> Column:
-    """Rendered value of one entry. Block list, flow list and plain scalar
-    are first turned into one array of raw items (a scalar is a one-item
-    array), so the scalar rules appear once in the expression."""
-    v = py_strip(F.regexp_replace(inline, r"\s+#.*$", ""))
-    is_block = (v == "") & (items != "")
-    is_flow = v.rlike(r"^\[.*\]$")
-    raw = (F.when(is_block, F.regexp_extract_all(items, F.lit(ITEM_RE), F.lit(1)))
-            .when(is_flow, F.filter(F.split(F.regexp_extract(v, r"^\[(.*)\]$", 1), ","),
-                                    lambda x: py_strip(x) != ""))
-            .otherwise(F.array(v)))
-    return F.array_join(F.transform(raw, _flow_item), ", ")
+DOUBLE_QUOTED, SINGLE_QUOTED = r'"(?:[^"\\]|\\.)*+"', r"'(?:[^']|'')*+'"
+TRAILER = r"[ \t]*(?:[ \t]#.*)?"  # blanks and a comment after a value
+
+
+def _scalar_to_py_str(v: Column) -> Column:
+    """``str(value)`` of one trimmed scalar, quoted or plain, which a comment
+    may follow. Line breaks are folded already."""
+    quoted = {'"': (DOUBLE_QUOTED, _unescape),
+              "'": (SINGLE_QUOTED, lambda x: F.replace(x, F.lit("''"), F.lit("'")))}
+    out = None
+    for mark, (pattern, read) in quoted.items():
+        whole = v.rlike(rf"(?s)\A{pattern}{TRAILER}\z")
+        text = read(F.regexp_extract(v, rf"(?s)\A{mark}((?:{pattern[1:-1]})){mark}", 1))
+        out = (F if out is None else out).when((F.substring(v, 1, 1) == mark) & whole, text)
+    return out.otherwise(_plain_to_py_str(py_strip(F.regexp_replace(v, r"(?:^|[ \t])#.*$", ""))))
+
+
+# One entry: a plain or quoted key at the start of a line, the rest of that
+# line, and the lines that belong to it (indented, blank, ``- item`` or
+# comment lines). Groups: 1 key, 2 inline value, 3 following lines.
+KEY = rf"{DOUBLE_QUOTED}|{SINGLE_QUOTED}|[^\s#:\-\"'\[\]{{}}&*!|>%@`,?][^:\r\n]*?|-[^\s:][^:\r\n]*?"
+KV_RE = (rf"(?m)^({KEY})[ \t]*:(?:[ \t]+([^\r\n]*?))?[ \t]*\r?$"
+         r"((?:\r?\n(?:[ \t]+[^\r\n]*|-(?:[ \t][^\r\n]*)?|#[^\r\n]*)?(?=\r?\n|\r?\z|\z))*)")
+ITEM_RE = r"(?m)^[ \t]*-[ \t]+([^\r\n]*?)[ \t]*\r?$"
+FLOW_ITEM_RE = rf"\s*((?:{DOUBLE_QUOTED}|{SINGLE_QUOTED}|[^,\"'\s][^,]*?)?)\s*(?:,|\z)"
+
+
+def _folded(v: Column) -> Column:
+    """Line breaks inside a value: one is a space, blank lines stay breaks."""
+    return F.regexp_replace(F.regexp_replace(v, r"[ \t]*\r?\n(?:[ \t]*\r?\n)[ \t]*", "\n"),
+                            r"[ \t]*\r?\n[ \t]*", " ")
+
+
+def _block_scalar(header: Column, lines: Column) -> Column:
+    """``|`` and ``>`` blocks without more-indented lines."""
+    indent = F.regexp_extract(lines, r"\n([ \t]+)[^\s]", 1)
+    rows = F.transform(F.slice(F.split(lines, r"\r?\n"), F.lit(2), F.greatest(
+        F.size(F.split(lines, r"\r?\n")), F.lit(1))),
+        lambda x: F.when(py_strip(x) == "", F.lit("")).otherwise(
+            F.when(x.startswith(indent), F.substr(x, F.length(indent) + 1)).otherwise(x)))
+    text = F.regexp_replace(F.array_join(rows, "\n"), r"\n+\z", "")
+    fold = F.regexp_replace(F.regexp_replace(text, r"(?<!\n)\n(?!\n)", " "), r"\n(\n+)", "$1")
+    body = F.when(header.startswith(">"), fold).otherwise(text)
+    tail = F.when(header.contains("-") | (body == ""), F.lit("")) \
+        .when(header.contains("+"), F.concat(F.lit("\n"), F.regexp_extract(
+            F.array_join(rows, "\n"), r"[^\n](\n*)\z", 1))).otherwise(F.lit("\n"))
+    return F.concat(body, tail)
+
+
+def _no_comment(lines: Column) -> Column:
+    return F.regexp_replace(lines, r"(?m)^[ \t]*#[^\r\n]*$", "")
+
+
+def _value(inline: Column, lines: Column) -> Column:
+    """Rendered value of one entry."""
+    rest = _no_comment(lines)
+    first = py_strip(inline)
+    empty = (first == "") | first.startswith("#")
+    whole = py_strip(_folded(F.concat(F.when(empty, F.lit("")).otherwise(first), rest)))
+    is_list = empty & rest.rlike(r"\A\s*-(?:[ \t]|\r?\n|\z)")
+    is_flow = whole.rlike(rf"(?s)\A\[.*\]{TRAILER}\z")
+    flow = F.regexp_extract_all(F.regexp_extract(whole, r"(?s)\A\[(.*)\]", 1),
+                                F.lit(FLOW_ITEM_RE), F.lit(1))
+    raw = (F.when(is_list, F.regexp_extract_all(rest, F.lit(ITEM_RE), F.lit(1)))
+            .when(is_flow, F.filter(flow, lambda x: x != "")).otherwise(F.array(whole)))
+    return F.when(first.rlike(r"\A[|>][-+0-9]*[ \t]*(#.*)?\z"),
+                  _block_scalar(F.regexp_extract(first, r"\A[|>][-+]?", 0), lines)) \
+        .otherwise(F.array_join(F.transform(raw, lambda x: _scalar_to_py_str(py_strip(x))), ", "))
+
+
+def frontmatter_covered(fm_col: str = "fm") -> Column:
+    """Whether the native reading covers a block: every line belongs to an
+    entry or is blank or a comment, and no value is a nested mapping or list,
+    a flow mapping, an anchor, alias, tag, zoned timestamp or an indented
+    block of uneven depth."""
+    fm = F.col(fm_col)
+    left = F.regexp_replace(F.regexp_replace(fm, KV_RE, ""), r"(?m)^[ \t]*(#[^\r\n]*)?\r?$", "")
+    odd = fm.rlike(
+        r"(?m)^[^\s#:][^:\r\n]*:[ \t]+([&*!{]|-(?:[ \t]|\r?$)|\[.*[\[{].*\]|\d{4}-\d\d?-\d\d?(?:[Tt]|[ \t]+)\d)"
+        r"|^[ \t]+[^\s#\-\"'][^:\r\n]*:(?:[ \t]|\r?$)|^[ \t]*-[ \t]+(?:[&*!{\[]|-[ \t]|[^\s\"'#][^\r\n]*:"
+        r"(?:[ \t]|\r?$))|:[ \t]+[|>][-+]?[0-9]")
+    return (fm == "") | ((py_strip(left) == "") & ~odd)
 
 
 def frontmatter_entries(df: DataFrame, fm_col: str = "fm") -> DataFrame:
@@ -144,7 +261,8 @@ def frontmatter_entries(df: DataFrame, fm_col: str = "fm") -> DataFrame:
         F.arrays_zip(F.regexp_extract_all(fm, F.lit(KV_RE), F.lit(1)).alias("k"),
                      F.regexp_extract_all(fm, F.lit(KV_RE), F.lit(2)).alias("v"),
                      F.regexp_extract_all(fm, F.lit(KV_RE), F.lit(3)).alias("i")),
-        lambda e: F.struct(e["k"].alias("key"), _value(e["v"], e["i"]).alias("value"))))
+        lambda e: F.struct(F.when(F.substring(e["k"], 1, 1).isin('"', "'"), _scalar_to_py_str(
+            e["k"])).otherwise(e["k"]).alias("key"), _value(e["v"], e["i"]).alias("value"))))
 
 
 def entries_to_map(kv: Column) -> Column:

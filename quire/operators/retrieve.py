@@ -6,22 +6,18 @@ Exact kNN without a cross join
 Every question must be compared with every candidate chunk; what must not
 happen is materialising those pairs as rows. The plan is:
 
-1. The question side (id, vector, k, filters) is counted and sized. If it
-   fits ``max_broadcast_bytes`` it is shipped once to every task as a
-   broadcast variable; otherwise it is cut into hash batches that each fit,
-   and the steps below run once per batch (results are unioned).
+1. The questions are a stated set: they are cut into blocks of bounded size
+   and each block is broadcast. The corpus is read once, whatever their number.
 2. The chunk table is scanned with only ``id``, the vector and the filter
-   columns (column pruning) and streamed through ``mapInPandas``: for one
-   Arrow batch and one block of questions, a BLAS product gives approximate
-   distances, each question's metadata filter masks rows, the rows that can
-   still reach the question's k-th best (within a bound far above the
-   rounding error) get their exact distance, and at most ``k`` rows per
-   question are kept (ties broken by id). A task thus emits
-   O(questions x k) rows no matter how big or duplicated its partition is.
+   columns in use, and streamed through ``mapInArrow``. A task keeps the best
+   ``k`` chunks of every question over all its batches: a BLAS product gives
+   approximate distances, rows that can still beat a question's k-th best
+   (within a bound far above the rounding error) get their exact distance and
+   are merged in. It emits once, at its end: at most ``k`` rows per question,
+   however big or duplicated its partition is.
 3. A global ``row_number() over (partition by question order by distance,
    id)`` keeps the final k. Spark plans it with ``WindowGroupLimit`` on both
-   sides of the shuffle, so each question's group holds at most
-   k x tasks rows before the final limit.
+   sides of the shuffle.
 
 Reported distances are summed over dimensions in index order in float64,
 the same order the SQL check uses, so ranks agree exactly with an
@@ -33,7 +29,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,23 +39,9 @@ from quire.session import empty_frame
 # Fixed values from the reference's retrieval settings.
 DEFAULT_N_RESULTS = 5
 
+# Bytes of one question block, and of a result side that is broadcast.
 DEFAULT_MAX_BROADCAST_BYTES = 64 << 20
-# Result sets up to this many rows (questions x k) are broadcast when joined
-# back to the chunk table (a result row is about 64 bytes: at most ~64 MB).
-BROADCAST_RESULT_ROWS = 1_000_000
-# Result sets up to this many rows push their ids into the chunk scan, when
-# the scan is estimated at ID_FILTER_MIN_BYTES or more (below that, reading
-# it whole is cheaper than the extra small job).
-ID_FILTER_ROWS = 20_000
-ID_FILTER_MIN_BYTES = 1 << 30
-
-
-def _estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate (file sizes for a scan); no job runs."""
-    try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # noqa: BLE001 - estimate unavailable: treat as small
-        return 0
+RESULT_ROW_BYTES = 64
 # Distance matrix cells per numpy block (rows x questions), bounds task memory.
 _BLOCK_CELLS = 2_000_000
 
@@ -120,99 +102,81 @@ def _exact_l2sq(cmat: np.ndarray, qmat: np.ndarray, ri: np.ndarray, qi: np.ndarr
     return acc
 
 
-def _block_topk(cmat, cnorm, ok, ids, corpus_f, qmat, qnorm, ks, fvals, q0, q1):
-    """Top-k rows of one Arrow batch for questions ``q0:q1``.
-
-    Candidates come from the BLAS expansion |c|^2 - 2 c.q + |q|^2, whose error
-    is far below ``eps``; every row whose exact distance can reach a
-    question's k-th best is kept, then only those pairs get the exact
-    distance. Result: (question index, row index, exact distance) with at most
-    k rows per question, ties broken by id.
-    """
-    qm = qmat[q0:q1]
-    approx = cnorm[:, None] - 2.0 * (cmat @ qm.T) + qnorm[None, q0:q1]
-    approx[~ok, :] = np.inf
-    for fi, cv in enumerate(corpus_f):  # metadata filters, before the top-k
-        wants = fvals[fi][q0:q1]
-        for val in {w for w in wants if w is not None and w != ""}:
-            cols = np.nonzero(wants == val)[0]
-            miss = np.nonzero(cv != val)[0]
-            if cols.size and miss.size:
-                approx[np.ix_(miss, cols)] = np.inf
-    kq = ks[q0:q1]
-    n = approx.shape[0]
-    kth = np.clip(kq, 1, n) - 1
-    part = np.partition(approx, np.unique(kth), axis=0)
-    thr = part[kth, np.arange(q1 - q0)]
-    eps = 1e-9 * (cnorm.max(initial=0.0) + qnorm[q0:q1] + 1.0)
-    cand = (approx <= (thr + eps)[None, :]) & np.isfinite(approx) & (kq > 0)[None, :]
-    ri, qi = np.nonzero(cand)
-    if ri.size == 0:
-        return None
-    d = _exact_l2sq(cmat, qmat, ri, qi + q0)
-    order = np.lexsort((ids[ri].astype(str), d, qi))
-    ri, qi, d = ri[order], qi[order], d[order]
-    starts = np.searchsorted(qi, np.arange(q1 - q0))
-    rank = np.arange(qi.size) - starts[qi]
-    keep = rank < kq[qi]
-    return qi[keep] + q0, ri[keep], d[keep]
-
-
-def _local_topk(batches, bc, cid: str, cvec: str, fcols: list[str], metric: str):
-    qb = bc.value
-    qids, qmat, ks = qb["qid"], qb["vec"].astype(np.float64), qb["k"]
-    fvals = qb["filters"]  # list of object arrays, None = unset
-    nq, dim = qmat.shape
-    qnorm = np.einsum("ij,ij->i", qmat, qmat)
-    for pdf in batches:
-        n = len(pdf)
-        if n == 0 or nq == 0:
-            continue
-        vecs = pdf[cvec].to_numpy()
-        ok = np.fromiter((v is not None and len(v) == dim for v in vecs), bool, n)
-        ids = pdf[cid].to_numpy(dtype=object)
-        cmat = np.zeros((n, dim), dtype=np.float64)
-        if ok.any():
-            cmat[ok] = np.stack([np.asarray(v, dtype=np.float64) for v in vecs[ok]])
-        cnorm = np.einsum("ij,ij->i", cmat, cmat)
-        corpus_f = [pdf[c].to_numpy(dtype=object) for c in fcols]
-        block = max(1, _BLOCK_CELLS // n)
-        out_q, out_id, out_d = [], [], []
-        for q0 in range(0, nq, block):
-            got = _block_topk(cmat, cnorm, ok, ids, corpus_f, qmat, qnorm, ks, fvals,
-                              q0, min(nq, q0 + block))
-            if got is None:
+class _Best:
+    """The best rows so far of one block of questions."""
+
+    def __init__(self, block: dict):
+        self.vec, self.k, self.filters = block["vec"], block["k"], block["filters"]
+        self.norm = np.einsum("ij,ij->i", self.vec, self.vec)
+        self.q = np.empty(0, np.int64)
+        self.d = np.empty(0)
+        self.id = np.empty(0, object)
+        self.limit = np.full(len(self.k), np.inf)  # distance of the k-th best
+
+    def merge(self, rows: np.ndarray, norm: np.ndarray, ids: np.ndarray,
+              corpus_f: list[np.ndarray]) -> None:
+        step = max(1, _BLOCK_CELLS // len(rows))
+        for q0 in range(0, len(self.k), step):
+            self._merge(rows, norm, ids, corpus_f, q0, min(q0 + step, len(self.k)))
+
+    def _merge(self, rows, norm, ids, corpus_f, q0, q1):
+        k = self.k[q0:q1]
+        approx = norm[:, None] - 2.0 * (rows @ self.vec[q0:q1].T) + self.norm[None, q0:q1]
+        for have, want in zip(corpus_f, self.filters):  # before the top-k
+            want = want[q0:q1]
+            for value in {w for w in want if w is not None and w != ""}:
+                approx[np.ix_(have != value, want == value)] = np.inf
+        nth = np.clip(k, 1, len(rows)) - 1
+        part = np.partition(approx, np.unique(nth), axis=0)
+        reach = np.where(k > len(rows), np.inf, part[nth, np.arange(q1 - q0)])
+        reach = np.minimum(reach, self.limit[q0:q1]) \
+            + 1e-9 * (norm.max() + self.norm[q0:q1] + 1.0)
+        ri, qi = np.nonzero((approx <= reach) & np.isfinite(approx) & (k > 0))
+        if not len(ri):
+            return
+        qi = qi + q0
+        mine = (self.q >= q0) & (self.q < q1)
+        q = np.concatenate([self.q[mine], qi])
+        d = np.concatenate([self.d[mine], _exact_l2sq(rows, self.vec, ri, qi)])
+        i = np.concatenate([self.id[mine], ids[ri]])
+        order = np.lexsort((i.astype(str), d, q))
+        q, d, i = q[order], d[order], i[order]
+        rank = np.arange(len(q)) - np.searchsorted(q, q)
+        keep = rank < self.k[q]
+        last = rank == self.k[q] - 1
+        self.limit[q[last]] = d[last]
+        self.q = np.concatenate([self.q[~mine], q[keep]])
+        self.d = np.concatenate([self.d[~mine], d[keep]])
+        self.id = np.concatenate([self.id[~mine], i[keep]])
+
+
+def _local_topk(blocks: list, dim: int, metric: str):
+    def run(batches):
+        best = None
+        for batch in batches:
+            vectors = batch.column(1)
+            batch = batch.filter(vectors.is_valid())
+            vectors = batch.column(1)
+            if not batch.num_rows:
                 continue
-            qi, ri, d = got
-            out_q.append(qids[qi])
-            out_id.append(ids[ri])
-            out_d.append(np.sqrt(d) if metric == "l2" else d)
-        if out_q:
-            yield pd.DataFrame({
-                "query_id": np.concatenate(out_q),
-                "id": np.concatenate(out_id).astype(str),
-                "distance": np.concatenate(out_d),
-            })
-
-
-def _collect_questions(q: DataFrame, filter_names: list[str], dim: int) -> dict:
-    """The (size-checked) question batch as numpy arrays; a vector of another
-    width than ``dim`` leaves its question without results."""
-    pdf = q.toPandas()
-    vecs = pdf["_qvec"].to_numpy()
-    mat = np.zeros((len(pdf), dim), dtype=np.float32)
-    valid = np.zeros(len(pdf), dtype=bool)
-    for i, v in enumerate(vecs):
-        if v is not None and len(v) == dim:
-            mat[i] = np.asarray(v, dtype=np.float32)
-            valid[i] = True
-    return {
-        "qid": pdf["_qid"].to_numpy(dtype=object),
-        "vec": mat,
-        "k": np.where(valid, pdf["_k"].fillna(0).astype(np.int64).to_numpy(), 0),
-        "filters": [pdf[f].where(pdf[f].notna(), None).to_numpy(dtype=object)
-                    for f in filter_names],
-    }
+            widths = np.diff(vectors.offsets.to_numpy())
+            if (widths != dim).any():
+                raise ValueError(f"vectors of {widths[widths != dim][0]} dimensions "
+                                 f"among questions of {dim}")
+            rows = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64) \
+                .reshape(-1, dim)
+            ids = np.array(batch.column(0).to_pylist(), object)
+            corpus_f = [np.array(c.to_pylist(), object) for c in batch.columns[2:]]
+            best = best or [_Best(b.value) for b in blocks]
+            norm = np.einsum("ij,ij->i", rows, rows)
+            for part in best:
+                part.merge(rows, norm, ids, corpus_f)
+        for block, part in zip(blocks, best or []):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(block.value["pos"][part.q]), pa.array(part.id, pa.string()),
+                 pa.array(np.sqrt(part.d) if metric == "l2" else part.d)],
+                names=["_pos", "id", "distance"])
+    return run
 
 
 def knn(corpus: DataFrame, queries: DataFrame, k: int | str = DEFAULT_N_RESULTS, *,
@@ -239,6 +203,10 @@ def knn_bounded(corpus: DataFrame, queries: DataFrame, k: int | str = DEFAULT_N_
     the query's value is set (non-null, non-empty) only corpus rows with an
     equal value are candidates, and the filter applies before the top-k.
 
+    Rows without a vector are no candidates, and a query without one has no
+    result. A repeated query id raises, and so does a vector of another number
+    of dimensions than the queries'.
+
     Returns ``(result, n_questions, max_k)`` where result is ``query_id,
     rank, id, distance`` (``metric`` ``l2sq``: squared L2, the vector store
     default; ``l2``: its square root); ``n_questions * max_k`` bounds its rows.
@@ -249,65 +217,72 @@ def knn_bounded(corpus: DataFrame, queries: DataFrame, k: int | str = DEFAULT_N_
     filters = filters or {}
     fnames = [f"_f{i}" for i in range(len(filters))]
     kcol = (F.coalesce(F.col(k), F.lit(DEFAULT_N_RESULTS)) if isinstance(k, str)
-            else F.lit(int(k))).cast("int")
-    q = queries.select(F.col(query_id).alias("_qid"), F.col(query_vec).alias("_qvec"),
-                       kcol.alias("_k"),
-                       *[F.col(qc).cast("string").alias(fn)
-                         for qc, fn in zip(filters, fnames)])
-    # Size check in two cheap steps: the count needs no vectors (so an
-    # embedding UDF upstream is pruned away), and the width comes from one
-    # row. Rows of another width are treated as invalid, so the payload is
-    # exactly questions x width x 4 bytes plus ids and filter values.
-    stats = q.agg(F.count(F.lit(1)).alias("n"),
-                  F.coalesce(F.max("_k"), F.lit(0)).alias("kmax"),
-                  F.coalesce(F.sum(F.lit(64) + F.lit(16) * F.lit(len(fnames))
-                                   + F.coalesce(F.length(F.col("_qid").cast("string")),
-                                                F.lit(0))), F.lit(0)).alias("extra")
-                  ).collect()[0]
-    n_q, kmax = int(stats["n"]), int(stats["kmax"])
+            else F.lit(int(k))).cast("long")
+    q = queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("_qvec"),
+                       kcol.alias("_k"), *[F.col(qc).cast("string").alias(fn)
+                                           for qc, fn in zip(filters, fnames)])
+    ids = q.select("query_id", "_k")
+    stats = ids.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.max("_k").alias("k")) \
+        .agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max("k").alias("k")).first()
+    n_q, kmax = int(stats["n"] or 0), int(stats["k"] or 0)
+    if (stats["most"] or 0) > 1:
+        raise ValueError("a query id occurs more than once")
     qid_type = queries.schema[query_id].dataType
     out_schema = T.StructType([T.StructField("query_id", qid_type),
                                T.StructField("id", T.StringType()),
                                T.StructField("distance", T.DoubleType())])
     if n_q == 0 or kmax <= 0:
         return empty_frame(spark, out_schema.add("rank", T.IntegerType())), 0, 0
-    first = q.select(F.size("_qvec").alias("d")).filter(F.col("d") > 0).first()
-    dim = int(first["d"]) if first else 0
-    est_bytes = n_q * dim * 4 + int(stats["extra"])
-    n_batches = max(1, math.ceil(est_bytes / max_broadcast_bytes))
-
+    blocks, dim, asked = _question_blocks(spark, q, fnames, max_broadcast_bytes, n_q)
     side = corpus.select(F.col(corpus_id).cast("string").alias("_cid"),
                          F.col(corpus_vec).alias("_cvec"),
                          *[expr.cast("string").alias(fn)
                            for expr, fn in zip(filters.values(), fnames)])
-    parts = []
-    for b in range(n_batches):
-        qb = q if n_batches == 1 else q.filter(
-            F.pmod(F.xxhash64("_qid"), F.lit(n_batches)) == b)
-        payload = _collect_questions(qb, fnames, dim)
-        bc = spark.sparkContext.broadcast(payload)
-        local = side.mapInPandas(
-            lambda it, bc=bc: _local_topk(it, bc, "_cid", "_cvec", fnames, metric),
-            out_schema)
-        parts.append(local)
-    local_all = parts[0]
-    for p in parts[1:]:
-        local_all = local_all.unionByName(p)
-
+    local = side.mapInArrow(_local_topk(blocks, dim, metric),
+                            "_pos long, id string, distance double")
     # k per query travels with the final filter; the literal bound lets the
     # optimizer insert WindowGroupLimit before and after the shuffle.
-    w = Window.partitionBy("query_id").orderBy("distance", "id")
-    ranked = (local_all.withColumn("rank", F.row_number().over(w))
-              .filter(F.col("rank") <= kmax))
-    if isinstance(k, str):
-        kq = queries.select(F.col(query_id).alias("query_id"), kcol.alias("_kq"))
-        if n_q <= BROADCAST_RESULT_ROWS:  # one small row per question
-            kq = F.broadcast(kq)
-        ranked = ranked.join(kq, "query_id").filter(F.col("rank") <= F.col("_kq")).drop("_kq")
+    w = Window.partitionBy("_pos").orderBy("distance", "id")
+    ranked = (local.withColumn("rank", F.row_number().over(w))
+              .filter(F.col("rank") <= min(kmax, (1 << 31) - 1)))
+    small = n_q * RESULT_ROW_BYTES <= max_broadcast_bytes  # one narrow row per question
+    ranked = ranked.join(F.broadcast(asked) if small else asked, "_pos") \
+        .filter(F.col("rank") <= F.col("_k"))
     return (ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "id", "distance"),
             n_q, kmax)
 
 
+def _question_blocks(spark, q: DataFrame, fnames: list[str], max_bytes: int, n_q: int):
+    """Broadcast blocks of questions, their number of dimensions, and the
+    table ``_pos, query_id, _k`` that names them.
+
+    The questions are written once with a position each; the driver holds one
+    block at a time.
+    """
+    from quire.session import materialize  # noqa: PLC0415
+
+    kept = materialize(q.withColumn("_pos", F.monotonically_increasing_id()), "questions")
+    widths = [r[0] for r in kept.select(F.size("_qvec")).filter("_qvec is not null")
+              .distinct().limit(2).collect()]
+    if len(widths) > 1:
+        raise ValueError(f"questions of {widths[0]} and {widths[1]} dimensions")
+    dim = widths[0] if widths else 0
+    n_blocks = max(1, math.ceil(n_q * (8 * dim + RESULT_ROW_BYTES) / max_bytes))
+    blocks = []
+    for b in range(n_blocks):
+        pdf = kept.filter("_qvec is not null") \
+            .filter(F.pmod(F.xxhash64("_pos"), F.lit(n_blocks)) == b).drop("query_id").toPandas()
+        if not len(pdf):
+            continue
+        blocks.append(spark.sparkContext.broadcast({
+            "pos": pdf["_pos"].to_numpy(np.int64),
+            "vec": np.array(pdf["_qvec"].tolist(), np.float64).reshape(len(pdf), dim),
+            "k": pdf["_k"].to_numpy(np.int64),
+            "filters": [pdf[f].where(pdf[f].notna(), None).to_numpy(dtype=object)
+                        for f in fnames]}))
+    return blocks, dim, kept.select("_pos", "query_id", "_k")
+
+
 # ---------------------------------------------------------------------------
 # D6 relevance, D7/D8 retrieve
 # ---------------------------------------------------------------------------
@@ -320,6 +295,12 @@ def filter_by_relevance(results: DataFrame, min_relevance: float | str | None) -
     return results.filter(m.isNull() | (similarity(F.col("distance")) >= m))
 
 
+def _field(chunks: DataFrame, key: str) -> Column:
+    """Filter field of a chunk: a column of its own in stored collections,
+    whose row groups a filter can skip, else the metadata entry."""
+    return F.col(key) if key in chunks.columns else F.col("metadata")[key]
+
+
 CHUNK_FIELDS = ["document", "source_file", "chunk_index", "total_chunks", "metadata"]
 
 
@@ -344,7 +325,7 @@ def retrieve(chunks: DataFrame, questions: DataFrame, *, question_id: str = "que
     q = questions.withColumnRenamed(question_id, "query_id") if question_id != "query_id" \
         else questions
     if per_row:
-        for c, t in (("n_results", "int"), ("min_relevance", "double"),
+        for c, t in (("n_results", "long"), ("min_relevance", "double"),
                      ("filter_type", "string"), ("filter_author", "string")):
             if c not in q.columns:
                 q = q.withColumn(c, F.lit(None).cast(t))
@@ -356,27 +337,25 @@ def retrieve(chunks: DataFrame, questions: DataFrame, *, question_id: str = "que
               .withColumn("min_relevance", F.lit(min_relevance).cast("double")))
         k = int(n_results) if not isinstance(n_results, str) else n_results
         rel_col = "min_relevance"
-    filt = {"filter_type": F.col("metadata")["type"],
-            "filter_author": F.col("metadata")["author"]}
-    top, n_q, kmax = knn_bounded(chunks, q, k, filters=filt, metric=metric,
+    # A filter for all questions is applied before any vector is read by
+    # Python; filter columns are passed on only for per-question filters.
+    candidates, filt = chunks, {}
+    if per_row:
+        filt = {f"filter_{key}": _field(chunks, key) for key in ("type", "author")}
+    else:
+        for key, value in (("type", filter_type), ("author", filter_author)):
+            if value:
+                candidates = candidates.filter(_field(chunks, key) == value)
+    top, n_q, kmax = knn_bounded(candidates, q, k, filters=filt, metric=metric,
                                  max_broadcast_bytes=max_broadcast_bytes)
-    # Bring back the chunk fields for the result rows only. The result has at
-    # most n_q * kmax rows; within the bound it is broadcast, so the chunk
-    # table is scanned once with a hash probe and never shuffled.
-    bounded = n_q * kmax <= BROADCAST_RESULT_ROWS
+    # Bring back the chunk fields for the result rows only: the result has at
+    # most n_q * kmax narrow rows, and its width is known.
+    def sized(side: DataFrame, rows: int) -> DataFrame:
+        return F.broadcast(side) if rows * RESULT_ROW_BYTES <= max_broadcast_bytes else side
     fields = chunks.select(F.col("id").cast("string").alias("id"), *CHUNK_FIELDS)
-    if n_q * kmax <= ID_FILTER_ROWS and _estimated_bytes(fields) >= ID_FILTER_MIN_BYTES:
-        # Few result rows: compute them once (a small table), and push their
-        # ids into the chunk scan, so only row groups holding them are read
-        # instead of every document's text.
-        from quire.session import materialize  # noqa: PLC0415
-
-        top = materialize(top, "topk")
-        ids = [r[0] for r in top.select("id").distinct().collect()]
-        fields = fields.filter(F.col("id").isin(ids))
-    res = fields.join(F.broadcast(top) if bounded else top, "id")
+    res = fields.join(sized(top, n_q * kmax), "id")
     rel = q.select("query_id", F.col(rel_col).alias("_min_rel"))
-    res = res.join(F.broadcast(rel) if n_q <= BROADCAST_RESULT_ROWS else rel, "query_id")
+    res = res.join(sized(rel, n_q), "query_id")
     res = res.withColumn("similarity", similarity(F.col("distance")))
     kept = F.col("_min_rel").isNull() | (F.col("similarity") >= F.col("_min_rel"))
     cols = ["query_id", "rank", "id", *CHUNK_FIELDS, "distance", "similarity"]
@@ -388,20 +367,33 @@ def retrieve(chunks: DataFrame, questions: DataFrame, *, question_id: str = "que
 # ---------------------------------------------------------------------------
 # D9 report, D10 sources
 # ---------------------------------------------------------------------------
-def retrieval_report(results: DataFrame) -> DataFrame:
+def retrieval_report(results: DataFrame, questions: DataFrame | None = None) -> DataFrame:
     """Per question: rows returned, rows kept after the threshold, distance
     range (4 places, as logged) and the best source (default ``unknown``).
 
-    ``results`` comes from ``retrieve(..., keep_unfiltered=True)``.
+    ``results`` comes from ``retrieve(..., keep_unfiltered=True)``. With
+    ``questions`` (a ``query_id`` column) those without any result are
+    reported too, with counts of 0.
     """
     src = F.coalesce(F.col("source_file"), F.lit("unknown"))
-    return results.groupBy("query_id").agg(
+    found = results.groupBy("query_id").agg(
         F.count(F.lit(1)).cast("int").alias("n_returned"),
         F.sum(F.when(F.col("kept"), 1).otherwise(0)).cast("int").alias("n_kept"),
         F.round(F.min("distance"), 4).alias("min_distance"),
         F.round(F.max("distance"), 4).alias("max_distance"),
         F.min_by(src, F.col("rank")).alias("top_source"),
     )
+    if questions is None:
+        return found
+    return questions.select("query_id").join(found, "query_id", "left") \
+        .fillna(0, ["n_returned", "n_kept"])
+
+
+def retrieval_log(results: DataFrame) -> DataFrame:
+    """One row per returned chunk, as logged: ``query_id, rank, distance`` (4
+    places), ``source_file`` and whether the threshold kept it."""
+    return results.select("query_id", "rank", F.round("distance", 4).alias("distance"),
+                          F.coalesce("source_file", F.lit("unknown")).alias("source_file"), "kept")
 
 
 def sources(results: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ from quire.operators.chunking import chunk_audit
 from quire.operators.embed import hashed_embedding
 from quire.operators.frontmatter import frontmatter_map, split_frontmatter
 from quire.plans.ingest import articles_to_chunks
-from quire.session import materialize, spread, table_path
+from quire.session import materialize, table_path
 from quire.sources.collection import first_writer, ingest_stats
 
 EMBED_DIMS = 256
@@ -74,7 +74,8 @@ def questions(spark: SparkSession, sf: str, per_row: bool = False) -> DataFrame:
             (F.lit(1) + F.pmod(i, F.lit(7))).cast("int").alias("n_results"),
             F.when(F.pmod(i, F.lit(4)) == 0, F.lit(0.6))
              .when(F.pmod(i, F.lit(4)) == 1, F.lit(0.0)).cast("double").alias("min_relevance"),
-            F.when(F.pmod(i, F.lit(3)) == 0, F.lit("en"))
+            F.when(F.pmod(i, F.lit(11)) == 3, F.lit("no such type"))
+             .when(F.pmod(i, F.lit(3)) == 0, F.lit("en"))
              .when(F.pmod(i, F.lit(3)) == 2, F.lit("fr")).cast("string").alias("filter_type"),
             F.when(F.pmod(i, F.lit(5)) == 0,
                    F.concat(F.lit("src"), F.pmod(i, F.lit(20)).cast("string")))
@@ -86,7 +87,7 @@ def session_log(spark: SparkSession, sf: str) -> DataFrame:
     """User turns with the answer that follows them (turns are consecutive):
     an equi-join on ``(conv_id, turn + 1)``, so no conversation is sorted as
     a whole in one task."""
-    c = spread(_t(spark, sf, "conversations"), key="conv_id")
+    c = _t(spark, sf, "conversations")
     users = c.filter(F.col("role") == "user").select("conv_id", "turn", "text")
     nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"),
                    F.col("role").alias("_nr"), F.col("text").alias("_nt"))
@@ -97,7 +98,7 @@ def session_log(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def command_log(spark: SparkSession, sf: str) -> DataFrame:
-    e = spread(_t(spark, sf, "events"), key="event_id") \
+    e = _t(spark, sf, "events") \
         .withColumn("_k", F.get_json_object("props", "$.k").cast("int"))
     k = F.col("_k")
     ks = k.cast("string")
@@ -106,6 +107,8 @@ def command_log(spark: SparkSession, sf: str) -> DataFrame:
         F.when(et == "view", F.concat(F.lit("Tell me about topic "), ks))
         .when(et == "click",
               F.when(k < 40, F.concat(F.lit("/set n_results "), ks))
+               .when(k < 44, F.concat(F.lit("/set n_results "), ks, F.lit("9" * 21)))
+               .when(k < 46, F.concat(F.lit("/set n_results -"), ks, F.lit("9" * 21)))
                .when(k < 50, F.concat(F.lit("/set n_results x"), ks))
                .when(k < 60, F.concat(F.lit("  /SET N_RESULTS "), (k - 55).cast("string")))
                .when(k < 70, F.lit("/help"))
@@ -115,6 +118,8 @@ def command_log(spark: SparkSession, sf: str) -> DataFrame:
         .when(et == "purchase",
               F.when(k < 25, F.concat(F.lit("/set min_relevance 0."), ks))
                .when(k < 40, F.lit("/set min_relevance none"))
+               .when(k < 42, F.lit("/set min_relevance -nan"))
+               .when(k < 44, F.lit("/set min_relevance +NaN"))
                .when(k < 50, F.concat(F.lit("/set min_relevance 1"), ks))
                .when(k < 55, F.lit("/set filter_type en"))
                .when(k < 60, F.lit("/set filter_type NONE"))
@@ -134,7 +139,7 @@ def command_log(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fragments(spark: SparkSession, sf: str) -> DataFrame:
-    c = spread(_t(spark, sf, "conversations"), key="conv_id") \
+    c = _t(spark, sf, "conversations") \
         .filter(F.col("role") == "assistant")
     return c.select("conv_id", "turn", "text",
                     F.posexplode_outer(F.regexp_extract_all("text", F.lit(r"(?s).{1,16}"),
@@ -146,7 +151,7 @@ def fragments(spark: SparkSession, sf: str) -> DataFrame:
 # Corpus (C*)
 # ---------------------------------------------------------------------------
 def q_token_counts(spark, sf):
-    d = spread(_t(spark, sf, "documents"), key="doc_id")
+    d = _t(spark, sf, "documents")
     return d.select("doc_id", token_count("text").cast("int").alias("token_count"))
 
 
@@ -165,7 +170,7 @@ def q_chunk_audit(spark, sf):
 
 
 def q_frontmatter_split(spark, sf):
-    s = split_frontmatter(spread(articles(spark, sf), key="source_file"), "text")
+    s = split_frontmatter(articles(spark, sf), "text")
     return s.select("source_file", "fm", F.md5("content").alias("content_md5"),
                     F.length("content").cast("int").alias("content_length"))
 
@@ -221,12 +226,60 @@ def titled_articles(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_metadata_json(spark, sf):
-    s = frontmatter_map(split_frontmatter(spread(titled_articles(spark, sf), key="source_file"),
-                                          "text"), "fm")
+    s = frontmatter_map(split_frontmatter(titled_articles(spark, sf), "text"), "fm")
     return s.select("source_file", assemble.metadata_json(F.col("metadata"))
                     .alias("metadata_json"))
 
 
+# The forms of frontmatter values, around the columns of a document.
+FORMS = r"""---
+# forms
+hash_title: "{source} #{id}"  # a comment
+single: '{source} # notes'
+escaped: "{source}\"\té{lang}"
+flow: [{source}, "{lang}, {lang}'s", 7]
+wide: {id}12345678901234567890
+long_float: 0.1234567890123456
+commented: {n} # characters
+continued: {lang}
+  {source}
+literal: |
+  {lang}
+  {source}
+folded: >
+  {lang}
+  {source}
+
+items:
+  - {source} # first
+  - '{lang} x'
+"quoted_key": {lang}
+hex: 0x100{digit}
+nothing: ~
+flag: yes
+clock: 12:03
+---
+"""
+
+
+def form_articles(spark: SparkSession, sf: str) -> DataFrame:
+    head = F.lit(FORMS)
+    for name, value in (("source", F.col("source")), ("lang", F.col("lang")),
+                        ("id", F.col("doc_id").cast("string")),
+                        ("n", F.col("n_chars").cast("string")),
+                        ("digit", F.pmod("doc_id", F.lit(10)).cast("string"))):
+        head = F.replace(head, F.lit(f"{{{name}}}"), value)
+    return _t(spark, sf, "documents").select("doc_id", F.concat(head, "text").alias("text"))
+
+
+def q_frontmatter_forms(spark, sf):
+    s = frontmatter_map(split_frontmatter(form_articles(spark, sf), "text"), "fm")
+    names = [line.split(":")[0].strip('"') for line in FORMS.splitlines()
+             if line[:1].isalpha() or line.startswith('"')]
+    return s.select("doc_id", *[F.col("metadata")[n].alias(n) for n in names],
+                    F.length("content").cast("bigint").alias("body_length"))
+
+
 # ---------------------------------------------------------------------------
 # Retrieval (D*)
 # ---------------------------------------------------------------------------
@@ -297,8 +350,13 @@ def q_retrieve_per_row_config(spark, sf):
 
 
 def q_retrieval_report(spark, sf):
+    qs, r = _text_results(spark, sf, per_row=True, keep_unfiltered=True)
+    return retrieve.retrieval_report(r, qs)
+
+
+def q_retrieval_log(spark, sf):
     _, r = _text_results(spark, sf, per_row=True, keep_unfiltered=True)
-    return retrieve.retrieval_report(r)
+    return retrieve.retrieval_log(r).withColumn("kept", F.col("kept").cast("string"))
 
 
 def q_sources(spark, sf):
@@ -433,6 +491,7 @@ QUERIES = {
     "chunk_audit": q_chunk_audit,
     "frontmatter_split": q_frontmatter_split,
     "frontmatter_map": q_frontmatter_map,
+    "frontmatter_forms": q_frontmatter_forms,
     "chunk_ids": q_chunk_ids,
     "chunk_metadata": q_chunk_metadata,
     "metadata_json": q_metadata_json,
@@ -447,6 +506,7 @@ QUERIES = {
     "retrieve_text": q_retrieve_text,
     "retrieve_per_row_config": q_retrieve_per_row_config,
     "retrieval_report": q_retrieval_report,
+    "retrieval_log": q_retrieval_log,
     "sources": q_sources,
     "context_prompt": q_context_prompt,
     "system_prompt": q_system_prompt,

@@ -16,24 +16,19 @@ from quire.operators.chunking import (MAX_TOKENS, STRIDE, chunk_by_tokens,
                                       with_chunk_identity)
 from quire.operators.embed import DEFAULT_DIMS, embed
 from quire.operators.frontmatter import frontmatter_map, split_frontmatter
-from quire.session import spread
-from quire.sources.collection import add_chunks, create_collection, ingest_stats
+from quire.sources.collection import add_chunks, create_collection
 from quire.sources.markdown import count_markdown_files, scan_markdown
 
 
 def articles_to_chunks(articles: DataFrame, *, no_chunk: bool = False,
                        max_tokens: int = MAX_TOKENS, stride: int = STRIDE,
                        frontmatter_mode: str = "flat", dims: int = DEFAULT_DIMS,
-                       with_embedding: bool = True, tokenizer: str = "pieces") -> DataFrame:
-    """``source_file, text`` rows -> chunk rows in the collection schema.
-
-    ``tokenizer``: ``"pieces"`` (native) or a ``tokenizer.json`` path.
-    """
-    parsed = frontmatter_map(split_frontmatter(spread(articles, key="source_file"), "text"), "fm",
-                             mode=frontmatter_mode)
+                       with_embedding: bool = True) -> DataFrame:
+    """``source_file, text`` rows -> chunk rows in the collection schema."""
+    parsed = frontmatter_map(split_frontmatter(articles, "text"), "fm", mode=frontmatter_mode)
     parsed = parsed.select("source_file", "metadata", "content")
     chunks = chunk_by_tokens(parsed, "content", max_tokens, stride,
-                             tokenizer=None if no_chunk else tokenizer)
+                             tokenizer=None if no_chunk else "pieces")
     chunks = with_chunk_identity(chunks)
     if no_chunk:
         # The reference still counts tokens of the single chunk.
@@ -49,8 +44,7 @@ def articles_to_chunks(articles: DataFrame, *, no_chunk: bool = False,
 
 def ingest_directory(spark: SparkSession, directory: str, root: str,
                      collection_name: str = "blog_posts", *, no_chunk: bool = False,
-                     frontmatter_mode: str = "flat", dims: int = DEFAULT_DIMS,
-                     tokenizer: str = "pieces") -> dict:
+                     frontmatter_mode: str = "flat", dims: int = DEFAULT_DIMS) -> dict:
     """Ingest every ``*.md`` under ``directory`` into ``root/collection_name``.
 
     Returns the reference's statistics dict. Raises ``FileNotFoundError`` for
@@ -61,10 +55,7 @@ def ingest_directory(spark: SparkSession, directory: str, root: str,
     if n_files == 0:
         return {"files_processed": 0, "chunks_added": 0}
     chunks = articles_to_chunks(scan_markdown(spark, directory), no_chunk=no_chunk,
-                                frontmatter_mode=frontmatter_mode, dims=dims,
-                                tokenizer=tokenizer)
+                                frontmatter_mode=frontmatter_mode, dims=dims)
     res = add_chunks(spark, chunks, root, collection_name)
-    stats = ingest_stats(n_files, chunks.limit(0), collection_name).collect()[0]
-    return {"files_processed": int(stats["files_processed"]),
-            "chunks_added": int(res["chunks_produced"]),
+    return {"files_processed": n_files, "chunks_added": int(res["chunks_produced"]),
             "collection_name": collection_name}

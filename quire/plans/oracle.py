@@ -139,7 +139,7 @@ def _questions(per_row: bool) -> str:
     cfg = """,
              CAST(1 + item_id % 7 AS INTEGER) AS n_results,
              CASE WHEN item_id % 4 = 0 THEN 0.6 WHEN item_id % 4 = 1 THEN 0.0 END::DOUBLE AS min_relevance,
-             CASE WHEN item_id % 3 = 0 THEN 'en' WHEN item_id % 3 = 2 THEN 'fr' END AS filter_type,
+             CASE WHEN item_id % 11 = 3 THEN 'no such type' WHEN item_id % 3 = 0 THEN 'en' WHEN item_id % 3 = 2 THEN 'fr' END AS filter_type,
              CASE WHEN item_id % 5 = 0 THEN 'src' || CAST(item_id % 20 AS VARCHAR) END AS filter_author
     """ if per_row else """,
              5 AS n_results, NULL::DOUBLE AS min_relevance, NULL::VARCHAR AS filter_type,
@@ -247,6 +247,8 @@ def _commands() -> str:
           WHEN 'view' THEN 'Tell me about topic ' || {ks}
           WHEN 'click' THEN CASE
             WHEN {k} < 40 THEN '/set n_results ' || {ks}
+            WHEN {k} < 44 THEN '/set n_results ' || {ks} || '999999999999999999999'
+            WHEN {k} < 46 THEN '/set n_results -' || {ks} || '999999999999999999999'
             WHEN {k} < 50 THEN '/set n_results x' || {ks}
             WHEN {k} < 60 THEN '  /SET N_RESULTS ' || CAST({k} - 55 AS VARCHAR)
             WHEN {k} < 70 THEN '/help'
@@ -256,6 +258,8 @@ def _commands() -> str:
           WHEN 'purchase' THEN CASE
             WHEN {k} < 25 THEN '/set min_relevance 0.' || {ks}
             WHEN {k} < 40 THEN '/set min_relevance none'
+            WHEN {k} < 42 THEN '/set min_relevance -nan'
+            WHEN {k} < 44 THEN '/set min_relevance +NaN'
             WHEN {k} < 50 THEN '/set min_relevance 1' || {ks}
             WHEN {k} < 55 THEN '/set filter_type en'
             WHEN {k} < 60 THEN '/set filter_type NONE'
@@ -277,17 +281,19 @@ def _settings() -> str:
     opt = "lower(args[1])"
     val = "args[2]"
     is_set = "(kind = 'set' AND len(args) >= 2)"
-    n_int = f"TRY_CAST(replace({val}, '_', '') AS BIGINT)"
-    n_dbl = f"TRY_CAST(replace({val}, '_', '') AS DOUBLE)"
+    n_int = (f"coalesce(TRY_CAST(replace({val}, '_', '') AS BIGINT), "
+             f"CASE WHEN {val} LIKE '-%' THEN 1 ELSE 9223372036854775807 END)")
+    n_dbl = (f"CASE WHEN regexp_full_match({val}, '[+-]?(?i:nan)') THEN 'nan'::DOUBLE "
+             f"ELSE TRY_CAST(replace({val}, '_', '') AS DOUBLE) END")
     return "WITH " + _commands() + "," + _classified("cmdlog") + f""",
     upd AS (
       SELECT *,
-        CASE WHEN {is_set} AND {opt} = 'n_results' AND regexp_full_match({val}, {S.lit(INT_RE[1:-1])})
+        CASE WHEN {is_set} AND {opt} = 'n_results' AND regexp_full_match({val}, {S.lit(INT_RE[2:-2])})
                   AND {n_int} IS NOT NULL
-             THEN {{'v': CAST(greatest(1, {n_int}) AS INTEGER)}} END AS u_n,
+             THEN {{'v': CAST(greatest(1, {n_int}) AS BIGINT)}} END AS u_n,
         CASE WHEN {is_set} AND {opt} = 'min_relevance' AND lower({val}) = 'none'
                THEN {{'v': NULL::DOUBLE}}
-             WHEN {is_set} AND {opt} = 'min_relevance' AND regexp_full_match({val}, {S.lit(FLOAT_RE[1:-1])})
+             WHEN {is_set} AND {opt} = 'min_relevance' AND regexp_full_match({val}, {S.lit(FLOAT_RE[2:-2])})
                   AND {n_dbl} IS NOT NULL
                THEN {{'v': greatest(0.0, least(1.0, {n_dbl}))}} END AS u_r,
         CASE WHEN {is_set} AND {opt} = 'filter_type'
@@ -310,7 +316,7 @@ def _settings() -> str:
     SELECT session_id, seq, kind,
            CAST(CASE WHEN kind = 'set' THEN (u_n IS NOT NULL OR u_r IS NOT NULL OR u_t IS NOT NULL
                                          OR u_a IS NOT NULL OR u_s IS NOT NULL) END AS VARCHAR) AS set_ok,
-           CASE WHEN l_n IS NULL THEN 5 ELSE l_n.v END AS n_results,
+           CASE WHEN l_n IS NULL THEN CAST(5 AS BIGINT) ELSE l_n.v END AS n_results,
            round(CASE WHEN l_r IS NULL THEN NULL ELSE l_r.v END, 6) AS min_relevance,
            CASE WHEN l_t IS NULL THEN NULL ELSE l_t.v END AS filter_type,
            CASE WHEN l_a IS NULL THEN NULL ELSE l_a.v END AS filter_author,
@@ -414,11 +420,27 @@ def queries_sql() -> dict[str, str]:
     FROM results"""
     q["retrieval_report"] = "WITH " + _text_results(True) + """,
     t2 AS (SELECT t.*, c.source_file FROM topk t JOIN chunks c USING (id))
-    SELECT query_id, CAST(count(*) AS INTEGER) AS n_returned,
-           CAST(sum(CASE WHEN kept THEN 1 ELSE 0 END) AS INTEGER) AS n_kept,
+    SELECT q.query_id, CAST(count(t2.id) AS INTEGER) AS n_returned,
+           CAST(count(CASE WHEN kept THEN 1 END) AS INTEGER) AS n_kept,
            round(min(distance), 4) AS min_distance, round(max(distance), 4) AS max_distance,
-           arg_min(coalesce(source_file, 'unknown'), rank) AS top_source
-    FROM t2 GROUP BY query_id"""
+           arg_min(coalesce(source_file, 'unknown'), rank) FILTER (t2.id IS NOT NULL) AS top_source
+    FROM questions q LEFT JOIN t2 ON t2.query_id = q.query_id GROUP BY q.query_id"""
+    q["retrieval_log"] = "WITH " + _text_results(True) + """
+    SELECT t.query_id, t.rank, round(t.distance, 4) AS distance,
+           coalesce(c.source_file, 'unknown') AS source_file, CAST(t.kept AS VARCHAR) AS kept
+    FROM topk t JOIN chunks c USING (id)"""
+    # Every form with a value from the table; the answers are written out.
+    q["frontmatter_forms"] = f"""
+    SELECT doc_id, source || ' #' || doc_id AS hash_title, source || ' # notes' AS single,
+           source || '"' || chr(9) || chr(233) || lang AS escaped,
+           source || ', ' || lang || ', ' || lang || chr(39) || 's, 7' AS flow,
+           doc_id || '12345678901234567890' AS wide, '0.1234567890123456' AS long_float,
+           CAST(n_chars AS VARCHAR) AS commented, lang || ' ' || source AS continued,
+           lang || {NL} || source || {NL} AS literal, lang || ' ' || source || {NL} AS folded,
+           source || ', ' || lang || ' x' AS items, lang AS quoted_key,
+           CAST(16 * 256 + doc_id % 10 AS VARCHAR) AS hex, 'None' AS nothing, 'True' AS flag,
+           CAST(12 * 60 + 3 AS VARCHAR) AS clock, length({S.strip('text')}) AS body_length
+    FROM documents"""
     q["sources"] = "WITH " + _text_results(True) + """
     SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS INTEGER) AS position,
            coalesce(source_file, 'unknown') AS source_file,

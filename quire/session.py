@@ -19,9 +19,8 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
-    # Push id IN-lists (retrieval join-back) into parquet as exact value
-    # filters instead of a min/max range, so id-sorted row groups are skipped.
-    "spark.sql.parquet.pushdown.inFilterThreshold": "20000",
+    # Split a file so that at least every core reads a part of it.
+    "spark.sql.files.openCostInBytes": "1048576",
     "spark.ui.showConsoleProgress": "false",
 }
 
@@ -68,12 +67,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
-def reliable_checkpoint(df):
-    """Cut lineage with a reliable (shared-storage) checkpoint."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def materialize(df, label: str = "table"):
     """Cut lineage by writing ``df`` as a parquet table under the shared
     ``spark.checkpoint.dir`` and reading it back.
@@ -92,20 +85,6 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-def spread(df, min_partitions: int | None = None, key: str | None = None):
-    """Spread ``df`` over at least ``min_partitions`` tasks when the scan
-    produced fewer (a small file reads as one split). CPU-heavy per-row stages
-    (regex tokenizing, embedding) then use every core. A no-op at scale, where
-    the scan already yields far more splits than cores. With ``key`` (a
-    near-unique column) rows are hash-partitioned, which needs no sort;
-    otherwise round-robin."""
-    sc = df.sparkSession.sparkContext
-    want = min_partitions or sc.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
-        return df
-    return df.repartition(want, key) if key else df.repartition(want)
-
-
 def empty_frame(spark: SparkSession, schema):
     """An empty DataFrame with ``schema``, built on the JVM (an empty Python
     list would be shipped through Python workers, one per default task)."""

@@ -27,6 +27,11 @@ CHUNK_SCHEMA = T.StructType([
     T.StructField("metadata", T.MapType(T.StringType(), T.StringType())),
 ])
 
+# What is stored: the filter fields are columns of their own, so that filters
+# on them reach the scan.
+STORED_SCHEMA = T.StructType(CHUNK_SCHEMA.fields + [
+    T.StructField("type", T.StringType()), T.StructField("author", T.StringType())])
+
 # New-id sets up to this many rows are broadcast to probe the existing table
 # (an id row is about 40 bytes, so at most ~40 MB); larger sets use a
 # shuffle join that AQE may re-plan.
@@ -49,15 +54,15 @@ def read_collection(spark: SparkSession, root: str, name: str) -> DataFrame:
     as the reference's reader returns no results instead of failing."""
     path = collection_path(root, name)
     if not _exists(spark, path):
-        return empty_frame(spark, CHUNK_SCHEMA)
-    return spark.read.schema(CHUNK_SCHEMA).parquet(path)
+        return empty_frame(spark, STORED_SCHEMA)
+    return spark.read.schema(STORED_SCHEMA).parquet(path)
 
 
 def create_collection(spark: SparkSession, root: str, name: str) -> str:
     """Get-or-create (B2): an empty table exists even when nothing was added."""
     path = collection_path(root, name)
     if not _exists(spark, path):
-        empty_frame(spark, CHUNK_SCHEMA).write.mode("append").parquet(path)
+        empty_frame(spark, STORED_SCHEMA).write.mode("append").parquet(path)
     return path
 
 
@@ -123,7 +128,9 @@ def add_chunks(spark: SparkSession, new: DataFrame, root: str, name: str,
     if n_produced <= broadcast_limit:
         probe = F.broadcast(probe)
     taken = existing_ids.join(probe, "id", "left_semi")
-    insert = first_writer(produced).join(taken, "id", "left_anti")
+    insert = first_writer(produced).join(taken, "id", "left_anti") \
+        .select(*CHUNK_SCHEMA.fieldNames(), F.col("metadata")["type"].alias("type"),
+                F.col("metadata")["author"].alias("author"))
     # Files hold disjoint, sorted id ranges: row-group statistics on id then
     # let retrieval read only the row groups of the chunks it returns.
     insert.repartitionByRange("id").sortWithinPartitions("id") \

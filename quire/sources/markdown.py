@@ -52,7 +52,7 @@ def scan_markdown(spark: SparkSession, directory: str, relative: bool = True) ->
     path = decoded_path(F.col("_metadata.file_path"))
     base_dec = base
     rel = F.when(path.startswith(base_dec + "/"),
-                 F.substring(path, len(base_dec) + 2, 1 << 30)) \
+                 F.substr(path, F.lit(len(base_dec) + 2))) \
         .otherwise(F.regexp_extract(path, r"([^/]*)$", 1))
     name = F.regexp_extract(path, r"([^/]*)$", 1)
     return df.select((rel if relative else name).alias("source_file"),
@@ -66,7 +66,7 @@ def list_markdown(spark: SparkSession, directory: str) -> DataFrame:
     base = qualified_dir(spark, directory)
     df = _reader(spark, "binaryFile").load(directory)
     path = F.col("path")  # binaryFile paths are not URL-encoded
-    rel = F.when(path.startswith(base + "/"), F.substring(path, len(base) + 2, 1 << 30)) \
+    rel = F.when(path.startswith(base + "/"), F.substr(path, F.lit(len(base) + 2))) \
         .otherwise(F.regexp_extract(path, r"([^/]*)$", 1))
     return df.select(rel.alias("source_file"), "length")
 

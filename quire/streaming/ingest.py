@@ -29,27 +29,28 @@ def markdown_stream(spark: SparkSession, directory: str,
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     df = reader.load(directory)
     path = decoded_path(F.col("_metadata.file_path"))
-    rel = F.when(path.startswith(base + "/"), F.substring(path, len(base) + 2, 1 << 30)) \
+    rel = F.when(path.startswith(base + "/"), F.substr(path, F.lit(len(base) + 2))) \
         .otherwise(F.regexp_extract(path, r"([^/]*)$", 1))
     return df.select(rel.alias("source_file"), F.col("value").alias("text"))
 
 
 def stream_ingest(spark: SparkSession, directory: str, root: str, name: str,
                   checkpoint: str | None = None, *, available_now: bool = True,
-                  no_chunk: bool = False):
+                  max_files_per_trigger: int | None = None, **options):
     """Start the incremental ingest; returns the ``StreamingQuery``.
 
     ``checkpoint`` defaults to a folder under the session's shared
-    ``spark.checkpoint.dir``.
+    ``spark.checkpoint.dir``. ``options`` are those of the batch job
+    (``no_chunk``, ``frontmatter_mode``, ``dims``, ...), see
+    :func:`quire.plans.ingest.articles_to_chunks`.
     """
     create_collection(spark, root, name)
     ckpt = checkpoint or f"{checkpoint_dir(spark).rstrip('/')}/stream_ingest_{name}"
 
     def write_batch(batch: DataFrame, _batch_id: int) -> None:
-        chunks = articles_to_chunks(batch, no_chunk=no_chunk)
-        add_chunks(batch.sparkSession, chunks, root, name)
+        add_chunks(batch.sparkSession, articles_to_chunks(batch, **options), root, name)
 
-    writer = (markdown_stream(spark, directory).writeStream
+    writer = (markdown_stream(spark, directory, max_files_per_trigger).writeStream
               .foreachBatch(write_batch).option("checkpointLocation", ckpt))
     writer = writer.trigger(availableNow=True) if available_now \
         else writer.trigger(processingTime="10 seconds")

@@ -1,122 +1,72 @@
 """The chat loop as a stateful stream (E8-E12 on arriving log lines).
 
-Session logs that arrive over time (``session_id, seq, input, response``)
-are folded per session with ``applyInPandasWithState``: the state store keeps,
-per session, whether it has quit, the ``/clear`` epoch, the five settings,
-the history length and the latest question of the epoch. Every processed
-input line produces one output row with the state in force at that line,
-the same values the batch operators in :mod:`quire.operators.replay` give.
-
-State per session is a fixed handful of fields (the message history itself
-is not kept; join answered questions back by ``(session_id, epoch)`` when
-building requests). Lines of one session must arrive in ``seq`` order across
-micro-batches; within a micro-batch they are sorted.
+Session logs that arrive over time (``session_id, seq, input, response``) are
+classified and their settings typed by the same column expressions as in the
+batch operators (:mod:`quire.operators.replay`); only those typed, narrow rows
+reach ``applyInPandasWithState``. The state store keeps, per session, whether
+it has quit, the ``/clear`` epoch, the settings in force, the history length
+and the latest question of the epoch. Every processed input line gives one row
+with the state in force at that line, the values the batch operators give.
+
+The message history itself is not kept; join answered questions back by
+``(session_id, epoch)`` when building requests. Lines of one session must
+arrive in ``seq`` order across micro-batches; within one they are sorted.
 """
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from quire.operators.replay import COMMANDS, DEFAULT_SETTINGS, QUIT_WORDS, TRUE_WORDS
-
-OUTPUT_SCHEMA = T.StructType([
-    T.StructField("session_id", T.LongType()),
-    T.StructField("seq", T.LongType()),
-    T.StructField("kind", T.StringType()),
-    T.StructField("epoch", T.LongType()),
-    T.StructField("set_ok", T.BooleanType()),
-    T.StructField("n_results", T.IntegerType()),
-    T.StructField("min_relevance", T.DoubleType()),
-    T.StructField("filter_type", T.StringType()),
-    T.StructField("filter_author", T.StringType()),
-    T.StructField("include_sources", T.BooleanType()),
-    T.StructField("history_len", T.IntegerType()),
-    T.StructField("sources_of", T.LongType()),
-])
-
-STATE_SCHEMA = T.StructType([
-    T.StructField("quit", T.BooleanType()),
-    T.StructField("epoch", T.LongType()),
-    T.StructField("n_results", T.IntegerType()),
-    T.StructField("min_relevance", T.DoubleType()),
-    T.StructField("filter_type", T.StringType()),
-    T.StructField("filter_author", T.StringType()),
-    T.StructField("include_sources", T.BooleanType()),
-    T.StructField("history_len", T.IntegerType()),
-    T.StructField("last_q", T.LongType()),
-])
+from quire.operators.replay import DEFAULT_SETTINGS, SETTING_TYPES, classify, with_updates
 
-_WS = re.compile(r"[\s\x0b\x85]+")
+_SETTINGS = ", ".join(f"{o} {t}" for o, t in SETTING_TYPES.items())
+STATE_SCHEMA = f"quit boolean, epoch long, {_SETTINGS}, history_len int, last_q long"
 
 
-def _apply_set(args: list[str], cfg: dict) -> bool:
-    """The reference's ``/set`` rule on a settings dict; True when accepted."""
-    if len(args) < 2:
-        return False
-    option, value = args[0].lower(), args[1]
-    try:
-        if option == "n_results":
-            cfg["n_results"] = min(2147483647, max(1, int(value)))  # int column
-        elif option == "min_relevance":
-            cfg["min_relevance"] = (None if value.lower() == "none"
-                                    else max(0.0, min(1.0, float(value))))
-        elif option in ("filter_type", "filter_author"):
-            cfg[option] = None if value.lower() == "none" else value
-        elif option == "include_sources":
-            cfg["include_sources"] = value.lower() in TRUE_WORDS
-        else:
-            return False
-        return True
-    except ValueError:
-        return False
+def output_schema(session_type: T.DataType) -> str:
+    return (f"session_id {session_type.simpleString()}, seq long, kind string, epoch long, "
+            f"set_ok boolean, {_SETTINGS}, history_len int, sources_of long")
 
 
 def _fold(defaults: dict):
-    keys = list(DEFAULT_SETTINGS)
+    options = list(SETTING_TYPES)
 
     def fold(key, batches, state):
-        (session_id,) = key
-        if state.exists:
-            (quit_, epoch, *vals, hist, last_q) = state.get
-            cfg = dict(zip(keys, vals))
-        else:
-            quit_, epoch, hist, last_q = False, 0, 0, None
-            cfg = {k: defaults[k] for k in keys}
-        rows = pd.concat(list(batches), ignore_index=True).sort_values("seq")
-        out = []
-        for seq, text, response in zip(rows["seq"], rows["input"], rows["response"]):
-            if quit_:
-                break
-            line = (text or "").strip()
-            if not line.startswith("/"):
-                kind = "blank" if line == "" else "question"
-                args = []
-            else:
-                parts = [p for p in _WS.split(line[1:]) if p]
-                cmd = parts[0].lower() if parts else ""
-                kind = ("quit" if cmd in QUIT_WORDS else cmd if cmd in COMMANDS else "unknown")
-                args = parts[1:]
-            set_ok = None
-            if kind == "set":
-                set_ok = _apply_set(args, cfg)
-            elif kind == "clear":
-                epoch, hist, last_q = epoch + 1, 0, None
-            if kind == "question":
-                last_q = int(seq)  # its sources are set before the answer call
-            out.append((session_id, int(seq), kind, epoch, set_ok, *[cfg[k] for k in keys],
-                        hist, last_q))
-            if kind == "question" and response is not None and response == response:
-                hist += 2  # a successful answer joins the history
-            elif kind == "quit":
-                quit_ = True
-        state.update((quit_, epoch, *[cfg[k] for k in keys], hist, last_q))
-        if out:
-            yield pd.DataFrame(out, columns=OUTPUT_SCHEMA.fieldNames())
+        """Running columns over the lines of one session, from its state on."""
+        quit_, epoch, *values, history, last_q = state.get if state.exists else (
+            False, 0, *[defaults[o] for o in options], 0, None)
+        rows = pd.concat(list(batches), ignore_index=True).sort_values("seq", ignore_index=True)
+        ends = rows.index[rows["kind"] == "quit"]
+        rows = rows.iloc[:0] if quit_ else rows.iloc[:ends[0] + 1] if len(ends) else rows
+        if not len(rows):
+            return
+        clear, question = rows["kind"] == "clear", rows["kind"] == "question"
+        cleared = clear.cumsum()
+        out = pd.DataFrame({"session_id": [key[0]] * len(rows), "seq": rows["seq"],
+                            "kind": rows["kind"], "epoch": epoch + cleared,
+                            "set_ok": rows["set_ok"]})
+        for o, start in zip(options, values):
+            # The value of the latest line that sets the option.
+            at = pd.Series(rows.index.where(rows[f"has_{o}"]), index=rows.index).ffill()
+            out[o] = [start if pd.isna(i) else rows[f"val_{o}"][i] for i in at]
+        # Messages since the latest /clear (with those of before it, if none).
+        added = 2 * (question & rows["answered"])
+        upto = added.cumsum() - added + history
+        out["history_len"] = upto - upto.where(clear).ffill().fillna(0).astype(int)
+        asked = rows["seq"].where(question).groupby(cleared).ffill()
+        out["sources_of"] = asked.where(asked.notna() | (cleared > 0), last_q).astype("Int64")
+        out = out.astype({o: object for o in options}).astype({"set_ok": object})
+        out = out.where(out.notna(), None)
+        tail = out.iloc[-1]
+        last = tail["sources_of"]
+        state.update((bool(len(ends)), int(tail["epoch"]), *[tail[o] for o in options],
+                      int(tail["history_len"]) + int(added.iloc[-1]),
+                      None if pd.isna(last) else int(last)))
+        yield out
 
     return fold
 
@@ -128,9 +78,12 @@ def replay_stream(log: DataFrame, defaults: dict | None = None) -> DataFrame:
     the settings in force, ``history_len`` (messages sent with a question)
     and ``sources_of`` (the latest question of the epoch).
     """
-    d = dict(DEFAULT_SETTINGS)
-    d.update(defaults or {})
-    src = log.select(log["session_id"].cast("long"), log["seq"].cast("long"),
-                     log["input"].cast("string"), log["response"].cast("string"))
-    return src.groupBy("session_id").applyInPandasWithState(
-        _fold(d), OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+    d = DEFAULT_SETTINGS | (defaults or {})
+    typed = with_updates(classify(log)).select(
+        "session_id", F.col("seq").cast("long").alias("seq"), "kind", "set_ok",
+        F.col("response").isNotNull().alias("answered"),
+        *[x for o in SETTING_TYPES for x in (F.col(f"_u_{o}").isNotNull().alias(f"has_{o}"),
+                                             F.col(f"_u_{o}")["v"].alias(f"val_{o}"))])
+    return typed.groupBy("session_id").applyInPandasWithState(
+        _fold(d), output_schema(log.schema["session_id"].dataType), STATE_SCHEMA, "append",
+        GroupStateTimeout.NoTimeout)

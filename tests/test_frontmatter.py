@@ -94,3 +94,41 @@ def test_yaml_errors_raise_or_give_empty_metadata(spark):
         frontmatter_map(df, "fm", mode="yaml").collect()
     row = frontmatter_map(df, "fm", mode="yaml", on_error="empty").collect()[0]
     assert dict(row.metadata) == {} and row.content == "body"
+
+
+FORMS = [
+    ('title: "Issue #42: foo"', "Issue #42: foo"), ("a: 'C # notes'", "C # notes"),
+    ('a: "He said \\"hi\\""', 'He said "hi"'), ('a: "\\u00e9\\x41\\t|"', "\xe9A\t|"),
+    ('a: ["a, b", c]', "a, b, c"), ("a: [x, 'it''s', 3]", "x, it's, 3"), ("a: []", ""),
+    ("a: 12345678901234567890", "12345678901234567890"),
+    ("a: 0xFFFFFFFFFFFFFFFFFF", "4722366482869645213695"), ("a: 0b101", "5"), ("a: 017", "15"),
+    ("a: 0.1234567890123456", "0.1234567890123456"), ("a: 1.5e+3", "1500.0"),
+    ("a: 1.0E+20", "1e+20"), ("a: 0.00001", "1e-05"), ("a: 1e3", "1e3"), ("a: -1.50", "-1.5"),
+    ("a: 123456789012345678.0", "1.2345678901234568e+17"), ("a: 12:30", "750"),
+    ('"quoted key": v', "v"), ("a: plain # comment", "plain"), ("a: foo#bar", "foo#bar"),
+    ("a: >\n  folded text\n  more\nb: 1", "folded text more\n"),
+    ("a: |-\n  lit\n  two\n\nb: 2", "lit\ntwo"), ("a: first\n  continued\nb: c", "first continued"),
+    ("a:\n- x\n- 'y, z'\nb: 1", "x, y, z"), ("a:\n\nb: ~", "None"), ("# c\na: [a,\n  b]", "a, b"),
+    ("a: https://x.y/z#frag", "https://x.y/z#frag"), ("a: 2024-01-01", "2024-01-01")]
+
+
+def test_native_forms(spark):
+    """Values as YAML reads them; a wide number stops no other file."""
+    from quire.operators.frontmatter import frontmatter_covered
+
+    df = spark.createDataFrame([(i, f"---\n{f}\n---\nbody") for i, (f, _) in enumerate(FORMS)],
+                               "i int, text string")
+    out = frontmatter_map(split_frontmatter(df, "text"), "fm").withColumn(
+        "ok", frontmatter_covered("fm")).orderBy("i").select(
+        F.map_values("metadata")[0].alias("v"), "ok").collect()
+    for (form, value), row in zip(FORMS, out):
+        assert (row.v, row.ok) == (value, True), form
+
+
+@pytest.mark.parametrize("block", ["a:\n  b: 1", "a: {b: 1}", "a: &x 1", "a:\n  - b: 1", "a: - b",
+                                   "a: [[1], 2]", "a: 2001-12-14T21:59:43Z", "loose line"])
+def test_uncovered_forms_are_told(spark, block):
+    from quire.operators.frontmatter import frontmatter_covered
+
+    df = spark.createDataFrame([(block,)], "fm string")
+    assert df.select(frontmatter_covered("fm")).first()[0] is False

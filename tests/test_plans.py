@@ -23,7 +23,7 @@ def test_knn_has_no_pair_join_and_limits_before_shuffle(spark):
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin"):
         assert bad not in p
     assert p.count("WindowGroupLimit") >= 2  # partial before and final after the shuffle
-    assert "MapInPandas" in p
+    assert "MapInArrow" in p
 
 
 def test_knn_scan_reads_only_needed_columns(spark):
@@ -31,7 +31,22 @@ def test_knn_scan_reads_only_needed_columns(spark):
     corpus = e.select(F.col("vec_id").cast("string").alias("id"), "embedding")
     qs = e.select(F.col("vec_id").alias("query_id"), "embedding")
     p = plan_text(retrieve.knn(corpus, qs, 3))
-    assert "label" not in p.split("MapInPandas")[-1]  # corpus scan prunes 'label'
+    assert "label" not in p.split("MapInArrow")[-1]  # corpus scan prunes 'label'
+
+
+def test_knn_reads_the_corpus_once_for_many_question_blocks(spark):
+    corpus, qs = catalog._vectors(spark, SF_SMALL)
+    p = plan_text(retrieve.knn(corpus, qs, 3, max_broadcast_bytes=20_000))
+    assert p.count("MapInArrow") == 1
+
+
+def test_filters_reach_the_scan_of_a_stored_collection(spark, tmp_path):
+    from quire.sources.collection import add_chunks, read_collection
+    add_chunks(spark, catalog.chunks(spark, SF_SMALL, embedded=True), str(tmp_path), "c")
+    coll = read_collection(spark, str(tmp_path), "c")
+    r = retrieve.retrieve(coll, catalog.questions(spark, SF_SMALL), filter_type="fr")
+    assert "EqualTo(type,fr)" in plan_text(r)
+    assert {x.type for x in r.select(F.col("metadata")["type"].alias("type")).collect()} == {"fr"}
 
 
 def test_retrieve_joins_back_with_broadcast(spark):
@@ -53,6 +68,10 @@ def test_chunking_is_narrow(spark):
     assert "lang" not in p and "n_chars" not in p  # unused columns pruned at the scan
 
 
+def test_whole_chunking_plan_has_no_exchange(spark):
+    assert "Exchange" not in plan_text(catalog.q_chunk_documents(spark, SF_SMALL))
+
+
 def test_first_writer_shuffles_ids_and_aggregates_repeats(spark):
     p = plan_text(catalog.q_add_chunks(spark, SF_SMALL))
     assert "partial_count" in p  # repeated ids found from ids alone

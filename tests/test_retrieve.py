@@ -100,20 +100,52 @@ def test_l2_distance_expression(spark):
     assert df.select(retrieve.l2sq(F.col("a"), F.col("b"))).collect()[0][0] == 25.0
 
 
-def test_id_pushdown_path_gives_same_results(spark, tmp_path, monkeypatch):
-    from quire.operators.embed import embed
-    from quire.plans.ingest import ingest_directory
-    from conftest import FIXTURES
-
-    root = str(tmp_path / "coll")
-    ingest_directory(spark, FIXTURES, root, "push")
-    coll = read_collection(spark, root, "push")
-    q = embed(spark.createDataFrame([(1, "windows overlap"), (2, "metadata fields")],
-                                    "query_id long, question string"), "question")
-    plain = sorted(tuple(r) for r in retrieve.retrieve(coll, q, n_results=3)
-                   .select("query_id", "rank", "id", "distance").collect())
-    monkeypatch.setattr(retrieve, "ID_FILTER_MIN_BYTES", 0)
-    r = retrieve.retrieve(coll, q, n_results=3)
-    assert "In(id" in r._jdf.queryExecution().executedPlan().toString()
-    pushed = sorted(tuple(x) for x in r.select("query_id", "rank", "id", "distance").collect())
-    assert pushed == plain and len(plain) == 6
+def test_task_emits_at_most_k_rows_per_question(spark):
+    rng = np.random.default_rng(3)
+    corpus = [(f"c{i:04d}", rng.normal(size=4).tolist()) for i in range(2000)]
+    cdf = spark.createDataFrame(corpus, "id string, embedding array<double>").coalesce(1)
+    q = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(3)],
+                              "query_id long, embedding array<double>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")  # 20 batches
+    try:
+        blocks, dim, _ = retrieve._question_blocks(
+            spark, q.select("query_id", F.col("embedding").alias("_qvec"),
+                            F.lit(5).cast("long").alias("_k")), [], 1 << 20, 3)
+        local = cdf.mapInArrow(retrieve._local_topk(blocks, dim, "l2sq"),
+                               "_pos long, id string, distance double")
+        assert local.count() == 15
+        got = {}
+        for r in retrieve.knn(cdf, q, 5).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.id)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == brute_force(corpus, [tuple(r) for r in q.collect()], 5)
+
+
+def test_equal_double_vectors_are_at_distance_zero(spark):
+    v = [0.1, 1 / 3]
+    c = spark.createDataFrame([("a", v)], "id string, embedding array<double>")
+    q = spark.createDataFrame([(1, v)], "query_id long, embedding array<double>")
+    assert retrieve.knn(c, q, 1).first().distance == 0.0
+
+
+def test_wrong_width_and_repeated_query_ids_raise(spark):
+    c = spark.createDataFrame([("a", [1.0, 2.0])], "id string, embedding array<double>")
+    schema = "query_id long, embedding array<double>"
+    with pytest.raises(ValueError, match="more than once"):
+        retrieve.knn(c, spark.createDataFrame([(1, [1.0, 2.0])] * 2, schema), 1)
+    with pytest.raises(ValueError, match="dimensions"):
+        retrieve.knn(c, spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0])], schema), 1)
+    with pytest.raises(Exception, match="dimensions"):
+        retrieve.knn(c, spark.createDataFrame([(1, [1.0])], schema), 1).collect()
+
+
+def test_report_keeps_questions_without_results(spark):
+    corpus = chunk_table(spark, [("a", [0.0], {"type": "x"})])
+    q = spark.createDataFrame([(1, [0.0], "x"), (2, [0.0], "none such"), (3, None, None)],
+                              "query_id long, embedding array<float>, filter_type string")
+    res = retrieve.retrieve(corpus, q, per_row=True, keep_unfiltered=True)
+    rep = retrieve.retrieval_report(res, q).orderBy("query_id").collect()
+    assert [(r.query_id, r.n_returned, r.n_kept, r.top_source) for r in rep] == [
+        (1, 1, 1, "a.md"), (2, 0, 0, None), (3, 0, 0, None)]
+    assert [tuple(r) for r in retrieve.retrieval_log(res).collect()] == [(1, 1, 0.0, "a.md", True)]
