@@ -29,8 +29,8 @@ from quire.operators.chunking import chunk_audit
 from quire.operators.embed import hashed_embedding
 from quire.operators.frontmatter import frontmatter_map, split_frontmatter
 from quire.plans.ingest import articles_to_chunks
-from quire.session import materialize, table_path
-from quire.sources.collection import first_writer, ingest_stats
+from quire.session import materialize, table_folder, table_path
+from quire.sources.collection import add_chunks, count, get, ingest_stats, read_collection
 
 EMBED_DIMS = 256
 
@@ -444,6 +444,19 @@ def q_last_sources(spark, sf):
         "session_id", "seq", F.col("sources_of").cast("string").alias("sources_of"))
 
 
+def q_shown_sources(spark, sf):
+    """What ``/sources`` lists: every distinct question is retrieved once."""
+    log = command_log(spark, sf)
+    asked = replay.classify(log).filter(F.col("kind") == "question") \
+        .select("session_id", F.col("seq").alias("sources_of"), F.col("line").alias("query_id"))
+    texts = asked.select("query_id").distinct() \
+        .withColumn("embedding", hashed_embedding("query_id", EMBED_DIMS))
+    found = retrieve.sources(retrieve.retrieve(collection(spark, sf), texts, n_results=3,
+                                               min_relevance=0.42))
+    shown = replay.shown_sources(log, asked.join(found, "query_id").drop("query_id"))
+    return shown.select("session_id", "seq", "n_sources", "position", "source_file", "title")
+
+
 # ---------------------------------------------------------------------------
 # Collections and sync (A*, B*, F1)
 # ---------------------------------------------------------------------------
@@ -460,14 +473,20 @@ def _collided(spark, sf):
                                           with_embedding=False), "collided")
 
 
+def _stored(spark, sf) -> DataFrame:
+    """The collection after the same articles were ingested twice."""
+    root, chunks_ = table_folder(spark, "collections"), _collided(spark, sf)
+    for _ in range(2):
+        add_chunks(spark, chunks_, root, "documents")
+    return read_collection(spark, root, "documents")
+
+
 def q_add_chunks(spark, sf):
-    w = first_writer(_collided(spark, sf))
-    return w.select("id", "source_file", "chunk_index")
+    return get(_stored(spark, sf), ["source_file", "chunk_index"])
 
 
 def q_collection_count(spark, sf):
-    w = first_writer(_collided(spark, sf))
-    return w.agg(F.count(F.lit(1)).alias("count"))
+    return count(_stored(spark, sf))
 
 
 def page_candidates(spark, sf) -> DataFrame:
@@ -519,6 +538,7 @@ QUERIES = {
     "until_quit": q_until_quit,
     "settings_at": q_settings_at,
     "last_sources": q_last_sources,
+    "shown_sources": q_shown_sources,
     "ingest_stats": q_ingest_stats,
     "add_chunks": q_add_chunks,
     "collection_count": q_collection_count,

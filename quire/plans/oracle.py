@@ -148,8 +148,8 @@ def _questions(per_row: bool) -> str:
     questions AS (SELECT item_id AS query_id, text AS question {cfg} FROM benchmark)"""
 
 
-def _text_results(per_row: bool) -> str:
-    return _chunks() + "," + _questions(per_row) + "," + \
+def _text_results(per_row: bool, questions: str | None = None) -> str:
+    return _chunks() + "," + (questions or _questions(per_row)) + "," + \
         _embed("chunks", "id", "document", "cemb") + "," + \
         _embed("questions", "query_id", "question", "qemb") + f""",
     cand AS (
@@ -501,6 +501,23 @@ def queries_sql() -> dict[str, str]:
                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sources_of
            FROM processed)
     SELECT session_id, seq, CAST(sources_of AS VARCHAR) AS sources_of FROM ls WHERE kind = 'sources'"""
+    asked = """
+    questions AS (SELECT DISTINCT line AS query_id, line AS question, 3 AS n_results,
+                         0.42::DOUBLE AS min_relevance, NULL::VARCHAR AS filter_type,
+                         NULL::VARCHAR AS filter_author FROM classified WHERE kind = 'question')"""
+    q["shown_sources"] = ("WITH " + _commands() + "," + _classified("cmdlog") + ","
+                          + _text_results(False, asked) + """,
+    src AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS INTEGER)
+                     AS position, coalesce(source_file, 'unknown') AS source_file,
+                   substr(coalesce(title, 'untitled'), 1, 40) AS title FROM results),
+    ls AS (SELECT *, last_value(CASE WHEN kind = 'question' THEN line END IGNORE NULLS) OVER (
+                  PARTITION BY session_id, epoch ORDER BY seq
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS asked
+           FROM processed)
+    SELECT session_id, seq,
+           CAST(count(src.position) OVER (PARTITION BY session_id, seq) AS INTEGER) AS n_sources,
+           position, source_file, title
+    FROM ls LEFT JOIN src ON src.query_id = ls.asked WHERE kind = 'sources'""")
     q["ingest_stats"] = "WITH " + _chunks() + """
     SELECT (SELECT count(*) FROM documents) AS files_processed,
            (SELECT count(*) FROM chunks) AS chunks_added, 'documents' AS collection_name"""

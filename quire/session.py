@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -75,12 +76,36 @@ def materialize(df, label: str = "table"):
     a lost executor re-reads the table instead of recomputing the lineage.
     """
     spark = df.sparkSession
-    base = checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/quire-tables/{label}-{uuid.uuid4().hex}"
+    path = table_folder(spark, label)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.parquet(path)
 
 
+_FOLDERS: list[str] = []  # of this process, dropped when it ends
+
+
+def table_folder(spark: SparkSession, label: str) -> str:
+    """A new folder for intermediate tables under the shared checkpoint
+    folder. It is dropped by :func:`drop_tables`, at the latest when the
+    driver ends normally."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/quire-tables/{label}-{uuid.uuid4().hex}"
+    if not _FOLDERS:
+        atexit.register(drop_tables, spark)
+    _FOLDERS.append(path)
+    return path
+
+
+def drop_tables(spark: SparkSession) -> int:
+    """Delete the intermediate tables written so far; their number. Frames
+    that still read them can no longer be computed."""
+    jvm, dropped = spark.sparkContext._jvm, 0
+    conf = jvm.org.apache.hadoop.conf.Configuration()
+    while _FOLDERS:
+        folder = jvm.org.apache.hadoop.fs.Path(_FOLDERS.pop())
+        dropped += bool(folder.getFileSystem(conf).delete(folder, True))
+    return dropped
+
+
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 

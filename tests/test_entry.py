@@ -47,3 +47,12 @@ def test_query_equals_sql(spark, duck, name):
     d = [{k: (None if v != v else v) if isinstance(v, float) else v for k, v in r.items()}
          for r in d]
     assert canon(s) == canon(d)
+
+
+def test_intermediate_tables_are_dropped(spark):
+    from quire.session import drop_tables, materialize
+
+    drop_tables(spark)
+    df = materialize(spark.range(3), "kept")
+    assert df.count() == 3
+    assert drop_tables(spark) == 1 and drop_tables(spark) == 0

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from conftest import SF_SMALL
 from quire.operators import retrieve
 from quire.plans import catalog
+from quire.sources.collection import first_writer
 
 
 def plan_text(df) -> str:
@@ -73,7 +74,7 @@ def test_whole_chunking_plan_has_no_exchange(spark):
 
 
 def test_first_writer_shuffles_ids_and_aggregates_repeats(spark):
-    p = plan_text(catalog.q_add_chunks(spark, SF_SMALL))
+    p = plan_text(first_writer(catalog._collided(spark, SF_SMALL)))
     assert "partial_count" in p  # repeated ids found from ids alone
     assert "partial_min_by" in p  # map-side combine before the shuffle
     assert "Window" not in p
