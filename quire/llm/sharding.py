@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.ranking import gapless
@@ -24,54 +24,38 @@ from quire.session import materialize
 BINS = 1024           # bins of one histogram; one per node, and a few levels deep
 CLOSE = 0.001         # a cut this near its target, as a share of a shard, is taken
 OVERHEAD = 16         # bytes a row counts beside its text
-_LEAST, _MOST = -(1 << 63), (1 << 63) - 1
+# Keys are kept within 62 bits, so that differences of keys fit in 64.
+_LEAST, _MOST = -(1 << 61), (1 << 61) - 1
 
 
 @dataclass
 class Node:
-    """A subtree: ``k`` shards from number ``first`` on. An inner node sends
-    rows whose key is below ``cut`` to ``left``."""
+    """A subtree: ``k`` shards from number ``first`` on. Its cut sends rows
+    whose key (dimension, hash, row number) is below it to the left part,
+    the ``k // 2`` shards from ``first`` on."""
 
     k: int
     first: int
-    key: tuple[str, ...] = ()
-    cut: tuple[int, ...] = ()
-    left: Node | None = None
-    right: Node | None = None
-
-    def place(self) -> Column:
-        """Number of the leaf of a row (its first shard, while growing)."""
-        if self.left is None:
-            return F.lit(self.first)
-        return F.when(_below(self.key, self.cut), self.left.place()) \
-            .otherwise(self.right.place())
-
-    def leaves(self) -> list[Node]:
-        return [self] if self.left is None else self.left.leaves() + self.right.leaves()
-
-
-def _below(key: tuple[str, ...], cut: tuple[int, ...]) -> Column:
-    """Lexicographic order of the key columns against a cut."""
-    out = F.lit(False)
-    for name, value in reversed(list(zip(key, cut))):
-        v = F.lit(value).cast("long")
-        out = (F.col(name) < v) | ((F.col(name) == v) & out)
-    return out
+    dim: int = 0
+    cut: tuple[int, int, int] = (0, 0, 0)
+
+    def halves(self) -> list[Node]:
+        half = self.k // 2
+        return [Node(half, self.first), Node(self.k - half, self.first + half)]
 
 
 @dataclass
 class _Search:
-    """Narrowing of one node's cut: columns before ``depth`` are fixed at
-    ``fixed``, the current one lies in ``low..high``; ``before`` bytes are
+    """Narrowing of one node's cut: the key columns before the current one
+    are fixed, the current one lies in ``low..high``; ``before`` bytes are
     known to lie below all of it."""
 
     node: Node
     target: float
     close: float
-    key: tuple[str, ...]
-    fixed: tuple[int, ...]
     low: int
     high: int
+    fixed: tuple[int, ...] = ()
     before: float = 0.0
     done: bool = False
 
@@ -79,95 +63,104 @@ class _Search:
     def width(self) -> int:
         return max(1, -(-(self.high - self.low + 1) // BINS))
 
-    def inside(self) -> Column:
-        c = F.col(self.key[len(self.fixed)])
-        same = [F.col(k) == F.lit(v).cast("long") for k, v in zip(self.key, self.fixed)]
-        out = c.between(F.lit(self.low).cast("long"), F.lit(self.high).cast("long"))
-        for s in same:
-            out &= s
-        return out
-
-    def bin(self) -> Column:
-        c = self.key[len(self.fixed)]  # differences can take 65 bits
-        return F.expr(f"cast((cast(`{c}` as decimal(20,0)) - ({self.low}BD)) "
-                      f"div {self.width}BD as int)")
+    def row(self) -> tuple:
+        return (self.node.first, self.node.dim, len(self.fixed), *(*self.fixed, 0, 0)[:2],
+                self.low, self.high, self.width)
 
     def take(self, bins: list[tuple[int, float]]) -> None:
         """Narrow down with the bytes of each bin, in order."""
-        for b, size in bins:
+        for i, (b, size) in enumerate(bins):
             lo = self.low + b * self.width
             hi = min(lo + self.width - 1, self.high)
-            if self.before + size <= self.target and (b, size) != bins[-1]:
+            if self.before + size <= self.target and i + 1 < len(bins):
                 self.before += size
                 continue
-            over = self.before + size - self.target
-            if self.target - self.before <= self.close or over <= self.close:
-                # Cut at the nearer border of the bin.
-                at = lo if self.target - self.before <= over else hi + 1
-                self._set(at)
-            elif lo < hi:
-                self.low, self.high = lo, hi
-            elif len(self.fixed) + 1 < len(self.key):
-                # All of the bin shares one value: go on with the next column.
-                self.fixed += (lo,)
-                self.low, self.high = _LEAST, _MOST
-            else:
-                self._set(lo if self.target - self.before <= over else hi + 1)
-            return
-        self._set(self.low)
-
-    def _set(self, at: int) -> None:
-        rest = len(self.key) - len(self.fixed) - 1
-        if at > _MOST:  # beyond the last value of this column
-            self.node.cut = self.fixed[:-1] + (self.fixed[-1] + 1,) + (_LEAST,) * (rest + 1) \
-                if self.fixed else (_MOST,) * len(self.key)
-        else:
-            self.node.cut = self.fixed + (at,) + (_LEAST,) * rest
+            under, over = self.target - self.before, self.before + size - self.target
+            if under > self.close and over > self.close:
+                if lo < hi:
+                    self.low, self.high = lo, hi
+                    return
+                if len(self.fixed) < 2:
+                    # All of the bin shares one value: go on with the next column.
+                    self.fixed += (lo,)
+                    self.low, self.high = _LEAST, _MOST
+                    return
+            # Cut at the nearer border of the bin.
+            self.low = lo if under <= over else hi + 1
+            break
+        self.node.cut = (*self.fixed, self.low, _LEAST, _LEAST)[:3]
         self.done = True
 
 
-def _grow(rows: DataFrame, dims: list[str], shards: int) -> Node:
-    span = rows.agg(F.sum("size").alias("bytes"),
-                    *[F.min(d).alias(f"lo_{d}") for d in dims],
-                    *[F.max(d).alias(f"hi_{d}") for d in dims]).first()
-    root = Node(shards, 0)
-    if not span.bytes:
-        return root
-    ranges = {d: max(span[f"hi_{d}"] - span[f"lo_{d}"], 1) for d in dims}
-    close = CLOSE * span.bytes / shards
-    while any(leaf.k > 1 for leaf in root.leaves()):
-        growing = {n.first: n for n in root.leaves() if n.k > 1}
-        placed = rows.withColumn("_node", root.place()) \
-            .filter(F.col("_node").isin(list(growing)))
-        stats = {r._node: r for r in placed.groupBy("_node").agg(
-            F.sum("size").alias("bytes"),
-            *[F.min(d).alias(f"lo_{d}") for d in dims],
-            *[F.max(d).alias(f"hi_{d}") for d in dims]).collect()}
+def _table(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
+    """A few rows of whole numbers, as data of the plan: the generated code
+    stays the same from level to level."""
+    values = ", ".join(f"({', '.join(f'{x}L' for x in row)})" for row in rows)
+    return F.broadcast(spark.sql(f"SELECT * FROM VALUES {values} AS t({names})"))
+
+
+def _descend(rows: DataFrame, nodes: list[Node]) -> DataFrame:
+    """Rows with ``_node`` moved from the nodes cut to their halves."""
+    cuts = _table(rows.sparkSession, [(n.first, n.dim, *n.cut, n.first + n.k // 2)
+                                      for n in nodes], "_n, _dim, _c0, _c1, _c2, _right")
+    value = F.get("_dims", F.col("_dim").cast("int"))
+    right = (value > F.col("_c0")) | ((value == F.col("_c0")) & (
+        (F.col("_hash") > F.col("_c1")) | ((F.col("_hash") == F.col("_c1"))
+                                           & (F.col("_row") >= F.col("_c2")))))
+    return rows.join(cuts, F.col("_node") == F.col("_n"), "left").withColumn(
+        "_node", F.when(right, F.col("_right")).otherwise(F.col("_node"))) \
+        .drop("_n", "_dim", "_c0", "_c1", "_c2", "_right")
+
+
+def _count(rows: DataFrame, searches: list[_Search]) -> dict[int, list[tuple[int, float]]]:
+    """Bytes in each bin of each search."""
+    open_ = _table(rows.sparkSession, [s.row() for s in searches],
+                   "_n, _dim, _depth, _f0, _f1, _low, _high, _width")
+    value, depth = F.get("_dims", F.col("_dim").cast("int")), F.col("_depth")
+    key = F.when(depth == 0, value).when(depth == 1, F.col("_hash")).otherwise(F.col("_row"))
+    inside = (key.between(F.col("_low"), F.col("_high"))
+              & ((depth < 1) | (value == F.col("_f0")))
+              & ((depth < 2) | (F.col("_hash") == F.col("_f1"))))
+    found = rows.join(open_, F.col("_node") == F.col("_n")).filter(inside) \
+        .withColumn("_key", key).withColumn("_bin", F.expr("(_key - _low) div _width")) \
+        .groupBy("_n", "_bin").agg(F.sum("size").alias("bytes")).collect()
+    out: dict[int, list[tuple[int, float]]] = {}
+    for r in sorted(found):
+        out.setdefault(r[0], []).append((r[1], float(r[2])))
+    return out
+
+
+def _grow(rows: DataFrame, dims: int, shards: int) -> DataFrame:
+    """``rows`` with the number of their leaf as ``_node``."""
+    ends = [f(F.get("_dims", F.lit(i))) for i in range(dims) for f in (F.min, F.max)]
+
+    def ranges(frame: DataFrame) -> dict:
+        return {r[0]: (r[1], [(r[2 + 2 * i], r[3 + 2 * i]) for i in range(dims)])
+                for r in frame.groupBy("_node").agg(F.sum("size"), *ends).collect()}
+    placed, growing = rows.withColumn("_node", F.lit(0).cast("long")), [Node(shards, 0)]
+    whole = None
+    while growing := [n for n in growing if n.k > 1]:
+        stats = ranges(placed)
+        whole = whole or stats.get(0)
+        if whole is None:
+            return placed
+        close = CLOSE * whole[0] / shards
+        wide = [max(hi - lo, 1) for lo, hi in whole[1]]
         searches = []
-        for first, node in growing.items():
-            half = node.k // 2
-            s = stats.get(first)
-            if s is None:  # no rows left here: any cut does
-                node.key, node.cut = (dims[0], "_hash", "_row"), (0, 0, 0)
-            else:
-                dim = max(dims, key=lambda d, s=s: (s[f"hi_{d}"] - s[f"lo_{d}"]) / ranges[d])
-                node.key = (dim, "_hash", "_row")
-                searches.append(_Search(node, s.bytes * half / node.k, close, node.key, (),
-                                        s[f"lo_{dim}"], s[f"hi_{dim}"]))
+        for node in growing:
+            if node.first in stats:
+                size, spans = stats[node.first]
+                node.dim = max(range(dims), key=lambda i, spans=spans: (
+                    spans[i][1] - spans[i][0]) / wide[i])
+                searches.append(_Search(node, size * (node.k // 2) / node.k, close,
+                                        *spans[node.dim]))
         while open_ := [s for s in searches if not s.done]:
-            bin_ = F.lit(None).cast("int")
-            for s in open_:
-                bin_ = F.when((F.col("_node") == s.node.first) & s.inside(), s.bin()) \
-                    .otherwise(bin_)
-            counted = placed.withColumn("_bin", bin_).filter("_bin is not null") \
-                .groupBy("_node", "_bin").agg(F.sum("size").alias("bytes")).collect()
-            for s in open_:
-                s.take(sorted((r._bin, float(r.bytes)) for r in counted
-                              if r._node == s.node.first))
-        for first, node in growing.items():
-            half = node.k // 2
-            node.left, node.right = Node(half, first), Node(node.k - half, first + half)
-    return root
+            counted = _count(placed, open_)
+            for search in open_:
+                search.take(counted.get(search.node.first, []))
+        placed = _descend(placed, growing)
+        growing = [half for n in growing for half in n.halves()]
+    return placed
 
 
 def kd_shards(docs: DataFrame, dims: dict[str, Column], shards: int | None = None,
@@ -189,14 +182,13 @@ def kd_shards(docs: DataFrame, dims: dict[str, Column], shards: int | None = Non
     rows = materialize(docs.select(
         F.col(id_col), (F.octet_length(body) + OVERHEAD).cast("long").alias("size"),
         F.crc32(body.cast("binary")).cast("long").alias("text_crc32"),
-        *[F.coalesce(c.cast("long"), F.lit(0).cast("long")).alias(f"_dim_{name}")
-          for name, c in dims.items()],
-        F.xxhash64(F.col(id_col)).alias("_hash"),
+        F.array(*[F.greatest(F.lit(_LEAST), F.least(F.lit(_MOST), F.coalesce(
+            c.cast("long"), F.lit(0).cast("long")))) for c in dims.values()]).alias("_dims"),
+        F.shiftright(F.xxhash64(F.col(id_col)), 2).alias("_hash"),
         F.monotonically_increasing_id().alias("_row")), "shard-rows")
     if shards is None:
         total = rows.agg(F.sum("size")).first()[0] or 0
         shards = max(1, round(total / target_bytes))
-    root = _grow(rows, [f"_dim_{name}" for name in dims], shards)
-    placed = rows.withColumn("shard", root.place().cast("int"))
+    placed = _grow(rows, len(dims), shards).withColumn("shard", F.col("_node").cast("int"))
     return gapless(placed, "shard", [F.col(id_col), F.col("_row")]) \
         .select(id_col, "size", "text_crc32", "shard", "slot")
