@@ -88,7 +88,10 @@ def write_archive(rows: DataFrame, path: str, record_id: str = "record_id", url:
         (F.min("length") == F.max("length")).alias("as_long"))
     checked = first.withColumn("n", F.when(F.col("same") & F.col("as_long"), F.col("n")).otherwise(
         F.raise_error(F.concat(F.lit("digest clash at "), F.col("address"))).cast("long")))
-    shared = checked.filter("n > 1").select("address", "first")
+    # Written, so that its true size decides how it is joined: payload bytes
+    # move only if the table of shared payloads is large itself.
+    checked.filter("n > 1").select("address", "first").write.parquet(f"{path}/shared")
+    shared = rows.sparkSession.read.parquet(f"{path}/shared")
 
     # Rows of payloads that occur once need no join partner.
     told = described.join(shared, "address", "left")
