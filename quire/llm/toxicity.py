@@ -31,7 +31,10 @@ PREFIXES = (4, 5, 6)  # lengths of the word beginnings tried as entries
 MIN_DOCS = 4          # toxic documents that hold an entry, at least
 MIN_GAIN = 15.0       # log-likelihood gain (G-squared) of an entry, at least
 MIN_ODDS = 1.5        # its smoothed log-odds, at least
+MIN_CONTEXTS = 6      # different words before an entry, at least, ...
+CONTEXT_SHARE = 0.2   # ... or this share of those documents
 EXCEPTION_DOCS = 3    # clean documents that hold an exception phrase, at least
+RIDGE = 1.0           # of the regression, on standardised features
 
 # Letters that look alike, and digits or signs for letters.
 LOOK_ALIKES = {
@@ -177,6 +180,33 @@ def _phrases(model: Model):
     return run
 
 
+def _contexts(model: Model):
+    """Matched entries of toxic texts, each with the word before it."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        automaton = ahocorasick.Automaton()
+        for entry in model.entries:
+            automaton.add_word(entry, entry)
+        automaton.make_automaton()
+        for pdf in batches:
+            for text in pdf["text"]:
+                folded, found = fold(text), set()
+                for end, entry in automaton.iter(folded):
+                    at = end - len(entry) + 1
+                    found.add((entry, folded[folded.rfind(" ", 0, at) + 1:at] if at else ""))
+                if found:
+                    yield pd.DataFrame(list(found), columns=["term", "before"])
+    return run
+
+
+def _without_copied(model: Model, toxic_rows: DataFrame, docs: dict[str, float]) -> dict:
+    """Entries that stand in different contexts: words that many copies of
+    one text share are no sign of toxicity."""
+    seen = toxic_rows.mapInPandas(_contexts(model), "term string, before string") \
+        .groupBy("term").agg(F.countDistinct("before").alias("n")).collect()  # MAX_ENTRIES rows
+    return {r.term: model.entries[r.term] for r in seen
+            if r.n >= min(MIN_CONTEXTS, max(MIN_DOCS, CONTEXT_SHARE * docs[r.term]))}
+
+
 def _feature_rows(model: Model):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         automaton = model.automaton()
@@ -192,32 +222,59 @@ def _by_term(frame: DataFrame) -> DataFrame:
                                      F.sum(1 - F.col("toxic")).cast("double").alias("b"))
 
 
-def _lexicon(frame: DataFrame, n_toxic: int, n_clean: int) -> dict[str, float]:
+def _lexicon(frame: DataFrame, n_toxic: int, n_clean: int) -> dict[str, tuple[float, float]]:
+    """Weight and number of toxic documents of the strongest terms."""
     rate = n_toxic / (n_toxic + n_clean)
     n, a, b = F.col("a") + F.col("b"), F.col("a"), F.col("b")
     gain = 2 * (F.when(a > 0, a * F.log(a / (n * rate))).otherwise(0.0)
                 + F.when(b > 0, b * F.log(b / (n * (1 - rate)))).otherwise(0.0))
     odds = F.log((a + 0.5) / (n_toxic + 1.0)) - F.log((b + 0.5) / (n_clean + 1.0))
     kept = _by_term(frame).filter(F.col("a") >= MIN_DOCS) \
-        .select("term", gain.alias("gain"), odds.alias("odds")) \
+        .select("term", "a", gain.alias("gain"), odds.alias("odds")) \
         .filter((F.col("gain") >= MIN_GAIN) & (F.col("odds") >= MIN_ODDS)) \
         .orderBy(F.desc("gain"), "term").limit(MAX_ENTRIES)
-    return {r.term: r.odds for r in kept.collect()}
+    return {r.term: (r.odds, r.a) for r in kept.collect()}
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> list[float]:
-    """Ridge-regularised logistic regression by Newton's method."""
-    design = np.column_stack([np.ones(len(x)), x])
-    beta, ridge = np.zeros(design.shape[1]), np.diag([1e-6, 1e-2, 1e-2, 1e-2])
+def _newton(design: np.ndarray, y: np.ndarray, rounds: int = 100) -> np.ndarray:
+    """Ridge-regularised logistic regression; steps are halved until the
+    penalised likelihood grows, so separable classes do no harm."""
+    ridge = np.full(design.shape[1], RIDGE)
+    ridge[0] = 1e-6
+
+    def gain(beta: np.ndarray) -> float:
+        z = design @ beta
+        return float((y * z - np.logaddexp(0, z)).sum() - (ridge * beta * beta).sum() / 2)
+    beta = np.zeros(design.shape[1])
+    now = gain(beta)
     for _ in range(rounds):
-        p = 1.0 / (1.0 + np.exp(-np.clip(design @ beta, -30, 30)))
-        grad = design.T @ (y - p) - ridge @ beta
-        hess = (design * (p * (1 - p))[:, None]).T @ design + ridge
+        p = 1.0 / (1.0 + np.exp(-np.clip(design @ beta, -40, 40)))
+        grad = design.T @ (y - p) - ridge * beta
+        hess = (design * (p * (1 - p))[:, None]).T @ design + np.diag(ridge)
         step = np.linalg.solve(hess, grad)
-        beta += np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-8:
+        while (new := gain(beta + step)) <= now and np.abs(step).max() > 1e-9:
+            step /= 2
+        if new <= now + 1e-9:
+            break
+        beta, now = beta + step, new
+    return beta
+
+
+def _logistic(x: np.ndarray, y: np.ndarray) -> list[float]:
+    """Intercept and coefficients of the features. More weight never lowers
+    a score: a weight feature that would is left out."""
+    mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
+    used = [0, 1, 2]
+    while True:
+        design = np.column_stack([np.ones(len(x)), ((x - mean) / scale)[:, used]])
+        beta = _newton(design, y)
+        wrong = [i for i, c in zip(used, beta[1:]) if i < 2 and c < 0]
+        if not wrong:
             break
-    return [float(v) for v in beta]
+        used.remove(min(wrong, key=lambda i: beta[1 + used.index(i)]))
+    out = np.zeros(3)
+    out[used] = beta[1:] / scale[used]
+    return [float(beta[0] - out @ mean), *map(float, out)]
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS,
@@ -235,8 +292,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS,
         model = Model(exceptions=[fold(p) for p in exceptions if fold(p).strip()])
         if not n_toxic or not n_clean:
             return model
-        model.entries = _lexicon(rows.mapInPandas(_terms, "term string, toxic int"),
-                                 n_toxic, n_clean)
+        found = _lexicon(rows.mapInPandas(_terms, "term string, toxic int"), n_toxic, n_clean)
+        model.entries = {term: odds for term, (odds, _) in found.items()}
+        if found:
+            model.entries = _without_copied(model, rows.filter("toxic > 0"),
+                                            {term: n for term, (_, n) in found.items()})
         phrases = _by_term(rows.mapInPandas(_phrases(model), "term string, toxic int"))
         excused = phrases.filter(
             (F.col("b") >= EXCEPTION_DOCS)

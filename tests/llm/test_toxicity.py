@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from quire.llm import toxicity as T
@@ -76,3 +77,28 @@ def test_edge_rows(spark):
     assert {1000, 1001, 1002, 1003} <= ids and 1004 not in ids and 0 not in ids
     empty = spark.createDataFrame([], SCHEMA)
     assert T.score_documents(empty, none).count() == 0
+
+
+def test_regression_on_separable_classes():
+    """Classes that one feature parts completely must not turn the fit round."""
+    rng = np.random.default_rng(1)
+    n = 4000
+    toxic = rng.random(n) < 0.1
+    total = np.where(toxic, rng.uniform(8, 60, n), 0.0)
+    words = rng.integers(1, 2000, n)
+    x = np.column_stack([np.log1p(total), total / np.sqrt(1 + words / 50), np.log1p(words)])
+    beta = np.array(T._logistic(x, toxic.astype(float)))
+    assert beta[1] >= 0 and beta[2] >= 0
+    score = beta[0] + x @ beta[1:]
+    assert ((score >= 0) == toxic).mean() > 0.999
+
+
+def test_words_of_copied_texts_are_no_entries(spark):
+    docs, labels = corpus()
+    copy = " ".join(f"odd{chr(97 + i)}word" for i in range(20))
+    for i in range(60):  # many toxic copies of one text
+        docs.append((5000 + i, f"{copy} nitwit", "", ""))
+        labels.append((5000 + i, 1))
+    model = T.fit(spark.createDataFrame(docs, SCHEMA),
+                  spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert " nitwit " in model.entries and not any("odd" in e for e in model.entries)
