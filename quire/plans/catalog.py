@@ -166,7 +166,9 @@ def q_chunk_whole(spark, sf):
 
 
 def q_chunk_audit(spark, sf):
-    return chunk_audit(chunks(spark, sf))
+    bodies = split_frontmatter(articles(spark, sf), "text").select("source_file", "content")
+    return chunk_audit(chunks(spark, sf), contents=bodies) \
+        .withColumn("end_kept", F.col("end_kept").cast("string"))
 
 
 def q_frontmatter_split(spark, sf):

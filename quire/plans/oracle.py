@@ -371,8 +371,10 @@ def queries_sql() -> dict[str, str]:
            CAST(sum(CASE WHEN token_count > 256 THEN 1 ELSE 0 END) AS INTEGER) AS oversized,
            CAST(sum(CASE WHEN {S.strip('document')} = '' THEN 1 ELSE 0 END) AS INTEGER) AS blank,
            CAST(sum(CASE WHEN overlap = FALSE THEN 1 ELSE 0 END) AS INTEGER) AS missing_overlap,
-           max(chunk_index) + 1 = count(*) AS complete
-    FROM ov GROUP BY source_file"""
+           max(chunk_index) + 1 = count(*) AS complete,
+           CAST(ends_with(any_value(content), right(arg_max(document, chunk_index), 40)) AS VARCHAR)
+             AS end_kept
+    FROM ov JOIN parsed USING (source_file) GROUP BY source_file"""
     q["frontmatter_split"] = "WITH " + _parsed() + """
     SELECT source_file, fm, md5(content) AS content_md5, CAST(length(content) AS INTEGER) AS content_length
     FROM parsed"""
