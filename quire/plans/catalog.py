@@ -28,6 +28,7 @@ from quire.operators import assemble, replay, retrieve
 from quire.operators.chunking import chunk_audit
 from quire.operators.embed import hashed_embedding
 from quire.operators.frontmatter import frontmatter_map, split_frontmatter
+from quire.plans.ask import replay_requests
 from quire.plans.ingest import articles_to_chunks
 from quire.session import materialize, table_folder, table_path
 from quire.sources.collection import add_chunks, count, get, ingest_stats, read_collection
@@ -138,6 +139,14 @@ def command_log(spark: SparkSession, sf: str) -> DataFrame:
                     line.alias("input"))
 
 
+def chat_log(spark: SparkSession, sf: str) -> DataFrame:
+    """The command log with answers to two questions in three, without the
+    settings that ask for all chunks."""
+    return command_log(spark, sf).filter(~F.col("input").rlike("9{21}")).withColumn(
+        "response", F.when(F.pmod("seq", F.lit(3)) > 0,
+                           F.concat(F.lit("answer "), F.col("seq").cast("string"))))
+
+
 def fragments(spark: SparkSession, sf: str) -> DataFrame:
     c = _t(spark, sf, "conversations") \
         .filter(F.col("role") == "assistant")
@@ -396,6 +405,13 @@ def q_requests(spark, sf):
                     assemble.render_messages(msgs).alias("messages_text"))
 
 
+def q_chat_requests(spark, sf):
+    r = replay_requests(collection(spark, sf), chat_log(spark, sf), dims=EMBED_DIMS)
+    return r.select("session_id", "seq", "model", "max_tokens", F.md5("system").alias("system_md5"),
+                    "n_sources", F.size("messages").alias("n_messages"),
+                    F.md5(assemble.render_messages(F.col("messages"))).alias("messages_md5"))
+
+
 def q_response_assembly(spark, sf):
     fr = fragments(spark, sf).select(F.struct("conv_id", "turn").alias("request_id"),
                                      "seq", F.col("frag").alias("text"))
@@ -533,6 +549,7 @@ QUERIES = {
     "system_prompt": q_system_prompt,
     "history_replay": q_history_replay,
     "requests": q_requests,
+    "chat_requests": q_chat_requests,
     "response_assembly": q_response_assembly,
     "running_response": q_running_response,
     "preview": q_preview,

@@ -477,6 +477,63 @@ def queries_sql() -> dict[str, str]:
            CASE WHEN history_len > 0 THEN {hist_text} || {NL} ELSE '' END || 'user: ' || line
              AS messages_text
     FROM hist WHERE kind = 'question'"""
+    head, tail = _settings().rsplit("    SELECT session_id, seq, kind,", 1)
+    head = head.replace("      FROM events)", """      FROM events),
+    chatlog AS (SELECT *, CASE WHEN seq % 3 > 0 THEN 'answer ' || seq END AS response
+                FROM cmdlog WHERE NOT regexp_matches(input, '9{21}'))""") \
+        .replace("FROM cmdlog),", "FROM chatlog),")
+    distinct = """
+    texts AS (SELECT DISTINCT line AS text_id, line AS question FROM s WHERE kind = 'question'),
+    questions AS (SELECT DISTINCT line, n_results, min_relevance, filter_type, filter_author
+                  FROM s WHERE kind = 'question')"""
+    q["chat_requests"] = head + f""",
+    s AS (SELECT line, response, epoch, session_id, seq, kind, {tail}),""" \
+        + _chunks() + "," + distinct + "," + _embed("chunks", "id", "document", "cemb") + "," \
+        + _embed("texts", "text_id", "question", "qemb") + f""",
+    dist AS (SELECT qe.key AS line, c.id, c.type, c.author,
+                    {_dist('qe.e', 'ce.e', str(D))} AS distance
+             FROM qemb qe JOIN chunks c ON TRUE JOIN cemb ce ON ce.key = c.id),
+    ranked AS (
+      SELECT q.*, d.id, d.distance, row_number() OVER (
+               PARTITION BY q.line, q.n_results, q.min_relevance, q.filter_type, q.filter_author
+               ORDER BY d.distance, d.id) AS rank
+      FROM questions q JOIN dist d ON d.line = q.line
+       AND (q.filter_type IS NULL OR q.filter_type = '' OR d.type = q.filter_type)
+       AND (q.filter_author IS NULL OR q.filter_author = '' OR d.author = q.filter_author)),
+    results AS (
+      SELECT r.line, r.n_results, r.min_relevance, r.filter_type, r.filter_author, r.rank,
+             c.source_file, c.chunk_index, c.total_chunks, c.document, c.entries, c.title
+      FROM ranked r JOIN chunks c USING (id) WHERE r.rank <= r.n_results
+       AND (r.min_relevance IS NULL OR 1.0 / (1.0 + r.distance) >= r.min_relevance)),
+    blocks AS (
+      SELECT *, row_number() OVER (PARTITION BY line, n_results, min_relevance, filter_type,
+                                   filter_author ORDER BY rank) AS i FROM results),
+    ctx AS (
+      SELECT line, n_results, min_relevance, filter_type, filter_author, count(*) AS n,
+             {S.lit(CONTEXT_HEADER)} || {NL} || string_agg(
+               '--- Document ' || CAST(i AS VARCHAR) || ': ' || coalesce(title, 'Untitled')
+               || ' ---' || {NL} || 'Metadata: ' || {_meta_json('entries', typed=True)} || {NL}
+               || document || {NL}, {NL} ORDER BY i) AS context
+      FROM blocks GROUP BY ALL),
+    hist AS (
+      SELECT *, coalesce(sum(CASE WHEN kind = 'question' AND response IS NOT NULL THEN 1 ELSE 0 END)
+                         OVER w, 0) * 2 AS history_len,
+             list(CASE WHEN kind = 'question' AND response IS NOT NULL
+                       THEN 'user: ' || line || {NL} || 'assistant: ' || response END) OVER w AS pairs
+      FROM s WINDOW w AS (PARTITION BY session_id, epoch ORDER BY seq
+                          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+    SELECT h.session_id, h.seq, {S.lit(DEFAULT_MODEL)} AS model, {MAX_TOKENS} AS max_tokens,
+           md5({S.lit(FALLBACK_SYSTEM_PROMPT)}
+               || coalesce({NL} || {NL} || c.context, '')) AS system_md5,
+           CAST(coalesce(c.n, 0) AS INTEGER) AS n_sources,
+           CAST(h.history_len + 1 AS INTEGER) AS n_messages,
+           md5(CASE WHEN h.history_len > 0 THEN {hist_text} || {NL} ELSE '' END
+               || 'user: ' || h.line) AS messages_md5
+    FROM hist h LEFT JOIN ctx c ON c.line = h.line AND c.n_results = h.n_results
+     AND c.min_relevance IS NOT DISTINCT FROM h.min_relevance
+     AND c.filter_type IS NOT DISTINCT FROM h.filter_type
+     AND c.filter_author IS NOT DISTINCT FROM h.filter_author
+    WHERE h.kind = 'question'"""
     q["response_assembly"] = "WITH " + _fragments() + """
     SELECT conv_id, turn, string_agg(frag, '' ORDER BY seq) AS response,
            CAST(count(*) AS INTEGER) AS n_fragments,
