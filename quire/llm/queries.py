@@ -3,15 +3,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import (decontam, embdedup, packing, pii, sharding, simhash, tokenids, toxicity,
                        urlfilter, warc)
 from quire.llm.urlfilter import Rule
-from quire.session import checkpoint_dir, table_path
+from quire.session import table_folder, table_path
 
 # Demonstration key: a job that keeps real data apart passes its own.
 PII_KEY = "pseudonym-key-1"
@@ -21,13 +19,8 @@ def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf, name))
 
 
-def _new_folder(spark: SparkSession, label: str) -> str:
-    """A folder of its own in the shared checkpoint folder."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/quire-tables/{label}-{uuid.uuid4().hex}"
-
-
 def op1_warc(spark: SparkSession, sf: str) -> DataFrame:
-    path = _new_folder(spark, "warc")
+    path = table_folder(spark, "warc")
     pages = _t(spark, sf, "pages").select("page_id", "url",
                                           F.col("html").cast("binary").alias("payload"))
     warc.write_archive(pages, path, "page_id", min_bytes=0)
@@ -104,7 +97,7 @@ def op10_token_ids(spark: SparkSession, sf: str, tokenizer: str | None = None) -
         import public_tokenizers  # noqa: PLC0415
 
         tokenizer = public_tokenizers.path("byte_bpe_50k.json")
-    path = _new_folder(spark, "tokens")
+    path = table_folder(spark, "tokens")
     tokenids.write_tokens(_t(spark, sf, "documents"), path, tokenizer, END_ID)
     return tokenids.read_tokens(spark, path, with_ids=False)
 
