@@ -17,6 +17,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -38,7 +39,12 @@ _ARROW_NAMES = {"bigint": "int64", "int": "int32", "string": "string"}  # types
 
 def words_of(text: str | None) -> list[str]:
     """Lower-cased words; their places are those of ``_WORD`` in the text."""
-    found = _WORD.findall(text or "")
+    text = text or ""
+    lower = text.lower()
+    if len(lower) == len(text):
+        return _WORD.findall(lower)
+    # A letter that becomes two must not split its word.
+    found = _WORD.findall(text)
     return "\n".join(found).lower().split("\n") if found else []
 
 
@@ -84,16 +90,16 @@ class Block:
         """Positions and keys of the n-grams made of known words only."""
         if len(ids) < self.n:
             return np.empty(0, np.int64), np.empty(0, np.int64)
-        at = np.flatnonzero(np.lib.stride_tricks.sliding_window_view(
-            ids, self.n).min(axis=1) >= 0)
+        last = len(ids) - self.n + 1
+        known = ids >= 0
+        at = np.flatnonzero(np.logical_and.reduce([known[k:last + k] for k in range(self.n)]))
         key = np.zeros(len(at), np.uint64)
         for k in range(self.n):  # a hash; a clash only adds a candidate
             key = key * np.uint64(0x9E3779B97F4A7C15) + ids[at + k].astype(np.uint64)
         return at, key.view(np.int64)
 
     def ids(self, words: list[str]) -> np.ndarray:
-        get = self.vocabulary.get
-        return np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        return np.array(list(map(self.vocabulary.get, words, repeat(-1))), np.int64)
 
 
 def make_block(rows: list[tuple], n: int) -> Block:
