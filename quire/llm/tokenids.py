@@ -14,9 +14,12 @@ within a file and from file to file.
 
 from __future__ import annotations
 
-import functools
+import json
+import re
+import sys
 import zlib
 from collections.abc import Iterator
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -25,25 +28,40 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-MEMO_WORDS = 1 << 20    # words whose ids a Python worker remembers, at most
+MEMO_WORDS = 3 << 19    # words whose ids a Python worker remembers, about 200 bytes each
+_LEARN_TOGETHER = 1000  # words encoded as one text
 _BATCH_ROWS = 256       # documents tokenised together
+# White space other than the space and the line feed.
+_OTHER_SPACE = re.compile(r"[^\S \n]")
+_ASCII_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+_MARKS = ".,;:!?"  # signs that end a piece and are a word of their own after a letter
 
 
 # --- tokenising -----------------------------------------------------------
 class CachedTokenizer:
     """A byte-level BPE tokenizer that remembers the ids of words.
 
-    Such a tokenizer splits a text into words before it merges bytes, and a
-    space always goes with the word after it. Between single spaces a text is
-    therefore encoded piece by piece, with the same result as in one go. Texts
-    with other white space next to a space, or with a special token, are
-    encoded whole.
+    Such a tokenizer splits a text into words before it merges bytes; a space
+    goes with the word after it, and a single line break is a word of its own.
+    A text whose only white space is single spaces and single line breaks, not
+    next to each other, is therefore encoded piece by piece with the same
+    result as in one go. All other texts, those with a special token, and all
+    texts of other kinds of tokenizers are encoded whole.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memo: dict[str, bytes] = {}
+        spec = json.loads(self.tokenizer.to_str())
+        splitter = spec["pre_tokenizer"] or {}
+        newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.by_piece = (spec["normalizer"] is None and spec["model"]["type"] == "BPE"
+                         and splitter.get("type") == "ByteLevel" and splitter.get("use_regex")
+                         and not splitter.get("add_prefix_space") and len(newline) == 1)
+        self.newline = newline[0] if newline else 0
+        self.after_space: dict[str, bytes] = {}  # a piece after a space, or "\n" and a piece
+        self.first: dict[str, bytes] = {}        # a piece that nothing comes before
+        self.tails: dict[str, bytes] = {}        # marks after a letter
 
     def width(self, *more: int) -> str:
         """Numpy type that holds every id."""
@@ -53,33 +71,85 @@ class CachedTokenizer:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype).tobytes() for e in found]
 
-    @staticmethod
-    def _splits(pieces: list[str]) -> bool:
-        return all(p and not p[0].isspace() and not p[-1].isspace() for p in pieces)
+    def _pieces(self, text: str) -> list[str] | None:
+        odd = any(c in text for c in _ASCII_SPACE) if text.isascii() else _OTHER_SPACE.search(text)
+        if (not self.by_piece or odd or "  " in text or "\n\n" in text or " \n" in text
+                or "\n " in text or any(s in text for s in self.special)):
+            return None
+        return text.replace("\n", " \n").split(" ")
+
+    def _learn(self, pieces: list[str], lead: str, dtype: str) -> list[bytes]:
+        """Ids of many pieces, each after ``lead``: they are encoded as lines
+        of one text, and the ids of the line breaks tell them apart."""
+        out: list[bytes] = []
+        size = np.dtype(dtype).itemsize
+        for lo in range(0, len(pieces), _LEARN_TOGETHER):
+            part = pieces[lo:lo + _LEARN_TOGETHER]
+            raw = self._encode(["\n".join([lead + p for p in part]) + "\n" * (part[-1] != "")],
+                               dtype)[0]
+            ends = np.flatnonzero(np.frombuffer(raw, dtype) == self.newline) * size
+            starts = np.concatenate([[0], ends + size])
+            out += [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
+        return out
+
+    def _fill(self, memo: dict, missing: set, dtype: str, lead: str) -> None:
+        words, marked = set(), {}
+        for p in missing:
+            if p and p[0] != "\n":
+                stem = p.rstrip(_MARKS)
+                if stem != p and stem and stem[-1].isalpha() and ord(stem[-1]) < 0x250:
+                    marked[p] = stem
+                else:
+                    words.add(p)
+        words.update(x for x in marked.values() if x not in memo)
+        words = list(words)
+        memo.update(zip(words, self._learn(words, lead, dtype)))
+        for p, stem in marked.items():
+            tail = p[len(stem):]
+            if tail not in self.tails:
+                self.tails[tail] = self._encode([tail], dtype)[0]
+            memo[p] = memo[stem] + self.tails[tail]
+        end = np.array([self.newline], dtype).tobytes()
+        lines = [p for p in missing if p and p[0] == "\n"]
+        memo.update(zip(lines, [end + x for x in self._bare([p[1:] for p in lines], dtype)]))
+        if "" in missing:
+            memo[""] = self._encode([lead], dtype)[0]
+
+    def _bare(self, pieces: list[str], dtype: str) -> list[bytes]:
+        words = [p for p in pieces if p]
+        found = dict(zip(words, self._learn(words, "", dtype)))
+        return [found.get(p, b"") for p in pieces]
 
     def encode(self, texts: list[str], end_id: int = 0) -> list[bytes]:
         """Ids of each text as numbers of type ``width(end_id)``."""
-        memo, dtype = self.memo, self.width(end_id)
-        if len(memo) > MEMO_WORDS:
-            memo.clear()
-        whole, split = [], {}
-        for i, text in enumerate(texts):
-            pieces = text.split(" ")
-            if not self._splits(pieces) or any(s in text for s in self.special):
-                whole.append(i)
-                continue
-            pieces[1:] = [" " + p for p in pieces[1:]]
-            split[i] = pieces
-        new = list({p for pieces in split.values() for p in pieces if p not in memo})
-        memo.update(zip(new, self._encode(new, dtype)))
-        out = dict(zip(whole, self._encode([texts[i] for i in whole], dtype)))
-        out |= {i: b"".join([memo[p] for p in pieces]) for i, pieces in split.items()}
-        return [out[i] for i in range(len(texts))]
-
-
-@functools.cache
+        dtype, after, first = self.width(end_id), self.after_space, self.first
+        for memo in (after, first, self.tails):
+            if len(memo) > MEMO_WORDS:
+                memo.clear()
+        pieces = [self._pieces(t) for t in texts]
+        whole = [i for i, p in enumerate(pieces) if p is None]
+        encoded = dict(zip(whole, self._encode([texts[i] for i in whole], dtype)))
+        missing = {p[0] for p in pieces if p is not None} - first.keys()
+        self._fill(first, missing, dtype, "")
+        heads = [first[p[0]] if p is not None else b"" for p in pieces]
+        rest = [list(map(after.get, p[1:])) if p is not None else [] for p in pieces]
+        holes = [i for i, r in enumerate(rest) if None in r]
+        missing = {w for i in holes for w, x in zip(pieces[i][1:], rest[i]) if x is None}
+        self._fill(after, missing, dtype, " ")
+        for i in holes:
+            rest[i] = map(after.__getitem__, pieces[i][1:])
+        return [encoded[i] if i in encoded else heads[i] + b"".join(rest[i])
+                for i in range(len(texts))]
+
+
 def _tokenizer(path: str) -> CachedTokenizer:
-    return CachedTokenizer(path)
+    """The tokenizer of this process. It is held outside of this module, of
+    which every task brings its own copy: tasks of one Python worker share
+    the words remembered."""
+    held = sys.modules.setdefault("_quire_tokenizers", ModuleType("_quire_tokenizers")).__dict__
+    if path not in held:
+        held[path] = CachedTokenizer(path)
+    return held[path]
 
 
 def tokenise(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id",
@@ -140,10 +210,8 @@ def decode_ranks(control: bytes, data: bytes) -> np.ndarray:
     size = _SIZES[c]
     at = ((np.cumsum(size) - size)[:, None] + _STARTS[c]).ravel()
     # Four bytes are read at each start and those of the next value masked.
-    raw = np.frombuffer(data + b"\0\0\0\0", np.uint8)
-    words = np.zeros(len(at), np.uint32)
-    for k in range(4):
-        words |= raw[at + k].astype(np.uint32) << np.uint32(8 * k)
+    raw = data + b"\0\0\0\0"
+    words = np.ndarray((len(raw) - 3,), "<u4", raw, strides=(1,))[at]
     return words & _MASKS[_LENGTHS[c].ravel()]
 
 
@@ -152,8 +220,9 @@ def _count_ids(dtype: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.zeros(0, np.int64)
         for batch in batches:
-            for ids in batch.column(0):
-                found = np.bincount(np.frombuffer(ids.as_buffer(), dtype))
+            for lo in range(0, batch.num_rows, _BATCH_ROWS):
+                part = batch.column(0).slice(lo, _BATCH_ROWS)
+                found = np.bincount(np.frombuffer(b"".join(part.to_pylist()), dtype))
                 if len(found) > len(count):
                     count = np.pad(count, (0, len(found) - len(count)))
                 count[:len(found)] += found
