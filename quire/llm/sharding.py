@@ -158,7 +158,8 @@ def _grow(rows: DataFrame, dims: int, shards: int) -> DataFrame:
             counted = _count(placed, open_)
             for search in open_:
                 search.take(counted.get(search.node.first, []))
-        placed = _descend(placed, growing)
+        # Written level by level: the plans keep one shape.
+        placed = materialize(_descend(placed, growing), "shard-nodes")
         growing = [half for n in growing for half in n.halves()]
     return placed
 
