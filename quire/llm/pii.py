@@ -29,16 +29,29 @@ from pyspark.sql import functions as F
 ROUNDS = 10
 
 EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
-IBAN = r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
 DATE = r"\d{4}-\d{1,2}-\d{1,2}|\d{4}/\d{1,2}/\d{1,2}|\d{4}\.\d{1,2}\.\d{1,2}" \
        r"|\d{1,2}-\d{1,2}-\d{4}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}"
 IP = r"(?:\d{1,3}\.){3}\d{1,3}(?!\.\d)"
 SSN = r"\d{3}-\d{2}-\d{4}(?!-?\d)"
-CARD = r"\d{13,19}|\d{4}(?:[ -]\d{4}){2,3}(?:[ -]\d{1,3})?|\d{4}[ -]\d{6}[ -]\d{5}"
-PHONE = r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,14}(?:[ .-]\d{1,5}){0,5}" \
-        r"|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4}"
-CANDIDATE = (r"(?<![\p{L}\p{N}_%+-])(?<!\d\.)(?:" + "|".join(
-    [EMAIL, DATE, IP, SSN, CARD, PHONE, IBAN]) + r")(?![\p{L}\p{N}_])")
+NEAR_PHONE = r"\d{3}[.-]\d{3}[.-]\d{4}"
+LONG_CARD = r"\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5}"
+END = r"(?![\p{L}\p{N}_])"
+# A further group after a blank must not be the start of another value.
+OTHER = rf"(?:{DATE}|{IP}|{SSN}|{NEAR_PHONE}){END}|\d{{1,2}}/\d"
+CARD = r"\d{13,19}|\d{4}(?:[ -]\d{4}){2,3}" \
+       rf"(?:(?: (?!{OTHER})|-)\d{{1,3}})?|\d{{4}}[ -]\d{{6}}[ -]\d{{5}}"
+PHONE = rf"\+\d{{1,3}}(?: (?!(?:{LONG_CARD}){END})|[.-])?(?:\(\d{{1,4}}\)[ .-]?)?\d{{1,14}}" \
+        rf"(?:(?: (?!(?:{LONG_CARD}){END}|{OTHER})|[.-])\d{{1,10}}){{0,5}}" \
+        rf"|\(\d{{3}}\) ?\d{{3}}[ .-]\d{{4}}|{NEAR_PHONE}"
+IBAN = r"[A-Z]{2}\d{2}" rf"(?:(?: (?!{OTHER}))?[A-Z0-9]{{4}}){{2,7}}" \
+       rf"(?:(?: (?!{OTHER}))?[A-Z0-9]{{1,3}})?"
+# Matches nothing at every place where a candidate starts; group 1 is its longest form.
+CANDIDATE = (r"(?<![\p{L}\p{N}_%+-])(?<!\d\.)(?=((?:" + "|".join(
+    [EMAIL, DATE, IP, SSN, CARD, PHONE, IBAN]) + f"){END}))")
+# Forms with groups that may belong to what follows them, and the length that
+# Visa and Mastercard numbers and those of the North American plan have.
+SPLITS = r"^(?:\+|\d{4}[ -]\d{4}|[A-Z]{2}\d{2}[A-Z0-9 ]*$)"
+USUAL = r"^(?:(?:4\d|5[1-5]|2[2-7])\d\d(?:[ -]\d{4}){3}|\+1(?:[ .()-]*\d){10})" + END
 
 MONTH_DAYS = [31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31]
 
@@ -294,12 +307,27 @@ def _kind(m: Column) -> Column:
             .when(like(r"(?:\d{1,3}\.){3}\d{1,3}"),
                   F.when(F.forall(F.split(m, r"\."), lambda x: _int(x) <= 255), F.lit("ip")))
             .when(like(r"\d{3}-\d{2}-\d{4}"), F.when(is_ssn, F.lit("ssn")))
-            .when(like(CARD) & (_luhn(digits, 2) % 10 == 0), F.lit("card"))
+            .when(like(CARD) & (F.length(digits) >= 13) & (_luhn(digits, 2) % 10 == 0),
+                  F.lit("card"))
             .when(like(PHONE) & F.length(digits).between(8, 15), F.lit("phone"))
-            .when(like(IBAN) & (_mod97(F.concat(
+            .when(like(IBAN) & (F.length(_iban_rest(m)) >= 13) & (_mod97(F.concat(
                 _iban_rest(m), F.substr(m, F.lit(3), F.lit(2)))) == 1), F.lit("iban")))
 
 
+def _valid(m: Column) -> Column:
+    """``kind`` and ``value`` of the valid value a candidate begins with, else
+    null: the usual length of its network, else the most groups."""
+    groups = F.split(m, "(?=[ .-])")
+    fewer = F.transform(F.sequence(F.size(groups), F.lit(1), F.lit(-1)),
+                        lambda k: F.array_join(F.slice(groups, F.lit(1), k), ""))
+    forms = F.when(m.rlike(SPLITS), F.filter(F.concat(
+        F.array(F.regexp_extract(m, USUAL, 0)), fewer), lambda x: x != "")) \
+        .otherwise(F.array(m))
+    return F.get(F.filter(F.transform(
+        forms, lambda x: F.struct(_kind(x).alias("kind"), x.alias("value"))),
+        lambda x: x["kind"].isNotNull()), F.lit(0))
+
+
 _PERMUTE = {"email": _email, "date": _date, "ip": _ip, "ssn": _ssn, "card": _card,
             "phone": _phone, "iban": _iban}
 
@@ -318,20 +346,42 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     The length of a text may change only where a date is written without
     leading zeros or an address number takes more digits. A null text stays
     null with an empty list, an empty one empty; repeated rows and other
-    columns stay; a column named ``pii`` is replaced. Candidates that fail
-    their validation are left as they are.
+    columns stay; a column named ``pii`` is replaced. A candidate that fails
+    its validation is tried with fewer groups; where none passes, the text is
+    searched on from the next place where a candidate starts.
     """
     t = F.col(text)
-    found = F.when(t.rlike("[0-9@]"), F.regexp_extract_all(t, F.lit(CANDIDATE), F.lit(0)))
-    with_kind = docs.withColumn("pii", F.transform(
-        found, lambda m: F.struct(_kind(m).alias("kind"), m.alias("value"))))
-    some = with_kind.withColumn("pii", F.when(
-        F.exists("pii", lambda x: x["kind"].isNotNull()), F.transform("pii", lambda x: F.struct(
-            x["kind"].alias("kind"), pseudonym(x["value"], x["kind"], key).alias("value")))))
-    # The text between the candidates, in turn with the (new) candidates.
-    rebuilt = F.concat(F.array_join(F.transform(
-        F.arrays_zip(F.split(t, CANDIDATE, -1).alias("gap"), F.col("pii.value").alias("value")),
-        lambda x: F.concat(x["gap"], F.coalesce(x["value"], F.lit("")))), ""))
+    pieces = F.split(t, CANDIDATE, -1)  # each but the first starts at a candidate
+    valid = F.transform(F.regexp_extract_all(t, F.lit(CANDIDATE), F.lit(1)), _valid)
+    nothing = F.array(F.lit(None).cast("struct<kind:string,value:string>"))
+    out_type = "array<struct<kind:string,value:string,rest:string>>"
+
+    def take(a: Column, x: Column) -> Column:
+        """Starts inside a value taken before are passed over."""
+        size = F.length(x["piece"])
+        hit = (a["skip"] == 0) & x["valid"].isNotNull()
+        used = F.when(hit, F.length(x["valid"]["value"])).otherwise(a["skip"])
+        row = F.struct(F.when(hit, x["valid"]["kind"]).alias("kind"),
+                       F.when(hit, x["valid"]["value"]).alias("value"),
+                       F.substr(x["piece"], used + 1).alias("rest"))
+        return F.struct(
+            F.greatest(used - size, F.lit(0)).alias("skip"),
+            F.when(~hit & (used >= size), a["out"])
+            .otherwise(F.concat(a["out"], F.array(row))).cast(out_type).alias("out"))
+    taken = docs.withColumn("pii", F.when(t.rlike("[0-9@]"), valid)).withColumn("pii", F.when(
+        F.exists("pii", lambda x: x.isNotNull()), F.aggregate(
+            F.arrays_zip(pieces.alias("piece"), F.when(
+                F.size(pieces) > F.size("pii"), F.concat(nothing, F.col("pii")))
+                .otherwise(F.col("pii")).alias("valid")),
+            F.struct(F.lit(0).alias("skip"), F.array().cast(out_type).alias("out")),
+            take, lambda a: a["out"])))
+    some = taken.withColumn("pii", F.transform("pii", lambda x: F.struct(
+        x["kind"].alias("kind"), pseudonym(x["value"], x["kind"], key).alias("value"),
+        x["rest"].alias("rest"))))
+    rebuilt = F.array_join(F.transform(
+        "pii", lambda x: F.concat(F.coalesce(x["value"], F.lit("")), x["rest"])), "")
     none = F.array().cast("array<struct<kind:string,value:string>>")
+    values = F.transform(F.filter("pii", lambda x: x["kind"].isNotNull()),
+                         lambda x: F.struct(x["kind"].alias("kind"), x["value"].alias("value")))
     return some.withColumn(text, F.when(F.col("pii").isNotNull(), rebuilt).otherwise(t)) \
-        .withColumn("pii", F.coalesce(F.filter("pii", lambda x: x["kind"].isNotNull()), none))
+        .withColumn("pii", F.coalesce(values, none))

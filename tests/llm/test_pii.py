@@ -96,3 +96,29 @@ def test_rows_and_columns(spark):
     plan = out._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert out.select(F.size("pii")).first()[0] == 1
+
+
+def test_values_beside_other_numbers(spark):
+    """A value is found whatever stands after it: numbers, words, other values."""
+    alone = [(kind, v) for kind, values in VALID.items() for v in values]
+    alone += [("card", "378282246310005"), ("card", "3782 822463 10005"),
+              ("phone", "+1-202-555-0143"), ("phone", "+33 1 23 45 67 89"),
+              ("phone", "+49 30 1234567"), ("iban", "BE68 5390 0754 7034"),
+              ("iban", "NO93 8601 1117 947")]
+    new, kinds = run(spark, [v for _, v in alone])
+    assert kinds == [[k] for k, _ in alone]
+    values = dict(zip([v for _, v in alone], new))
+    after = ["90210", "12/25", "BIC", "EUR 5", "75001 Paris"]
+    texts = [f"{v} {x}" for v in values for x in after]
+    got, _ = run(spark, texts)
+    assert got == [f"{values[v]} {x}" for v in values for x in after]
+    pairs = [(a, b) for a in alone for b in alone]
+    got, kinds = run(spark, [f"{a} {b}" for (_, a), (_, b) in pairs])
+    assert kinds == [[j, k] for (j, _), (k, _) in pairs]
+    assert got == [f"{values[a]} {values[b]}" for (_, a), (_, b) in pairs]
+    # What fails before a value, and card, expiry and check number in one line.
+    got, kinds = run(spark, ["1234 4111 1111 1111 1111", "4111 1111 1111 1111 12/25 123",
+                             "4111 1111 1111 1111 123", "+1 202 555 0143 192.168.1.5"])
+    assert kinds == [["card"], ["card"], ["card"], ["phone", "ip"]]
+    assert got[1] == values["4111 1111 1111 1111"] + " 12/25 123"
+    assert got[2] == values["4111 1111 1111 1111"] + " 123"
