@@ -1,20 +1,21 @@
-"""Benchmark passages in training documents: rare n-gram seeds and
+"""Benchmark passages in training documents: word-pair seeds and
 Smith-Waterman alignment.
 
 The benchmark is a stated query set. It is held against all documents in
-blocks of bounded size, each broadcast to the tasks. A first pass counts in
-how many documents every word n-gram of the block occurs. Each item then keeps
-its rare n-grams as seeds: those no more frequent than its median one, and the
-rarest one of every run of ``WINDOW`` n-grams, so frequent items keep seeds
-too. A second pass finds seeds in the documents, cuts a passage around the
+blocks of bounded size, each broadcast to the tasks. Seeds are pairs of words
+that stand beside each other or have one word between them. An alignment of
+the threshold shares pairs at a known number of an item's places
+(``shared_places``), so the most frequent places, a few less than that, are
+left out and no alignment is lost; a first pass counts in how many documents
+every pair occurs. A second pass finds seeds in the documents, cuts a passage around the
 diagonals they lie on and aligns it with the item, so that copies with words
 changed, added or left out are scored. Texts are never shuffled.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
@@ -27,8 +28,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.sharing import Shared
 
-SEED_WORDS = 3
-WINDOW = 8
+HITS = 4  # seed places of an item a document must share, or all it has to share
 MATCH, MISMATCH, GAP = 2, -1, -1  # alignment scores of a word
 THRESHOLD = 0.5      # alignment score as a share of a perfect copy's
 BLOCK_BYTES = 8 << 20  # benchmark text of one block, which is broadcast
@@ -79,30 +79,35 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
 # --- one block of the benchmark -------------------------------------------
 @dataclass
 class Block:
-    """Items with at least one n-gram, as word ids of a shared vocabulary."""
+    """Items with at least one word, as word ids of a shared vocabulary."""
 
     item_ids: list
     items: list[np.ndarray]
     vocabulary: dict[str, int]
-    n: int
-
-    def grams(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and keys of the n-grams made of known words only."""
-        if len(ids) < self.n:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        last = len(ids) - self.n + 1
-        known = ids >= 0
-        at = np.flatnonzero(np.logical_and.reduce([known[k:last + k] for k in range(self.n)]))
-        key = np.zeros(len(at), np.uint64)
-        for k in range(self.n):  # a hash; a clash only adds a candidate
-            key = key * np.uint64(0x9E3779B97F4A7C15) + ids[at + k].astype(np.uint64)
-        return at, key.view(np.int64)
+
+    def pairs(self, ids: np.ndarray, words: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Places and keys of two known words beside each other or with one
+        word between, and of the single ones if ``words``."""
+        known, size = ids >= 0, len(self.vocabulary)
+        places, keys = [], []
+        for step in (1, 2):
+            at = np.flatnonzero(known[:-step] & known[step:])
+            places.append(at)
+            keys.append(ids[at] * size + ids[at + step])
+        if words:
+            places.append(np.flatnonzero(known))
+            keys.append(-1 - ids[places[-1]])
+        return np.concatenate(places), np.concatenate(keys)
+
+    def item_pairs(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        ids = self.items[i]
+        return self.pairs(ids, words=len(ids) == 1)
 
     def ids(self, words: list[str]) -> np.ndarray:
         return np.array(list(map(self.vocabulary.get, words, repeat(-1))), np.int64)
 
 
-def make_block(rows: list[tuple], n: int) -> Block:
+def make_block(rows: list[tuple]) -> Block:
     vocabulary: dict[str, int] = {}
     ids, items = [], []
     for item_id, text in rows:
@@ -111,9 +116,16 @@ def make_block(rows: list[tuple], n: int) -> Block:
             ids.append(item_id)
             items.append(np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words],
                                   np.int64))
-    # An item shorter than a seed is matched by seeds of its own length.
-    n = min([n, *map(len, items)]) if items else n
-    return Block(ids, items, vocabulary, n)
+    return Block(ids, items, vocabulary)
+
+
+def shared_places(m: int, threshold: float) -> int:
+    """Places of an item of ``m`` words whose pairs an alignment of the
+    threshold shares at least. It has M matches and E <= 2 M - 2 m threshold
+    errors. Of the M - 1 steps between matches at most E / 2 hold two errors
+    or more; the others join two words that are a pair in both texts. Items
+    for which that leaves none must share one pair all the same."""
+    return max(math.ceil(threshold * m - 1e-9) - 1, 1)
 
 
 @dataclass
@@ -121,20 +133,26 @@ class Seeds:
     keys: np.ndarray   # sorted seed keys, repeated for each place
     item: np.ndarray   # item of each
     place: np.ndarray  # word position in the item
+    need: np.ndarray   # places of each item a document must share
 
 
-def choose_seeds(block: Block, frequency: dict[int, int]) -> Seeds:
-    found = []
+def choose_seeds(block: Block, frequency: dict[int, int], threshold: float) -> Seeds:
+    """All places of an item but the most frequent ones: as many stay that an
+    alignment of the threshold shares ``need`` of them."""
+    found, need = [], []
     for i, ids in enumerate(block.items):
-        at, keys = block.grams(ids)
-        count = np.array([frequency.get(int(k), 0) for k in keys])
-        chosen = count <= np.median(count)
-        for lo in range(max(len(at) - WINDOW + 1, 1)):
-            chosen[lo + int(count[lo:lo + WINDOW].argmin())] = True
-        found += [(int(k), i, int(p)) for k, p in zip(keys[chosen], at[chosen])]
+        at, keys = block.item_pairs(i)
+        count = np.zeros(len(ids), np.int64)
+        np.add.at(count, at, [frequency.get(int(k), 0) for k in keys])
+        least = shared_places(len(ids), threshold)
+        need.append(min(least, HITS))
+        rare = np.argsort(count[:max(len(ids) - 1, 1)], kind="stable")
+        chosen = np.zeros(len(ids), bool)
+        chosen[rare[:len(rare) - least + need[-1]]] = True
+        found += [(int(k), i, int(p)) for k, p in zip(keys, at) if chosen[p]]
     found.sort()
     table = np.array(found, np.int64).reshape(-1, 3)
-    return Seeds(table[:, 0].copy(), table[:, 1].copy(), table[:, 2].copy())
+    return Seeds(table[:, 0].copy(), table[:, 1].copy(), table[:, 2].copy(), np.array(need))
 
 
 @dataclass
@@ -147,30 +165,42 @@ class Matcher:
         """``(item_id, score, start, end)`` of the best passage for every
         item found in the text, as word positions."""
         ids = self.block.ids(words_of(text))
-        at, keys = self.block.grams(ids)
-        lo = np.searchsorted(self.seeds.keys, keys)
-        n = np.searchsorted(self.seeds.keys, keys, side="right") - lo
+        seeds = self.seeds
+        at, keys = self.block.pairs(ids, words=bool(seeds.keys[0] < 0))
+        lo = np.searchsorted(seeds.keys, keys)
+        n = np.searchsorted(seeds.keys, keys, side="right") - lo
         hit = np.flatnonzero(n)
         if not len(hit):
             return []
         n = n[hit]
         which = np.repeat(lo[hit], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        item = self.seeds.item[which]
-        diagonal = np.repeat(at[hit], n) - self.seeds.place[which]
+        item = seeds.item[which]
+        enough = np.bincount(item, minlength=len(seeds.need)) >= seeds.need
+        keep = np.flatnonzero(enough[item])
+        if not len(keep):
+            return []
+        item, place = item[keep], seeds.place[which[keep]]
+        diagonal = np.repeat(at[hit], n)[keep] - place
         order = np.lexsort((diagonal, item))
-        item, diagonal = item[order], diagonal[order]
-        size = np.array([len(self.block.items[i]) for i in item])
+        item, place, diagonal = item[order], place[order], diagonal[order]
+        size = np.array([len(x) for x in self.block.items])[item]
         new = np.flatnonzero((np.diff(item) != 0) | (np.diff(diagonal) > size[1:])) + 1
+        first, last = np.append(0, new), np.append(new, len(item))
+        many = last - first >= seeds.need[item[first]]
         best: dict[int, tuple[float, int, int]] = {}
-        for a, b in zip([0, *new], [*new, len(item)]):
+        for a, b in zip(first[many].tolist(), last[many].tolist()):
             i, m = int(item[a]), int(size[a])
-            slack = m // 2 + 1
-            start = max(int(diagonal[a]) - slack, 0)
-            passage = ids[start:int(diagonal[b - 1]) + m + slack]
+            if len(set(place[a:b].tolist())) < seeds.need[i]:
+                continue
+            # An alignment of the threshold has at most m errors.
+            start = max(int(diagonal[a]) - m - 1, 0)
+            passage = ids[start:int(diagonal[b - 1]) + 2 * m + 1]
             words = self.block.items[i]
-            # No alignment scores more than the words it could match.
-            common = np.isin(words, passage).sum()
-            if MATCH * common < self.threshold * MATCH * m:
+            # No alignment scores more than the pairs and words it could match.
+            places, own = self.block.item_pairs(i)
+            shared = places[np.isin(own, self.block.pairs(passage, words=m == 1)[1])]
+            if len(set(shared.tolist())) < shared_places(m, self.threshold) \
+                    or np.isin(words, passage).sum() < self.threshold * m - 1e-9:
                 continue
             score, s, e = align(words, passage)
             share = score / (MATCH * m)
@@ -180,41 +210,42 @@ class Matcher:
 
 
 # --- Spark ----------------------------------------------------------------
-def _count_grams(shared):
+def _count_pairs(shared):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         block = shared.value
-        known = np.unique(np.concatenate([block.grams(x)[1] for x in block.items]))
+        known = np.unique(np.concatenate([block.item_pairs(i)[1]
+                                          for i in range(len(block.items))]))
         count = np.zeros(len(known), np.int64)
         for pdf in batches:
             for text in pdf["text"]:
-                keys = np.unique(block.grams(block.ids(words_of(text)))[1])
+                keys = np.unique(block.pairs(block.ids(words_of(text)), known[0] < 0)[1])
                 at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
                 count[at[known[at] == keys]] += 1
         some = count > 0
-        yield pd.DataFrame({"gram": known[some], "n": count[some]})
+        yield pd.DataFrame({"pair": known[some], "n": count[some]})
     return run
 
 
 def matchers(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id",
-             threshold: float = THRESHOLD, n: int = SEED_WORDS,
-             block_bytes: int = BLOCK_BYTES) -> Iterator[Matcher]:
-    """A matcher for every block of the benchmark, with seeds chosen by
-    n-gram frequencies over all documents. The driver holds one block."""
+             threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> Iterator[Matcher]:
+    """A matcher for every block of the benchmark, with seeds chosen by pair
+    frequencies over all documents. They decide what is looked at, not what
+    is found. The driver holds one block."""
     spark = docs.sparkSession
     items = items.select(F.col(item_id).alias("id"), F.col("text").alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-total // block_bytes)
     for k in range(blocks):
         part = items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k)
-        block = make_block([tuple(r) for r in part.orderBy("id", "text").collect()], n)
+        block = make_block([tuple(r) for r in part.orderBy("id", "text").collect()])
         if not block.items:
             continue
         shared = Shared(spark, block)
         counted = docs.select(F.col(text).alias("text")) \
-            .mapInPandas(_count_grams(shared), "gram long, n long") \
-            .groupBy("gram").agg(F.sum("n").alias("n"))
-        frequency = {r.gram: r.n for r in counted.collect()}  # n-grams of one block
-        yield Matcher(block, choose_seeds(block, frequency), threshold)
+            .mapInPandas(_count_pairs(shared), "pair long, n long") \
+            .groupBy("pair").agg(F.sum("n").alias("n"))
+        frequency = {r.pair: r.n for r in counted.collect()}  # pairs of one block
+        yield Matcher(block, choose_seeds(block, frequency, threshold), threshold)
 
 
 def find_passages(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text",

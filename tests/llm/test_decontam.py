@@ -112,3 +112,33 @@ def test_edge_rows(spark):
     assert D.find_passages(docs, none).count() == 0
     assert D.drop_contaminated(docs, none).count() == 7
     assert D.find_passages(docs.filter("false"), items).count() == 0
+
+
+def spread(words, step, edit):
+    """``words`` with every ``step``-th one edited."""
+    out = []
+    for k, w in enumerate(words):
+        out += [w] if (k + 1) % step else edit(w, k)
+    return out
+
+
+EDITS = [lambda w, k: [w, f"in{k}"], lambda w, k: [f"re{k}"], lambda w, k: []]
+
+
+def test_evenly_spread_edits(spark):
+    """All alignments of the threshold are found, without any short item."""
+    rng = random.Random(4)
+    rare = [f"w{i}" for i in range(2000)]
+    common = "the of and in to is".split()
+    items = [(i, " ".join(rng.choice(common if rng.random() < .5 else rare) for _ in range(m)))
+             for i, m in enumerate([3, 4, 5, 7, 10, 16, 25, 39, 59, 120] * 2)]
+    texts = [" ".join(["start"] * (step - 1) + spread(text.split(), step, edit) + ["end"])
+             for _, text in items for step in (1, 2, 3, 4, 5) for edit in EDITS]
+    docs = [(d, text, 0) for d, text in enumerate(texts)]
+    docs += [(1000 + d, " ".join(rng.choice(common if rng.random() < .5 else rare)
+                                 for _ in range(100)), 0) for d in range(100)]
+    want = brute(docs, items)
+    assert len(want) > 200
+    rows = D.find_passages(spark.createDataFrame(docs, "doc_id long, text string, x int"),
+                           spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert want == {(r.doc_id, r.item_id) for r in rows if r.score >= D.THRESHOLD}
