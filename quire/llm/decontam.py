@@ -9,7 +9,8 @@ the threshold shares pairs at a known number of an item's places
 left out and no alignment is lost; a first pass counts in how many documents
 every pair occurs. A second pass finds seeds in the documents, cuts a passage around the
 diagonals they lie on and aligns it with the item, so that copies with words
-changed, added or left out are scored. Texts are never shuffled.
+changed, added or left out are scored. Excerpts of long items count by their
+own length. Texts are never shuffled.
 """
 
 from __future__ import annotations
@@ -28,7 +29,9 @@ from pyspark.sql import functions as F
 
 from quire.llm.sharing import Shared
 
-HITS = 4  # seed places of an item a document must share, or all it has to share
+EXCERPT = 13         # words of an item that are a leak whatever its length
+EXCERPT_ERROR = -4   # score of a change in an excerpt: two more words make up for it
+HITS = 3  # seed places of an item a document must share, or all it has to share
 MATCH, MISMATCH, GAP = 2, -1, -1  # alignment scores of a word
 THRESHOLD = 0.5      # alignment score as a share of a perfect copy's
 BLOCK_BYTES = 8 << 20  # benchmark text of one block, which is broadcast
@@ -49,15 +52,15 @@ def words_of(text: str | None) -> list[str]:
 
 
 # --- alignment ------------------------------------------------------------
-def _table(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
+def _table(a: np.ndarray, b: np.ndarray, mismatch: int, gap: int) -> tuple[int, int, int]:
     """Best local alignment score of two id sequences and its last cell.
     Negative ids match nothing. Rows run over ``a``; the gaps along a row are
     a running maximum."""
-    ramp = np.arange(len(b) + 1) * -GAP
+    ramp = np.arange(len(b) + 1) * -gap
     above, best = np.zeros(len(b) + 1, np.int64), (0, 0, 0)
     for i, x in enumerate(a):
-        step = np.where((b == x) & (x >= 0), MATCH, MISMATCH)
-        row = np.maximum(above + GAP, 0)
+        step = np.where((b == x) & (x >= 0), MATCH, mismatch)
+        row = np.maximum(above + gap, 0)
         row[1:] = np.maximum(row[1:], above[:-1] + step)
         row = np.maximum.accumulate(row + ramp) - ramp
         j = int(row.argmax())
@@ -67,12 +70,13 @@ def _table(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
-def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
+def align(a: np.ndarray, b: np.ndarray, mismatch: int = MISMATCH,
+          gap: int = GAP) -> tuple[int, int, int]:
     """Smith-Waterman score of ``a`` and ``b`` and the span of ``b``."""
-    score, i, j = _table(a, b)
+    score, i, j = _table(a, b, mismatch, gap)
     if not score:
         return 0, 0, 0
-    _, _, back = _table(a[i::-1], b[j::-1])
+    _, _, back = _table(a[i::-1], b[j::-1], mismatch, gap)
     return score, j - back, j + 1
 
 
@@ -138,7 +142,9 @@ class Seeds:
 
 def choose_seeds(block: Block, frequency: dict[int, int], threshold: float) -> Seeds:
     """All places of an item but the most frequent ones: as many stay that an
-    alignment of the threshold shares ``need`` of them."""
+    alignment of the threshold shares ``need`` of them. Of the places an
+    excerpt covers, the rarer half stays: a straight one, or one with two
+    changes, has at most three that are not shared."""
     found, need = [], []
     for i, ids in enumerate(block.items):
         at, keys = block.item_pairs(i)
@@ -149,12 +155,24 @@ def choose_seeds(block: Block, frequency: dict[int, int], threshold: float) -> S
         rare = np.argsort(count[:max(len(ids) - 1, 1)], kind="stable")
         chosen = np.zeros(len(ids), bool)
         chosen[rare[:len(rare) - least + need[-1]]] = True
+        if len(rare) >= EXCERPT - 1:
+            runs = np.lib.stride_tricks.sliding_window_view(count[:len(rare)], EXCERPT - 1)
+            half = np.argsort(runs, axis=1, kind="stable")[:, :EXCERPT // 2]
+            chosen[half + np.arange(len(runs))[:, None]] = True
         found += [(int(k), i, int(p)) for k, p in zip(keys, at) if chosen[p]]
     found.sort()
     table = np.array(found, np.int64).reshape(-1, 3)
     return Seeds(table[:, 0].copy(), table[:, 1].copy(), table[:, 2].copy(), np.array(need))
 
 
+def _may_hold_excerpt(shared: np.ndarray) -> bool:
+    """An excerpt has E errors and 13 + 2 E matches or more. In the part of the
+    item it covers the shared places outnumber the others by 12: a change costs
+    one place, two between the same matches one more."""
+    level = np.append(0, np.cumsum(np.where(shared, 1, -1)))
+    return bool((level - np.minimum.accumulate(level)).max() >= EXCERPT - 1)
+
+
 @dataclass
 class Matcher:
     block: Block
@@ -198,14 +216,22 @@ class Matcher:
             words = self.block.items[i]
             # No alignment scores more than the pairs and words it could match.
             places, own = self.block.item_pairs(i)
-            shared = places[np.isin(own, self.block.pairs(passage, words=m == 1)[1])]
-            if len(set(shared.tolist())) < shared_places(m, self.threshold) \
-                    or np.isin(words, passage).sum() < self.threshold * m - 1e-9:
-                continue
-            score, s, e = align(words, passage)
-            share = score / (MATCH * m)
-            if share >= self.threshold and share > best.get(i, (0.0,))[0]:
-                best[i] = (share, start + s, start + e)
+            shared = np.zeros(m, bool)
+            shared[places[np.isin(own, self.block.pairs(passage, words=m == 1)[1])]] = True
+            common = np.isin(words, passage).sum()
+            found = []
+            if shared.sum() >= shared_places(m, self.threshold) \
+                    and common >= self.threshold * m - 1e-9:
+                score, s, e = align(words, passage)
+                if score / (MATCH * m) >= self.threshold:
+                    found = [(score / (MATCH * m), s, e)]
+            if not found and common >= EXCERPT and _may_hold_excerpt(shared):
+                score, s, e = align(words, passage, EXCERPT_ERROR, EXCERPT_ERROR)
+                if score >= MATCH * EXCERPT:
+                    found = [(score / (MATCH * m), s, e)]
+            for share, s, e in found:
+                if share > best.get(i, (0.0,))[0]:
+                    best[i] = (share, start + s, start + e)
         return [(self.block.item_ids[i], *best[i]) for i in sorted(best)]
 
 
@@ -251,8 +277,10 @@ def matchers(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str
 def find_passages(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text",
                   item_id: str = "item_id", threshold: float = THRESHOLD) -> DataFrame:
     """``(doc_id, item_id, score, start, end)``: the best passage of every
-    document for every benchmark item that scores ``threshold`` or more, with
-    its place in the text (characters, end exclusive).
+    document for every benchmark item that scores ``threshold`` or more, or
+    else is an excerpt (``EXCERPT`` straight words of the item, two more for
+    each change), with its place in the text (characters, end exclusive). The
+    score of an excerpt is a share of the whole item too.
 
     Null and empty texts and items match nothing; repeated documents give
     repeated rows and repeated items one row each; a null id is returned as

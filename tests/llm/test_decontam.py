@@ -142,3 +142,36 @@ def test_evenly_spread_edits(spark):
     rows = D.find_passages(spark.createDataFrame(docs, "doc_id long, text string, x int"),
                            spark.createDataFrame(items, "item_id long, text string")).collect()
     assert want == {(r.doc_id, r.item_id) for r in rows if r.score >= D.THRESHOLD}
+
+
+def test_excerpts_of_long_items(spark):
+    """A leaked passage counts by its own length, however long the item is."""
+    rng = random.Random(6)
+    rare = [f"w{i}" for i in range(2000)]
+    common = "the of and in to is".split()
+
+    def words(n):
+        return [rng.choice(common if rng.random() < .5 else rare) for _ in range(n)]
+    items = {i: words(m) for i, m in enumerate([59, 410, 1500])}
+    docs, want = [], set()
+    for i, item in items.items():
+        cuts = [(n, lo) for n in (13, 14, 20, 28) for lo in range(0, len(item) - n, 7)]
+        if len(item) > 400:
+            cuts += [(200, 0), (200, 200)]
+        for n, lo in cuts:
+            want.add((len(docs), i))
+            docs.append(words(30) + item[lo:lo + n] + words(30))
+        for edit in EDITS:  # two changes among 19 words
+            for lo in range(0, len(item) - 19, 5):
+                want.add((len(docs), i))
+                docs.append(words(30) + spread(item[lo:lo + 18], 7, edit) + item[lo + 18:lo + 19])
+        for lo in range(0, len(item) - 10, 9):
+            docs.append(["start"] * 3 + item[lo:lo + 10] + ["end"])
+    table = spark.createDataFrame([(d, " ".join(x), 0) for d, x in enumerate(docs)],
+                                  "doc_id long, text string, x int")
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in items.items()],
+                                  "item_id long, text string")
+    rows = D.find_passages(table, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == want
+    kept = D.drop_contaminated(table, bench)
+    assert kept.count() == len(docs) - len(want)
