@@ -175,3 +175,20 @@ def test_excerpts_of_long_items(spark):
     assert {(r.doc_id, r.item_id) for r in rows} == want
     kept = D.drop_contaminated(table, bench)
     assert kept.count() == len(docs) - len(want)
+
+
+def test_short_items_change_no_other(spark):
+    """Items of one or two words, alone or in a block with others."""
+    docs, items, _ = make(3)
+    docs = docs[:200] + [(2000, "a lonely word", 0), (2001, "two x words", 0),
+                         (2002, "words two", 0)]
+    short = [(93, "lonely"), (94, "two words")]
+    long = [x for x in items if x[0] < 90]
+    d = spark.createDataFrame(docs, "doc_id long, text string, x int")
+
+    def found(rows):
+        b = spark.createDataFrame(rows, "item_id long, text string")
+        return {tuple(r) for r in D.find_passages(d, b).collect()}
+    together = found(long + short)
+    assert {x for x in together if x[1] < 90} == found(long)
+    assert {x[:2] for x in together if x[1] > 90} == {(2000, 93), (2001, 94)}
