@@ -33,11 +33,15 @@ DATE = r"\d{4}-\d{1,2}-\d{1,2}|\d{4}/\d{1,2}/\d{1,2}|\d{4}\.\d{1,2}\.\d{1,2}" \
        r"|\d{1,2}-\d{1,2}-\d{4}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}"
 IP = r"(?:\d{1,3}\.){3}\d{1,3}(?!\.\d)"
 SSN = r"\d{3}-\d{2}-\d{4}(?!-?\d)"
-NEAR_PHONE = r"\d{3}[.-]\d{3}[.-]\d{4}"
+NEAR_PHONE = r"(?:1[.-])?\d{3}[.-]\d{3}[.-]\d{4}"
 LONG_CARD = r"\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5}"
-END = r"(?![\p{L}\p{N}_])"
+# Values may stand directly beside letters of scripts written without spaces.
+WORD = r"[\p{L}\p{N}_&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}\p{IsThai}" \
+       r"\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]]"
+END = f"(?!{WORD})"
+DATE_END = rf"(?:{END}|(?=T\d))"  # a time may follow
 # A further group after a blank must not be the start of another value.
-OTHER = rf"(?:{DATE}|{IP}|{SSN}|{NEAR_PHONE}){END}|\d{{1,2}}/\d"
+OTHER = rf"(?:{DATE}){DATE_END}|(?:{IP}|{SSN}|{NEAR_PHONE}){END}|\d{{1,2}}/\d"
 CARD = r"\d{13,19}|\d{4}(?:[ -]\d{4}){2,3}" \
        rf"(?:(?: (?!{OTHER})|-)\d{{1,3}})?|\d{{4}}[ -]\d{{6}}[ -]\d{{5}}"
 PHONE = rf"\+\d{{1,3}}(?: (?!(?:{LONG_CARD}){END})|[.-])?(?:\(\d{{1,4}}\)[ .-]?)?\d{{1,14}}" \
@@ -46,8 +50,9 @@ PHONE = rf"\+\d{{1,3}}(?: (?!(?:{LONG_CARD}){END})|[.-])?(?:\(\d{{1,4}}\)[ .-]?)
 IBAN = r"[A-Z]{2}\d{2}" rf"(?:(?: (?!{OTHER}))?[A-Z0-9]{{4}}){{2,7}}" \
        rf"(?:(?: (?!{OTHER}))?[A-Z0-9]{{1,3}})?"
 # Matches nothing at every place where a candidate starts; group 1 is its longest form.
-CANDIDATE = (r"(?<![\p{L}\p{N}_%+-])(?<!\d\.)(?=((?:" + "|".join(
-    [EMAIL, DATE, IP, SSN, CARD, PHONE, IBAN]) + f"){END}))")
+CANDIDATE = (rf"(?=[A-Za-z0-9+(])(?=((?<![A-Za-z0-9]){EMAIL}(?![A-Za-z0-9_])"
+             rf"|(?<!{WORD}|[%+-])(?<!\d\.)(?:(?:{DATE}){DATE_END}|(?:"
+             + "|".join([IP, SSN, CARD, PHONE, IBAN]) + f"){END})))")
 # Forms with groups that may belong to what follows them, and the length that
 # Visa and Mastercard numbers and those of the North American plan have.
 SPLITS = r"^(?:\+|\d{4}[ -]\d{4}|[A-Z]{2}\d{2}[A-Z0-9 ]*$)"
@@ -203,7 +208,7 @@ def _ssn(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    code = F.regexp_extract(m, r"^\+(?:\d{1,3}(?=[ .(-])|\d{2}|1)", 0)
+    code = F.regexp_extract(m, r"^(?:\+(?:\d{1,3}(?=[ .(-])|\d{2}|1)|1[.-])", 0)
     rest = F.substr(m, F.length(code) + 1)
     new = permute_text(_digits(rest), key, F.concat(F.lit("phone"), code))
     return F.concat(code, F.element_at(

@@ -122,3 +122,24 @@ def test_values_beside_other_numbers(spark):
     assert kinds == [["card"], ["card"], ["card"], ["phone", "ip"]]
     assert got[1] == values["4111 1111 1111 1111"] + " 12/25 123"
     assert got[2] == values["4111 1111 1111 1111"] + " 123"
+
+
+def test_values_beside_letters_and_signs(spark):
+    """Only characters of a value's own format keep it from being one."""
+    values = ["2024-01-15", "bob.roe@example.com", "1-800-555-1234", "4111 1111 1111 1111"]
+    new, kinds = run(spark, values)
+    assert kinds == [["date"], ["email"], ["phone"], ["card"]]
+    assert new[2].startswith("1-") and new[2][1:] != values[2][1:]
+    date, mail, _, card = values
+    texts = [f"at {date}T10:30:00Z.", f"-{mail}", f"_{mail}", f"\u8054\u7cfb{mail}\u8c22\u8c22",
+             f"\u65e5\u671f{date}\u65e5", f"\u0e17\u0e35\u0e48{card}\u0e04",
+             f"+33 1 23 45 67 89 {date}T10:30:00Z"]
+    got, kinds = run(spark, texts)
+    assert kinds == [["date"], ["email"], ["email"], ["email"], ["date"], ["card"],
+                     ["phone", "date"]]
+    for text, out, old, pseudo in zip(texts, got, [date, mail, mail, mail, date, card],
+                                      [new[0], new[1], new[1], new[1], new[0], new[3]]):
+        assert out == text.replace(old, pseudo)
+    assert got[6].endswith(f" {new[0]}T10:30:00Z")
+    stay = [f"x{date}", f"{date}x", f"{date}Tx", f"{card}x", "v10.0.0.1", f"{mail}_x"]
+    assert run(spark, stay) == (stay, [[]] * len(stay))
