@@ -17,7 +17,7 @@ ssn         area, group and serial ranges       dashes
 ip          four numbers up to 255              dots
 phone       8 to 15 digits                      country code, separators
 date        calendar, years 1800 to 2199        century, field order, separators
-email       name and domain                     domain, signs in the name
+email       name (64 characters) and domain     domain, signs in the name
 ==========  ==================================  ==============================
 """
 
@@ -27,8 +27,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 10
+RUN = 64  # candidates taken together
 
-EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+# Names have at most 64 characters and domains at most 127 labels of 63 (the
+# limits of mail and DNS), so a match costs the same in texts of any length.
+EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,125}" \
+        r"\.[A-Za-z]{2,63}"
 DATE = r"\d{4}-\d{1,2}-\d{1,2}|\d{4}/\d{1,2}/\d{1,2}|\d{4}\.\d{1,2}\.\d{1,2}" \
        r"|\d{1,2}-\d{1,2}-\d{4}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}"
 IP = r"(?:\d{1,3}\.){3}\d{1,3}(?!\.\d)"
@@ -344,18 +348,20 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
     return out.otherwise(m)
 
 
-def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, text: str = "text", out: str = "pii") -> DataFrame:
     """``docs`` with the personal values of ``text`` replaced and a column
-    ``pii``: ``kind`` and ``value`` (the pseudonym) of each, in order.
+    ``out``: ``kind`` and ``value`` (the pseudonym) of each, in order.
 
     The length of a text may change only where a date is written without
     leading zeros or an address number takes more digits. A null text stays
     null with an empty list, an empty one empty; repeated rows and other
-    columns stay; a column named ``pii`` is replaced. A candidate that fails
+    columns stay; a column named ``out`` is replaced. A candidate that fails
     its validation is tried with fewer groups; where none passes, the text is
     searched on from the next place where a candidate starts.
     """
-    t = F.col(text)
+    t, zipped_name = F.col(text), "_candidates"
+    while zipped_name in docs.columns:
+        zipped_name = f"_{zipped_name}"
     pieces = F.split(t, CANDIDATE, -1)  # each but the first starts at a candidate
     valid = F.transform(F.regexp_extract_all(t, F.lit(CANDIDATE), F.lit(1)), _valid)
     nothing = F.array(F.lit(None).cast("struct<kind:string,value:string>"))
@@ -373,20 +379,29 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
             F.greatest(used - size, F.lit(0)).alias("skip"),
             F.when(~hit & (used >= size), a["out"])
             .otherwise(F.concat(a["out"], F.array(row))).cast(out_type).alias("out"))
-    taken = docs.withColumn("pii", F.when(t.rlike("[0-9@]"), valid)).withColumn("pii", F.when(
-        F.exists("pii", lambda x: x.isNotNull()), F.aggregate(
-            F.arrays_zip(pieces.alias("piece"), F.when(
-                F.size(pieces) > F.size("pii"), F.concat(nothing, F.col("pii")))
-                .otherwise(F.col("pii")).alias("valid")),
-            F.struct(F.lit(0).alias("skip"), F.array().cast(out_type).alias("out")),
-            take, lambda a: a["out"])))
-    some = taken.withColumn("pii", F.transform("pii", lambda x: F.struct(
+    def take_some(a: Column, some: Column) -> Column:
+        """A text's list grows by a run of candidates at a time: it is copied
+        whenever it grows."""
+        return F.aggregate(some, F.struct(a["skip"].alias("skip"), F.array().cast(out_type)
+                                          .alias("out")), take, lambda b: F.struct(
+            b["skip"].alias("skip"), F.concat(a["out"], b["out"]).cast(out_type).alias("out")))
+    zipped = F.arrays_zip(pieces.alias("piece"), F.when(
+        F.size(pieces) > F.size(out), F.concat(nothing, F.col(out)))
+        .otherwise(F.col(out)).alias("valid"))
+    runs = F.transform(F.sequence(F.lit(0), F.floor(F.size(zipped_name) / RUN).cast("int")),
+                       lambda i: F.slice(zipped_name, i * RUN + 1, RUN))
+    taken = docs.withColumn(out, F.when(t.rlike("[0-9@]"), valid)).withColumn(
+        zipped_name, F.when(F.exists(out, lambda x: x.isNotNull()), zipped)).withColumn(
+        out, F.when(F.col(zipped_name).isNotNull(), F.aggregate(
+            runs, F.struct(F.lit(0).alias("skip"), F.array().cast(out_type).alias("out")),
+            take_some, lambda a: a["out"]))).drop(zipped_name)
+    some = taken.withColumn(out, F.transform(out, lambda x: F.struct(
         x["kind"].alias("kind"), pseudonym(x["value"], x["kind"], key).alias("value"),
         x["rest"].alias("rest"))))
     rebuilt = F.array_join(F.transform(
-        "pii", lambda x: F.concat(F.coalesce(x["value"], F.lit("")), x["rest"])), "")
+        out, lambda x: F.concat(F.coalesce(x["value"], F.lit("")), x["rest"])), "")
     none = F.array().cast("array<struct<kind:string,value:string>>")
-    values = F.transform(F.filter("pii", lambda x: x["kind"].isNotNull()),
+    values = F.transform(F.filter(out, lambda x: x["kind"].isNotNull()),
                          lambda x: F.struct(x["kind"].alias("kind"), x["value"].alias("value")))
-    return some.withColumn(text, F.when(F.col("pii").isNotNull(), rebuilt).otherwise(t)) \
-        .withColumn("pii", F.coalesce(values, none))
+    return some.withColumn(text, F.when(F.col(out).isNotNull(), rebuilt).otherwise(t)) \
+        .withColumn(out, F.coalesce(values, none))
