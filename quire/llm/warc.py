@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 CRLF = "\r\n"
-DATE = "2024-01-01T00:00:00Z"  # WARC-Date where a record brings none
+DATE = "2024-01-01T00:00:00Z"  # WARC-Date of all records: tables of pages state none
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -31,27 +31,43 @@ def base32_sha1(payload: Column) -> Column:
     return F.concat(*letters)
 
 
-def _urn(record_id: Column) -> Column:
-    """Record URN: a UUID made of the digits of the record's id."""
-    h = F.lpad(F.lower(F.hex(record_id)), 32, "0")
+def record_urn(record_id: Column, row: Column) -> Column:
+    """Record URN: 64 bits of the record's id, a bit that is set where it is
+    null, and 63 bits of the row number, so that repeated ids have URNs of
+    their own."""
+    def hex16(n: Column) -> Column:
+        return F.lpad(F.lower(F.hex(n)), 16, "0")
+    null_bit = F.when(record_id.isNull(), F.lit(-(1 << 63)).cast("long")).otherwise(
+        F.lit(0).cast("long"))
+    h = F.concat(hex16(F.coalesce(record_id, F.lit(0).cast("long"))),
+                 hex16(row.bitwiseOR(null_bit)))
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *[
         F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]),
         F.lit(">"))
 
 
-def header_block(record_id: Column, url: Column, kind: Column, refers_to: Column,
+def urn_id(header: Column, field: str) -> Column:
+    """The record id that a header's URN field states; null without one."""
+    h = F.replace(F.regexp_extract(header, rf"\r\n{field}: <urn:uuid:([0-9a-f-]{{36}})>\r\n", 1),
+                  F.lit("-"), F.lit(""))
+    stated = (h != "") & (F.substring(h, 17, 1) < "8")
+    return F.when(stated, F.conv(F.substring(h, 1, 16), 16, -10).cast("long"))
+
+
+def header_block(urn: Column, url: Column, kind: Column, refers_to: Column,
                  digest: Column, length: Column) -> Column:
-    """Header block of a record, with the empty line that ends it. A revisit
-    carries no block; fields without a value are left out."""
+    """Header block of a record, with the empty line that ends it. ``urn`` and
+    ``refers_to`` are URNs. A revisit carries no block; fields without a value
+    are left out."""
     def line(name: str, value: Column) -> Column:
         return F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit(CRLF)), F.lit(""))
     safe_url = F.regexp_replace(url, r"[\x00-\x20\x7F]", "")
     return F.concat(
         F.lit("WARC/1.1" + CRLF), line("WARC-Type", kind),
-        line("WARC-Record-ID", _urn(record_id)), line("WARC-Date", F.lit(DATE)),
+        line("WARC-Record-ID", urn), line("WARC-Date", F.lit(DATE)),
         line("WARC-Target-URI", safe_url),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), digest)),
-        line("WARC-Refers-To", _urn(refers_to)),
+        line("WARC-Refers-To", refers_to),
         line("WARC-Profile", F.when(kind == "revisit", F.lit(
             "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))),
         line("Content-Type", F.lit("text/html; charset=utf-8")),
@@ -67,8 +83,8 @@ def write_archive(rows: DataFrame, path: str, record_id: str = "record_id", url:
     smallest id becomes a response, the others revisits of it; rows with
     smaller payloads are all responses. A null payload is empty; a null url
     leaves its header out; null ids come last, and rows that repeat an id and
-    payload are ordered by a row number; other columns are ignored; an empty
-    table gives an empty archive.
+    payload are ordered by a row number, as is part of every record's URN;
+    other columns are ignored; an empty table gives an empty archive.
     """
     body = F.coalesce(F.col(payload), F.lit(b""))
     described = rows.select(
@@ -98,10 +114,10 @@ def write_archive(rows: DataFrame, path: str, record_id: str = "record_id", url:
     revisit = F.col("first").isNotNull() & (F.col("first.row") != F.col("row")) \
         & (F.col("length") >= min_bytes)
     kind = F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))
-    refers = F.when(revisit, F.col("first.record_id"))
-    told.select("record_id", "address", kind.alias("kind"), refers.alias("refers_to"),
-                header_block(F.col("record_id"), F.col("url"), kind, refers, F.col("sha1"),
-                             F.col("length")).alias("header")) \
+    refers = F.when(revisit, record_urn(F.col("first.record_id"), F.col("first.row")))
+    told.select("address", header_block(
+        record_urn(F.col("record_id"), F.col("row")), F.col("url"), kind, refers, F.col("sha1"),
+        F.col("length")).alias("header")) \
         .write.parquet(f"{path}/records")
 
     # Payload bytes are written where they are read; only the copies are
@@ -129,14 +145,16 @@ def read_payloads(spark: SparkSession, path: str) -> DataFrame:
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """All records: ``record_id``, ``record_type``, ``refers_to``, ``header``,
     ``payload``, ``payload_bytes``, ``payload_digest`` and ``record``, the
-    original record's bytes. Type and digests are read from the header and
-    from the stored bytes; columns not asked for are not moved by the join."""
+    original record's bytes. Ids and type are read from the header, digests
+    and length from the stored bytes; columns not asked for are not moved by
+    the join."""
     records = spark.read.parquet(f"{path}/records")
     joined = records.join(read_payloads(spark, path), "address")
     kind = F.regexp_extract("header", r"\r\nWARC-Type: (\w+)\r\n", 1)
     block = F.when(kind == "revisit", F.lit(b"")).otherwise(F.col("payload"))
     return joined.select(
-        "record_id", kind.alias("record_type"), "refers_to", "header", "payload",
+        urn_id(F.col("header"), "WARC-Record-ID").alias("record_id"), kind.alias("record_type"),
+        urn_id(F.col("header"), "WARC-Refers-To").alias("refers_to"), "header", "payload",
         "payload_bytes", "payload_digest",
         F.concat(F.col("header").cast("binary"), block, F.lit((CRLF * 2).encode()))
         .alias("record"))

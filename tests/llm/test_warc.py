@@ -50,6 +50,35 @@ def test_round_trip(spark):
                             ("8", "response", "None")])
 
 
+def test_every_header_line(spark):
+    """Fields, order and values of all header lines; unique record URNs."""
+    _, got = archive(spark, [*ROWS, (-3, "http://a/n", b"neg", "", "")])
+    urns = {}
+    for r in got:
+        lines = r.header.split("\r\n")
+        assert lines[0] == "WARC/1.1" and lines[-2:] == ["", ""]
+        fields = dict(x.split(": ", 1) for x in lines[1:-2])
+        assert len(fields) == len(lines) - 3 and all(fields.values())
+        names = ["WARC-Type", "WARC-Record-ID", "WARC-Date", "WARC-Target-URI",
+                 "WARC-Payload-Digest", "WARC-Refers-To", "WARC-Profile", "Content-Type",
+                 "Content-Length"]
+        own = [n for n in names if n in fields]
+        assert own == list(fields)
+        revisit = r.record_type == "revisit"
+        assert fields["WARC-Type"] == r.record_type
+        assert ("WARC-Refers-To" in fields) == ("WARC-Profile" in fields) == revisit
+        for name in {"WARC-Record-ID", "WARC-Refers-To"} & set(fields):
+            uuid.UUID(fields[name].removeprefix("<urn:uuid:").removesuffix(">"))
+        urns[fields["WARC-Record-ID"]] = r
+    assert len(urns) == len(ROWS) + 1  # also where ids repeat
+    for r in got:
+        if r.record_type == "revisit":
+            first = urns[r.header.split("WARC-Refers-To: ")[1].split("\r\n")[0]]
+            assert first.record_type == "response" and first.record_id == r.refers_to
+            assert first.payload_digest == r.payload_digest
+    assert sorted(str(r.record_id) for r in got) == sorted(str(x[0]) for x in [*ROWS, (-3,)])
+
+
 def test_small_payloads_are_all_responses(spark):
     _, got = archive(spark, ROWS, min_bytes=15)
     assert {r.record_type for r in got} == {"response"}
