@@ -26,7 +26,6 @@ from quire.llm.sharing import Shared
 
 # Labelled documents used for fitting, at most: the ones of smallest id hash.
 MAX_TRAINING_ROWS = 24_000
-MAX_ENTRIES = 20_000  # size of the lexicon, strongest entries first
 PREFIXES = (4, 5, 6)  # lengths of the word beginnings tried as entries
 MIN_DOCS = 4          # toxic documents that hold an entry, at least
 MIN_GAIN = 15.0       # log-likelihood gain (G-squared) of an entry, at least
@@ -136,29 +135,42 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINI
                   id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``(text, toxic)`` of at most ``max_rows`` labelled documents outside
     the held-out fifth. A document labelled more than once counts as toxic if
-    any of its labels says so; null ids and null labels are left out."""
+    any of its labels says so; of documents that share an id the text of least
+    hash is used; null ids and null labels are left out."""
     known = labels.select(F.col(id_col).alias("_id"), "toxic").filter(
         F.col("_id").isNotNull() & F.col("toxic").isNotNull()) \
         .groupBy("_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.filter(~held_out(F.col("_id"))) \
         .orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
     # The label side has at most ``max_rows`` rows of two numbers.
-    return docs.select(F.col(id_col).alias("_id"), F.col(text).alias("text")) \
-        .join(F.broadcast(chosen), "_id").select("text", "toxic")
+    found = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("text")) \
+        .join(F.broadcast(chosen), "_id")
+    return found.groupBy("_id").agg(F.min_by(F.struct("text", "toxic"), F.struct(
+        F.xxhash64("text"), F.col("text"))).alias("r")).select("r.text", "r.toxic")
 
 
 def held_out(doc_id):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+def _frame(found: list[tuple[set, int]]) -> pd.DataFrame:
+    """The terms of a batch of texts, each with its text's label."""
+    return pd.DataFrame({"term": [t for terms, _ in found for t in terms],
+                         "toxic": np.repeat([toxic for _, toxic in found],
+                                            [len(terms) for terms, _ in found])
+                         .astype("int32")})
+
+
 def _terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
+        batch = []
         for text, toxic in zip(pdf["text"], pdf["toxic"]):
             found = set()
             for word in set(fold(text).split()):
                 found.add(f" {word} ")
                 found.update(f" {word[:n]}" for n in PREFIXES if len(word) > n)
-            yield pd.DataFrame({"term": list(found), "toxic": int(toxic > 0)})
+            batch.append((found, int(toxic > 0)))
+        yield _frame(batch)
 
 
 def _phrases(model: Model):
@@ -166,6 +178,7 @@ def _phrases(model: Model):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         automaton = model.automaton()
         for pdf in batches:
+            batch = []
             for text, toxic in zip(pdf["text"], pdf["toxic"]):
                 folded, found = fold(text), set()
                 for at in hits(automaton, folded):
@@ -175,8 +188,8 @@ def _phrases(model: Model):
                         found.add(folded[before:end + 1])
                     if after >= 0:
                         found.add(folded[at:after + 1])
-                if found:
-                    yield pd.DataFrame({"term": list(found), "toxic": int(toxic > 0)})
+                batch.append((found, int(toxic > 0)))
+            yield _frame(batch)
     return run
 
 
@@ -202,7 +215,7 @@ def _without_copied(model: Model, toxic_rows: DataFrame, docs: dict[str, float])
     """Entries that stand in different contexts: words that many copies of
     one text share are no sign of toxicity."""
     seen = toxic_rows.mapInPandas(_contexts(model), "term string, before string") \
-        .groupBy("term").agg(F.countDistinct("before").alias("n")).collect()  # MAX_ENTRIES rows
+        .groupBy("term").agg(F.countDistinct("before").alias("n")).collect()  # a row per entry
     return {r.term: model.entries[r.term] for r in seen
             if r.n >= min(MIN_CONTEXTS, max(MIN_DOCS, CONTEXT_SHARE * docs[r.term]))}
 
@@ -231,8 +244,8 @@ def _lexicon(frame: DataFrame, n_toxic: int, n_clean: int) -> dict[str, tuple[fl
     odds = F.log((a + 0.5) / (n_toxic + 1.0)) - F.log((b + 0.5) / (n_clean + 1.0))
     kept = _by_term(frame).filter(F.col("a") >= MIN_DOCS) \
         .select("term", "a", gain.alias("gain"), odds.alias("odds")) \
-        .filter((F.col("gain") >= MIN_GAIN) & (F.col("odds") >= MIN_ODDS)) \
-        .orderBy(F.desc("gain"), "term").limit(MAX_ENTRIES)
+        .filter((F.col("gain") >= MIN_GAIN) & (F.col("odds") >= MIN_ODDS))
+    # Terms of at most ``max_rows`` documents that several toxic ones share.
     return {r.term: (r.odds, r.a) for r in kept.collect()}
 
 
@@ -300,8 +313,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS,
         phrases = _by_term(rows.mapInPandas(_phrases(model), "term string, toxic int"))
         excused = phrases.filter(
             (F.col("b") >= EXCEPTION_DOCS)
-            & (F.col("a") * n_clean <= F.col("b") * n_toxic)) \
-            .orderBy(F.desc("b"), "term").limit(MAX_ENTRIES)
+            & (F.col("a") * n_clean <= F.col("b") * n_toxic)).orderBy(F.desc("b"), "term")
         model.exceptions += [r.term for r in excused.collect()]
         sample = rows.mapInPandas(_feature_rows(model), "a double, b double, c double, toxic int") \
             .toPandas()  # at most max_rows rows of four numbers
@@ -316,7 +328,7 @@ def with_score(docs: DataFrame, model: Model, text: str = "text",
                out: str = "score") -> DataFrame:
     """Add ``out``, the probability that a text is toxic. Null and empty
     texts score as texts without words; whole texts are read."""
-    shared = Shared(docs.sparkSession, model)  # bounded by MAX_ENTRIES
+    shared = Shared(docs.sparkSession, model)  # entries of the bounded training rows
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -102,3 +102,14 @@ def test_words_of_copied_texts_are_no_entries(spark):
     model = T.fit(spark.createDataFrame(docs, SCHEMA),
                   spark.createDataFrame(labels, "doc_id long, toxic int"))
     assert " nitwit " in model.entries and not any("odd" in e for e in model.entries)
+
+
+def test_training_rows_are_bounded(spark):
+    """One id that very many documents share is trained on once."""
+    docs = spark.createDataFrame([(i if i < 50 else 7, f"text {i}") for i in range(3000)],
+                                 "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, toxic int")
+    rows = T.training_rows(docs, labels, 10)
+    assert rows.count() <= 10
+    every = T.training_rows(docs, labels).count()
+    assert 0 < every <= 50
