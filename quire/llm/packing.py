@@ -3,9 +3,9 @@
 Documents are grouped into ``buckets`` length classes; each is padded to the
 upper boundary of its class. Boundaries are chosen by dynamic programming over
 the histogram of all lengths, so that the padding summed over all documents is
-the least possible; above ``EXACT`` distinct lengths, the least for boundaries
-at rounded lengths. Inside a bucket documents are dealt into batches of as
-many rows as the token budget holds at the padded length.
+the least possible. Where a class starts moves up with where it ends, so each
+step halves the ranges left to search. Inside a bucket documents are dealt
+into batches of as many rows as the token budget holds at the padded length.
 """
 
 from __future__ import annotations
@@ -19,12 +19,6 @@ from quire.session import materialize
 
 BUCKETS = 16
 BATCH_TOKENS = 65_536
-# Up to EXACT distinct lengths the histogram holds each. More are rounded up to
-# ``ALIGN`` and, from STEPS * ALIGN on, to one of STEPS steps in each doubling.
-# That bounds the histogram (22 doublings to 2 ** 34 tokens) at 12,000 rows;
-# padding is counted against true lengths.
-EXACT = 12_000
-ALIGN, STEPS = 8, 512
 
 
 def token_length(text: Column) -> Column:
@@ -33,38 +27,52 @@ def token_length(text: Column) -> Column:
                       F.lit(0)).cast("long")
 
 
-def rounded(n: Column) -> Column:
-    """Histogram bin of a length: the padded length it stands for."""
-    over = F.greatest(n, F.lit(1)) - 1
-    doubling = F.greatest(F.floor(F.log2(F.greatest(over, F.lit(1)).cast("double")
-                                         / (ALIGN * STEPS))), F.lit(0))
-    step = (F.lit(ALIGN) * F.pow(F.lit(2.0), doubling)).cast("long")
-    return F.floor((over + step) / step) * step
+def _least_starts(cost: np.ndarray, edges: np.ndarray, rows: np.ndarray
+                  ) -> tuple[np.ndarray, np.ndarray]:
+    """For every end ``j`` the least of ``cost[i] + edges[j - 1] * (rows[j] -
+    rows[i])`` over the starts ``i < j``, and the first such start. Least
+    starts do not fall with ``j``: the middles of all ranges are searched
+    together, between the starts found for the ends around them."""
+    n = len(edges)
+    least, start = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
+    lo, hi = np.array([1]), np.array([n])            # ends still open
+    first, last = np.array([0]), np.array([n - 1])   # starts possible for them
+    while len(lo):
+        mid = (lo + hi) // 2
+        upto = np.minimum(last, mid - 1)
+        size = upto - first + 1
+        begin = np.cumsum(size) - size
+        i = np.arange(size.sum()) - np.repeat(begin - first, size)
+        j = np.repeat(mid, size)
+        total = cost[i] + edges[j - 1] * (rows[j] - rows[i])
+        least[mid] = np.minimum.reduceat(total, begin)
+        hit = np.flatnonzero(total == np.repeat(least[mid], size))
+        start[mid] = i[hit[np.searchsorted(hit, begin)]]
+        left, right = lo < mid, mid < hi
+        lo, hi, first, last = (np.concatenate(x) for x in (
+            (lo[left], mid[right] + 1), (mid[left] - 1, hi[right]),
+            (first[left], start[mid][right]), (start[mid][left], last[right])))
+    return least, start
 
 
-def boundaries(edges: np.ndarray, counts: np.ndarray, tokens: np.ndarray,
-               buckets: int = BUCKETS) -> list[int]:
+def boundaries(edges: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS) -> list[int]:
     """Upper boundaries (some of ``edges``, ascending, last one included) of
     at most ``buckets`` classes with the least total padding.
 
-    ``edges`` ascend; ``counts`` and ``tokens`` are the documents and the true
-    tokens of each bin. Ties go to the smaller boundary.
+    ``edges`` are the lengths that occur, ascending; ``counts`` the documents
+    of each. Work grows with the distinct lengths times their logarithm.
     """
     n = len(edges)
     if not n:
         return []
-    rows = np.concatenate([[0], np.cumsum(counts)]).astype(np.float64)
-    # cost[j]: least padded tokens of bins 0..j-1; choice[k][j]: start of the
-    # last class when k + 1 classes end before bin j.
-    cost = np.concatenate([[0.0], edges * rows[1:]])
+    edges = np.asarray(edges, np.int64)
+    rows = np.concatenate([[0], np.cumsum(np.asarray(counts, np.int64))])
+    # cost[j]: least padded tokens of lengths 0..j-1; choice[k][j]: start of
+    # the last class when k + 1 classes end before length j.
+    cost = np.concatenate([[0], edges * rows[1:]])
     choice = [np.zeros(n + 1, np.int64)]
     for _ in range(1, min(buckets, n)):
-        new, start = np.zeros(n + 1), np.zeros(n + 1, np.int64)
-        for j in range(1, n + 1):
-            total = cost[:j] + edges[j - 1] * (rows[j] - rows[:j])
-            start[j] = int(total.argmin())
-            new[j] = total[start[j]]
-        cost = new
+        cost, start = _least_starts(cost, edges, rows)
         choice.append(start)
     out, j = [], n
     for start in reversed(choice):
@@ -86,23 +94,22 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", buckets: i
     go to the first bucket; null ids and repeated rows each take a slot;
     other columns are ignored; an empty table gives an empty result.
     """
-    sized = materialize(docs.select(F.col(id_col), token_length(F.col(text)).alias("n_tokens")),
-                        "lengths")
-    exact = sized.groupBy("n_tokens").count().limit(EXACT + 1).count() <= EXACT
-    sized = sized.withColumn("_bin", F.greatest(F.col("n_tokens"), F.lit(1)) if exact
-                             else rounded(F.col("n_tokens")))
-    bins = sized.groupBy("_bin").agg(F.count(F.lit(1)).alias("n"),
-                                     F.sum("n_tokens").alias("tokens"))
-    found = sorted(tuple(r) for r in bins.collect())  # bounded, see EXACT, ALIGN and STEPS
-    table = np.array(found, np.float64).reshape(-1, 3)
-    ends = boundaries(table[:, 0], table[:, 1], table[:, 2], buckets)
+    sized = materialize(docs.select(
+        F.col(id_col), token_length(F.col(text)).alias("n_tokens"),
+        F.monotonically_increasing_id().alias("_row")), "lengths")
+    sized = sized.withColumn("_bin", F.greatest(F.col("n_tokens"), F.lit(1)))
+    # One row for each distinct length: their number is at most the square
+    # root of twice the tokens of the corpus.
+    bins = sized.groupBy("_bin").agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values("_bin")
+    ends = boundaries(bins["_bin"].to_numpy(np.int64), bins["n"].to_numpy(np.int64), buckets)
     bucket, padded = F.lit(None).cast("int"), F.lit(None).cast("long")
     for i, end in reversed(list(enumerate(ends))):
         inside = F.col("_bin") <= end
         bucket = F.when(inside, i).otherwise(bucket)
         padded = F.when(inside, F.lit(end).cast("long")).otherwise(padded)
-    dealt = gapless(sized.select(id_col, "n_tokens", bucket.alias("bucket"),
-                                 padded.alias("padded")), "bucket", [F.col(id_col)], "_at")
+    dealt = gapless(sized.select(id_col, "n_tokens", "_row", bucket.alias("bucket"),
+                                 padded.alias("padded")), "bucket", [F.col(id_col)], "_at",
+                    row="_row")
     rows = F.greatest(F.floor(F.lit(batch_tokens) / F.col("padded")), F.lit(1)).cast("long")
     return dealt.select(id_col, "n_tokens", "bucket", "padded",
                         F.floor(F.col("_at") / rows).cast("long").alias("batch"),

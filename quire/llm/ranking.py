@@ -10,22 +10,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.session import materialize
+
 # Hash blocks per group. The table of block totals has at most
 # ``groups * BLOCKS`` rows, whatever the number of rows ranked.
 BLOCKS = 256
 
 
 def gapless(df: DataFrame, group: str, order: list[Column], out: str = "slot",
-            blocks: int = BLOCKS) -> DataFrame:
+            blocks: int = BLOCKS, row: str | None = None) -> DataFrame:
     """Add ``out``: 0, 1, 2, ... inside each value of ``group``.
 
     ``group`` must take a bounded number of values (shards, buckets): the
     block totals are broadcast. Rows are ordered by a hash of ``order`` and
     then by ``order`` itself. A null ``order`` value is one more value; rows
-    equal in all of ``order`` get distinct positions in no fixed order.
+    equal in all of ``order`` get distinct positions in no fixed order. With
+    ``row``, a column of row numbers, such rows are dealt over all blocks, so
+    one value that many rows share fills no block alone.
     """
-    block = F.pmod(F.xxhash64(*order), F.lit(blocks)).cast("int")
-    cut = df.withColumn("_block", block)
+    if row is None:
+        cut = df.withColumn("_block", F.pmod(F.xxhash64(*order), F.lit(blocks)).cast("int"))
+    else:
+        order = [*order, F.col(row)]
+        keyed = df.withColumn("_key", F.xxhash64(*order[:-1]))
+        # Written, so that its true size decides how it is joined.
+        shared = materialize(keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_m"))
+                             .filter("_m > 1").select("_key", F.lit(True).alias("_many")), "shared")
+        cut = keyed.join(shared, "_key", "left").withColumn("_block", F.pmod(
+            F.when(F.col("_many"), F.xxhash64(*order)).otherwise(F.col("_key")),
+            F.lit(blocks)).cast("int")).drop("_key", "_many")
     totals = cut.groupBy(group, "_block").agg(F.count(F.lit(1)).alias("_n"))
     upto = Window.partitionBy(group).orderBy("_block").rowsBetween(
         Window.unboundedPreceding, -1)
