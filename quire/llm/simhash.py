@@ -233,6 +233,19 @@ def near_links(fps: DataFrame, max_bits: int = 4, split_above: int = SPLIT_ABOVE
         .mapInArrow(_compare(max_bits), "u long, v long")
 
 
+def _classes(rows: DataFrame, id_col: str, max_bits: int) -> DataFrame:
+    """``fp, component`` (a fingerprint of it) and ``component_id`` of every
+    fingerprint of ``rows (id_col, fp)``. It is a written table, so that its
+    true size decides how it is joined."""
+    classes = materialize(rows.groupBy("fp").agg(F.min(id_col).alias("least")), "classes")
+    parts = connected_components(near_links(classes.select("fp"), max_bits))
+    named = classes.join(parts.withColumnRenamed("node", "fp"), "fp", "left") \
+        .withColumn("component", F.coalesce("component", "fp"))
+    ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    return materialize(named.join(ids, "component").select("fp", "component", "component_id"),
+                       "per-class")
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                        shingle: int = 4, max_bits: int = 4) -> DataFrame:
     """One row per input row: ``id_col``, ``fp`` (signed), ``component_id``.
@@ -245,29 +258,27 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     """
     rows = materialize(with_fingerprint(docs.select(F.col(id_col), F.col(text).alias("_text")),
                                         "_text", shingle).select(id_col, "fp"), "fingerprints")
-    classes = materialize(rows.groupBy("fp").agg(F.min(id_col).alias("least")), "classes")
-    parts = connected_components(near_links(classes.select("fp"), max_bits))
-    named = parts.join(classes, parts.node == classes.fp)
-    ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    linked = parts.join(ids, "component").select(F.col("node").alias("fp"), "component_id")
-    per_class = classes.join(linked, "fp", "left") \
-        .select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return rows.join(per_class, "fp").select(id_col, "fp", "component_id")
+    return rows.join(_classes(rows, id_col, max_bits), "fp").select(id_col, "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                          shingle: int = 4, max_bits: int = 4) -> DataFrame:
-    """``docs`` with one document of each component: the one of smallest id.
-
-    Rows that repeat the id of a kept document are reduced to one of them;
-    rows with a null id are kept.
-    """
-    found = materialize(simhash_components(docs, id_col, text, shingle, max_bits)
-                        .select(id_col, "component_id"), "components")
-    losers = found.filter(F.col(id_col) != F.col("component_id")).select(id_col)
-    repeated = found.groupBy(id_col).count().filter(
-        (F.col("count") > 1) & F.col(id_col).isNotNull()).select(id_col)
-    once = docs.join(losers.union(repeated).distinct(), id_col, "left_anti")
-    kept_repeats = repeated.join(losers.distinct(), id_col, "left_anti")
-    more = docs.join(kept_repeats, id_col, "left_semi").dropDuplicates([id_col])
-    return once.unionByName(more.select(*once.columns)).select(*docs.columns)
+    """``docs`` with one row of each component: the one of smallest id, null
+    ids last, and of rows with this id the first by row number. Rows are told
+    apart by their numbers alone, so a repeated or null id loses no text of
+    another component."""
+    row = "_row"
+    while row in docs.columns:
+        row = f"_{row}"
+    # Written once: the row numbers must not change between passes.
+    kept = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    fps = materialize(with_fingerprint(kept.select(
+        F.col(id_col).alias("_id"), F.col(text).alias("_text"), F.col(row).alias("_at")),
+        "_text", shingle).select("_id", "fp", "_at"), "fingerprints")
+    placed = fps.join(_classes(fps, "_id", max_bits).select("fp", "component"), "fp")
+    order = F.struct(F.col("_id").isNull(), F.col("_id"), F.col("_at"))
+    first = placed.groupBy("component").agg(F.min(order).alias("first")) \
+        .select(F.col("first._at").alias("_at"))
+    losers = materialize(fps.join(first, "_at", "left_anti").select(F.col("_at").alias(row)),
+                         "near-copies")
+    return kept.join(losers, row, "left_anti").select(*docs.columns)

@@ -106,7 +106,7 @@ def test_edge_rows(spark):
     assert got == sorted(((r[0], label[f], f"{f:016x}") for r, f in zip(ROWS, fps)), key=str)
     kept = simhash.drop_near_duplicates(docs)
     assert kept.columns == docs.columns
-    assert sorted(map(str, (r.doc_id for r in kept.collect()))) == ["1", "3", "6", "7", "None"]
+    assert sorted(map(str, (r.doc_id for r in kept.collect()))) == ["1", "3", "6", "7"]
 
 
 def test_empty_table(spark):
@@ -120,3 +120,22 @@ def test_components_of_a_long_chain(spark):
     frame = spark.createDataFrame(edges, "u long, v long")
     got = {r.node: r.component for r in components.connected_components(frame).collect()}
     assert got == {3: 3, 5: 3} | {i: 100 for i in range(100, 161)}
+
+
+def test_every_component_keeps_one_row(spark):
+    """Repeated and null ids: no text goes with another one's copy."""
+    a, b, c, d = ("the quick brown fox number %d runs over many lazy dogs %d" % (i, i * i)
+                  for i in (1, 20, 300, 4000))
+    rows = [(1, a), (2, a), (2, b), (3, c), (5, c), (5, d), (None, d + " end"), (None, a), (None, b)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn(
+        "_row", F.lit("clash"))
+    parts = simhash.simhash_components(docs)
+    got = simhash.drop_near_duplicates(docs)
+    assert got.columns == docs.columns
+    texts = [r.text for r in got.collect()]
+    fps = {t: simhash.fingerprint(t) for _, t in rows}
+    assert len(texts) == len({fps[t] for t in texts})
+    near = lambda x, y: (fps[x] ^ fps[y]).bit_count() <= 4
+    assert all(any(near(t, kept) for kept in texts) for _, t in rows)
+    assert {(r.doc_id, r.text) for r in got.collect()} >= {(1, a), (2, b), (3, c)}
+    assert parts.count() == len(rows)
