@@ -101,17 +101,22 @@ def bloom_blocks(listed: DataFrame, url: str, n: int) -> tuple[DataFrame, int]:
 def _split_by_filter(rows: DataFrame, url: str, filter_table: DataFrame,
                      blocks: int) -> tuple[DataFrame, DataFrame]:
     """Rows whose URL passes the filter, and those it rules out."""
-    u = F.col(url)
+    u, lead = F.col(url), "_"
+    while any(c.startswith(lead) for c in rows.columns):
+        lead += "_"
+    block, words, maybe = (lead + name for name in ("block", "words", "maybe"))
     if blocks * WORDS * 8 <= FILTER_BYTES:
         filter_table = F.broadcast(filter_table)
-    probed = rows.withColumn("_block", F.coalesce(_block(u, blocks), F.lit(0).cast("long"))) \
-        .join(filter_table.withColumnRenamed("block", "_block"), "_block", "left")
+    # Rows without a URL meet no block of the filter and are spread over many.
+    probed = rows.withColumn(block, F.when(u.isNotNull(), _block(u, blocks)).otherwise(
+        -1 - F.pmod(F.monotonically_increasing_id(), F.lit(1 << 12)))) \
+        .join(filter_table.toDF(block, words), block, "left")
     passed = u.isNotNull()
     for i in range(WORDS):
         bit = _word_bit(u, i)
-        passed &= F.coalesce(F.get("words", F.lit(i)).bitwiseAND(bit) == bit, F.lit(False))
-    probed = probed.withColumn("_maybe", passed).drop("_block", "words")
-    return (probed.filter("_maybe").drop("_maybe"), probed.filter(~F.col("_maybe")).drop("_maybe"))
+        passed &= F.coalesce(F.get(words, F.lit(i)).bitwiseAND(bit) == bit, F.lit(False))
+    probed = probed.withColumn(maybe, passed).drop(block, words)
+    return probed.filter(maybe).drop(maybe), probed.filter(~F.col(maybe)).drop(maybe)
 
 
 def judge(pages: DataFrame, listed: DataFrame, rules: list[Rule], url: str = "url",

@@ -84,3 +84,13 @@ def test_query_equals_sql(spark):
     want = con.sql(SQL["op4_urlfilter"])
     got = op4_urlfilter(spark, sf).select(*want.columns).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want.fetchall()))
+
+
+def test_clashing_names_and_null_urls(spark):
+    pages = spark.createDataFrame([(i, None if i % 2 else f"http://h{i}.net/a") for i in range(40)],
+                                  "page_id long, url string")
+    for name in ("words", "_words", "block", "canonical", "listed"):
+        pages = pages.withColumn(name, F.lit("x"))
+    got = U.judge(pages, pages.filter("page_id = 4").select("url"), [])
+    assert sorted(r.page_id for r in got.filter("verdict = 'block'").collect()) == [4]
+    assert got.count() == 40 and got.filter("words = 'x'").count() == 40
