@@ -137,7 +137,7 @@ def _grow(rows: DataFrame, dims: int, shards: int) -> DataFrame:
     def ranges(frame: DataFrame) -> dict:
         return {r[0]: (r[1], [(r[2 + 2 * i], r[3 + 2 * i]) for i in range(dims)])
                 for r in frame.groupBy("_node").agg(F.sum("size"), *ends).collect()}
-    placed, growing = rows.withColumn("_node", F.lit(0).cast("long")), [Node(shards, 0)]
+    placed, growing = rows, [Node(shards, 0)]
     whole = None
     while growing := [n for n in growing if n.k > 1]:
         stats = ranges(placed)
@@ -186,7 +186,8 @@ def kd_shards(docs: DataFrame, dims: dict[str, Column], shards: int | None = Non
         F.array(*[F.greatest(F.lit(_LEAST), F.least(F.lit(_MOST), F.coalesce(
             c.cast("long"), F.lit(0).cast("long")))) for c in dims.values()]).alias("_dims"),
         F.shiftright(F.xxhash64(F.col(id_col)), 2).alias("_hash"),
-        F.monotonically_increasing_id().alias("_row")), "shard-rows")
+        F.monotonically_increasing_id().alias("_row"), F.lit(0).cast("long").alias("_node")),
+        "shard-rows")
     if shards is None:
         total = rows.agg(F.sum("size")).first()[0] or 0
         shards = max(1, round(total / target_bytes))
