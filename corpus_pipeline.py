@@ -37,7 +37,10 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal values are replaced by pseudonyms; every document stays."""
-    return pii.pseudonymise(docs, PII_KEY).select(*docs.columns)
+    found = "_pii"
+    while found in docs.columns:
+        found = f"_{found}"
+    return pii.pseudonymise(docs, PII_KEY, out=found).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
