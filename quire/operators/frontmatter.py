@@ -95,21 +95,49 @@ def _py_float(v: Column) -> Column:
                 .otherwise(written(x)))
 
 
+LIMB = 1_000_000_000  # numbers of any size are kept as base-1e9 digits, the last ones first
+
+
+def _chunks(digits: Column, n: int) -> Column:
+    """Digits in groups of ``n`` from the right."""
+    filled = F.lpad(digits, F.ceil(F.length(digits) / n).cast("int") * n, "0")
+    return F.regexp_extract_all(filled, F.lit(f".{{{n}}}"), F.lit(0))
+
+
+def _times_plus(limbs: Column, times: int, plus: Column) -> Column:
+    """``limbs * times + plus``, both below ``LIMB``."""
+    start = F.struct(plus.cast("long").alias("carry"), F.array().cast("array<long>").alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        v = x * F.lit(times).cast("long") + s["carry"]
+        return F.struct(F.floor(F.call_function("div", v, F.lit(LIMB).cast("long"))).alias("carry"),
+                        F.concat(s["out"], F.array(v % LIMB)).alias("out"))
+    return F.aggregate(limbs, start, step, lambda s: F.when(
+        s["carry"] > 0, F.concat(s["out"], F.array(s["carry"]))).otherwise(s["out"]))
+
+
+def _decimal(limbs: Column) -> Column:
+    """Limbs as decimal digits without leading zeros."""
+    text = F.array_join(F.transform(F.reverse(limbs), lambda x: F.lpad(
+        x.cast("string"), 9, "0")), "")
+    bare = F.regexp_replace(text, r"\A0+", "")
+    return F.when(bare == "", F.lit("0")).otherwise(bare)
+
+
 def _based(digits: Column, base: int) -> Column:
-    """Digits of a base as a decimal number; null beyond 38 decimal digits."""
-    value = F.aggregate(
-        F.split(F.lower(digits), ""), F.lit(0).cast("decimal(38,0)"),
-        lambda a, c: F.try_add(F.try_multiply(a, F.lit(base).cast("decimal(2,0)")), F.conv(
-            c, 16, 10).cast("decimal(2,0)")).try_cast("decimal(38,0)"))
-    return value.cast("string")
+    """Digits of a base as a decimal number of any size."""
+    n = {2: 24, 8: 9, 16: 7}[base]
+    return _decimal(F.aggregate(
+        _chunks(digits, n), F.array().cast("array<long>"),
+        lambda a, c: _times_plus(a, base ** n, F.conv(c, base, 10).cast("long"))))
 
 
 def _sexagesimal(v: Column) -> Column:
     """``12:30:45`` as the number of its last unit."""
-    return F.aggregate(F.split(v, ":"), F.lit(0).cast("decimal(38,0)"),
-                       lambda a, c: F.try_add(F.try_multiply(a, F.lit(60).cast("decimal(2,0)")),
-                                              c.try_cast("decimal(20,0)"))
-                       .try_cast("decimal(38,0)")).cast("string")
+    parts = F.split(v, ":")
+    first = F.reverse(F.transform(_chunks(F.element_at(parts, 1), 9), lambda x: x.cast("long")))
+    return _decimal(F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), first,
+                                lambda a, c: _times_plus(a, 60, c.try_cast("long"))))
 
 
 def _plain_to_py_str(v: Column) -> Column:
@@ -127,7 +155,7 @@ def _plain_to_py_str(v: Column) -> Column:
                 .when(v.rlike(r"\A[-+]?0x[0-9a-fA-F_]+\z"),
                       signed(_based(F.substr(bare, F.lit(3)), 16)))
                 .when(v.rlike(r"\A[-+]?0b[01_]+\z"), signed(_based(F.substr(bare, F.lit(3)), 2)))
-                .when(v.rlike(r"\A[-+]?[1-9][0-9_]*(:[0-5]?[0-9])+\z"), signed(_sexagesimal(bare)))
+                .when(v.rlike(r"\A[-+]?[1-9][0-9_]*(?::[0-5]?[0-9])++\z"), signed(_sexagesimal(bare)))
                 .when(v.rlike(r"\A[-+]?\.(inf|Inf|INF)\z"), F.concat(sign, F.lit("inf")))
                 .when(v.rlike(r"\A\.(nan|NaN|NAN)\z"), F.lit("nan"))
                 .when(v.rlike(r"\A([-+]?[0-9][0-9_]*\.[0-9_]*([eE][-+][0-9]+)?"
@@ -184,28 +212,34 @@ def _scalar_to_py_str(v: Column) -> Column:
 
 # One entry: a plain or quoted key at the start of a line, the rest of that
 # line, and the lines that belong to it (indented, blank, ``- item`` or
-# comment lines). Groups: 1 key, 2 inline value, 3 following lines.
-KEY = rf"{DOUBLE_QUOTED}|{SINGLE_QUOTED}|[^\s#:\-\"'\[\]{{}}&*!|>%@`,?][^:\r\n]*?|-[^\s:][^:\r\n]*?"
-KV_RE = (rf"(?m)^({KEY})[ \t]*:(?:[ \t]+([^\r\n]*?))?[ \t]*\r?$"
-         r"((?:\r?\n(?:[ \t]+[^\r\n]*|-(?:[ \t][^\r\n]*)?|#[^\r\n]*)?(?=\r?\n|\r?\z|\z))*)")
-ITEM_RE = r"(?m)^[ \t]*-[ \t]+([^\r\n]*?)[ \t]*\r?$"
+# comment lines); blanks at the ends are stripped later. Groups: 1 key, 2 inline value, 3 following lines. The lines
+# are repeated without going back (``*+``), which the engine does in a loop:
+# an entry may have any number of them.
+KEY = rf"{DOUBLE_QUOTED}|{SINGLE_QUOTED}|[^\s#:\-\"'\[\]{{}}&*!|>%@`,?][^:\r\n]*+|-[^\s:][^:\r\n]*+"
+KV_RE = (rf"(?m)^({KEY})[ \t]*:(?:[ \t]+([^\r\n]*+))?\r?$"
+         r"((?:\r?\n(?:[ \t]+[^\r\n]*|-(?:[ \t][^\r\n]*)?|#[^\r\n]*)?(?=\r?\n|\r?\z|\z))*+)")
+ITEM_RE = r"(?m)^[ \t]*-[ \t]+([^\r\n]*+)\r?$"
 FLOW_ITEM_RE = rf"\s*((?:{DOUBLE_QUOTED}|{SINGLE_QUOTED}|[^,\"'\s][^,]*?)?)\s*(?:,|\z)"
 
 
 def _folded(v: Column) -> Column:
     """Line breaks inside a value: one is a space, blank lines stay breaks."""
-    return F.regexp_replace(F.regexp_replace(v, r"[ \t]*\r?\n(?:[ \t]*\r?\n)[ \t]*", "\n"),
-                            r"[ \t]*\r?\n[ \t]*", " ")
+    blanks = r"(?<![ \t])[ \t]*+"  # from the first blank of a run on only
+    return F.regexp_replace(
+        F.regexp_replace(v, blanks + r"\r?\n(?:[ \t]*\r?\n)[ \t]*", "\n"),
+        blanks + r"\r?\n[ \t]*", " ")
 
 
 def _block_scalar(header: Column, lines: Column) -> Column:
     """``|`` and ``>`` blocks without more-indented lines."""
-    indent = F.regexp_extract(lines, r"\n([ \t]+)[^\s]", 1)
-    rows = F.transform(F.slice(F.split(lines, r"\r?\n"), F.lit(2), F.greatest(
-        F.size(F.split(lines, r"\r?\n")), F.lit(1))),
-        lambda x: F.when(py_strip(x) == "", F.lit("")).otherwise(
-            F.when(x.startswith(indent), F.substr(x, F.length(indent) + 1)).otherwise(x)))
-    text = F.regexp_replace(F.array_join(rows, "\n"), r"\n+\z", "")
+    # Split and indent once, not again for every line.
+    parts = F.struct(F.split(lines, r"\r?\n").alias("lines"),
+                     F.regexp_extract(lines, r"\n([ \t]+)[^\s]", 1).alias("indent"))
+    rows = _let(parts, lambda p: F.transform(
+        F.slice(p["lines"], F.lit(2), F.greatest(F.size(p["lines"]), F.lit(1))),
+        lambda x: F.when(py_strip(x) == "", F.lit("")).otherwise(F.when(
+            x.startswith(p["indent"]), F.substr(x, F.length(p["indent"]) + 1)).otherwise(x))))
+    text = F.regexp_replace(F.array_join(rows, "\n"), r"(?<!\n)\n+\z", "")
     fold = F.regexp_replace(F.regexp_replace(text, r"(?<!\n)\n(?!\n)", " "), r"\n(\n+)", "$1")
     body = F.when(header.startswith(">"), fold).otherwise(text)
     tail = F.when(header.contains("-") | (body == ""), F.lit("")) \
@@ -262,17 +296,26 @@ def frontmatter_entries(df: DataFrame, fm_col: str = "fm") -> DataFrame:
                      F.regexp_extract_all(fm, F.lit(KV_RE), F.lit(2)).alias("v"),
                      F.regexp_extract_all(fm, F.lit(KV_RE), F.lit(3)).alias("i")),
         lambda e: F.struct(F.when(F.substring(e["k"], 1, 1).isin('"', "'"), _scalar_to_py_str(
-            e["k"])).otherwise(e["k"]).alias("key"), _value(e["v"], e["i"]).alias("value"))))
+            e["k"])).otherwise(F.rtrim(e["k"], F.lit(" \t"))).alias("key"), _value(e["v"], e["i"]).alias("value"))))
 
 
 def entries_to_map(kv: Column) -> Column:
     """Python dict semantics: a repeated key keeps its first position and
     takes its last value."""
-    return F.map_from_entries(F.transform(
-        F.array_distinct(F.transform(kv, lambda p: p["key"])),
-        lambda k: F.struct(k.alias("key"),
-                           F.element_at(F.reverse(F.filter(kv, lambda p: p["key"] == k)), 1)
-                           ["value"].alias("value"))))
+    def last_values(s: Column) -> Column:
+        """From entries sorted by key and place: each key's first place and
+        last value, in the order of the places."""
+        first = F.filter(s, lambda x, i: ~x["key"].eqNullSafe(
+            F.when(i > 0, F.get(s, i - 1))["key"]))
+        last = F.filter(s, lambda x, i: ~x["key"].eqNullSafe(F.get(s, i + 1)["key"]))
+        both = F.array_sort(F.zip_with(first, last, lambda a, b: F.struct(
+            a["at"].alias("at"), b["key"].alias("key"), b["value"].alias("value"))))
+        return F.transform(both, lambda x: F.struct(x["key"].alias("key"),
+                                                    x["value"].alias("value")))
+    sorted_entries = F.array_sort(F.transform(kv, lambda p, i: F.struct(
+        p["key"].alias("key"), i.alias("at"), p["value"].alias("value"))))
+    once = F.size(F.array_distinct(F.transform(kv, lambda p: p["key"]))) == F.size(kv)
+    return F.map_from_entries(F.when(once, kv).otherwise(_let(sorted_entries, last_values)))
 
 
 def _py_str(value) -> str:

@@ -132,3 +132,55 @@ def test_uncovered_forms_are_told(spark, block):
 
     df = spark.createDataFrame([(block,)], "fm string")
     assert df.select(frontmatter_covered("fm")).first()[0] is False
+
+
+def _maps(spark, blocks):
+    df = spark.createDataFrame(list(enumerate(blocks)), "i int, fm string")
+    return [r.metadata for r in frontmatter_map(df).orderBy("i").collect()]
+
+
+def test_blocks_of_any_length(spark):
+    """Long lists, many keys, long runs of blanks and digits: no task is lost
+    and the other rows are as they are."""
+    import time
+
+    n = 100_000
+    t = time.time()
+    got = _maps(spark, [
+        "tags:\n" + "".join(f"- item {i}\n" for i in range(n)) + "title: end\n",
+        "".join(f"key{i}: {i}\n" for i in range(20_000)),
+        "".join(f"key{i % 7}: {i}\n" for i in range(20_000)),
+        "a: " + " " * n + "x\nb: |\n" + "  line\n" * n + "c: 1\n",
+        "a: 1" + ":2" * n + "x\nb: 2\n",
+        "text:" + "\n  more" * n + "\nlast: yes\n",
+        "flow: [" + "a, " * n + "b]\n",
+        "title: plain\n"])
+    assert time.time() - t < 120
+    assert got[0]["tags"] == ", ".join(f"item {i}" for i in range(n)) and got[0]["title"] == "end"
+    assert got[1] == {f"key{i}": str(i) for i in range(20_000)}
+    assert got[2] == {f"key{i}": str(max(range(i, 20_000, 7))) for i in range(7)}
+    assert got[3]["a"] == "x" and got[3]["b"] == "line\n" * n and got[3]["c"] == "1"
+    assert got[4]["b"] == "2" and got[5]["last"] == "True"
+    assert got[5]["text"] == " ".join(["more"] * n)
+    assert got[6]["flow"] == "a, " * n + "b"
+    assert got[7] == {"title": "plain"}
+
+
+def test_repeated_keys_keep_their_first_place(spark):
+    df = spark.createDataFrame([("b: 1\na: 2\nc: 3\na: 4\nb: 5\n",)], "fm string")
+    (r,) = frontmatter_map(df).select(F.map_keys("metadata"), F.map_values("metadata")).collect()
+    assert tuple(r) == (["b", "a", "c"], ["5", "4", "3"])
+
+
+def test_numbers_of_any_size(spark):
+    import random
+
+    rng = random.Random(9)
+    block, want = "", {}
+    for i, digits in enumerate([1, 7, 8, 31, 33, 38, 39, 64, 200, 900]):
+        n = rng.getrandbits(4 * digits) | 1 << (4 * digits - 1)
+        minutes = rng.randrange(60)
+        block += f"h{i}: 0x{n:x}\no{i}: -0{n:o}\nb{i}: 0b{n:b}\ns{i}: {n}:{minutes}:05\n"
+        want |= {f"h{i}": str(n), f"o{i}": str(-n), f"b{i}": str(n),
+                 f"s{i}": str((n * 60 + minutes) * 60 + 5)}
+    assert _maps(spark, [block, "z: 0x0\n"]) == [want, {"z": "0"}]
