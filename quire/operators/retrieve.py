@@ -6,9 +6,12 @@ Exact kNN without a cross join
 Every question must be compared with every candidate chunk; what must not
 happen is materialising those pairs as rows. The plan is:
 
-1. The questions are a stated set: they are cut into blocks of bounded size
-   and each block is broadcast. The corpus is read once, whatever their number.
-2. The chunk table is scanned with only ``id``, the vector and the filter
+1. The questions are a stated set. Up to one block of bounded size they are
+   broadcast. More are cut into blocks that never pass the driver: questions
+   and corpus form a grid of question blocks and corpus splits, each question
+   goes to every split and each vector to every block, and a task holds one
+   cell (one block and one split) whatever the number of questions.
+2. Below the grid's size the chunk table is scanned with only ``id``, the vector and the filter
    columns in use, and streamed through ``mapInArrow``. A task keeps the best
    ``k`` chunks of every question over all its batches: a BLAS product gives
    approximate distances, rows that can still beat a question's k-th best
@@ -44,6 +47,8 @@ DEFAULT_MAX_BROADCAST_BYTES = 64 << 20
 RESULT_ROW_BYTES = 64
 # Distance matrix cells per numpy block (rows x questions), bounds task memory.
 _BLOCK_CELLS = 2_000_000
+# Bytes of the vectors in one corpus split of the question grid.
+SPLIT_BYTES = 32 << 20
 
 
 # ---------------------------------------------------------------------------
@@ -150,35 +155,82 @@ class _Best:
         self.id = np.concatenate([self.id[~mine], i[keep]])
 
 
-def _local_topk(blocks: list, dim: int, metric: str):
+def _vectors(ids, vectors, filters, dim: int):
+    """A batch of corpus rows that have a vector: vectors as a matrix, ids,
+    filter columns."""
+    have = vectors.is_valid()
+    ids, vectors, filters = ids.filter(have), vectors.filter(have), [f.filter(have) for f in filters]
+    widths = np.diff(vectors.offsets.to_numpy())
+    if (widths != dim).any():
+        raise ValueError(f"vectors of {widths[widths != dim][0]} dimensions "
+                         f"among questions of {dim}")
+    rows = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    return (rows, np.array(ids.to_pylist(), object),
+            [np.array(c.to_pylist(), object) for c in filters])
+
+
+def _emit(best: _Best, pos: np.ndarray, metric: str) -> list[pa.Array]:
+    return [pa.array(pos[best.q], pa.int64()), pa.array(best.id, pa.string()),
+            pa.array(np.sqrt(best.d) if metric == "l2" else best.d)]
+
+
+_TOP_NAMES = ["_pos", "id", "distance"]
+
+
+def _local_topk(block, dim: int, metric: str):
     def run(batches):
         best = None
         for batch in batches:
-            vectors = batch.column(1)
-            batch = batch.filter(vectors.is_valid())
-            vectors = batch.column(1)
-            if not batch.num_rows:
-                continue
-            widths = np.diff(vectors.offsets.to_numpy())
-            if (widths != dim).any():
-                raise ValueError(f"vectors of {widths[widths != dim][0]} dimensions "
-                                 f"among questions of {dim}")
-            rows = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64) \
-                .reshape(-1, dim)
-            ids = np.array(batch.column(0).to_pylist(), object)
-            corpus_f = [np.array(c.to_pylist(), object) for c in batch.columns[2:]]
-            best = best or [_Best(b.value) for b in blocks]
-            norm = np.einsum("ij,ij->i", rows, rows)
-            for part in best:
-                part.merge(rows, norm, ids, corpus_f)
-        for block, part in zip(blocks, best or []):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(block.value["pos"][part.q]), pa.array(part.id, pa.string()),
-                 pa.array(np.sqrt(part.d) if metric == "l2" else part.d)],
-                names=["_pos", "id", "distance"])
+            rows, ids, corpus_f = _vectors(batch.column(0), batch.column(1), batch.columns[2:], dim)
+            if len(rows):
+                best = best or _Best(block.value)
+                best.merge(rows, np.einsum("ij,ij->i", rows, rows), ids, corpus_f)
+        if best:
+            yield pa.RecordBatch.from_arrays(_emit(best, block.value["pos"], metric),
+                                             names=_TOP_NAMES)
     return run
 
 
+def _cell_topk(dim: int, metric: str, n_filters: int):
+    """Best rows of one split for one block of questions."""
+    def run(corpus: pa.Table, questions: pa.Table) -> pa.Table:
+        if corpus.num_rows and questions.num_rows:
+            best = _Best({
+                "vec": questions.column("_qvec").combine_chunks().flatten()
+                .to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim),
+                "k": questions.column("_k").to_numpy(),
+                "filters": [np.array(questions.column(f"_f{i}").to_pylist(), object)
+                            for i in range(n_filters)]})
+            for batch in corpus.to_batches(max_chunksize=1 << 16):
+                rows, ids, corpus_f = _vectors(
+                    batch.column("_cid"), batch.column("_cvec"),
+                    [batch.column(f"_f{i}") for i in range(n_filters)], dim)
+                if len(rows):
+                    best.merge(rows, np.einsum("ij,ij->i", rows, rows), ids, corpus_f)
+            return pa.Table.from_arrays(_emit(best, questions.column("_pos").to_numpy(), metric),
+                                        names=_TOP_NAMES)
+        return pa.Table.from_arrays([pa.array([], pa.int64()), pa.array([], pa.string()),
+                                     pa.array([], pa.float64())], names=_TOP_NAMES)
+    return run
+
+
+def _grid_topk(side: DataFrame, questions: DataFrame, n_blocks: int, dim: int, metric: str,
+               n_filters: int) -> DataFrame:
+    """Fragment and replicate in two dimensions: cell ``(block, split)`` gets
+    the questions of one block and the vectors of one split."""
+    n_rows = side.count()
+    n_splits = max(1, math.ceil(n_rows * (8 * dim + RESULT_ROW_BYTES) / SPLIT_BYTES))
+    split = F.pmod(F.xxhash64("_cid"), F.lit(n_splits)).alias("_s")
+    block = F.pmod(F.xxhash64("_pos"), F.lit(n_blocks)).alias("_b")
+    left = side.select("*", split, F.explode(F.sequence(
+        F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("_b"))
+    right = questions.filter("_qvec is not null").drop("query_id").select(
+        "*", block, F.explode(F.sequence(
+            F.lit(0).cast("long"), F.lit(n_splits - 1).cast("long"))).alias("_s"))
+    return left.groupBy("_b", "_s").cogroup(right.groupBy("_b", "_s")).applyInArrow(
+        _cell_topk(dim, metric, n_filters), "_pos long, id string, distance double")
+
+
 def knn(corpus: DataFrame, queries: DataFrame, k: int | str = DEFAULT_N_RESULTS, *,
         corpus_id: str = "id", corpus_vec: str = "embedding",
         query_id: str = "query_id", query_vec: str = "embedding",
@@ -233,13 +285,17 @@ def knn_bounded(corpus: DataFrame, queries: DataFrame, k: int | str = DEFAULT_N_
                                T.StructField("distance", T.DoubleType())])
     if n_q == 0 or kmax <= 0:
         return empty_frame(spark, out_schema.add("rank", T.IntegerType())), 0, 0
-    blocks, dim, asked = _question_blocks(spark, q, fnames, max_broadcast_bytes, n_q)
+    kept, dim, n_blocks = _written_questions(q, max_broadcast_bytes, n_q)
     side = corpus.select(F.col(corpus_id).cast("string").alias("_cid"),
                          F.col(corpus_vec).alias("_cvec"),
                          *[expr.cast("string").alias(fn)
                            for expr, fn in zip(filters.values(), fnames)])
-    local = side.mapInArrow(_local_topk(blocks, dim, metric),
-                            "_pos long, id string, distance double")
+    if n_blocks == 1:
+        local = side.mapInArrow(_local_topk(_question_block(spark, kept, fnames, dim), dim, metric),
+                                "_pos long, id string, distance double")
+    else:
+        local = _grid_topk(side, kept, n_blocks, dim, metric, len(fnames))
+    asked = kept.select("_pos", "query_id", "_k")
     # k per query travels with the final filter; the literal bound lets the
     # optimizer insert WindowGroupLimit before and after the shuffle.
     w = Window.partitionBy("_pos").orderBy("distance", "id")
@@ -252,13 +308,9 @@ def knn_bounded(corpus: DataFrame, queries: DataFrame, k: int | str = DEFAULT_N_
             n_q, kmax)
 
 
-def _question_blocks(spark, q: DataFrame, fnames: list[str], max_bytes: int, n_q: int):
-    """Broadcast blocks of questions, their number of dimensions, and the
-    table ``_pos, query_id, _k`` that names them.
-
-    The questions are written once with a position each; the driver holds one
-    block at a time.
-    """
+def _written_questions(q: DataFrame, max_bytes: int, n_q: int) -> tuple[DataFrame, int, int]:
+    """The questions, written once with a position each, their number of
+    dimensions and the number of blocks of ``max_bytes`` they make up."""
     from quire.session import materialize  # noqa: PLC0415
 
     kept = materialize(q.withColumn("_pos", F.monotonically_increasing_id()), "questions")
@@ -267,20 +319,18 @@ def _question_blocks(spark, q: DataFrame, fnames: list[str], max_bytes: int, n_q
     if len(widths) > 1:
         raise ValueError(f"questions of {widths[0]} and {widths[1]} dimensions")
     dim = widths[0] if widths else 0
-    n_blocks = max(1, math.ceil(n_q * (8 * dim + RESULT_ROW_BYTES) / max_bytes))
-    blocks = []
-    for b in range(n_blocks):
-        pdf = kept.filter("_qvec is not null") \
-            .filter(F.pmod(F.xxhash64("_pos"), F.lit(n_blocks)) == b).drop("query_id").toPandas()
-        if not len(pdf):
-            continue
-        blocks.append(spark.sparkContext.broadcast({
-            "pos": pdf["_pos"].to_numpy(np.int64),
-            "vec": np.array(pdf["_qvec"].tolist(), np.float64).reshape(len(pdf), dim),
-            "k": pdf["_k"].to_numpy(np.int64),
-            "filters": [pdf[f].where(pdf[f].notna(), None).to_numpy(dtype=object)
-                        for f in fnames]}))
-    return blocks, dim, kept.select("_pos", "query_id", "_k")
+    return kept, dim, max(1, math.ceil(n_q * (8 * dim + RESULT_ROW_BYTES) / max_bytes))
+
+
+def _question_block(spark, kept: DataFrame, fnames: list[str], dim: int):
+    """Broadcast of all questions, where they fit into one block."""
+    pdf = kept.filter("_qvec is not null").drop("query_id").toPandas()
+    return spark.sparkContext.broadcast({
+        "pos": pdf["_pos"].to_numpy(np.int64),
+        "vec": np.array(pdf["_qvec"].tolist(), np.float64).reshape(len(pdf), dim),
+        "k": pdf["_k"].to_numpy(np.int64),
+        "filters": [pdf[f].where(pdf[f].notna(), None).to_numpy(dtype=object)
+                    for f in fnames]})
 
 
 # ---------------------------------------------------------------------------

@@ -35,10 +35,13 @@ def test_knn_scan_reads_only_needed_columns(spark):
     assert "label" not in p.split("MapInArrow")[-1]  # corpus scan prunes 'label'
 
 
-def test_knn_reads_the_corpus_once_for_many_question_blocks(spark):
+def test_knn_grid_for_many_question_blocks(spark):
+    """Beyond one block: a grid of cells, the corpus read once."""
     corpus, qs = catalog._vectors(spark, SF_SMALL)
-    p = plan_text(retrieve.knn(corpus, qs, 3, max_broadcast_bytes=20_000))
-    assert p.count("MapInArrow") == 1
+    p = plan_text(retrieve.knn(corpus, qs, 3, max_broadcast_bytes=2_000))
+    assert p.count("FlatMapCoGroupsInArrow") == 1 and "MapInArrow" not in p.replace(
+        "FlatMapCoGroupsInArrow", "")
+    assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
 
 
 def test_filters_reach_the_scan_of_a_stored_collection(spark, tmp_path):

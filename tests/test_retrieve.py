@@ -1,6 +1,7 @@
 """Filters, exact kNN, relevance threshold, per-row settings."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,6 +63,40 @@ def test_knn_matches_brute_force_with_ties(spark):
     assert res == brute_force(corpus, queries, 5)
 
 
+def test_a_cell_holds_one_block_and_one_split(spark, monkeypatch):
+    """Questions times twenty: what a cell gets stays the same, and the result
+    (filters, per-question k, ties, rows without a vector) that of one block."""
+    rng = np.random.default_rng(8)
+    rows = [(f"c{i:03d}", rng.normal(size=4).tolist() if i % 50 else None, "xyz"[i % 3])
+            for i in range(400)]
+    cdf = spark.createDataFrame(rows, "id string, embedding array<float>, kind string")
+    monkeypatch.setattr(retrieve, "SPLIT_BYTES", 100 * (8 * 4 + retrieve.RESULT_ROW_BYTES))
+    largest = {}
+    for n in (50, 1000):
+        qs = [(i, rng.normal(size=4).tolist() if i % 40 else None, i % 4, "xyz"[i % 3] if i % 2
+               else None) for i in range(n)]
+        qdf = spark.createDataFrame(qs, "query_id long, embedding array<float>, k int, kind string")
+        how = {"filters": {"kind": F.col("kind")}}
+        grid = retrieve.knn(cdf, qdf, "k", max_broadcast_bytes=25 * 96, **how)
+        one = retrieve.knn(cdf, qdf, "k", **how)
+        assert sorted(map(tuple, grid.collect())) == sorted(map(tuple, one.collect()))
+        kept, dim, blocks = retrieve._written_questions(
+            qdf.select("query_id", F.col("embedding").alias("_qvec"), F.col("k").alias("_k"),
+                       F.col("kind").alias("_f0")), 25 * 96, n)
+        side = cdf.select(F.col("id").alias("_cid"), F.col("embedding").alias("_cvec"),
+                          F.col("kind").alias("_f0"))
+
+        monkeypatch.setattr(retrieve, "_cell_topk", lambda *a: lambda c, q: pa.table(
+            {"_pos": pa.array([c.num_rows], pa.int64()), "id": ["cell"],
+             "distance": [float(q.num_rows)]}))
+        cells = retrieve._grid_topk(side, kept, blocks, dim, "l2sq", 1).collect()
+        monkeypatch.undo()
+        monkeypatch.setattr(retrieve, "SPLIT_BYTES", 100 * (8 * 4 + retrieve.RESULT_ROW_BYTES))
+        largest[n] = max(c._pos for c in cells), max(c.distance for c in cells)
+        assert len(cells) == blocks * 4
+    assert largest[1000][0] < 200 and largest[1000][1] < 60  # a hundred vectors, 25 questions
+
+
 def test_knn_per_row_k_and_filters(spark):
     corpus = chunk_table(spark, [("a", [0.0, 0.0], {"type": "x"}), ("b", [1.0, 0.0], {"type": "y"}),
                                  ("c", [2.0, 0.0], {"type": "x"}), ("d", [3.0, 0.0], {})])
@@ -108,10 +143,12 @@ def test_task_emits_at_most_k_rows_per_question(spark):
                               "query_id long, embedding array<double>")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")  # 20 batches
     try:
-        blocks, dim, _ = retrieve._question_blocks(
-            spark, q.select("query_id", F.col("embedding").alias("_qvec"),
-                            F.lit(5).cast("long").alias("_k")), [], 1 << 20, 3)
-        local = cdf.mapInArrow(retrieve._local_topk(blocks, dim, "l2sq"),
+        kept, dim, n_blocks = retrieve._written_questions(
+            q.select("query_id", F.col("embedding").alias("_qvec"),
+                     F.lit(5).cast("long").alias("_k")), 1 << 20, 3)
+        assert n_blocks == 1
+        block = retrieve._question_block(spark, kept, [], dim)
+        local = cdf.mapInArrow(retrieve._local_topk(block, dim, "l2sq"),
                                "_pos long, id string, distance double")
         assert local.count() == 15
         got = {}
