@@ -28,7 +28,7 @@ from quire.operators import assemble, replay, retrieve
 from quire.operators.chunking import chunk_audit
 from quire.operators.embed import hashed_embedding
 from quire.operators.frontmatter import frontmatter_map, split_frontmatter
-from quire.plans.ask import replay_requests
+from quire.plans.ask import replay_requests, retrieve_asked
 from quire.plans.ingest import articles_to_chunks
 from quire.session import materialize, table_folder, table_path
 from quire.sources.collection import add_chunks, count, get, ingest_stats, read_collection
@@ -140,9 +140,8 @@ def command_log(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def chat_log(spark: SparkSession, sf: str) -> DataFrame:
-    """The command log with answers to two questions in three, without the
-    settings that ask for all chunks."""
-    return command_log(spark, sf).filter(~F.col("input").rlike("9{21}")).withColumn(
+    """The command log with answers to two questions in three."""
+    return command_log(spark, sf).withColumn(
         "response", F.when(F.pmod("seq", F.lit(3)) > 0,
                            F.concat(F.lit("answer "), F.col("seq").cast("string"))))
 
@@ -463,15 +462,13 @@ def q_last_sources(spark, sf):
 
 
 def q_shown_sources(spark, sf):
-    """What ``/sources`` lists: every distinct question is retrieved once."""
+    """What ``/sources`` lists: every question retrieved with the settings in
+    force at it."""
     log = command_log(spark, sf)
-    asked = replay.classify(log).filter(F.col("kind") == "question") \
-        .select("session_id", F.col("seq").alias("sources_of"), F.col("line").alias("query_id"))
-    texts = asked.select("query_id").distinct() \
-        .withColumn("embedding", hashed_embedding("query_id", EMBED_DIMS))
-    found = retrieve.sources(retrieve.retrieve(collection(spark, sf), texts, n_results=3,
-                                               min_relevance=0.42))
-    shown = replay.shown_sources(log, asked.join(found, "query_id").drop("query_id"))
+    asked, results = retrieve_asked(collection(spark, sf), log, dims=EMBED_DIMS)
+    found = asked.select("session_id", F.col("seq").alias("sources_of"), "query_id") \
+        .join(retrieve.sources(results), "query_id").drop("query_id")
+    shown = replay.shown_sources(log, found)
     return shown.select("session_id", "seq", "n_sources", "position", "source_file", "title")
 
 

@@ -480,13 +480,14 @@ def queries_sql() -> dict[str, str]:
     head, tail = _settings().rsplit("    SELECT session_id, seq, kind,", 1)
     head = head.replace("      FROM events)", """      FROM events),
     chatlog AS (SELECT *, CASE WHEN seq % 3 > 0 THEN 'answer ' || seq END AS response
-                FROM cmdlog WHERE NOT regexp_matches(input, '9{21}'))""") \
+                FROM cmdlog AS lines)""") \
         .replace("FROM cmdlog),", "FROM chatlog),")
     distinct = """
     texts AS (SELECT DISTINCT line AS text_id, line AS question FROM s WHERE kind = 'question'),
     questions AS (SELECT DISTINCT line, n_results, min_relevance, filter_type, filter_author
                   FROM s WHERE kind = 'question')"""
-    q["chat_requests"] = head + f""",
+    # Questions with the settings in force at them, and their results.
+    found = head + f""",
     s AS (SELECT line, response, epoch, session_id, seq, kind, {tail}),""" \
         + _chunks() + "," + distinct + "," + _embed("chunks", "id", "document", "cemb") + "," \
         + _embed("texts", "text_id", "question", "qemb") + f""",
@@ -504,7 +505,8 @@ def queries_sql() -> dict[str, str]:
       SELECT r.line, r.n_results, r.min_relevance, r.filter_type, r.filter_author, r.rank,
              c.source_file, c.chunk_index, c.total_chunks, c.document, c.entries, c.title
       FROM ranked r JOIN chunks c USING (id) WHERE r.rank <= r.n_results
-       AND (r.min_relevance IS NULL OR 1.0 / (1.0 + r.distance) >= r.min_relevance)),
+       AND (r.min_relevance IS NULL OR 1.0 / (1.0 + r.distance) >= r.min_relevance)),"""
+    q["chat_requests"] = found + f"""
     blocks AS (
       SELECT *, row_number() OVER (PARTITION BY line, n_results, min_relevance, filter_type,
                                    filter_author ORDER BY rank) AS i FROM results),
@@ -560,23 +562,27 @@ def queries_sql() -> dict[str, str]:
                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sources_of
            FROM processed)
     SELECT session_id, seq, CAST(sources_of AS VARCHAR) AS sources_of FROM ls WHERE kind = 'sources'"""
-    asked = """
-    questions AS (SELECT DISTINCT line AS query_id, line AS question, 3 AS n_results,
-                         0.42::DOUBLE AS min_relevance, NULL::VARCHAR AS filter_type,
-                         NULL::VARCHAR AS filter_author FROM classified WHERE kind = 'question')"""
-    q["shown_sources"] = ("WITH " + _commands() + "," + _classified("cmdlog") + ","
-                          + _text_results(False, asked) + """,
-    src AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS INTEGER)
-                     AS position, coalesce(source_file, 'unknown') AS source_file,
-                   substr(coalesce(title, 'untitled'), 1, 40) AS title FROM results),
-    ls AS (SELECT *, last_value(CASE WHEN kind = 'question' THEN line END IGNORE NULLS) OVER (
-                  PARTITION BY session_id, epoch ORDER BY seq
-                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS asked
-           FROM processed)
-    SELECT session_id, seq,
-           CAST(count(src.position) OVER (PARTITION BY session_id, seq) AS INTEGER) AS n_sources,
-           position, source_file, title
-    FROM ls LEFT JOIN src ON src.query_id = ls.asked WHERE kind = 'sources'""")
+    q["shown_sources"] = found + """
+    src AS (SELECT *, CAST(row_number() OVER (PARTITION BY line, n_results, min_relevance,
+                           filter_type, filter_author ORDER BY rank) AS INTEGER) AS position
+            FROM results),
+    ls AS (SELECT session_id, seq, kind, last_value(CASE WHEN kind = 'question' THEN seq END
+                  IGNORE NULLS) OVER (PARTITION BY session_id, epoch ORDER BY seq
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS asked FROM s),
+    shown AS (
+      SELECT ls.session_id, ls.seq, q.* EXCLUDE (session_id, seq) FROM ls
+      LEFT JOIN s AS q ON q.session_id = ls.session_id AND q.seq = ls.asked
+      WHERE ls.kind = 'sources')
+    SELECT h.session_id, h.seq, CAST(count(src.position) OVER (PARTITION BY h.session_id, h.seq)
+             AS INTEGER) AS n_sources, src.position,
+           CASE WHEN src.position IS NOT NULL THEN coalesce(src.source_file, 'unknown') END
+             AS source_file,
+           CASE WHEN src.position IS NOT NULL THEN substr(coalesce(src.title, 'untitled'), 1, 40)
+           END AS title
+    FROM shown AS h LEFT JOIN src ON src.line = h.line AND src.n_results = h.n_results
+     AND src.min_relevance IS NOT DISTINCT FROM h.min_relevance
+     AND src.filter_type IS NOT DISTINCT FROM h.filter_type
+     AND src.filter_author IS NOT DISTINCT FROM h.filter_author"""
     q["ingest_stats"] = "WITH " + _chunks() + """
     SELECT (SELECT count(*) FROM documents) AS files_processed,
            (SELECT count(*) FROM chunks) AS chunks_added, 'documents' AS collection_name"""
