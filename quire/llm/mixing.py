@@ -25,7 +25,7 @@ WEIGHTS = (1, 2, 3)
 MAX_REPEATS = 3
 SEED = "mix-1"
 LEVELS = (1 / 16, 1 / 256)  # parts of its source's target above which a document is longer
-ROWS_PER_BLOCK = 100_000  # ranked rows in a block, about
+ROWS_PER_BLOCK = 4096     # ranked rows in a block, about
 
 
 def word_count(text: Column) -> Column:
