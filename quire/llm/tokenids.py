@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import re
+import string
 import sys
 import zlib
 from collections.abc import Iterator
@@ -27,6 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import CharDelimiterSplit
 
 MEMO_WORDS = 3 << 19    # words whose ids a Python worker remembers, about 200 bytes each
 _LEARN_TOGETHER = 1000  # words encoded as one text
@@ -34,7 +36,14 @@ _BATCH_ROWS = 256       # documents tokenised together
 # White space other than the space and the line feed.
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 _ASCII_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
-_MARKS = ".,;:!?"  # signs that end a piece and are a word of their own after a letter
+# Signs that end a piece: a run of them after a letter is a word of its own.
+_MARKS = "".join(c for c in string.punctuation if c != "'")
+# Characters that byte-level vocabularies show bytes as: visible ones as
+# themselves, the others from 256 on, in order.
+_VISIBLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_HIDDEN = [b for b in range(256) if b not in _VISIBLE]
+_SHOWN = {b: chr(256 + i) for i, b in enumerate(_HIDDEN)}
+_SHOWN_SPACE = _SHOWN[0x20]
 
 
 # --- tokenising -----------------------------------------------------------
@@ -59,6 +68,9 @@ class CachedTokenizer:
                          and splitter.get("type") == "ByteLevel" and splitter.get("use_regex")
                          and not splitter.get("add_prefix_space") and len(newline) == 1)
         self.newline = newline[0] if newline else 0
+        # The same model on words that are split and shown as bytes already.
+        self.words = Tokenizer(self.tokenizer.model)
+        self.words.pre_tokenizer = CharDelimiterSplit(" ")
         self.after_space: dict[str, bytes] = {}  # a piece after a space, or "\n" and a piece
         self.first: dict[str, bytes] = {}        # a piece that nothing comes before
         self.tails: dict[str, bytes] = {}        # marks after a letter
@@ -78,47 +90,63 @@ class CachedTokenizer:
             return None
         return text.replace("\n", " \n").split(" ")
 
-    def _learn(self, pieces: list[str], lead: str, dtype: str) -> list[bytes]:
-        """Ids of many pieces, each after ``lead``: they are encoded as lines
-        of one text, and the ids of the line breaks tell them apart."""
+    def _learn(self, pieces: list[str], lead: str, dtype: str, encoder: Tokenizer,
+               end: str) -> list[bytes]:
+        """Ids of many pieces, each after ``lead``: they are encoded as one
+        text with a line break (written ``end``) after each, and the ids of
+        the line breaks tell them apart."""
         out: list[bytes] = []
         size = np.dtype(dtype).itemsize
         for lo in range(0, len(pieces), _LEARN_TOGETHER):
-            part = pieces[lo:lo + _LEARN_TOGETHER]
-            raw = self._encode(["\n".join([lead + p for p in part]) + "\n" * (part[-1] != "")],
-                               dtype)[0]
-            ends = np.flatnonzero(np.frombuffer(raw, dtype) == self.newline) * size
-            starts = np.concatenate([[0], ends + size])
-            out += [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
+            text = "".join([lead + p + end for p in pieces[lo:lo + _LEARN_TOGETHER]])
+            ids = np.array(encoder.encode_batch_fast([text], add_special_tokens=False)[0].ids,
+                           dtype)
+            raw = ids.tobytes()
+            ends = (np.flatnonzero(ids == self.newline) * size).tolist()
+            starts = [0, *[e + size for e in ends]]
+            out += [raw[a:b] for a, b in zip(starts, ends)]
         return out
 
-    def _fill(self, memo: dict, missing: set, dtype: str, lead: str) -> None:
-        words, marked = set(), {}
-        for p in missing:
-            if p and p[0] != "\n":
-                stem = p.rstrip(_MARKS)
-                if stem != p and stem and stem[-1].isalpha() and ord(stem[-1]) < 0x250:
-                    marked[p] = stem
-                else:
-                    words.add(p)
-        words.update(x for x in marked.values() if x not in memo)
-        words = list(words)
-        memo.update(zip(words, self._learn(words, lead, dtype)))
-        for p, stem in marked.items():
-            tail = p[len(stem):]
-            if tail not in self.tails:
-                self.tails[tail] = self._encode([tail], dtype)[0]
-            memo[p] = memo[stem] + self.tails[tail]
+    def _ids(self, pieces: list[str], spaced: bool, dtype: str) -> dict[str, bytes]:
+        """Ids of pieces, after a space or bare. A piece that is one word of
+        Latin letters, perhaps with marks after it, goes to the model without
+        being split again."""
+        plain, shown, others = [], [], []
+        for p in pieces:
+            stem = p.rstrip(_MARKS)
+            if stem.isascii():
+                word = stem
+            elif max(stem) < "\u0250":
+                word = stem.encode().decode("latin-1").translate(_SHOWN)
+            else:
+                word = ""
+            if word and stem.isalpha():
+                plain.append((p, p[len(stem):]))
+                shown.append(word)
+            else:
+                others.append(p)
+        out = dict(zip(others, self._learn(others, " " if spaced else "", dtype, self.tokenizer,
+                                           "\n")))
+        found = self._learn(shown, _SHOWN_SPACE if spaced else "", dtype, self.words,
+                            f" {_SHOWN[0x0A]} ")
+        for (p, tail), ids in zip(plain, found):
+            if tail:
+                if tail not in self.tails:
+                    self.tails[tail] = self._encode([tail], dtype)[0]
+                ids += self.tails[tail]
+            out[p] = ids
+        return out
+
+    def _fill(self, memo: dict, missing: set, dtype: str, spaced: bool) -> None:
+        """Learn the ids of ``missing`` pieces, after a space or bare. Those
+        that begin with a line break never have a space before it."""
+        memo.update(self._ids([p for p in missing if p and p[0] != "\n"], spaced, dtype))
         end = np.array([self.newline], dtype).tobytes()
         lines = [p for p in missing if p and p[0] == "\n"]
-        memo.update(zip(lines, [end + x for x in self._bare([p[1:] for p in lines], dtype)]))
+        bare = self._ids([p[1:] for p in lines if len(p) > 1], False, dtype)
+        memo.update({p: end + bare.get(p[1:], b"") for p in lines})
         if "" in missing:
-            memo[""] = self._encode([lead], dtype)[0]
-
-    def _bare(self, pieces: list[str], dtype: str) -> list[bytes]:
-        words = [p for p in pieces if p]
-        found = dict(zip(words, self._learn(words, "", dtype)))
-        return [found.get(p, b"") for p in pieces]
+            memo[""] = self._encode([" "], dtype)[0] if spaced else b""
 
     def encode(self, texts: list[str], end_id: int = 0) -> list[bytes]:
         """Ids of each text as numbers of type ``width(end_id)``."""
@@ -130,16 +158,24 @@ class CachedTokenizer:
         whole = [i for i, p in enumerate(pieces) if p is None]
         encoded = dict(zip(whole, self._encode([texts[i] for i in whole], dtype)))
         missing = {p[0] for p in pieces if p is not None} - first.keys()
-        self._fill(first, missing, dtype, "")
-        heads = [first[p[0]] if p is not None else b"" for p in pieces]
-        rest = [list(map(after.get, p[1:])) if p is not None else [] for p in pieces]
-        holes = [i for i, r in enumerate(rest) if None in r]
-        missing = {w for i in holes for w, x in zip(pieces[i][1:], rest[i]) if x is None}
-        self._fill(after, missing, dtype, " ")
-        for i in holes:
-            rest[i] = map(after.__getitem__, pieces[i][1:])
-        return [encoded[i] if i in encoded else heads[i] + b"".join(rest[i])
-                for i in range(len(texts))]
+        self._fill(first, missing, dtype, False)
+        # All pieces of the texts in one row; those not met before are learnt.
+        flat = [w for p in pieces if p is not None for w in p[1:]]
+        found = list(map(after.get, flat))
+        holes = [j for j, x in enumerate(found) if x is None]
+        if holes:
+            self._fill(after, {flat[j] for j in holes}, dtype, True)
+            for j in holes:
+                found[j] = after[flat[j]]
+        out, at = [], 0
+        for i, p in enumerate(pieces):
+            if p is None:
+                out.append(encoded[i])
+            else:
+                upto = at + len(p) - 1
+                out.append(first[p[0]] + b"".join(found[at:upto]))
+                at = upto
+        return out
 
 
 def _tokenizer(path: str) -> CachedTokenizer:
@@ -154,27 +190,37 @@ def _tokenizer(path: str) -> CachedTokenizer:
 
 def tokenise(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id",
              text: str = "text") -> DataFrame:
-    """``(file, at, doc_id, ids)`` in the order of the rows of ``docs``: the
-    ids of every text (null: empty) and the end id, as little-endian numbers
-    of 16 bits where the vocabulary allows it, else 32. ``at`` counts the ids
-    before a document in its file."""
+    """``(file, at, doc_id, ids, counts)`` in the order of the rows of
+    ``docs``: the ids of every text (null: empty) and the end id, as
+    little-endian numbers of 16 bits where the vocabulary allows it, else 32.
+    ``at`` counts the ids before a document in its file. Each file ends with a
+    row of ``counts``: how often it has every id, as 64-bit numbers."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, file, at = _tokenizer(path), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], encoder.width(end_id)).tobytes()
+        dtype = encoder.width(end_id)
+        end = np.array([end_id], dtype).tobytes()
+        count = np.zeros(max(encoder.tokenizer.get_vocab_size(), end_id + 1), np.int64)
+        names = ["file", "at", "doc_id", "ids", "counts"]
         for batch in batches:
             for lo in range(0, batch.num_rows, _BATCH_ROWS):
                 part = batch.slice(lo, _BATCH_ROWS)
                 n = part.num_rows
                 ids = [x + end for x in encoder.encode(
                     [t or "" for t in part.column(1).to_pylist()], end_id)]
+                count += np.bincount(np.frombuffer(b"".join(ids), dtype), minlength=len(count))
                 upto = at + np.cumsum([len(x) // len(end) for x in ids])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(n, file, np.int32)), pa.array([at, *upto[:-1]], pa.int64()),
-                     part.column(0), pa.array(ids, pa.binary())],
-                    names=["file", "at", "doc_id", "ids"])
+                     part.column(0), pa.array(ids, pa.binary()), pa.nulls(n, pa.binary())],
+                    names=names)
                 at = int(upto[-1])
+        if at:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([file], pa.int32()), pa.array([at], pa.int64()), pa.nulls(1, pa.int64()),
+                 pa.nulls(1, pa.binary()), pa.array([count.astype("<i8").tobytes()], pa.binary())],
+                names=names)
     return docs.select(F.col(id_col).cast("long"), F.col(text)) \
-        .mapInArrow(run, "file int, at long, doc_id long, ids binary")
+        .mapInArrow(run, "file int, at long, doc_id long, ids binary, counts binary")
 
 
 # --- coding ---------------------------------------------------------------
@@ -216,20 +262,14 @@ def decode_ranks(control: bytes, data: bytes) -> np.ndarray:
 
 
 # --- files ----------------------------------------------------------------
-def _count_ids(dtype: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = np.zeros(0, np.int64)
-        for batch in batches:
-            for lo in range(0, batch.num_rows, _BATCH_ROWS):
-                part = batch.column(0).slice(lo, _BATCH_ROWS)
-                found = np.bincount(np.frombuffer(b"".join(part.to_pylist()), dtype))
-                if len(found) > len(count):
-                    count = np.pad(count, (0, len(found) - len(count)))
-                count[:len(found)] += found
-        some = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(count[some])],
-                                         names=["id", "n"])
-    return run
+def _sum_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    count = np.zeros(0, np.int64)
+    for batch in batches:
+        for row in batch.column(0):
+            found = np.frombuffer(row.as_buffer(), "<i8")
+            count = found + count if len(count) else found
+    some = np.flatnonzero(count)
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(count[some])], names=["id", "n"])
 
 
 def _encode_rows(shared, dtype: str):
@@ -266,10 +306,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int,
     ordered = docs.select(id_col, text).repartitionByRange(id_col).sortWithinPartitions(id_col)
     tokenise(ordered, tokenizer, end_id, id_col, text) \
         .write.option("compression", "zstd").parquet(f"{path}/ids")
-    plain = spark.read.parquet(f"{path}/ids")
+    written = spark.read.parquet(f"{path}/ids")
+    plain = written.filter("counts is null").drop("counts")
     dtype = _tokenizer(tokenizer).width(end_id)
-    counted = plain.select("ids").mapInArrow(_count_ids(dtype), "id long, n long") \
-        .groupBy("id").agg(F.sum("n").alias("n"))
+    counted = written.filter("counts is not null").select("counts") \
+        .mapInArrow(_sum_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     # At most one row for each id of the vocabulary.
     order = [r.id for r in counted.orderBy(F.desc("n"), "id").collect()]
     spark.createDataFrame([(i, int(x)) for i, x in enumerate(order)], "rank long, id long") \
