@@ -20,6 +20,7 @@ import string
 import sys
 import zlib
 from collections.abc import Iterator
+from struct import pack
 from types import ModuleType
 
 import numpy as np
@@ -28,7 +29,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
-from tokenizers.pre_tokenizers import CharDelimiterSplit
 
 MEMO_WORDS = 3 << 19    # words whose ids a Python worker remembers, about 200 bytes each
 _LEARN_TOGETHER = 1000  # words encoded as one text
@@ -68,9 +68,7 @@ class CachedTokenizer:
                          and splitter.get("type") == "ByteLevel" and splitter.get("use_regex")
                          and not splitter.get("add_prefix_space") and len(newline) == 1)
         self.newline = newline[0] if newline else 0
-        # The same model on words that are split and shown as bytes already.
-        self.words = Tokenizer(self.tokenizer.model)
-        self.words.pre_tokenizer = CharDelimiterSplit(" ")
+        self.model = self.tokenizer.model
         self.after_space: dict[str, bytes] = {}  # a piece after a space, or "\n" and a piece
         self.first: dict[str, bytes] = {}        # a piece that nothing comes before
         self.tails: dict[str, bytes] = {}        # marks after a letter
@@ -90,61 +88,62 @@ class CachedTokenizer:
             return None
         return text.replace("\n", " \n").split(" ")
 
-    def _learn(self, pieces: list[str], lead: str, dtype: str, encoder: Tokenizer,
-               end: str) -> list[bytes]:
-        """Ids of many pieces, each after ``lead``: they are encoded as one
-        text with a line break (written ``end``) after each, and the ids of
-        the line breaks tell them apart."""
+    def _learn(self, pieces: list[str], lead: str, dtype: str) -> list[bytes]:
+        """Ids of many pieces, each after ``lead``: they are encoded as lines
+        of one text, and the ids of the line breaks tell them apart."""
         out: list[bytes] = []
         size = np.dtype(dtype).itemsize
         for lo in range(0, len(pieces), _LEARN_TOGETHER):
-            text = "".join([lead + p + end for p in pieces[lo:lo + _LEARN_TOGETHER]])
-            ids = np.array(encoder.encode_batch_fast([text], add_special_tokens=False)[0].ids,
-                           dtype)
-            raw = ids.tobytes()
+            text = "".join([lead + p + "\n" for p in pieces[lo:lo + _LEARN_TOGETHER]])
+            raw = self._encode([text], dtype)[0]
+            ids = np.frombuffer(raw, dtype)
             ends = (np.flatnonzero(ids == self.newline) * size).tolist()
             starts = [0, *[e + size for e in ends]]
             out += [raw[a:b] for a, b in zip(starts, ends)]
         return out
 
-    def _ids(self, pieces: list[str], spaced: bool, dtype: str) -> dict[str, bytes]:
-        """Ids of pieces, after a space or bare. A piece that is one word of
-        Latin letters, perhaps with marks after it, goes to the model without
-        being split again."""
-        plain, shown, others = [], [], []
+    def _learn_pieces(self, memo: dict, pieces: list[str], spaced: bool, dtype: str) -> None:
+        """Add the ids of pieces, after a space or bare, to ``memo``. A piece
+        that is one word of Latin letters, perhaps with marks after it, goes
+        to the model without being split again, its word just once."""
+        shown, marked, others = {}, [], []
         for p in pieces:
             stem = p.rstrip(_MARKS)
-            if stem.isascii():
-                word = stem
-            elif max(stem) < "\u0250":
-                word = stem.encode().decode("latin-1").translate(_SHOWN)
-            else:
-                word = ""
-            if word and stem.isalpha():
-                plain.append((p, p[len(stem):]))
-                shown.append(word)
-            else:
+            if not stem.isalpha():
                 others.append(p)
-        out = dict(zip(others, self._learn(others, " " if spaced else "", dtype, self.tokenizer,
-                                           "\n")))
-        found = self._learn(shown, _SHOWN_SPACE if spaced else "", dtype, self.words,
-                            f" {_SHOWN[0x0A]} ")
-        for (p, tail), ids in zip(plain, found):
-            if tail:
-                if tail not in self.tails:
-                    self.tails[tail] = self._encode([tail], dtype)[0]
-                ids += self.tails[tail]
-            out[p] = ids
-        return out
+                continue
+            if stem not in memo and stem not in shown:
+                if stem.isascii():
+                    shown[stem] = stem
+                elif max(stem) < "\u0250":
+                    shown[stem] = stem.encode().decode("latin-1").translate(_SHOWN)
+                else:
+                    others.append(p)
+                    continue
+            if len(stem) != len(p):
+                marked.append((p, stem))
+        memo.update(zip(others, self._learn(others, " " if spaced else "", dtype)))
+        lead, width = _SHOWN_SPACE if spaced else "", "H" if dtype == "<u2" else "I"
+        split = self.model.tokenize
+        for stem, word in shown.items():
+            ids = [t.id for t in split(lead + word)]
+            memo[stem] = pack(f"<{len(ids)}{width}", *ids)
+        for p, stem in marked:
+            tail = p[len(stem):]
+            if tail not in self.tails:
+                self.tails[tail] = self._encode([tail], dtype)[0]
+            memo[p] = memo[stem] + self.tails[tail]
 
     def _fill(self, memo: dict, missing: set, dtype: str, spaced: bool) -> None:
         """Learn the ids of ``missing`` pieces, after a space or bare. Those
         that begin with a line break never have a space before it."""
-        memo.update(self._ids([p for p in missing if p and p[0] != "\n"], spaced, dtype))
+        self._learn_pieces(memo, [p for p in missing if p and p[0] != "\n"], spaced, dtype)
         end = np.array([self.newline], dtype).tobytes()
         lines = [p for p in missing if p and p[0] == "\n"]
-        bare = self._ids([p[1:] for p in lines if len(p) > 1], False, dtype)
-        memo.update({p: end + bare.get(p[1:], b"") for p in lines})
+        bare = self.first
+        self._learn_pieces(bare, [p[1:] for p in lines if len(p) > 1 and p[1:] not in bare],
+                           False, dtype)
+        memo.update([(p, end + bare[p[1:]] if len(p) > 1 else end) for p in lines])
         if "" in missing:
             memo[""] = self._encode([" "], dtype)[0] if spaced else b""
 
@@ -157,13 +156,21 @@ class CachedTokenizer:
         pieces = [self._pieces(t) for t in texts]
         whole = [i for i, p in enumerate(pieces) if p is None]
         encoded = dict(zip(whole, self._encode([texts[i] for i in whole], dtype)))
-        missing = {p[0] for p in pieces if p is not None} - first.keys()
-        self._fill(first, missing, dtype, False)
+        heads = [p.pop(0) if p is not None else "" for p in pieces]
+        self._fill(first, set(heads) - first.keys(), dtype, False)
         # All pieces of the texts in one row; those not met before are learnt.
-        flat = [w for p in pieces if p is not None for w in p[1:]]
+        flat: list[str] = []
+        for p in pieces:
+            flat.extend(p or ())
         found = list(map(after.get, flat))
-        holes = [j for j, x in enumerate(found) if x is None]
-        if holes:
+        if None in found:
+            holes, at = [], -1
+            try:
+                while True:
+                    at = found.index(None, at + 1)
+                    holes.append(at)
+            except ValueError:
+                pass
             self._fill(after, {flat[j] for j in holes}, dtype, True)
             for j in holes:
                 found[j] = after[flat[j]]
@@ -172,8 +179,8 @@ class CachedTokenizer:
             if p is None:
                 out.append(encoded[i])
             else:
-                upto = at + len(p) - 1
-                out.append(first[p[0]] + b"".join(found[at:upto]))
+                upto = at + len(p)
+                out.append(first[heads[i]] + b"".join(found[at:upto]))
                 at = upto
         return out
 
