@@ -155,10 +155,10 @@ def held_out(doc_id):
 
 def _frame(found: list[tuple[set, int]]) -> pd.DataFrame:
     """The terms of a batch of texts, each with its text's label."""
-    return pd.DataFrame({"term": [t for terms, _ in found for t in terms],
-                         "toxic": np.repeat([toxic for _, toxic in found],
-                                            [len(terms) for terms, _ in found])
-                         .astype("int32")})
+    # Plain objects: long columns of the string type may come in several chunks.
+    terms = pd.Series([t for found_in, _ in found for t in found_in], dtype=object)
+    toxic = np.repeat([toxic for _, toxic in found], [len(found_in) for found_in, _ in found])
+    return pd.DataFrame({"term": terms, "toxic": toxic.astype("int32")})
 
 
 def _terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -207,7 +207,7 @@ def _contexts(model: Model):
                     at = end - len(entry) + 1
                     found.add((entry, folded[folded.rfind(" ", 0, at) + 1:at] if at else ""))
                 if found:
-                    yield pd.DataFrame(list(found), columns=["term", "before"])
+                    yield pd.DataFrame(list(found), columns=["term", "before"], dtype=object)
     return run
 
 
