@@ -1,6 +1,6 @@
 """Token ids in frequency-ranked, byte-aligned variable-length coding.
 
-Documents are sorted by id and tokenised once. Ids are replaced by their rank
+Documents are tokenised once and their ids sorted by document. Ids are replaced by their rank
 in the order of falling frequency over the whole corpus, so that frequent ids
 take one byte. A document stores its ranks as two byte streams: control bytes
 with four two-bit lengths each, and data bytes with one to four little-endian
@@ -197,17 +197,18 @@ def _tokenizer(path: str) -> CachedTokenizer:
 
 def tokenise(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id",
              text: str = "text") -> DataFrame:
-    """``(file, at, doc_id, ids, counts)`` in the order of the rows of
-    ``docs``: the ids of every text (null: empty) and the end id, as
-    little-endian numbers of 16 bits where the vocabulary allows it, else 32.
-    ``at`` counts the ids before a document in its file. Each file ends with a
-    row of ``counts``: how often it has every id, as 64-bit numbers."""
+    """``(doc_id, row, ids, counts)`` for the rows of ``docs``: the ids of
+    every text (null: empty) and the end id, as little-endian numbers of 16
+    bits where the vocabulary allows it, else 32. ``row`` differs for all
+    rows. Each task ends with a row of ``counts``: how often it met every id,
+    as 64-bit numbers."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, file, at = _tokenizer(path), TaskContext.get().partitionId(), 0
+        encoder, row = _tokenizer(path), TaskContext.get().partitionId() << 40
         dtype = encoder.width(end_id)
         end = np.array([end_id], dtype).tobytes()
         count = np.zeros(max(encoder.tokenizer.get_vocab_size(), end_id + 1), np.int64)
-        names = ["file", "at", "doc_id", "ids", "counts"]
+        names = ["doc_id", "row", "ids", "counts"]
+        met = False
         for batch in batches:
             for lo in range(0, batch.num_rows, _BATCH_ROWS):
                 part = batch.slice(lo, _BATCH_ROWS)
@@ -215,19 +216,16 @@ def tokenise(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id",
                 ids = [x + end for x in encoder.encode(
                     [t or "" for t in part.column(1).to_pylist()], end_id)]
                 count += np.bincount(np.frombuffer(b"".join(ids), dtype), minlength=len(count))
-                upto = at + np.cumsum([len(x) // len(end) for x in ids])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, file, np.int32)), pa.array([at, *upto[:-1]], pa.int64()),
-                     part.column(0), pa.array(ids, pa.binary()), pa.nulls(n, pa.binary())],
-                    names=names)
-                at = int(upto[-1])
-        if at:
+                    [part.column(0), pa.array(np.arange(row, row + n)),
+                     pa.array(ids, pa.binary()), pa.nulls(n, pa.binary())], names=names)
+                row, met = row + n, True
+        if met:
             yield pa.RecordBatch.from_arrays(
-                [pa.array([file], pa.int32()), pa.array([at], pa.int64()), pa.nulls(1, pa.int64()),
-                 pa.nulls(1, pa.binary()), pa.array([count.astype("<i8").tobytes()], pa.binary())],
-                names=names)
+                [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()),
+                 pa.array([count.astype("<i8").tobytes()], pa.binary())], names=names)
     return docs.select(F.col(id_col).cast("long"), F.col(text)) \
-        .mapInArrow(run, "file int, at long, doc_id long, ids binary, counts binary")
+        .mapInArrow(run, "doc_id long, row long, ids binary, counts binary")
 
 
 # --- coding ---------------------------------------------------------------
@@ -280,17 +278,22 @@ def _sum_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _encode_rows(shared, dtype: str):
+    """Coded rows in the order met; ``at`` counts the ids before in the file."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = shared.value
+        rank, file, at = shared.value, TaskContext.get().partitionId(), 0
         for batch in batches:
             for lo in range(0, batch.num_rows, _BATCH_ROWS):
                 part = batch.slice(lo, _BATCH_ROWS)
-                ids = [np.frombuffer(x.as_buffer(), dtype) for x in part.column(3)]
+                ids = [np.frombuffer(x.as_buffer(), dtype) for x in part.column(1)]
+                size = np.array([len(x) for x in ids], np.int64)
+                upto = at + np.cumsum(size)
                 control, data = encode_ranks([rank[x] for x in ids])
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:3], pa.array([len(x) for x in ids], pa.int64()),
+                    [pa.array(np.full(len(ids), file, np.int32)), pa.array(upto - size),
+                     part.column(0), pa.array(size),
                      pa.array(control, pa.binary()), pa.array(data, pa.binary())],
                     names=["file", "at", "doc_id", "n_tokens", "control", "data"])
+                at = int(upto[-1])
     return run
 
 
@@ -307,14 +310,16 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int,
     gives empty tables.
     """
     spark = docs.sparkSession
-    # The plain ids are written once: frequencies must be known before any
-    # of them is coded, and tokenising is the dear part. Texts are sorted
-    # before it, so that nothing is tokenised for the choice of the ranges.
-    ordered = docs.select(id_col, text).repartitionByRange(id_col).sortWithinPartitions(id_col)
-    tokenise(ordered, tokenizer, end_id, id_col, text) \
-        .write.option("compression", "zstd").parquet(f"{path}/ids")
+    # The plain ids are written once, as the texts are read: frequencies must
+    # be known before any of them is coded, and tokenising is the dear part.
+    tokenise(docs, tokenizer, end_id, id_col, text) \
+        .write.option("compression", "lz4").parquet(f"{path}/ids")
     written = spark.read.parquet(f"{path}/ids")
-    plain = written.filter("counts is null").drop("counts")
+    # Ids, not texts, are dealt by ranges of document ids; the row number
+    # splits the rows of an id that repeats often.
+    plain = written.filter("counts is null").select("doc_id", "row", "ids") \
+        .repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id", "row") \
+        .select("doc_id", "ids")
     dtype = _tokenizer(tokenizer).width(end_id)
     counted = written.filter("counts is not null").select("counts") \
         .mapInArrow(_sum_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))

@@ -82,3 +82,22 @@ def test_empty_table(spark):
     path = f"{checkpoint_dir(spark)}/tokens-{uuid.uuid4().hex}"
     T.write_tokens(spark.createDataFrame([], "doc_id long, text string"), path, PATH, 2)
     assert T.read_tokens(spark, path).count() == 0
+
+
+def test_id_of_most_rows_is_split(spark):
+    """Rows of one id lie in several files, still one after the other."""
+    rows = [(5, f"copy {i} " * 20) for i in range(4000)] + [(i, "other") for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    path = f"{checkpoint_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    coalesce = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        T.write_tokens(docs, path, PATH, 2)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+    files = {r.file: r["count"] for r in
+             spark.read.parquet(f"{path}/tokens").groupBy("file").count().collect()}
+    assert len(files) > 4 and max(files.values()) < 2000
+    got = sorted(T.read_tokens(spark, path, with_ids=False).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted(i for i, _ in rows)
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:]))
