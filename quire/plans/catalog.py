@@ -25,13 +25,15 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import preview, token_count
 from quire.operators import assemble, replay, retrieve
-from quire.operators.chunking import chunk_audit
+from quire.operators.chunking import chunk_audit, chunk_by_tokens, with_chunk_identity
 from quire.operators.embed import hashed_embedding
 from quire.operators.frontmatter import frontmatter_map, split_frontmatter
 from quire.plans.ask import replay_requests, retrieve_asked
 from quire.plans.ingest import articles_to_chunks
 from quire.session import materialize, table_folder, table_path
 from quire.sources.collection import add_chunks, count, get, ingest_stats, read_collection
+from quire.sources.files import write_files
+from quire.sources.markdown import list_markdown, scan_markdown
 
 EMBED_DIMS = 256
 
@@ -173,6 +175,13 @@ def q_chunk_whole(spark, sf):
         .select("id", "source_file", "total_chunks", "token_count", "document")
 
 
+def q_chunk_no_tokenizer(spark, sf):
+    """Without a tokenizer a document is one chunk of which no token is counted."""
+    bodies = split_frontmatter(articles(spark, sf), "text").select("source_file", "content")
+    return with_chunk_identity(chunk_by_tokens(bodies, tokenizer=None)) \
+        .select("id", "source_file", "total_chunks", "token_count", "document")
+
+
 def q_chunk_audit(spark, sf):
     bodies = split_frontmatter(articles(spark, sf), "text").select("source_file", "content")
     return chunk_audit(chunks(spark, sf), contents=bodies) \
@@ -475,6 +484,42 @@ def q_shown_sources(spark, sf):
 # ---------------------------------------------------------------------------
 # Collections and sync (A*, B*, F1)
 # ---------------------------------------------------------------------------
+def article_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The articles under names of all kinds: spaces, signs that URLs encode,
+    names and folders that begin with ``_`` or ``.``."""
+    key = F.regexp_extract("source_file", r"(\d+)\.md$", 1).cast("long")
+    lead = F.element_at(F.array(*map(F.lit, ["", "_", "."])), (key % 3 + 1).cast("int"))
+    folder = F.element_at(F.array(*map(F.lit, ["", ".git/", "_new/x y/", "été+50%20/"])),
+                          (key % 4 + 1).cast("int"))
+    return articles(spark, sf).select(
+        F.concat(folder, lead, F.regexp_extract("source_file", r"([^/]*)$", 1))
+        .alias("source_file"), "text")
+
+
+def q_scan_files(spark, sf):
+    """Every article written as a file, then found and read again."""
+    folder = table_folder(spark, "articles")
+    write_files(article_files(spark, sf), folder)
+    listed = list_markdown(spark, folder, reader="files")
+    read = scan_markdown(spark, folder, reader="files")
+    return read.join(listed, "source_file") \
+        .select("source_file", "length", F.md5("text").alias("text_md5"))
+
+
+def q_stream_ingest(spark, sf):
+    """Articles that arrive in two waves, each ingested by a run of the stream
+    that goes on from the same checkpoint."""
+    from quire.streaming.ingest import stream_ingest  # noqa: PLC0415
+
+    folder, root, state = (table_folder(spark, f"stream-{x}") for x in ("in", "out", "state"))
+    german = F.col("source_file").startswith("de/")
+    for wave in (german, ~german):
+        write_files(articles(spark, sf).filter(wave), folder)
+        stream_ingest(spark, folder, root, "live", state, with_embedding=False) \
+            .awaitTermination()
+    return get(read_collection(spark, root, "live"), ["source_file", "chunk_index"])
+
+
 def q_ingest_stats(spark, sf):
     arts = articles(spark, sf)
     c = articles_to_chunks(arts, with_embedding=False)
@@ -522,6 +567,7 @@ QUERIES = {
     "token_counts": q_token_counts,
     "chunk_documents": q_chunk_documents,
     "chunk_whole": q_chunk_whole,
+    "chunk_no_tokenizer": q_chunk_no_tokenizer,
     "chunk_audit": q_chunk_audit,
     "frontmatter_split": q_frontmatter_split,
     "frontmatter_map": q_frontmatter_map,
@@ -559,5 +605,7 @@ QUERIES = {
     "add_chunks": q_add_chunks,
     "collection_count": q_collection_count,
     "new_articles": q_new_articles,
+    "scan_files": q_scan_files,
+    "stream_ingest": q_stream_ingest,
 }
 

@@ -354,6 +354,10 @@ def queries_sql() -> dict[str, str]:
     SELECT {S.stem('source_file')} || '_0' AS id, source_file, 1 AS total_chunks,
            CAST(len({S.pieces('content')}) + 2 AS INTEGER) AS token_count, content AS document
     FROM meta WHERE content <> ''"""
+    q["chunk_no_tokenizer"] = "WITH " + _parsed() + f"""
+    SELECT {S.stem('source_file')} || '_0' AS id, source_file, 1 AS total_chunks,
+           CAST(0 AS INTEGER) AS token_count, content AS document
+    FROM meta WHERE content <> ''"""
     tail = ("CASE WHEN length(prev) > 50 THEN substr(prev, length(prev) - CAST(ceil(length(prev) / 5) "
             "AS INTEGER) + 1) ELSE prev END")
     head = ("CASE WHEN length(document) > 50 THEN substr(document, 1, length(document) // 3) "
@@ -591,6 +595,14 @@ def queries_sql() -> dict[str, str]:
           FROM chunks)"""
     q["add_chunks"] = winners + "\nSELECT id, source_file, chunk_index FROM w WHERE rn = 1"
     q["collection_count"] = winners + "\nSELECT count(*) AS count FROM w WHERE rn = 1"
+    q["stream_ingest"] = q["chunk_ids"]
+    q["scan_files"] = "WITH " + _parsed() + """,
+    named AS (SELECT *, CAST(regexp_extract(source_file, '([0-9]+)[.]md$', 1) AS BIGINT) AS key
+              FROM articles)
+    SELECT ['', '.git/', '_new/x y/', 'été+50%20/'][key % 4 + 1] || ['', '_', '.'][key % 3 + 1]
+             || regexp_extract(source_file, '([^/]*)$', 1) AS source_file,
+           CAST(strlen(text) AS BIGINT) AS length, md5(text) AS text_md5
+    FROM named"""
     q["new_articles"] = """
     WITH cand AS (
       SELECT page_id, url, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title

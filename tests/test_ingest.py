@@ -17,11 +17,13 @@ from quire.streaming.ingest import stream_ingest
 
 def test_scan_finds_all_markdown(spark):
     assert count_markdown_files(spark, FIXTURES) == 6
-    names = {r.source_file for r in list_markdown(spark, FIXTURES).collect()}
-    assert {"plain.md", "with_parts.md", "bare.md"} <= names
-    assert "empty.md" not in names  # zero-byte: counted above, never read
-    texts = {r.source_file for r in scan_markdown(spark, FIXTURES).collect()}
-    assert "empty.md" not in texts and "long_note.md" in texts
+    sizes = {r.source_file: r.length for r in list_markdown(spark, FIXTURES).collect()}
+    assert {"plain.md", "with_parts.md", "bare.md"} <= set(sizes) and sizes["empty.md"] == 0
+    texts = {r.source_file: r.text for r in scan_markdown(spark, FIXTURES).collect()}
+    assert texts["empty.md"] == "" and "long_note.md" in texts
+    by_spark = {r.source_file: r.text for r in
+                scan_markdown(spark, FIXTURES, reader="spark").collect()}
+    assert by_spark == {k: v for k, v in texts.items() if v}
 
 
 def test_scan_nested_and_relative(spark, tmp_path):
