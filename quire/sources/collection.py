@@ -32,10 +32,10 @@ CHUNK_SCHEMA = T.StructType([
 STORED_SCHEMA = T.StructType(CHUNK_SCHEMA.fields + [
     T.StructField("type", T.StringType()), T.StructField("author", T.StringType())])
 
-# New-id sets up to this many rows are broadcast to probe the existing table
-# (an id row is about 40 bytes, so at most ~40 MB); larger sets use a
-# shuffle join that AQE may re-plan.
-BROADCAST_NEW_IDS = 1_000_000
+# New ids of up to this many bytes are broadcast to probe the existing table;
+# larger sets use a shuffle join that AQE may re-plan.
+BROADCAST_ID_BYTES = 64 << 20
+_ID_ROW = 48  # bytes of a row beside its id
 
 
 def collection_path(root: str, name: str) -> str:
@@ -105,12 +105,13 @@ def first_writer(chunks: DataFrame) -> DataFrame:
 
 
 def add_chunks(spark: SparkSession, new: DataFrame, root: str, name: str,
-               broadcast_limit: int = BROADCAST_NEW_IDS) -> dict:
+               broadcast_limit: int = BROADCAST_ID_BYTES) -> dict:
     """Append chunks whose id is not in the collection yet (B1).
 
     The produced chunks are written once to the shared checkpoint folder, so
     counting and writing do not recompute tokenizing and embedding, and a
     lost executor re-reads the checkpoint instead of the whole lineage.
+    ``broadcast_limit`` bounds the bytes of the new ids that are broadcast.
     Collisions are found by probing the existing id column with the (size
     checked) set of new ids, so the existing table is scanned once and never
     shuffled. Returns the number of produced chunks.
@@ -119,13 +120,14 @@ def add_chunks(spark: SparkSession, new: DataFrame, root: str, name: str,
 
     path = create_collection(spark, root, name)
     produced = materialize(new.select(*CHUNK_SCHEMA.fieldNames()), "produced")
-    n_produced = produced.count()
+    n_produced, id_bytes = produced.agg(
+        F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("id")), F.lit(0))).first()
     # Ids already stored: probe the existing id column with the produced ids
-    # (a superset of the fresh ones, bounded by the count above), so the
-    # existing table is scanned once and never shuffled.
+    # (a superset of the fresh ones, measured above), so the existing table
+    # is scanned once and never shuffled.
     existing_ids = spark.read.schema(CHUNK_SCHEMA).parquet(path).select("id")
     probe = produced.select("id")
-    if n_produced <= broadcast_limit:
+    if id_bytes + _ID_ROW * n_produced <= broadcast_limit:
         probe = F.broadcast(probe)
     taken = existing_ids.join(probe, "id", "left_semi")
     insert = first_writer(produced).join(taken, "id", "left_anti") \

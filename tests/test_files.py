@@ -80,3 +80,25 @@ def test_ingest_counts_hidden_and_empty_files(spark, tmp_path):
     assert got["files_processed"] == len(want) == 7
     assert got["chunks_added"] == sum(1 for raw in want.values() if raw)
     assert os.path.isdir(tmp_path / "coll" / "all")
+
+
+def test_new_ids_are_broadcast_by_their_bytes(spark, tmp_path, monkeypatch):
+    """Both ways of probing insert each id once; long ids count as they are."""
+    from pyspark.sql import functions as F
+
+    from quire.sources import collection as C
+
+    hinted = []
+    real = F.broadcast
+    monkeypatch.setattr(C.F, "broadcast", lambda df: hinted.append(1) or real(df))
+    chunks = spark.range(20).select(*[
+        (F.concat(F.lit("x" * 1000), "id") if f.name == "id" else F.lit("s") if
+         f.name == "source_file" else F.lit(None)).cast(f.dataType).alias(f.name)
+        for f in C.CHUNK_SCHEMA.fields])
+    root = str(tmp_path)
+    C.add_chunks(spark, chunks.limit(5), root, "long", broadcast_limit=10_000)
+    assert hinted == [1]
+    assert C.add_chunks(spark, chunks, root, "long", broadcast_limit=10_000) \
+        == {"chunks_produced": 20}
+    assert hinted == [1]
+    assert C.read_collection(spark, root, "long").count() == 20
