@@ -18,6 +18,24 @@ from quire.session import checkpoint_dir
 from quire.sources.collection import add_chunks, create_collection
 from quire.sources.markdown import decoded_path, qualified_dir
 
+# What opening a file counts for when files are put together into tasks. Spark's
+# default, 4 MB, makes a task of every 32 articles.
+OPEN_COST_BYTES = 128 << 10
+
+
+def _stream_session(spark: SparkSession) -> SparkSession:
+    """A session with the settings of ``spark`` in which many small files make
+    up few tasks: the file source lists the files of every batch one by one,
+    by default in up to 10,000 tasks, and reads them under its session."""
+    session = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if spark.conf.isModifiable(key):
+            session.conf.set(key, value)
+    session.conf.set("spark.sql.files.openCostInBytes", str(OPEN_COST_BYTES))
+    session.conf.set("spark.sql.sources.parallelPartitionDiscovery.parallelism",
+                     str(4 * spark.sparkContext.defaultParallelism))
+    return session
+
 
 def markdown_stream(spark: SparkSession, directory: str,
                     max_files_per_trigger: int | None = None) -> DataFrame:
@@ -45,12 +63,13 @@ def stream_ingest(spark: SparkSession, directory: str, root: str, name: str,
     :func:`quire.plans.ingest.articles_to_chunks`.
     """
     create_collection(spark, root, name)
+    session = _stream_session(spark)
     ckpt = checkpoint or f"{checkpoint_dir(spark).rstrip('/')}/stream_ingest_{name}"
 
     def write_batch(batch: DataFrame, _batch_id: int) -> None:
         add_chunks(batch.sparkSession, articles_to_chunks(batch, **options), root, name)
 
-    writer = (markdown_stream(spark, directory, max_files_per_trigger).writeStream
+    writer = (markdown_stream(session, directory, max_files_per_trigger).writeStream
               .foreachBatch(write_batch).option("checkpointLocation", ckpt))
     writer = writer.trigger(availableNow=True) if available_now \
         else writer.trigger(processingTime="10 seconds")

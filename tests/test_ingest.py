@@ -148,3 +148,33 @@ def test_job_entry_points(spark, tmp_path, capsys):
     req = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
     assert req["max_tokens"] == 2048 and req["messages"] == [{"role": "user", "content": "parts?"}]
     assert main(["ingest", str(tmp_path / "missing"), root, "cli"]) == 1
+
+
+def test_stream_ingest_makes_few_tasks_of_many_files(spark, tmp_path, monkeypatch):
+    """The tasks of a batch follow the bytes of its files, not their number,
+    and the caller's session keeps its settings."""
+    from quire.streaming import ingest  # noqa: PLC0415
+
+    src = tmp_path / "many"
+    src.mkdir()
+    for i in range(64):
+        (src / f"n{i}.md").write_text(f"note {i}")
+    seen = []
+    chunks = ingest.articles_to_chunks
+
+    def counted(batch, **options):
+        seen.append((batch.rdd.getNumPartitions(),
+                     batch.sparkSession.conf.get("spark.sql.session.timeZone")))
+        return chunks(batch, **options)
+    monkeypatch.setattr(ingest, "articles_to_chunks", counted)
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", str(64 << 20))
+    try:
+        stream_ingest(spark, str(src), str(tmp_path / "coll"), "many", str(tmp_path / "ckpt")) \
+            .awaitTermination(120)
+        assert spark.conf.get("spark.sql.files.openCostInBytes") == str(64 << 20)
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
+    assert seen and seen[0][1] == "UTC"
+    assert seen[0][0] <= max(4, spark.sparkContext.defaultParallelism)
+    assert read_collection(spark, str(tmp_path / "coll"), "many").count() == 64
