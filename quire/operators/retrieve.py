@@ -13,11 +13,13 @@ happen is materialising those pairs as rows. The plan is:
    cell (one block and one split) whatever the number of questions.
 2. Below the grid's size the chunk table is scanned with only ``id``, the vector and the filter
    columns in use, and streamed through ``mapInArrow``. A task keeps the best
-   ``k`` chunks of every question over all its batches: a BLAS product gives
-   approximate distances, rows that can still beat a question's k-th best
-   (within a bound far above the rounding error) get their exact distance and
-   are merged in. It emits once, at its end: at most ``k`` rows per question,
-   however big or duplicated its partition is.
+   ``k`` chunks of every question over all its batches: a BLAS product in
+   single precision gives approximate distances, rows that can still beat a
+   question's k-th best (within a bound above the rounding error) get their
+   exact distance and are merged in. Questions of one filter are compared only
+   with the rows it fits. A task emits at its end: at most ``k`` rows per
+   question, however big or duplicated its partition is. Only questions for
+   thousands of rows are answered batch by batch, so nothing is held for them.
 3. A global ``row_number() over (partition by question order by distance,
    id)`` keeps the final k. Spark plans it with ``WindowGroupLimit`` on both
    sides of the shuffle.
@@ -48,7 +50,12 @@ RESULT_ROW_BYTES = 64
 # Distance matrix cells per numpy block (rows x questions), bounds task memory.
 _BLOCK_CELLS = 2_000_000
 # Bytes of the vectors in one corpus split of the question grid.
-SPLIT_BYTES = 32 << 20
+SPLIT_BYTES = 16 << 20
+# Bytes of one question block at most, so that a cell takes seconds.
+QUESTION_BLOCK_BYTES = 8 << 20
+# Questions for this many rows or more are listed, not kept sorted.
+_LISTING_K = 1 << 12
+_MAX_TASKS = 50_000
 
 
 # ---------------------------------------------------------------------------
@@ -107,52 +114,155 @@ def _exact_l2sq(cmat: np.ndarray, qmat: np.ndarray, ri: np.ndarray, qi: np.ndarr
     return acc
 
 
-class _Best:
-    """The best rows so far of one block of questions."""
+class _Nearest:
+    """The best rows so far of questions that share one filter."""
 
-    def __init__(self, block: dict):
-        self.vec, self.k, self.filters = block["vec"], block["k"], block["filters"]
-        self.norm = np.einsum("ij,ij->i", self.vec, self.vec)
+    def __init__(self, vec: np.ndarray, k: np.ndarray):
+        self.vec, self.k = vec, k
+        self.norm = np.einsum("ij,ij->i", vec, vec)
+        self.seen = 0
         self.q = np.empty(0, np.int64)
         self.d = np.empty(0)
         self.id = np.empty(0, object)
-        self.limit = np.full(len(self.k), np.inf)  # distance of the k-th best
-
-    def merge(self, rows: np.ndarray, norm: np.ndarray, ids: np.ndarray,
-              corpus_f: list[np.ndarray]) -> None:
-        step = max(1, _BLOCK_CELLS // len(rows))
+        self.limit = np.full(len(k), np.inf)  # distance of the k-th best
+
+    def merge(self, rows: np.ndarray, norm: np.ndarray, ids: np.ndarray) -> None:
+        """Rows are taken in parts as long as all rows before them, so that a
+        part adds about ``k`` candidates to a question."""
+        start = 0
+        while start < len(rows):
+            stop = start + max(256, 2 * int(self.k.max()), self.seen)
+            part = slice(start, min(stop, len(rows)))
+            self._merge(rows[part], norm[part], ids[part])
+            self.seen += part.stop - start
+            start = part.stop
+
+    def _merge(self, rows, norm, ids):
+        n, dim = rows.shape
+        longest = math.sqrt(norm.max())
+        # Products in single precision where it holds them; ``slack`` is above
+        # their rounding error.
+        kind, unit = (np.float32, 2.0 ** -23) if 1e-10 < longest < 1e15 \
+            and math.sqrt(self.norm.max()) < 1e15 else (np.float64, 2.0 ** -52)
+        slack = unit * (dim + 8) * (np.sqrt(self.norm) * longest + longest * longest) + 1e-36
+        low, half = rows.astype(kind), (norm / 2).astype(kind)
+        step = max(1, _BLOCK_CELLS // n)
+        found, held = [], 0
         for q0 in range(0, len(self.k), step):
-            self._merge(rows, norm, ids, corpus_f, q0, min(q0 + step, len(self.k)))
-
-    def _merge(self, rows, norm, ids, corpus_f, q0, q1):
-        k = self.k[q0:q1]
-        approx = norm[:, None] - 2.0 * (rows @ self.vec[q0:q1].T) + self.norm[None, q0:q1]
-        for have, want in zip(corpus_f, self.filters):  # before the top-k
-            want = want[q0:q1]
-            for value in {w for w in want if w is not None and w != ""}:
-                approx[np.ix_(have != value, want == value)] = np.inf
-        nth = np.clip(k, 1, len(rows)) - 1
-        part = np.partition(approx, np.unique(nth), axis=0)
-        reach = np.where(k > len(rows), np.inf, part[nth, np.arange(q1 - q0)])
-        reach = np.minimum(reach, self.limit[q0:q1]) \
-            + 1e-9 * (norm.max() + self.norm[q0:q1] + 1.0)
-        ri, qi = np.nonzero((approx <= reach) & np.isfinite(approx) & (k > 0))
-        if not len(ri):
-            return
-        qi = qi + q0
-        mine = (self.q >= q0) & (self.q < q1)
-        q = np.concatenate([self.q[mine], qi])
-        d = np.concatenate([self.d[mine], _exact_l2sq(rows, self.vec, ri, qi)])
-        i = np.concatenate([self.id[mine], ids[ri]])
-        order = np.lexsort((i.astype(str), d, q))
+            q = slice(q0, min(q0 + step, len(self.k)))
+            near = self.vec[q].astype(kind) @ low.T  # grows as the distance falls
+            near -= half
+            least = (self.norm[q] - self.limit[q]) / 2 - slack[q]
+            new = np.flatnonzero(np.isinf(self.limit[q]) & (self.k[q] <= n))
+            if len(new):
+                nth = n - self.k[q][new]
+                part = np.partition(near[new], np.unique(nth), axis=1)
+                least[new] = part[np.arange(len(new)), nth] - 2 * slack[q][new]
+            # Rounded towards more candidates.
+            least = np.nextafter(least.astype(kind), kind(-np.inf))
+            qi, ri = np.divmod(np.flatnonzero(near >= least[:, None]), n)
+            qi += q0
+            d = _exact_l2sq(rows, self.vec, ri, qi)
+            keep = d <= self.limit[qi]
+            found.append((qi[keep], d[keep], ids[ri[keep]]))
+            held += len(found[-1][0])
+            if held > _BLOCK_CELLS:
+                self._keep(found)
+                found, held = [], 0
+        if held:
+            self._keep(found)
+
+    def _keep(self, found):
+        q, d, i = (np.concatenate([old, *(f[j] for f in found)])
+                   for j, old in enumerate((self.q, self.d, self.id)))
+        order = np.lexsort((d, q))
         q, d, i = q[order], d[order], i[order]
+        equal = (q[1:] == q[:-1]) & (d[1:] == d[:-1])
+        if equal.any():  # only rows at the same distance are put in order of their ids
+            tied = np.flatnonzero(np.append(equal, False) | np.append(False, equal))
+            order = np.lexsort((i[tied].astype(str), d[tied], q[tied]))
+            i[tied] = i[tied][order]
         rank = np.arange(len(q)) - np.searchsorted(q, q)
-        keep = rank < self.k[q]
-        last = rank == self.k[q] - 1
+        keep, last = rank < self.k[q], rank == self.k[q] - 1
         self.limit[q[last]] = d[last]
-        self.q = np.concatenate([self.q[~mine], q[keep]])
-        self.d = np.concatenate([self.d[~mine], d[keep]])
-        self.id = np.concatenate([self.id[~mine], i[keep]])
+        self.q, self.d, self.id = q[keep], d[keep], i[keep]
+
+
+class _Listing:
+    """Questions that ask for a great many rows: nothing is kept, every part of
+    the corpus gives its own best."""
+
+    def __init__(self, vec: np.ndarray, k: np.ndarray):
+        self.vec, self.k = vec, k
+
+    def rows(self, rows: np.ndarray, ids: np.ndarray):
+        """``question, distances, ids`` of the rows, question by question."""
+        dims = np.ascontiguousarray(rows.T)
+        for q, (vec, k) in enumerate(zip(self.vec, self.k)):
+            d = np.zeros(len(rows))
+            for row, x in zip(dims, vec):  # in index order, as in _exact_l2sq
+                t = row - x
+                d += t * t
+            if k >= len(d):
+                yield q, d, ids
+            else:
+                best = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
+                yield q, d[best], ids[best]
+
+
+class _Best:
+    """The best rows so far of one block of questions, by their filters."""
+
+    def __init__(self, block: dict):
+        self.pos, self.groups = np.asarray(block["pos"]), []
+        vec, k = block["vec"], np.asarray(block["k"], np.int64)
+        asked = np.isfinite(np.einsum("ij,ij->i", vec, vec)) & (k > 0)
+        wants: dict[tuple, list[int]] = {}
+        for q in np.flatnonzero(asked).tolist():
+            want = tuple(None if f[q] is None or f[q] == "" else f[q] for f in block["filters"])
+            wants.setdefault(want, []).append(q)
+        for want, q in wants.items():
+            q = np.array(q)
+            for kind, some in ((_Nearest, q[k[q] < _LISTING_K]), (_Listing, q[k[q] >= _LISTING_K])):
+                if len(some):
+                    self.groups.append((want, some, kind(vec[some], k[some])))
+
+    def add(self, rows: np.ndarray, ids: np.ndarray, corpus_f: list[np.ndarray]):
+        """Take rows in; yields ``positions, ids, distances`` of listings."""
+        norm = np.einsum("ij,ij->i", rows, rows)
+        finite = np.isfinite(norm)
+        if not finite.all():
+            rows, norm, ids = rows[finite], norm[finite], ids[finite]
+            corpus_f = [f[finite] for f in corpus_f]
+        places = [{} for _ in corpus_f]  # rows of each value of each filter
+        for place, f in zip(places, corpus_f):
+            values, codes = np.unique(["" if v is None else f"v{v}" for v in f], return_inverse=True)
+            order = np.argsort(codes, kind="stable")
+            place |= zip(values.tolist(), np.split(order, np.cumsum(np.bincount(codes))[:-1]))
+        fit: dict[tuple, np.ndarray | None] = {}
+        for want, questions, group in self.groups:
+            if want not in fit:
+                some = None
+                for place, value in zip(places, want):
+                    if value is not None:
+                        have = place.get(f"v{value}", np.empty(0, np.int64))
+                        some = have if some is None else np.intersect1d(some, have, True)
+                fit[want] = some
+            some = fit[want]
+            mine, its = (rows, ids) if some is None else (rows[some], ids[some])
+            if not len(mine):
+                continue
+            if isinstance(group, _Listing):
+                for q, d, i in group.rows(mine, its):
+                    yield np.full(len(d), self.pos[questions[q]]), i, d
+            else:
+                group.merge(mine, norm if some is None else norm[some], its)
+
+    def rest(self):
+        """``positions, ids, distances`` of the best rows that were kept."""
+        for _, questions, group in self.groups:
+            if isinstance(group, _Nearest) and len(group.q):
+                yield self.pos[questions[group.q]], group.id, group.d
 
 
 def _vectors(ids, vectors, filters, dim: int):
@@ -169,12 +279,13 @@ def _vectors(ids, vectors, filters, dim: int):
             [np.array(c.to_pylist(), object) for c in filters])
 
 
-def _emit(best: _Best, pos: np.ndarray, metric: str) -> list[pa.Array]:
-    return [pa.array(pos[best.q], pa.int64()), pa.array(best.id, pa.string()),
-            pa.array(np.sqrt(best.d) if metric == "l2" else best.d)]
+_TOP_NAMES = ["_pos", "id", "distance"]
 
 
-_TOP_NAMES = ["_pos", "id", "distance"]
+def _emit(found, metric: str) -> list[pa.Array]:
+    pos, ids, d = found
+    return [pa.array(pos, pa.int64()), pa.array(ids, pa.string()),
+            pa.array(np.sqrt(d) if metric == "l2" else d, pa.float64())]
 
 
 def _local_topk(block, dim: int, metric: str):
@@ -184,18 +295,20 @@ def _local_topk(block, dim: int, metric: str):
             rows, ids, corpus_f = _vectors(batch.column(0), batch.column(1), batch.columns[2:], dim)
             if len(rows):
                 best = best or _Best(block.value)
-                best.merge(rows, np.einsum("ij,ij->i", rows, rows), ids, corpus_f)
-        if best:
-            yield pa.RecordBatch.from_arrays(_emit(best, block.value["pos"], metric),
-                                             names=_TOP_NAMES)
+                for found in best.add(rows, ids, corpus_f):
+                    yield pa.RecordBatch.from_arrays(_emit(found, metric), names=_TOP_NAMES)
+        for found in best.rest() if best else ():
+            yield pa.RecordBatch.from_arrays(_emit(found, metric), names=_TOP_NAMES)
     return run
 
 
 def _cell_topk(dim: int, metric: str, n_filters: int):
     """Best rows of one split for one block of questions."""
     def run(corpus: pa.Table, questions: pa.Table) -> pa.Table:
+        out = [[pa.array([], pa.int64()), pa.array([], pa.string()), pa.array([], pa.float64())]]
         if corpus.num_rows and questions.num_rows:
             best = _Best({
+                "pos": questions.column("_pos").to_numpy(),
                 "vec": questions.column("_qvec").combine_chunks().flatten()
                 .to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim),
                 "k": questions.column("_k").to_numpy(),
@@ -206,11 +319,9 @@ def _cell_topk(dim: int, metric: str, n_filters: int):
                     batch.column("_cid"), batch.column("_cvec"),
                     [batch.column(f"_f{i}") for i in range(n_filters)], dim)
                 if len(rows):
-                    best.merge(rows, np.einsum("ij,ij->i", rows, rows), ids, corpus_f)
-            return pa.Table.from_arrays(_emit(best, questions.column("_pos").to_numpy(), metric),
-                                        names=_TOP_NAMES)
-        return pa.Table.from_arrays([pa.array([], pa.int64()), pa.array([], pa.string()),
-                                     pa.array([], pa.float64())], names=_TOP_NAMES)
+                    out += [_emit(found, metric) for found in best.add(rows, ids, corpus_f)]
+            out += [_emit(found, metric) for found in best.rest()]
+        return pa.Table.from_arrays([pa.chunked_array(c) for c in zip(*out)], names=_TOP_NAMES)
     return run
 
 
@@ -227,6 +338,9 @@ def _grid_topk(side: DataFrame, questions: DataFrame, n_blocks: int, dim: int, m
     right = questions.filter("_qvec is not null").drop("query_id").select(
         "*", block, F.explode(F.sequence(
             F.lit(0).cast("long"), F.lit(n_splits - 1).cast("long"))).alias("_s"))
+    # A task for every cell: more vectors make more tasks, not longer ones.
+    n = min(2 * n_blocks * n_splits, _MAX_TASKS)
+    left, right = (x.repartition(n, "_b", "_s") for x in (left, right))
     return left.groupBy("_b", "_s").cogroup(right.groupBy("_b", "_s")).applyInArrow(
         _cell_topk(dim, metric, n_filters), "_pos long, id string, distance double")
 
@@ -285,7 +399,8 @@ def knn_bounded(corpus: DataFrame, queries: DataFrame, k: int | str = DEFAULT_N_
                                T.StructField("distance", T.DoubleType())])
     if n_q == 0 or kmax <= 0:
         return empty_frame(spark, out_schema.add("rank", T.IntegerType())), 0, 0
-    kept, dim, n_blocks = _written_questions(q, max_broadcast_bytes, n_q)
+    kept, dim, n_blocks = _written_questions(
+        q, min(max_broadcast_bytes, QUESTION_BLOCK_BYTES), n_q)
     side = corpus.select(F.col(corpus_id).cast("string").alias("_cid"),
                          F.col(corpus_vec).alias("_cvec"),
                          *[expr.cast("string").alias(fn)
@@ -354,6 +469,16 @@ def _field(chunks: DataFrame, key: str) -> Column:
 CHUNK_FIELDS = ["document", "source_file", "chunk_index", "total_chunks", "metadata"]
 
 
+def question_filters(chunks: DataFrame) -> dict[str, Column]:
+    """The filters of every question row, as :func:`knn` takes them."""
+    return {f"filter_{key}": _field(chunks, key) for key in ("type", "author")}
+
+
+def with_fields(chunks: DataFrame, top: DataFrame) -> DataFrame:
+    """The rows of ``top`` with the fields of the chunks their ``id`` names."""
+    return chunks.select(F.col("id").cast("string").alias("id"), *CHUNK_FIELDS).join(top, "id")
+
+
 def retrieve(chunks: DataFrame, questions: DataFrame, *, question_id: str = "query_id",
              n_results: int | str = DEFAULT_N_RESULTS,
              min_relevance: float | str | None = None,
@@ -391,7 +516,7 @@ def retrieve(chunks: DataFrame, questions: DataFrame, *, question_id: str = "que
     # Python; filter columns are passed on only for per-question filters.
     candidates, filt = chunks, {}
     if per_row:
-        filt = {f"filter_{key}": _field(chunks, key) for key in ("type", "author")}
+        filt = question_filters(chunks)
     else:
         for key, value in (("type", filter_type), ("author", filter_author)):
             if value:
@@ -402,8 +527,7 @@ def retrieve(chunks: DataFrame, questions: DataFrame, *, question_id: str = "que
     # most n_q * kmax narrow rows, and its width is known.
     def sized(side: DataFrame, rows: int) -> DataFrame:
         return F.broadcast(side) if rows * RESULT_ROW_BYTES <= max_broadcast_bytes else side
-    fields = chunks.select(F.col("id").cast("string").alias("id"), *CHUNK_FIELDS)
-    res = fields.join(sized(top, n_q * kmax), "id")
+    res = with_fields(chunks, sized(top, n_q * kmax))
     rel = q.select("query_id", F.col(rel_col).alias("_min_rel"))
     res = res.join(sized(rel, n_q), "query_id")
     res = res.withColumn("similarity", similarity(F.col("distance")))

@@ -186,3 +186,53 @@ def test_report_keeps_questions_without_results(spark):
     assert [(r.query_id, r.n_returned, r.n_kept, r.top_source) for r in rep] == [
         (1, 1, 1, "a.md"), (2, 0, 0, None), (3, 0, 0, None)]
     assert [tuple(r) for r in retrieve.retrieval_log(res).collect()] == [(1, 1, 0.0, "a.md", True)]
+
+
+def test_cells_are_bounded_and_spread_over_tasks(spark, monkeypatch):
+    """More questions than make up a cell of seconds form a grid even where
+    they could be broadcast, and its tasks are as many as its cells."""
+    monkeypatch.setattr(retrieve, "QUESTION_BLOCK_BYTES", 25 * 96)
+    monkeypatch.setattr(retrieve, "SPLIT_BYTES", 20 * 96)
+    rng = np.random.default_rng(9)
+    rows = [(f"c{i}", rng.normal(size=4).tolist()) for i in range(100)]
+    cdf = spark.createDataFrame(rows, "id string, embedding array<float>")
+    qdf = spark.createDataFrame([(i, v) for i, (_, v) in enumerate(rows)],
+                                "query_id long, embedding array<float>")
+    got = retrieve.knn(cdf, qdf, 1)
+    assert "FlatMapCoGroupsInArrow" in got._jdf.queryExecution().executedPlan().toString()
+    assert {(r.query_id, r.id) for r in got.collect()} == {(i, f"c{i}") for i in range(100)}
+    kept, dim, blocks = retrieve._written_questions(
+        qdf.select("query_id", F.col("embedding").alias("_qvec"), F.lit(1).alias("_k")), 25 * 96, 100)
+    side = cdf.select(F.col("id").alias("_cid"), F.col("embedding").alias("_cvec"))
+    assert blocks == 4
+    assert retrieve._grid_topk(side, kept, blocks, dim, "l2sq", 0).rdd.getNumPartitions() >= 4 * 5
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-20, 1e20])
+def test_best_rows_of_all_kinds_of_questions(scale):
+    """Filters, ties, copies, vectors that are not finite, small and large
+    numbers, and k from one to all rows, against brute force."""
+    rng = np.random.default_rng(11)
+    rows = np.concatenate([rng.normal(size=(9000, 3)), np.ones((40, 3)),
+                           rng.integers(0, 3, size=(500, 3))]) * scale
+    rows[77, 1] = np.nan
+    ids = np.array([f"c{i}" for i in range(len(rows))], object)
+    kinds = np.array([None if i % 7 == 0 else "xy"[i % 2] for i in range(len(rows))], object)
+    vec = np.concatenate([rng.normal(size=(20, 3)), np.ones((4, 3))]) * scale
+    k = np.array([1, 3, 300, 0, 5000, 1 << 62] * 4)
+    want = np.array([None, "", "x", "y", "x", None, "none such"] * 4, object)[:24]
+    best = retrieve._Best({"pos": np.arange(24) + 100, "vec": vec, "k": k, "filters": [want]})
+    found = {}
+    for at in range(0, len(rows), 3000):
+        part = slice(at, at + 3000)
+        for pos, i, d in best.add(rows[part], ids[part], [kinds[part]]):
+            for row in zip(pos, d, i):
+                found.setdefault(row[0], []).append(row[1:])
+    for pos, i, d in best.rest():
+        for row in zip(pos, d, i):
+            found.setdefault(row[0], []).append(row[1:])
+    for q in range(24):
+        fits = np.flatnonzero(np.isfinite(rows[:, 1]) & ((kinds == want[q]) if want[q] else True))
+        true = sorted(zip(retrieve._exact_l2sq(rows, vec, fits, np.full(len(fits), q)), ids[fits]))
+        assert sorted(found.get(q + 100, []))[:k[q]] == true[:k[q]]
+        assert k[q] >= 5000 or len(found.get(q + 100, [])) <= k[q]
