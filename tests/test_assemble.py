@@ -108,3 +108,22 @@ def test_preview(spark):
     df = spark.createDataFrame([("x" * 250,), ("short",)], "t string")
     got = [r[0] for r in df.select(preview("t")).collect()]
     assert got == ["x" * 200 + "...", "short"]
+
+
+def test_contexts_of_one_list_share_its_pieces(spark, monkeypatch):
+    """Every prefix of a long list has the context of these rows alone."""
+    monkeypatch.setattr(assemble, "PIECE_ROWS", 8)
+    rows = [(1, i, f"text {i}", {"title": f"T{i}"}, "a.md", i, 30) for i in range(1, 31)]
+    res = spark.createDataFrame(rows, "list_id long, rank int, document string, "
+                                "metadata map<string,string>, source_file string, "
+                                "chunk_index int, total_chunks int")
+    cuts = [1, 8, 13, 30]
+    pieces = assemble.context_pieces(
+        res.withColumn("place", F.col("rank")).withColumn("cuts", F.array(*map(F.lit, cuts))),
+        "list_id")
+    assert [p["end"] for p in pieces.first().pieces] == [1, 8, 13, 16, 24, 30]
+    for cut in cuts:
+        want = assemble.context_prompt(res.filter(F.col("rank") <= cut)
+                                       .withColumnRenamed("list_id", "query_id")).first().context
+        assert pieces.select(assemble.context_upto(F.col("pieces"), F.lit(cut))).first()[0] == want
+    assert pieces.select(assemble.context_upto(F.col("pieces"), F.lit(0))).first()[0] == ""
