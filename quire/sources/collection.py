@@ -80,7 +80,12 @@ def count(coll: DataFrame) -> DataFrame:
     return coll.agg(F.count(F.lit(1)).alias("count"))
 
 
-def first_writer(chunks: DataFrame) -> DataFrame:
+def _repeated(chunks: DataFrame) -> DataFrame:
+    return chunks.groupBy("id").agg(F.count(F.lit(1)).alias("_n")) \
+        .filter(F.col("_n") > 1).select("id")
+
+
+def first_writer(chunks: DataFrame, repeated: DataFrame | None = None) -> DataFrame:
     """One row per id: the row from the file that sorts first (the reference
     processes files in sorted path order and the first add wins).
 
@@ -90,12 +95,11 @@ def first_writer(chunks: DataFrame) -> DataFrame:
     huge number of files never lands whole in one task). Joins against the
     repeated-id set are left to the optimizer, which broadcasts it at run time
     when it is small. Feed it a materialised table: the input is read three
-    times.
+    times. ``repeated``: the ids that occur more than once, where known.
     """
     order_key = F.split(F.col("source_file"), "/")  # Path order: by components
     cols = [c for c in chunks.columns if c != "id"]
-    repeated = (chunks.groupBy("id").agg(F.count(F.lit(1)).alias("_n"))
-                .filter(F.col("_n") > 1).select("id"))
+    repeated = _repeated(chunks) if repeated is None else repeated
     unique_rows = chunks.join(repeated, "id", "left_anti")
     packed = chunks.join(repeated, "id", "left_semi") \
         .select("id", F.struct(*cols).alias("_r"), order_key.alias("_k"))
@@ -104,6 +108,16 @@ def first_writer(chunks: DataFrame) -> DataFrame:
     return unique_rows.select("id", *cols).unionByName(winners)
 
 
+def _known(ids: DataFrame, label: str, broadcast_limit: int) -> tuple[DataFrame, int]:
+    """``ids`` written down, with a broadcast hint where they are few bytes, and
+    their number."""
+    from quire.session import materialize  # noqa: PLC0415
+
+    ids = materialize(ids, label)
+    n, size = ids.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("id")), F.lit(0))).first()
+    return (ids.hint("broadcast") if size + _ID_ROW * n <= broadcast_limit else ids), n
+
+
 def add_chunks(spark: SparkSession, new: DataFrame, root: str, name: str,
                broadcast_limit: int = BROADCAST_ID_BYTES) -> dict:
     """Append chunks whose id is not in the collection yet (B1).
@@ -129,10 +143,18 @@ def add_chunks(spark: SparkSession, new: DataFrame, root: str, name: str,
     probe = produced.select("id")
     if id_bytes + _ID_ROW * n_produced <= broadcast_limit:
         probe = F.broadcast(probe)
-    taken = existing_ids.join(probe, "id", "left_semi")
-    insert = first_writer(produced).join(taken, "id", "left_anti") \
-        .select(*CHUNK_SCHEMA.fieldNames(), F.col("metadata")["type"].alias("type"),
-                F.col("metadata")["author"].alias("author"))
+    # Both sets of ids are written before they are joined: only then is it
+    # known whether they are small (mostly they are empty), and a join that is
+    # planned without knowing it shuffles every chunk first.
+    insert = produced
+    repeated, some = _known(_repeated(produced), "repeated-ids", broadcast_limit)
+    if some:
+        insert = first_writer(produced, repeated)
+    taken, some = _known(existing_ids.join(probe, "id", "left_semi"), "taken-ids", broadcast_limit)
+    if some:
+        insert = insert.join(taken, "id", "left_anti")
+    insert = insert.select(*CHUNK_SCHEMA.fieldNames(), F.col("metadata")["type"].alias("type"),
+                           F.col("metadata")["author"].alias("author"))
     # Files hold disjoint, sorted id ranges: row-group statistics on id then
     # let retrieval read only the row groups of the chunks it returns.
     insert.repartitionByRange("id").sortWithinPartitions("id") \

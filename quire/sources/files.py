@@ -12,6 +12,7 @@ given (a shared mount, or any store that ``pyarrow.fs`` opens).
 from __future__ import annotations
 
 import os
+import uuid
 import zlib
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -19,15 +20,19 @@ from dataclasses import dataclass
 from urllib.parse import unquote, urlsplit
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import (DataSource, DataSourceReader, DataSourceStreamReader,
+                                    InputPartition)
 
 SUFFIX = ".md"
 PAGE_FILES = 10_000      # files of one partition, about
 BATCH_BYTES = 32 << 20   # text of one Arrow batch, about
 _LISTERS = 16            # folders listed at once on the driver
+SLICE_FILES = 2_000      # files of one task of a stream, at most
+SLICE_BYTES = 4 << 20    # and their bytes, about
 
 
 def open_store(path: str) -> tuple[pafs.FileSystem, str]:
@@ -138,6 +143,145 @@ def read_files(spark: SparkSession, directory: str, contents: bool = True,
         .option("pageFiles", str(page_files)).load(directory)
 
 
+# ---------------------------------------------------------------------------
+# The same files as a stream
+# ---------------------------------------------------------------------------
+@dataclass
+class Slice(InputPartition):
+    batch: int
+    number: int
+
+
+_FOUND = pa.schema([("source_file", pa.string()), ("length", pa.int64())])
+
+
+def _hidden(name: str) -> bool:
+    """Names that Spark's file sources leave out."""
+    return name.startswith(".") or (name.startswith("_") and "=" not in name) \
+        or name.endswith("._COPYING_")
+
+
+class MarkdownStreamReader(DataSourceStreamReader):
+    """Batch ``n`` is what the file ``n.arrow`` in the folder ``log`` names:
+    the files found that no earlier one names. Each record batch of it is the
+    work of one task, which alone reads the texts. A batch that is run again
+    reads the same files."""
+
+    def __init__(self, path: str, log: str):
+        self.path, self.log, self.seen = path, log, []
+
+    def _log(self, batch: int) -> tuple[pafs.FileSystem, str]:
+        store, log = open_store(self.log)
+        return store, f"{log}/{batch}.arrow"
+
+    def _logged(self, batch: int) -> pa.Table:
+        store, path = self._log(batch)
+        with store.open_input_file(path) as file:
+            return pa.ipc.open_file(file).read_all()
+
+    def initialOffset(self) -> dict:
+        return {"batch": 0}
+
+    def latestOffset(self) -> dict:
+        while (log := self._log(len(self.seen) + 1)) and \
+                log[0].get_file_info(log[1]).type == pafs.FileType.File:
+            self.seen.append(self._logged(len(self.seen) + 1)["source_file"])
+        found = self._found()
+        if self.seen and found.num_rows:
+            known = pa.chunked_array([c for names in self.seen for c in names.chunks], pa.string())
+            found = found.filter(pc.invert(pc.is_in(found["source_file"], value_set=known)))
+        if found.num_rows:
+            self._write(found.combine_chunks(), len(self.seen) + 1)
+            self.seen.append(found["source_file"])
+        return {"batch": len(self.seen)}
+
+    def _found(self) -> pa.Table:
+        """All files there are, by path and length; as with Spark's own stream,
+        hidden names are left out and links to folders followed."""
+        store, root = open_store(self.path)
+        local = isinstance(store, pafs.LocalFileSystem)
+
+        def listed(folder: str) -> tuple[list[str], pa.Table]:
+            folders, files = [], []
+            for f in store.get_file_info(pafs.FileSelector(folder)):
+                if _hidden(f.base_name):
+                    continue
+                if f.type == pafs.FileType.Directory:
+                    if not (local and os.path.islink(f.path) and
+                            os.path.realpath(folder).startswith(os.path.realpath(f.path))):
+                        folders.append(f.path)
+                elif f.type == pafs.FileType.File and f.base_name.endswith(SUFFIX):
+                    files.append(f)
+            return folders, pa.table([pa.array([f.path[len(root) + 1:] for f in files], pa.string()),
+                                      pa.array([f.size for f in files], pa.int64())], schema=_FOUND)
+        found, level = [_FOUND.empty_table()], [root.rstrip("/")]
+        with ThreadPoolExecutor(_LISTERS) as pool:
+            while level:
+                below = []
+                for folders, files in pool.map(listed, level):
+                    below += folders
+                    found.append(files)
+                level = below
+        return pa.concat_tables(found)
+
+    def _write(self, found: pa.Table, batch: int) -> None:
+        store, path = self._log(batch)
+        store.create_dir(path.rsplit("/", 1)[0], recursive=True)
+        part = f"{path}.{uuid.uuid4().hex}"
+        with store.open_output_stream(part) as out, pa.ipc.new_file(out, _FOUND) as writer:
+            start = held = 0
+            for i, size in enumerate(found["length"].to_pylist()):
+                held += size
+                if held >= SLICE_BYTES or i + 1 - start >= SLICE_FILES or i + 1 == found.num_rows:
+                    writer.write_table(found.slice(start, i + 1 - start),
+                                       max_chunksize=SLICE_FILES)
+                    start, held = i + 1, 0
+        store.move(part, path)
+
+    def partitions(self, start: dict, end: dict) -> list[Slice]:
+        slices = []
+        for batch in range(start["batch"] + 1, end["batch"] + 1):
+            store, path = self._log(batch)
+            with store.open_input_file(path) as file:
+                slices += [Slice(batch, i)
+                           for i in range(pa.ipc.open_file(file).num_record_batches)]
+        return slices
+
+    def read(self, part: Slice) -> Iterator[pa.RecordBatch]:
+        store, path = self._log(part.batch)
+        with store.open_input_file(path) as file:
+            names = pa.ipc.open_file(file).get_batch(part.number)["source_file"].to_pylist()
+        store, root = open_store(self.path)
+        read, texts, held = [], [], 0
+        for name in names:
+            with store.open_input_stream(f"{root.rstrip('/')}/{name}") as stream:
+                raw = stream.readall()
+            read.append(name)
+            texts.append(raw.decode("utf-8", "replace"))
+            held += len(raw)
+            if held >= BATCH_BYTES:
+                yield pa.RecordBatch.from_pydict({"source_file": read, "text": texts})
+                read, texts, held = [], [], 0
+        if read:
+            yield pa.RecordBatch.from_pydict({"source_file": read, "text": texts})
+
+
+class MarkdownStream(DataSource):
+    """``spark.readStream.format("markdown_stream").load(folder)``: the ``*.md``
+    files below a folder, each once. Option ``log``: a folder of the stream's
+    own, kept as long as its checkpoint, for the names that were found."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "markdown_stream"
+
+    def schema(self) -> str:
+        return "source_file string, text string"
+
+    def streamReader(self, schema) -> MarkdownStreamReader:
+        return MarkdownStreamReader(self.options["path"], self.options["log"])
+
+
 def write_files(df: DataFrame, directory: str, path_col: str = "source_file",
                 text_col: str = "text") -> int:
     """Write one file for every row below ``directory``, each under its own

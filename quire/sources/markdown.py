@@ -31,6 +31,17 @@ def qualified_dir(spark: SparkSession, path: str) -> str:
     return fs.makeQualified(hpath).toString().rstrip("/")
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, hpath = _fs_path(spark, path)
+    return fs.exists(hpath)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """Fully qualified form of ``path``, whether it exists or not."""
+    fs, hpath = _fs_path(spark, path)
+    return fs.makeQualified(hpath).toString().rstrip("/")
+
+
 def _reader(spark: SparkSession, fmt: str):
     return (spark.read.format(fmt)
             .option("recursiveFileLookup", "true")

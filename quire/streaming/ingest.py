@@ -1,7 +1,8 @@
 """Incremental ingest (B4): new markdown files -> collection, as a
 Structured Streaming query.
 
-The file source tracks which files it has seen in the checkpoint; each
+The source (that of :mod:`quire.sources.files` for paths of scheme ``file``,
+else Spark's own) tracks which files it has seen beside the checkpoint; each
 micro-batch is chunked, embedded and appended with the same add-if-absent
 rule as the batch job, so a replayed batch after a failure inserts nothing
 twice (the anti-join makes the sink idempotent). No streaming state is kept
@@ -16,7 +17,8 @@ from pyspark.sql import functions as F
 from quire.plans.ingest import articles_to_chunks
 from quire.session import checkpoint_dir
 from quire.sources.collection import add_chunks, create_collection
-from quire.sources.markdown import decoded_path, qualified_dir
+from quire.sources.files import MarkdownStream
+from quire.sources.markdown import decoded_path, path_exists, qualified, qualified_dir
 
 # What opening a file counts for when files are put together into tasks. Spark's
 # default, 4 MB, makes a task of every 32 articles.
@@ -38,9 +40,19 @@ def _stream_session(spark: SparkSession) -> SparkSession:
 
 
 def markdown_stream(spark: SparkSession, directory: str,
-                    max_files_per_trigger: int | None = None) -> DataFrame:
-    """Streaming ``source_file, text`` of ``*.md`` files in ``directory``."""
+                    max_files_per_trigger: int | None = None,
+                    log: str | None = None) -> DataFrame:
+    """Streaming ``source_file, text`` of ``*.md`` files in ``directory``.
+
+    With ``log``, a folder for the names found so far, paths of scheme ``file``
+    are listed once by the driver and read by few tasks; Spark's source opens
+    every file through a job configuration of its own, which takes longer than
+    to chunk it. It remains for other stores and limited triggers.
+    """
     base = qualified_dir(spark, directory)
+    if log and base.startswith("file:") and not max_files_per_trigger:
+        spark.dataSource.register(MarkdownStream)
+        return spark.readStream.format("markdown_stream").option("log", log).load(base)
     reader = (spark.readStream.format("text").option("wholetext", "true")
               .option("pathGlobFilter", "*.md").option("recursiveFileLookup", "true"))
     if max_files_per_trigger:
@@ -69,7 +81,11 @@ def stream_ingest(spark: SparkSession, directory: str, root: str, name: str,
     def write_batch(batch: DataFrame, _batch_id: int) -> None:
         add_chunks(batch.sparkSession, articles_to_chunks(batch, **options), root, name)
 
-    writer = (markdown_stream(session, directory, max_files_per_trigger).writeStream
+    # A checkpoint of Spark's own source goes on with it.
+    log = qualified(spark, f"{ckpt}/found-files")
+    if path_exists(spark, f"{ckpt}/sources/0") or not log.startswith("file:"):
+        log = None
+    writer = (markdown_stream(session, directory, max_files_per_trigger, log).writeStream
               .foreachBatch(write_batch).option("checkpointLocation", ckpt))
     writer = writer.trigger(availableNow=True) if available_now \
         else writer.trigger(processingTime="10 seconds")

@@ -178,3 +178,69 @@ def test_stream_ingest_makes_few_tasks_of_many_files(spark, tmp_path, monkeypatc
     assert seen and seen[0][1] == "UTC"
     assert seen[0][0] <= max(4, spark.sparkContext.defaultParallelism)
     assert read_collection(spark, str(tmp_path / "coll"), "many").count() == 64
+
+
+def test_stream_reads_files_in_few_tasks_and_each_once(spark, tmp_path, monkeypatch):
+    """Files are read by the source of the library (Spark's own opens each
+    with a configuration of its own), each once over all runs; hidden ones
+    stay out as before, and a batch that was planned but not run is run."""
+    from pyspark.sql.datasource import DataSourceStreamReader
+
+    from quire.sources.files import MarkdownStreamReader
+    from quire.streaming import ingest
+
+    src, ckpt, root = tmp_path / "in", str(tmp_path / "ckpt"), str(tmp_path / "coll")
+    (src / "sub dir").mkdir(parents=True)
+    (src / ".git").mkdir()
+    for name in ("a+1%20.md", "sub dir/b.md", "_no.md", ".git/no.md", "empty.md", "c.txt"):
+        (src / name).write_text("" if name == "empty.md" else f"text of {name}")
+    (src / "sub dir/up").symlink_to(src, target_is_directory=True)
+    stream_ingest(spark, str(src), root, "n", ckpt).awaitTermination(120)
+    assert not os.path.exists(f"{ckpt}/sources/0")  # where Spark's source keeps its names
+    assert sorted(r.source_file for r in read_collection(spark, root, "n").collect()) == [
+        "a+1%20.md", "sub dir/b.md"]
+    (src / "a+1%20.md").write_text("changed")  # a file seen is not read again
+    (src / "d.md").write_text("later")
+    reader = MarkdownStreamReader(f"file://{src}", f"file://{ckpt}/found-files")
+    assert isinstance(reader, DataSourceStreamReader)
+    assert reader.latestOffset() == {"batch": 2} == reader.latestOffset()
+    (part,) = reader.partitions({"batch": 1}, {"batch": 2})
+    assert [b.to_pydict() for b in reader.read(part)] == [
+        {"source_file": ["d.md"], "text": ["later"]}]
+    texts = []
+    chunks = ingest.articles_to_chunks
+    monkeypatch.setattr(ingest, "articles_to_chunks", lambda batch, **kw:
+                        texts.extend(r.text for r in batch.collect()) or chunks(batch, **kw))
+    for _ in range(2):
+        stream_ingest(spark, str(src), root, "n", ckpt).awaitTermination(120)
+    assert texts == ["later"]
+    assert read_collection(spark, root, "n").count() == 3
+    # Limited triggers keep Spark's source, and its checkpoints go on with it.
+    stream_ingest(spark, str(src), root, "m", f"{ckpt}2", max_files_per_trigger=2) \
+        .awaitTermination(120)
+    (src / "e.md").write_text("last")
+    stream_ingest(spark, str(src), root, "m", f"{ckpt}2").awaitTermination(120)
+    assert read_collection(spark, root, "m").count() == 4
+    assert os.path.exists(f"{ckpt}2/sources/0") and not os.path.exists(f"{ckpt}2/found-files")
+
+
+def test_append_without_repeats_moves_no_text_but_once(spark, tmp_path, monkeypatch):
+    """Unique new chunks are not joined, so only the range shuffle of the
+    append moves their texts; repeats and stored ids are still left out."""
+    from pyspark.sql import functions as F
+
+    from quire.sources import collection as C
+
+    seen = []
+    real = C.first_writer
+    monkeypatch.setattr(C, "first_writer", lambda *a: seen.append(a[1].count()) or real(*a))
+    frame = spark.range(6).select(*[
+        (F.col("id").cast("string") if f.name == "id" else F.concat(F.lit("f"), "id") if
+         f.name == "source_file" else F.lit(None)).cast(f.dataType).alias(f.name)
+        for f in C.CHUNK_SCHEMA.fields])
+    C.add_chunks(spark, frame, str(tmp_path), "c")
+    assert seen == [] and read_collection(spark, str(tmp_path), "c").count() == 6
+    more = frame.unionByName(frame.withColumn("id", F.concat(F.lit("n"), F.col("id").cast("int") % 2)))
+    C.add_chunks(spark, more, str(tmp_path), "c")
+    got = {r.id: r.source_file for r in read_collection(spark, str(tmp_path), "c").collect()}
+    assert seen == [2] and len(got) == 8 and (got["n0"], got["n1"]) == ("f0", "f1")
